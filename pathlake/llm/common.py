@@ -111,3 +111,24 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict]:
+    """([(text, label)], rows by label) to learn from: about per_class documents of each label, never more than four times that in all.
+
+    labels has id_col and label; `learn` says of an id whether it may be learned from. Ids are chosen on the small
+    table, by hash, and their number is what is broadcast to fetch the texts. Of repeated ids in labels the greatest label counts.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn)
+    known = known.groupBy(id_col).agg(F.max(label).alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    keep = F.lit(False)
+    for value, n in counts.items():
+        keep |= (F.col("label") == F.lit(value)) & (unit_hash(F.col(id_col)) < F.lit(min(1.0, per_class / n)))
+    most = 4 * per_class * max(1, len(counts))
+    ids = known.filter(keep).limit(most).collect()
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r[id_col], r["label"]) for r in ids], known.schema)
+    texts = docs.filter(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes)).select(F.col(id_col), F.col(text_col).alias("text"))
+    got = texts.join(F.broadcast(chosen), id_col).limit(most).collect()
+    return [(r["text"], int(r["label"])) for r in sorted(got, key=lambda r: (str(r[id_col]), r["text"]))], counts
