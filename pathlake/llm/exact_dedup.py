@@ -109,3 +109,21 @@ class DigestIndex:
             ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
             "text_sha256",
         )
+
+
+def unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the index keeps, all columns as they were: of equal texts one row, also where rows repeat.
+
+    Rows are matched to their digest and id (neither is hot: of a text one row is kept), so each is shuffled once. A null id is
+    matched like any other.
+    """
+    from pyspark.sql import Window
+
+    kept = checkpointed(index.add(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumn("__digest", F.sha2(F.translate(text, SPACES, ""), 256))
+    on = marked[id_col].cast("long").eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__sha"])
+    found = marked.join(kept, on, "left_semi")
+    # repeated rows (the same id and text) are still there: one stays, of those with the most code points
+    w = Window.partitionBy("__digest", id_col).orderBy(F.desc(F.char_length(text)))
+    return found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

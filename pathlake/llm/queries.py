@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlake.llm import chat_format, exact_dedup, langid, pii, simhash
+from pathlake.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, pieces, pii, quality, simhash, toxicity
 from pathlake.llm.common import held_out, id_hash, table
 
 
@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_rows(pieces.segmentations(table(spark, sf_dir, "documents")))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -43,6 +51,29 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ROWS BETWEEN UNBOU
 """
 
 
+def site(docs: DataFrame):
+    """Host and path of a document: the tables name a source and no address, so a source is a host and its languages are paths."""
+    return docs["source"], F.concat_ws("/", docs["source"], docs["lang"])
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), id_hash(F.col("doc_id")) != 1)
+    out = quality.score(docs, model, *site(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality_evidence", "quality_host", "quality_path", "quality_score", "quality_keep")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_hash(F.col("doc_id")) != 1)
+    return toxicity.score(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -82,7 +113,12 @@ FROM t GROUP BY conv_id
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
+    "op8_html_extract": op8_html_extract,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pathlake.llm.common import checkpointed, field, lookup
+from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field, lookup
 from pathlake.llm.components import connected_components
 
 SEED = 42
@@ -110,3 +110,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs that stand for their component, all columns as they were: of each component the row with its smallest doc_id.
+
+    Rows with a null id all stay: they cannot be told apart. Ids are taken as unique, as after exact dedup.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    gone = checkpointed(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
