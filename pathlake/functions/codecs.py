@@ -8,6 +8,7 @@ import shlex
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~/")
 
@@ -36,12 +37,12 @@ def octal_unescape(text: str) -> str:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_path_udf(paths: pd.Series) -> pd.Series:
     return paths.map(decode_path, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def octal_unescape_udf(texts: pd.Series) -> pd.Series:
     return texts.map(octal_unescape, na_action="ignore")
 
