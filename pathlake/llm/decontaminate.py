@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact weighted-shingle similarity.
 
-1. Anchors: a window can only be similar to an item if they share a shingle, so windows are laid where a
-   document's shingle is one of the benchmark's; each window has the item's size and alignment. This loses
-   nothing and spares fingerprints of windows that share nothing with the benchmark.
+1. Windows: a window can only be similar to an item if they share a shingle, so windows are laid where a
+   document's shingle is one of the benchmark's, each with the item's size and so that the shared shingles meet.
+   Every way in which an item and a document line up is looked at; windows that share nothing are not fingerprinted.
 2. Every window gets a 64-bit SimHash. Four 16-bit blocks, each looked up in the Hamming balls of radius 3 round
    the items' blocks, find every item within RADIUS = 15 bits (16 differing bits would be needed to differ in 4
    bits in every block); complete distances are then verified.
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathlake.llm.common import BROADCAST_ROWS, checkpointed
+from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Benchmark shingles of one pass over the documents; larger benchmarks take several passes.
@@ -25,15 +26,15 @@ PASS_SHINGLES = 500_000
 
 def words(text: Column) -> Column:
     """Lower-cased words between white space (0x20, 0x09-0x0D); null counts as empty."""
-    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), "")
 
 
 def _shingles(df: DataFrame, arity: int, out: str) -> DataFrame:
     """df (with array `w` of words) plus `out`: hashes of runs of `arity` words. Built by pairing shifted arrays, without copies of strings."""
     df = df.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
     tail = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
-    both = lambda a, b: F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(x, y))), lambda x: x.isNotNull())
+    # the last elements, which have no partner, are cut off
+    both = lambda a, b: F.slice(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), 1, F.size(b))
     have, name = 1, "h1"
     while have < arity:
         step = min(have, arity - have)
@@ -82,7 +83,8 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 def _anchored(docs: DataFrame, shingles: DataFrame, arity: int) -> DataFrame:
     """Windows (doc_id, start, n, win) of all documents where a shingle of the benchmark stands; shingles: h, pos, n."""
     s = _shingles(docs, arity, "s").drop("w")
-    at = s.select("doc_id", "s", F.posexplode("s").alias("at", "h"))
+    # outer: from an inner one Spark infers a filter on the array's size, which computes every array twice; the join drops the nulls
+    at = s.select("doc_id", "s", F.posexplode_outer("s").alias("at", "h"))
     hit = at.join(F.broadcast(shingles), "h")  # the array stays a reference until a row matches
     first = F.col("at") - F.col("pos")
     begin = F.greatest(first, F.lit(0))
@@ -100,7 +102,8 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
         got = _anchored(base, piece, arity)
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return docs.sparkSession.createDataFrame([], docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "int").add("n", "int").add("win", "array<bigint>").add("content", "bigint"))
+        nothing = T.StructType([field(docs, id_col, "doc_id"), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("win", T.ArrayType(T.LongType()))])
+        return docs.sparkSession.createDataFrame([], nothing)
     # the anchors of one window are one row before anything is shuffled
     found = found.withColumn("content", F.xxhash64("win"))
     return checkpointed(found.groupBy("doc_id", "start", "n", "content").agg(F.first("win").alias("win")))
@@ -128,10 +131,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     content = wins.groupBy("content", "n").agg(F.first("win").alias("win"))
     content = checkpointed(content.withColumn("fp", simhash("win")))
     keys = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), v.alias("v")) for b, v in enumerate(_blocks("fp"))])).alias("k")
-    ball = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(0xFFFF).cast("long")), lambda x: F.bit_count(x) <= RADIUS // 4)
-    masks = docs.sparkSession.range(1).select(ball.alias("masks"))
-    fps = items.select("fp").distinct()
-    probe = fps.crossJoin(F.broadcast(masks)).select("fp", keys, "masks").select(F.col("fp").alias("item_fp"), "k.b", "k.v", F.explode("masks").alias("m")).select("item_fp", "b", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
+    ball = F.lit([m for m in range(1 << 16) if m.bit_count() <= RADIUS // 4])
+    probe = items.select("fp").distinct().select(F.col("fp").alias("item_fp"), keys).select("item_fp", "k.b", "k.v", F.explode(ball).alias("m"))
+    probe = probe.select("item_fp", "b", F.col("v").bitwiseXOR(F.col("m").cast("long")).alias("v"))
     near = content.select("fp").distinct().select("fp", keys).select("fp", "k.b", "k.v").join(probe, ["b", "v"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = near.filter(distance <= RADIUS).select("fp", "item_fp", distance.alias("hamming")).distinct()
