@@ -5,6 +5,12 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,10 @@ from pathlake.functions import codecs, paths
 from pathlake.operators import duplicates, exclusions, overlay, search, tags, trash
 from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
+from pathlake.sources import archives, documents
+from pathlake.sources.catalog import Catalog
+from pathlake.sources.shared import shared_dir
+from pathlake.streaming import cdc
 
 #: Fixed values of the catalog view.
 SUFFIXES = (".txt", ".md", ".PDF", ".rs", ".png", ".zip", ".mp3", ".mp4", ".tar.gz", "")
@@ -288,10 +298,11 @@ def overlay_subtree_delete(spark, sf_dir):
     return overlay.merge(base, delta.unionByName(gone)).select("path", "size", "seq")
 
 
-@query(f"{CHANGES_SQL}, last AS (SELECT path, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1), base AS (SELECT path FROM last WHERE seq % 2 = 0) SELECT path, op FROM last WHERE (op = 'upsert' AND path NOT IN (SELECT path FROM base)) OR (op = 'remove' AND path IN (SELECT path FROM base))")
+@query(f"{CHANGES_SQL}, last AS (SELECT path, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1), base AS (SELECT DISTINCT path FROM changes WHERE op = 'upsert' AND size IN (SELECT event_id FROM events WHERE event_type = 'purchase')) SELECT path, op FROM last WHERE (op = 'upsert' AND path NOT IN (SELECT path FROM base)) OR (op = 'remove' AND path IN (SELECT path FROM base))")
 def snapshot_prune(spark, sf_dir):
     delta = changes(spark, sf_dir)
-    base = overlay.latest(delta).filter("seq % 2 = 0").select("path")
+    bought = read(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("seq"))
+    base = delta.join(bought, "seq", "left_semi").select("path").distinct()
     return overlay.prune(delta, base).select("path", "op")
 
 
@@ -310,10 +321,11 @@ def exclude_dirs(spark, sf_dir):
     return exclusions.not_excluded(files(spark, sf_dir), ["/corpus/en/", "/corpus/de/src3"]).select(*search.RESULT)
 
 
-@query(_sql("NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT concat('/corpus/', lang, '/', source) AS r FROM documents WHERE doc_id % 50 = 0) e WHERE files.path = e.r OR starts_with(files.path, concat(e.r, '/')))"))
+@query(_sql("NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT concat('/corpus/', d.lang, '/', d.source) AS r FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1 AND l.quality = 0) e WHERE files.path = e.r OR starts_with(files.path, concat(e.r, '/')))"))
 def exclude_table(spark, sf_dir):
     """Excluded paths from a table: an anti-join over ancestors."""
-    gone = read(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source").alias("path")).distinct()
+    bad = read(spark, sf_dir, "labels").filter("toxic = 1 AND quality = 0").select("doc_id")
+    gone = read(spark, sf_dir, "documents").join(bad, "doc_id", "left_semi").select(F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source").alias("path")).distinct()
     return exclusions.excluded_by(files(spark, sf_dir), gone).select(*search.RESULT)
 
 
@@ -361,10 +373,11 @@ def filter_within(spark, sf_dir):
     return search.within(search.matching(files(spark, sf_dir), Query(name="doc"), NOW).select(*search.RESULT), "DE/src1")
 
 
-@query(f"{FILES_SQL}, wanted AS (SELECT path FROM files WHERE id % 100 = 3 UNION SELECT '/none/here') SELECT w.path, coalesce(f.size, 0)::BIGINT AS size, coalesce(f.mtime, 0)::BIGINT AS mtime, coalesce(f.is_dir, false) AS is_dir FROM wanted w LEFT JOIN files f USING (path)")
+@query(f"{FILES_SQL}, wanted AS (SELECT path FROM files WHERE id IN (SELECT doc_id FROM labels) UNION SELECT '/none/here') SELECT w.path, coalesce(f.size, 0)::BIGINT AS size, coalesce(f.mtime, 0)::BIGINT AS mtime, coalesce(f.is_dir, false) AS is_dir FROM wanted w LEFT JOIN files f USING (path)")
 def point_lookup(spark, sf_dir):
     rows = files(spark, sf_dir)
-    wanted = rows.filter("id % 100 = 3").select("path").union(spark.range(1).select(F.lit("/none/here").alias("path")))
+    labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    wanted = rows.join(labelled, "id", "left_semi").select("path").union(spark.range(1).select(F.lit("/none/here").alias("path")))
     return search.lookup(rows, wanted)
 
 
@@ -402,5 +415,88 @@ def copy_as_uri(spark, sf_dir):
     return search.matching(files(spark, sf_dir), Query(name="ext:zip"), NOW).select("path", codecs.file_uri(F.col("path")).alias("uri"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a stream of file-system events."""
+    schema = read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a streamed path must be a directory
+    return e.select(
+        F.concat(F.lit("/u/"), (F.col("user_id") % 7).cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("path"),
+        F.element_at(F.create_map(*[F.lit(x) for kv in (("signup", "create"), ("view", "metadata"), ("click", "data"), ("purchase", "rename_to"), ("error", "remove")) for x in kv]), F.col("event_type")).alias("kind"),
+        F.col("event_id").alias("size"),
+        F.lit(EPOCH).cast("long").alias("mtime"),
+        F.lit(False).alias("is_dir"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+@query(f"{CHANGES_SQL} SELECT path, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert'")
+def stream_cdc(spark, sf_dir):
+    """The event stream ingested into a stored catalog, then its entries."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    catalog = Catalog(spark, f"{at}/catalog")
+    cdc.ingest(event_stream(spark, sf_dir), catalog, f"{at}/offsets").awaitTermination()
+    return catalog.entries().select("path", "size")
+
+
+@query(f"{CHANGES_SQL} SELECT DISTINCT path FROM changes WHERE op = 'upsert' AND contains(string_split(path, '/')[-1], '1')")
+def stream_watch_new(spark, sf_dir):
+    """Each matching path once, as it appears."""
+    at = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    found = cdc.watch(event_stream(spark, sf_dir), Query(name="1"), NOW).select("path")
+    found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/found")
+
+
+def _zipped(batches):
+    """(path, name_ext, content): each text as a zip file with two members."""
+    for rows in batches:
+        out = []
+        for path, text in zip(rows["path"], rows["text"]):
+            b = io.BytesIO()
+            with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("text/body.txt", text or "")
+                z.writestr("name.txt", path)
+            out.append(b.getvalue())
+        yield pd.DataFrame({"path": rows["path"], "name_ext": "zip", "content": out})
+
+
+@query(_sql("NOT is_dir", "path, 'text/body.txt' AS member, size AS member_size") + f" UNION ALL SELECT path, 'name.txt', strlen(path)::BIGINT FROM files WHERE NOT is_dir")
+def archive_members(spark, sf_dir):
+    """Texts packed into zip files, and those files' listings."""
+    packed = corpus(spark, sf_dir).select("path", "text").mapInPandas(_zipped, "path string, name_ext string, content binary")
+    return archives.list_members(packed).select("path", "member", F.col("size").alias("member_size"))
+
+
+def _docx(batches):
+    """(path, ext, content): each text as a DOCX file, a paragraph a line."""
+    for rows in batches:
+        out = []
+        for text in rows["text"]:
+            lines = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in (text or "").split("\n"))
+            b = io.BytesIO()
+            with zipfile.ZipFile(b, "w") as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{lines}</w:body></w:document>')
+            out.append(b.getvalue())
+        yield pd.DataFrame({"path": rows["path"], "ext": "docx", "content": out})
+
+
+@query(_sql("NOT is_dir", "path, sha256(concat(text, chr(10))) AS digest"))
+def extract_docx(spark, sf_dir):
+    """Texts packed into DOCX files, and extracted again."""
+    packed = corpus(spark, sf_dir).select("path", "text").mapInPandas(_docx, "path string, ext string, content binary")
+    return packed.select("path", F.sha2(documents.extract_text("ext", "content"), 256).alias("digest"))
+
+
+@query(_sql("NOT is_dir AND ext != 'zip'", "concat(id::VARCHAR, '.gone') AS name, path AS original_path, concat('2024-01-', lpad((length(path) % 28 + 1)::VARCHAR, 2, '0'), 'T00:00:00') AS deletion_date"))
+def trash_list(spark, sf_dir):
+    """Info records made of all paths, parsed, held against the payloads that are there."""
+    rows = files(spark, sf_dir).filter("NOT is_dir")
+    name = F.concat(F.col("id").cast("string"), F.lit(".gone"))
+    day = F.lpad((F.char_length("path") % 28 + 1).cast("string"), 2, "0")
+    record = F.concat(F.lit("[Trash Info]\nPath="), codecs.encode_path_column(F.col("path")), F.lit("\nDeletionDate=2024-01-"), day, F.lit("T00:00:00\n"))
+    info = trash.parse_info(rows.select(F.concat(F.lit("/trash/info/"), name, F.lit(".trashinfo")).alias("file"), record.alias("value")))
+    return trash.listing(info, rows.filter("ext != 'zip'").select(name.alias("name")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](spark, sf_dir)
