@@ -98,22 +98,25 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     paths = checkpointed(paths)
     most = m.count()
     reach = 1
+    # only what has not reached a root yet is joined again: long paths alone go into the later rounds
     while reach <= most and paths.filter("up IS NOT NULL").limit(1).count():
-        paths = checkpointed(
-            paths.alias("a")
-            .join(jump.alias("b"), same("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-            .select("a.tree", "a.leaf", "b.up", F.concat(F.coalesce("b.path", F.array().cast(jump.schema["path"].dataType)), "a.path").alias("path"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"))
-        )
-        jump = checkpointed(
-            jump.alias("a")
-            .join(jump.alias("b"), same("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-            .select("a.tree", "a.node", "b.up", F.concat(F.coalesce("b.path", F.array().cast(jump.schema["path"].dataType)), "a.path").alias("path"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"))
-        )
+        paths = checkpointed(paths.filter("up IS NULL").unionByName(_farther(paths, jump, "leaf")))
+        jump = checkpointed(jump.filter("up IS NULL").unionByName(_farther(jump, jump, "node")))
         reach *= 2
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     return paths.filter("up IS NULL").withColumn("rank", rank).filter(F.col("rank") <= top).drop("up")
 
 
+def _farther(rows: DataFrame, jump: DataFrame, key: str) -> DataFrame:
+    """The open rows (with an `up`), taken as much farther up as `jump` reaches from there."""
+    return (
+        rows.filter("up IS NOT NULL")
+        .alias("a")
+        .join(jump.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        .select("a.tree", f"a.{key}", "b.up", F.concat("b.path", "a.path").alias("path"), (F.col("a.score") + F.col("b.score")).alias("score"))
+    )
+
+
 def format_branches(messages: DataFrame, top: int = 1, loss_role: str = "assistant") -> DataFrame:
     """(tree, leaf, rank, score, n_turns, formatted, loss_spans): each chosen path as one conversation.
 
