@@ -36,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out anew if they lie in fewer partitions than there are cores: a small file would leave the others idle. Larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def id_hash(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 

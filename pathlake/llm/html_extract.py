@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import field, sigmoid
+from pathlake.llm.common import field, sigmoid, spread
 from pathlake.llm.dom import Node, parse
 
 #: Words in class, id and role that speak for or against main text.
@@ -329,4 +329,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 text += extract_many(html.slice(lo, 64).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, T.StructType([field(rows, "page_id"), field(rows, "url"), T.StructField("text", T.StringType())]))
+    return spread(rows).mapInArrow(run, T.StructType([field(rows, "page_id"), field(rows, "url"), T.StructField("text", T.StringType())]))

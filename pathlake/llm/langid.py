@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import bounded_sample, byte_chunks, field, padded
+from pathlake.llm.common import bounded_sample, byte_chunks, field, padded, spread
 
 #: Rows learned from, about so many a language; longer texts (bytes) are left out of the sample.
 PER_LANGUAGE, MAX_BYTES = 300, 1 << 16
@@ -190,4 +190,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[lang], pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([field(rows, "doc_id"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import field
+from pathlake.llm.common import field, spread
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
@@ -133,7 +133,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(item))], names=["doc_id", "spans"])
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return rows.mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("spans", kind)]))
+    return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("spans", kind)]))
 
 
 def joined(spans_col: str = "spans", only: tuple[str, ...] = KINDS):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import BROADCAST_ROWS, byte_chunks, checkpointed, labelled_sample, sigmoid
+from pathlake.llm.common import BROADCAST_ROWS, byte_chunks, checkpointed, labelled_sample, sigmoid, spread
 
 #: Rows learned from, about so many of each label; longer texts (bytes) are left out of the sample.
 PER_CLASS, MAX_BYTES = 1500, 1 << 16
@@ -115,7 +115,7 @@ def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             p = shared.value.probability(features(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, P])
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(P, T.DoubleType())]))
+    return spread(docs).mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(P, T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, mean: Column, n: str = "n") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field, lookup
+from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field, lookup, spread
 from pathlake.llm.components import connected_components
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("fp", T.LongType())]))
+    return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("fp", T.LongType())]))
 
 
 def _ball(v, bits: int):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import byte_chunks, field, labelled_sample, padded, sigmoid
+from pathlake.llm.common import byte_chunks, field, labelled_sample, padded, sigmoid, spread
 
 #: Rows learned from, about so many of each label; longer texts (bytes) are left out of the sample.
 PER_CLASS, MAX_BYTES = 1500, 1 << 15
@@ -296,4 +296,4 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
                     s[lo : lo + n] = shared.value.document_scores(worst, windows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -1,0 +1,60 @@
+"""Language identification: codes, determinism, odd texts, accuracy on rows that were not learned from."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pathlake.llm import langid
+from pathlake.llm.common import held_out, id_hash
+
+STEMS = {"aa": ["tha", "ing", "ed", "wor", "ou"], "bb": ["ich", "sch", "ung", "ver", "ß"], "cc": ["ció", "ñ", "mente", "que", "os"], "dd": ["eau", "é", "oi", "ç", "ment"]}
+
+
+def prose(lang, rng, n):
+    return " ".join("".join(rng.choices(STEMS[lang], k=rng.randint(1, 3))) for _ in range(n)).capitalize() + "."
+
+
+def test_codewords_are_far_apart():
+    for k in (1, 2, 4, 6, 9, 30):
+        m = langid.codewords(k)
+        assert m.shape[0] == k and set(np.unique(m)) <= {-1, 1}
+        least = min((int((m[i] != m[j]).sum()) for i in range(k) for j in range(i)), default=1)
+        assert least >= (2 ** (k - 2) if 2 <= k <= 6 else 1)
+    # four languages: seven bits, distance four, so one wrong bit is corrected
+    assert langid.codewords(4).shape == (4, 7)
+
+
+def test_held_out_accuracy(spark, documents):
+    rng = random.Random(2)
+    langs = [rng.choice("aa bb cc dd".split()) for _ in range(600)]
+    texts = [prose(x, rng, rng.choice([3, 20, 200])) for x in langs]
+    shown = [x if i % 7 else None for i, x in enumerate(langs)]
+    docs = documents(texts, langs=shown)
+    model = langid.fit(docs, id_hash(F.col("doc_id")) != 1, per_language=60)
+    assert model.languages == ["aa", "bb", "cc", "dd"]
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).collect()}
+    late = [i for i in range(600) if got[i]["held_out"]]
+    assert 150 < len(late) < 250
+    assert np.mean([got[i]["lang_pred"] == langs[i] for i in late]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_odd_texts(spark, documents):
+    rng = random.Random(3)
+    model = langid.train([(prose(x, rng, 80), x) for x in "aa bb".split() for _ in range(10)])
+    texts = [None, "", "123 !?", " \n", "ß", "日本", "a", prose("bb", rng, 40_000), "tha", "tha"]
+    got = {r["doc_id"]: r for r in langid.identify(documents(texts), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(4)] == ["und"] * 4 and [got[i]["score"] for i in range(4)] == [0.0] * 4
+    assert all(got[i]["lang_pred"] in ("aa", "bb") for i in range(4, 10)) and got[7]["lang_pred"] == "bb" and got[8]["score"] == got[9]["score"]
+    assert langid.identify(documents([]), model).count() == 0
+    assert langid.train([]) is None and langid.identify(documents(["x"]), None).first()["lang_pred"] == "und"
+    assert langid.identify(documents(["tha ing"]), langid.train([("tha", "aa")])).first()["lang_pred"] == "aa"
+
+
+def test_ambiguity_is_flagged(spark, documents):
+    rng = random.Random(4)
+    model = langid.train([(prose(x, rng, 80), x) for x in STEMS for _ in range(20)])
+    mixed = [f"{prose('aa', rng, 80 - k)} {prose('bb', rng, k)}" for k in range(0, 81)]
+    got = {r["doc_id"]: r["ambiguous"] for r in langid.identify(documents(mixed), model).collect()}
+    assert not got[0] and not got[80] and any(got.values())

@@ -1,0 +1,107 @@
+"""Segmentations: round trips, distinctness, determinism, and the distribution without replacement."""
+
+import itertools
+import math
+import os
+import random
+from collections import Counter
+
+import pytest
+
+from pathlake.llm import pieces as P
+
+pytestmark = pytest.mark.skipif(not os.path.exists(P.MODEL), reason="no vocabulary file here")
+
+
+@pytest.fixture(scope="module")
+def v():
+    return P.load()
+
+
+@pytest.fixture(scope="module")
+def sampler(v):
+    return P.Sampler(v, 3)
+
+
+def every(word, v):
+    if not word:
+        yield (), 0.0
+        return
+    for n in range(1, len(word) + 1):
+        if word[:n] in v.logp:
+            for rest, lp in every(word[n:], v):
+                yield (v.ids[word[:n]], *rest), v.logp[word[:n]] + lp
+
+
+def distribution(text, v):
+    out = Counter()
+    for combo in itertools.product(*[list(every(w, v)) for w in P.words(P.prepare(text))]):
+        out[sum((c[0] for c in combo), ())] += math.exp(sum(c[1] for c in combo))
+    z = sum(out.values())
+    return {k: x / z for k, x in out.items()}
+
+
+TEXTS = ["", "a", "Hello, world!", "  two  spaces ", "a▁b\n\tc", "日本語 😀 é́", "x" * 3000, "naïve ciónmente\r\n" * 500, "﻿\x00z", "one " * 20_000]
+
+
+def test_round_trips(sampler, v):
+    for t, samples in zip(TEXTS, sampler.draw([str(i) for i in range(len(TEXTS))], TEXTS)):
+        assert all(P.decode(s.ids, v) == t for s in samples) and P.decode(P.encode(t, v), v) == t
+        assert len({tuple(s.ids) for s in samples}) == len(samples) <= 3
+        assert [s.score for s in samples] == sorted((s.score for s in samples), reverse=True)
+        assert all(0 <= s.inclusion <= 1 for s in samples)
+
+
+def test_all_segmentations_of_a_short_text(sampler, v):
+    n = len(distribution("a", v))
+    got = sampler.draw(["k"], ["a"])[0]
+    assert len(got) == min(3, n) and {tuple(s.ids) for s in got} <= set(distribution("a", v))
+    assert len(got) < 3 or n >= 3
+    many = P.Sampler(v, 100).draw(["k"], ["ab"])[0]
+    assert {tuple(s.ids) for s in many} == set(distribution("ab", v)) and all(s.inclusion == 1.0 for s in many)
+
+
+def test_distribution_without_replacement(sampler, v):
+    text, n = "then re", 12_000
+    p = distribution(text, v)
+    first, pairs = Counter(), Counter()
+    for s in sampler.draw([f"k{i}" for i in range(n)], [text] * n):
+        first[tuple(s[0].ids)] += 1
+        pairs[tuple(s[0].ids), tuple(s[1].ids)] += 1
+    top = sorted(p, key=p.get)[::-1][:4]
+    for a in top:
+        assert abs(first[a] / n - p[a]) < 4 * math.sqrt(p[a] / n) + 1e-3
+        for b in top:
+            if a != b:
+                want = p[a] * p[b] / (1 - p[a])
+                assert abs(pairs[a, b] / n - want) < 4 * math.sqrt(want / n) + 1e-3
+
+
+def test_samples_depend_on_the_key_alone(v):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdetion", k=6)) for _ in range(50)) for _ in range(20)]
+    together = P.Sampler(v, 3).draw([str(i) for i in range(20)], texts)
+    s = P.Sampler(v, 3)
+    s.draw(["x"], ["something else first"])
+    for i in (7, 3):
+        alone = s.draw([str(i)], [texts[i]])[0]
+        assert [list(a.ids) for a in alone] == [list(b.ids) for b in together[i]] and [a.score for a in alone] == [b.score for b in together[i]]
+    assert [list(x.ids) for x in s.draw(["other"], [texts[7]])[0]] != [list(x.ids) for x in together[7]]
+
+
+def test_inclusion_is_that_of_the_threshold(sampler, v):
+    """The sum of 1/inclusion over samples is an unbiased count of segmentations weighted by their probability: here, of probability itself."""
+    text, n, total = "then re", 4000, 0.0
+    p = distribution(text, v)
+    for s in sampler.draw([f"q{i}" for i in range(n)], [text] * n):
+        total += sum(p[tuple(x.ids)] / x.inclusion for x in s)
+    assert abs(total / n - 1) < 0.05
+
+
+def test_table(spark, documents):
+    rows = [(1, "ab cd"), (1, "ab cd"), (2, None), (3, "")]
+    got = P.digest_rows(P.segmentations(documents(rows))).collect()
+    assert all(r["round_trip"] for r in got) and {r["n_pieces"] for r in got if r["doc_id"] in (2, 3)} == {0}
+    ones = [r["ids_sha256"] for r in got if r["doc_id"] == 1]
+    assert len(ones) == 6 and len(set(ones)) == 3
+    assert P.segmentations(documents([])).count() == 0
