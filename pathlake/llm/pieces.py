@@ -20,6 +20,7 @@ import heapq
 import re
 from dataclasses import dataclass, field as dc_field
 from hashlib import sha256
+from itertools import islice
 from math import log
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pathlake.llm.common import field
+from pathlake.llm.common import field, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SMOOTH, SEED = 3, 10.0, 20
@@ -38,7 +39,11 @@ SPACE = "▁"
 OWN_SPACE = "\ud800"
 BYTE_LOGP = -12.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words whose tables are built at once: bounds the memory that this takes.
+BLOCK = 4096
 MASK = (1 << 64) - 1
+#: Uniform numbers have 53 bits, so no exponential is under 2^-54 and no Gumbel this far above its location.
+FARTHEST = 38.0
 
 
 @dataclass
@@ -192,19 +197,30 @@ def tables(distinct: list[str], v: Vocabulary, trie: Trie):
 
 
 class Lattice:
-    """The tables of all words met so far, as flat arrays that grow until they hold MOST edges and are then begun anew."""
+    """The tables of all words met so far, as flat arrays that grow in place until they hold MOST edges and are then begun anew."""
 
-    MOST = 1_500_000
+    MOST = 2_000_000
+    KINDS = {"state": np.int32, "prev": np.int32, "ids": np.int32, "q": np.float64, "logp": np.float32}
 
     def __init__(self, v: Vocabulary, trie: Trie):
         self.v, self.trie = v, trie
+        self.edge = {k: np.empty(1 << 20, t) for k, t in self.KINDS.items()}
+        self.node = {k: np.empty(1 << 18, np.int32) for k in ("first", "count")}
         self.clear()
 
     def clear(self):
         self.number: dict[str, int] = {}
-        self.parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 7]
+        self.ends = np.empty(0, np.int64)
         self.n_states = self.n_edges = 0
 
+    @staticmethod
+    def _put(arrays: dict, at: int, new: dict) -> None:
+        size = len(next(iter(new.values())))
+        for k, x in new.items():
+            if at + size > len(arrays[k]):
+                arrays[k] = np.concatenate([arrays[k][:at], np.empty(max(at, size), arrays[k].dtype)])
+            arrays[k][at : at + size] = x
+
     def add(self, parts: list[list[str]]) -> np.ndarray:
         """Numbers of the words of all texts, in order; their tables are there afterwards."""
         if self.n_edges > self.MOST:
@@ -212,53 +228,55 @@ class Lattice:
         had = len(self.number)
         get, number = self.number.setdefault, self.number
         codes = [get(w, len(number)) for x in parts for w in x]
-        if len(number) > had:
-            fresh = list(number)[had:] if had else list(number)
-            state, prev, ids, q, logp, ends = tables(fresh, self.v, self.trie)
-            s0 = self.n_states
+        fresh = list(islice(number, had, None))
+        for lo in range(0, len(fresh), BLOCK):
+            state, prev, ids, q, logp, ends = tables(fresh[lo : lo + BLOCK], self.v, self.trie)
             count = np.bincount(state, minlength=int(ends[-1]))
-            first = np.cumsum(count) - count
-            run = np.cumsum(q)
-            cum = run - (run[first] - q[first])[state]
-            self.parts.append([ends - 1 + s0, first + self.n_edges, count, state + s0, np.where(prev >= 0, prev + s0, -1), ids, q, logp, cum])
+            first = np.cumsum(count) - count + self.n_edges
+            s0 = self.n_states
+            self._put(self.node, s0, {"first": first, "count": count})
+            self._put(self.edge, self.n_edges, {"state": state + s0, "prev": np.where(prev >= 0, prev + s0, -1), "ids": ids, "q": q, "logp": logp})
+            self.ends = np.concatenate([self.ends, ends - 1 + s0])
             self.n_states += int(ends[-1])
             self.n_edges += len(state)
-            if len(self.parts) == 2 and len(self.parts[0]) == 7:
-                self.parts = self.parts[1:]
-            joined = self.parts[0] if len(self.parts) == 1 else [np.concatenate(x) for x in zip(*self.parts)]
-            self.parts = [joined]
-            self.last, self.first, self.count, self.state, self.prev, self.ids, self.q, self.logp, self.cum = joined
-            self.logq = np.log(self.q)
+        self.last = self.ends
+        self.first, self.count = self.node["first"], self.node["count"]
+        self.state, self.prev, self.ids, self.q, self.logp = (self.edge[k] for k in self.KINDS)
         return np.array(codes, np.int64)
 
     def choose(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge into each state, by its probability."""
         e = self.first[state]
         last = e + self.count[state] - 1
-        on = np.flatnonzero((self.cum[e] <= u) & (e < last))
+        left = u - self.q[e]
+        on = np.flatnonzero((left >= 0) & (e < last))
         while len(on):
             e[on] += 1
             x = e[on]
-            on = on[(self.cum[x] <= u[on]) & (x < last[on])]
+            rest = left[on] - self.q[x]
+            left[on] = rest
+            on = on[(rest >= 0) & (x < last[on])]
         return e
 
     def finish(self, state: np.ndarray, seed: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """(edges, token) of paths from each token's state back to its word's start, in order of tokens and then of steps."""
-        edges, tokens, order = [], [], []
+        found = []
         token, step = np.flatnonzero(state >= 0), 0
+        count = np.zeros(len(state), np.int64)
         state = state[token]
         while len(token):
             e = self.choose(state, uniform(seed[token], sample, place[token], step))
-            edges.append(e)
-            tokens.append(token)
-            order.append(np.full(len(e), step))
+            found.append((token, e))
             state = self.prev[e]
             on = state >= 0
-            token, state, step = token[on], state[on], step + 1
-        if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        e, t = np.concatenate(edges), np.concatenate(tokens)
-        by = np.argsort(t, kind="stable")  # steps of a token were appended in order
-        return e[by], t[by]
+            step += 1
+            count[token[~on]] = step
+            token, state = token[on], state[on]
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (token, e) in enumerate(found):
+            out[first[token] + step] = e
+        return out, np.repeat(np.arange(len(count)), count)
 
 
 def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
@@ -273,8 +291,7 @@ def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.n
 
 def _gumbel_below(mu: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """Gumbels of locations mu, each conditioned on being at most `bound`."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log1p(-u)) - mu)
+    return -np.logaddexp(-bound, np.log(-np.log1p(-np.maximum(u, 2.0**-54))) - mu)
 
 
 @dataclass
@@ -334,11 +351,13 @@ class Sampler:
             edges, tokens = lat.finish(state, token_seed, place, m)
             bound = np.searchsorted(tokens, np.concatenate([ends - lengths, ends[-1:]]) if len(ends) else [0])
             nxt = {}
+            mass = np.concatenate([[0.0], np.cumsum(np.log(lat.q[edges]))])
             for i, (node, _, g) in pending.items():
                 path = np.concatenate([kept[i][0], edges[bound[i] : bound[i + 1]]])
                 toks = np.concatenate([kept[i][1], tokens[bound[i] : bound[i + 1]]])
-                mass = self._split(lat, heaps[i], path, toks, node, g, seeds[i], m)
-                out[i].append(Sample(self._ids(lat, path, toks), float(lat.logp[path].sum()), g, 1.0, float(mass)))
+                kept_mass = float(np.log(lat.q[kept[i][0]]).sum())
+                self._split(lat, heaps[i], path, toks, node, g, seeds[i], m)
+                out[i].append(Sample(self._ids(lat, path, toks), float(lat.logp[path].sum()), g, 1.0, kept_mass + float(mass[bound[i + 1]] - mass[bound[i]])))
                 if heaps[i]:
                     top = heapq.heappop(heaps[i])
                     nxt[i] = (top[2], 0, -top[0])
@@ -355,28 +374,39 @@ class Sampler:
         t = tokens[s]
         return int(lat.prev[path[s - 1]]) if s and tokens[s - 1] == t else int(last_states[t])
 
-    def _split(self, lat, heap, path, toks, node, g, seed, m):
-        """Puts the sets of paths that leave this one at each step on the heap; only the k best can ever be opened."""
-        q = lat.q[path]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            before = np.concatenate([[0.0], np.cumsum(lat.logq[path])])
+    def _split(self, lat, heap, path, toks, node, g, seed, m) -> None:
+        """Puts the sets of paths that leave this one at each step on the heap, as many of them as can ever be opened.
+
+        Masses fall along the path and no Gumbel lies FARTHEST above its location, so once the mass is that far below the k-th best
+        set so far, later steps cannot matter: nothing is lost by stopping there.
+        """
+        start, taken0 = (0, frozenset()) if node is None else (node[2], node[3])
+        lo, before, floor = 0, 0.0, -np.inf
+        steps, found = [], []
+        while lo < len(path) and (lo <= start or before + FARTHEST >= floor):
+            part = path[lo : max(lo + 192, start + 64)]
+            q = lat.q[part]
+            run = np.cumsum(np.log(q))
             rest = 1.0 - q
-            start, taken0 = (0, frozenset()) if node is None else (node[2], node[3])
-            if taken0:
-                rest[start] -= lat.q[list(taken0)].sum()
-            # a state with no other edge leaves nothing, whatever rounding says
-            left = lat.count[lat.state[path]] - 1
-            left[start] -= len(taken0)
-            mu = np.where((left > 0) & (rest > 1e-15), before[:-1] + np.log(np.maximum(rest, 1e-300)), -np.inf)
-        mu[:start] = -np.inf
-        gum = _gumbel_below(mu, g, uniform(np.full(len(mu), seed, np.uint64), m + 64, np.arange(len(mu)), 1))
-        best = np.argsort(-gum, kind="stable")[: self.k]
-        for s in best:
-            s = int(s)
-            if np.isfinite(mu[s]):
+            left = lat.count[lat.state[part]] - 1  # a state with no other edge leaves nothing, whatever rounding says
+            skip = max(0, start - lo)
+            if skip < len(part) and lo <= start and taken0:
+                rest[skip] -= lat.q[list(taken0)].sum()
+                left[skip] -= len(taken0)
+            ok = np.flatnonzero((left > 0) & (rest > 1e-15))
+            ok = ok[ok >= skip]
+            mu = before + run[ok] - np.log(q[ok]) + np.log(rest[ok])
+            steps.append(ok + lo)
+            found.append(_gumbel_below(mu, g, uniform(np.full(len(ok), seed, np.uint64), m + 64, ok + lo, 1)))
+            lo, before = lo + len(part), before + run[-1]
+            best = np.concatenate(found)
+            floor = np.partition(best, -self.k)[-self.k] if len(best) >= self.k else -np.inf
+        if steps:
+            gum, at = np.concatenate(found), np.concatenate(steps)
+            for i in np.argsort(-gum, kind="stable")[: self.k]:
+                s = int(at[i])
                 taken = frozenset([int(path[s]), *(taken0 if s == start else ())])
-                heapq.heappush(heap, (-float(gum[s]), (m, s), (path, toks, s, taken)))
-        return before[-1]
+                heapq.heappush(heap, (-float(gum[i]), (m, s), (path, toks, s, taken)))
 
     def _ids(self, lat, path, toks) -> np.ndarray:
         # steps run from a word's end to its start: words in order, each word's steps reversed
@@ -411,7 +441,8 @@ def encode(text: str, v: Vocabulary) -> list[int]:
                 if lp is not None and score[s] + lp > score[t]:
                     score[t], back[t] = score[s] + lp, (s, v.ids[w[s:t]])
             if w[t - 1] not in v.ids and score[t - 1] + BYTE_LOGP > score[t]:
-                score[t], back[t] = score[t - 1] + BYTE_LOGP, (t - 1, -ord(w[t - 1]))
+                point = ord(w[t - 1])
+                score[t], back[t] = score[t - 1] + BYTE_LOGP, (t - 1, v.byte_ids[point] if point < 128 else -point)
         t, part = n, []
         while t:
             t, i = back[t]
@@ -443,8 +474,8 @@ def chunks(lengths: list[int], most: int = 1 << 19):
         yield lo, len(lengths)
 
 
-def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL) -> DataFrame:
-    """(doc_id, samples array<struct<ids, logp, mass, score, inclusion, round_trip>>) of every row.
+def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, with_ids: bool = True) -> DataFrame:
+    """(doc_id, samples array<struct<ids, n_pieces, ids_sha256, logp, mass, score, inclusion, round_trip>>) of every row; ids are null without with_ids.
 
     Whole texts are segmented; samples are distinct and in falling order of score; decoding each gives the text again
     (round_trip). Null texts count as empty and have one sample without pieces. Rows are seeded by their id as text: repeated rows
@@ -452,7 +483,7 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # the vocabulary: 2 MB
-    item = pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("mass", pa.float64()), ("score", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
+    item = pa.struct([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("logp", pa.float64()), ("mass", pa.float64()), ("score", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
 
     def run(batches):
         sampler = Sampler(shared.value, samples)
@@ -463,34 +494,27 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 got = sampler.draw(keys[lo:hi], texts[lo:hi])
                 flat = [s for x in got for s in x]
                 whole = [t for t, x in zip(texts[lo:hi], got) for _ in x]
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(s.ids) for s in flat])]), pa.int32()),
-                    pa.array(np.concatenate([s.ids for s in flat]) if flat else np.zeros(0, np.int32)),
-                )
+                if with_ids and flat:
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s.ids) for s in flat])]), pa.int32()), pa.array(np.concatenate([s.ids for s in flat]).astype(np.int32)))
+                else:
+                    ids = pa.nulls(len(flat), pa.list_(pa.int32()))
                 same = [decode(s.ids, sampler.v) == t for s, t in zip(flat, whole)]
-                cols = [ids, *(pa.array([getattr(s, f) for s in flat], pa.float64()) for f in ("logp", "mass", "score", "inclusion")), pa.array(same, pa.bool_())]
+                cols = [ids, pa.array([len(s.ids) for s in flat], pa.int64()), pa.array([ids_digest(s.ids) for s in flat], pa.string())]
+                cols += [*(pa.array([getattr(s, f) for s in flat], pa.float64()) for f in ("logp", "mass", "score", "inclusion")), pa.array(same, pa.bool_())]
                 values = pa.StructArray.from_arrays(cols, fields=list(item))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "samples"])
 
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), *(T.StructField(f, T.DoubleType()) for f in ("logp", "mass", "score", "inclusion")), T.StructField("round_trip", T.BooleanType())])
-    return rows.mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("samples", T.ArrayType(kind))]))
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), *(T.StructField(f, T.DoubleType()) for f in ("logp", "mass", "score", "inclusion")), T.StructField("round_trip", T.BooleanType())])
+    return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("samples", T.ArrayType(kind))]))
 
 
-def ids_digest(ids: list[int]) -> str:
-    return sha256(",".join(map(str, ids)).encode()).hexdigest()
+def ids_digest(ids) -> str:
+    """SHA-256 of the ids as little-endian 32-bit numbers."""
+    return sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
 def digest_rows(found: DataFrame) -> DataFrame:
-    """One row a sample: doc_id, rank, n_pieces, logp, score, inclusion, round_trip, ids_sha256 (of the comma-joined ids)."""
+    """One row a sample: doc_id, rank, n_pieces, logp, score, inclusion, round_trip, ids_sha256."""
     one = found.select("doc_id", F.posexplode("samples").alias("at", "s"))
-    return one.select(
-        "doc_id",
-        (F.col("at") + 1).alias("rank"),
-        F.size("s.ids").cast("long").alias("n_pieces"),
-        "s.logp",
-        "s.score",
-        "s.inclusion",
-        "s.round_trip",
-        F.sha2(F.array_join(F.col("s.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-    )
+    return one.select("doc_id", (F.col("at") + 1).alias("rank"), *[f"s.{c}" for c in ("n_pieces", "logp", "score", "inclusion", "round_trip", "ids_sha256")])

@@ -22,7 +22,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest_rows(pieces.segmentations(table(spark, sf_dir, "documents")))
+    return pieces.digest_rows(pieces.segmentations(table(spark, sf_dir, "documents"), with_ids=False))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
