@@ -41,6 +41,8 @@ BYTE_LOGP = -12.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words whose tables are built at once: bounds the memory that this takes.
 BLOCK = 4096
+#: Steps of a path that are looked at together with those of other paths.
+WIDTH = 384
 MASK = (1 << 64) - 1
 #: Uniform numbers have 53 bits, so no exponential is under 2^-54 and no Gumbel this far above its location.
 FARTHEST = 38.0
@@ -289,7 +291,7 @@ def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.n
     return (x >> np.uint64(11)) * 2.0**-53
 
 
-def _gumbel_below(mu: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _gumbel_below(mu: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
     """Gumbels of locations mu, each conditioned on being at most `bound`."""
     return -np.logaddexp(-bound, np.log(-np.log1p(-np.maximum(u, 2.0**-54))) - mu)
 
@@ -350,14 +352,16 @@ class Sampler:
                 state[token + 1 : hi] = last_states[token + 1 : hi]
             edges, tokens = lat.finish(state, token_seed, place, m)
             bound = np.searchsorted(tokens, np.concatenate([ends - lengths, ends[-1:]]) if len(ends) else [0])
-            nxt = {}
+            nxt, opened = {}, []
             mass = np.concatenate([[0.0], np.cumsum(np.log(lat.q[edges]))])
             for i, (node, _, g) in pending.items():
                 path = np.concatenate([kept[i][0], edges[bound[i] : bound[i + 1]]])
                 toks = np.concatenate([kept[i][1], tokens[bound[i] : bound[i + 1]]])
                 kept_mass = float(np.log(lat.q[kept[i][0]]).sum())
-                self._split(lat, heaps[i], path, toks, node, g, seeds[i], m)
+                opened.append((i, path, toks, node, g))
                 out[i].append(Sample(self._ids(lat, path, toks), float(lat.logp[path].sum()), g, 1.0, kept_mass + float(mass[bound[i + 1]] - mass[bound[i]])))
+            self._split_all(lat, heaps, opened, seeds, m)
+            for i in pending:
                 if heaps[i]:
                     top = heapq.heappop(heaps[i])
                     nxt[i] = (top[2], 0, -top[0])
@@ -374,6 +378,45 @@ class Sampler:
         t = tokens[s]
         return int(lat.prev[path[s - 1]]) if s and tokens[s - 1] == t else int(last_states[t])
 
+    def _split_all(self, lat, heaps, opened, seeds, m) -> None:
+        """_split of many paths at once, by their first WIDTH steps; a path of which that is not enough is split alone."""
+        if not opened:
+            return
+        rows, width = len(opened), WIDTH
+        size = np.array([min(len(path), width) for _, path, *_ in opened])
+        flat = np.concatenate([path[:width] for _, path, *_ in opened])
+        col = np.arange(width)
+        inside = col < size[:, None]
+        edge = np.zeros((rows, width), np.int64)
+        edge[inside] = flat
+        start = np.array([0 if node is None else node[2] for *_, node, _ in opened])
+        q = np.where(inside, lat.q[edge], 1.0)
+        logq = np.log(q)
+        run = np.cumsum(logq, axis=1)
+        rest = 1.0 - q
+        left = np.where(inside, lat.count[lat.state[edge]] - 1, 0)
+        for r, (_, _, _, node, _) in enumerate(opened):
+            if node is not None and node[3] and start[r] < width:
+                rest[r, start[r]] -= lat.q[list(node[3])].sum()
+                left[r, start[r]] -= len(node[3])
+        ok = inside & (col >= start[:, None]) & (left > 0) & (rest > 1e-15)
+        r, c = np.nonzero(ok)
+        mu = run[r, c] - logq[r, c] + np.log(rest[r, c])
+        bound = np.array([g for *_, g in opened])
+        own = np.array([seeds[i] for i, *_ in opened], np.uint64)
+        gum = np.full((rows, width), -np.inf)
+        gum[r, c] = _gumbel_below(mu, bound[r], uniform(own[r], m + 64, c, 1))
+        best = np.argsort(-gum, axis=1, kind="stable")[:, : self.k]
+        worst = np.take_along_axis(gum, best[:, -1:], 1)[:, 0]
+        for n, (i, path, toks, node, g) in enumerate(opened):
+            if len(path) > width and (start[n] >= width or run[n, -1] + FARTHEST >= worst[n]):
+                self._split(lat, heaps[i], path, toks, node, g, seeds[i], m)
+                continue
+            for s in best[n].tolist():
+                if gum[n, s] > -np.inf:
+                    taken = frozenset([int(path[s]), *(node[3] if node is not None and s == start[n] else ())])
+                    heapq.heappush(heaps[i], (-float(gum[n, s]), (m, s), (path, toks, s, taken)))
+
     def _split(self, lat, heap, path, toks, node, g, seed, m) -> None:
         """Puts the sets of paths that leave this one at each step on the heap, as many of them as can ever be opened.
 
