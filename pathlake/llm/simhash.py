@@ -27,15 +27,22 @@ MASK32 = 0xFFFFFFFF
 DENSE = 64
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one text: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, no words: zero."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> list[int]:
+    """Hashes of one text's shingles: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words than a shingle are one, no words none."""
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII alone
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    hashes = [xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])] or [xxh64_intdigest(joined, SEED)]
+    return [xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])] or [xxh64_intdigest(joined, SEED)]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of one text; no words: zero."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 14):
         part = np.array(hashes[lo : lo + (1 << 14)], dtype=">u8")
