@@ -18,6 +18,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
 NAME = re.compile(r"[A-Za-z][^\s/>\x00]*")
+#: Searched in the page as it is: lower() may change its length (U+0130), and with it every position.
+RAW_END = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RAW}
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -69,7 +71,6 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     run: list[str] = []
     inlines: list[str] = []  # open inline elements of the current block
     at, n = 0, len(html)
-    lower = None
 
     def flush():
         if run:
@@ -140,17 +141,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         break
             continue
         if tag in RAW:
-            if lower is None:
-                lower = html.lower()
             if tag not in ("title",):
                 run.append(" ")
             if html[end - 1 : end] == "/" and tag in ("svg", "math"):
                 continue
-            close = lower.find(f"</{tag}", at)
-            if close < 0:
+            close = RAW_END[tag].search(html, at)
+            if not close:
                 at = n
             else:
-                end = html.find(">", close)
+                end = html.find(">", close.start())
                 at = n if end < 0 else end + 1
             continue
         if tag in VOID:

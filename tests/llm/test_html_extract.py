@@ -74,3 +74,9 @@ def test_table(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert len(got) == 5 and by[1].startswith("Title & more") and by[2] == by[3] == "" and by[4].count("word") == 20_000
     assert hx.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_letters_whose_lower_case_is_longer():
+    for tag in ("script", "STYLE", "Button"):
+        html = f"<p>{'İ' * 40}<{tag}>x</{tag.swapcase()}>seen <b>too</b> and all of this</p><p>end"
+        assert text_of(html) == [f"{'İ' * 40} seen too and all of this", "end"]
