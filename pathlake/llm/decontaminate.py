@@ -62,22 +62,27 @@ def _blocks(fp: str) -> list[Column]:
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, arity, s, fp, weights) of every item that has words; an item under SHINGLE words is one shingle.
+    """(item, ids, n, arity, s, fp, weights) of every distinct item text that has words; an item under SHINGLE words is one shingle.
+
+    item is a key of our own, ids the item_ids of the rows with that text, null ones too, so that neither null nor repeated ids or rows are lost.
 
     A shingle's weight falls with the number of items that hold it, so that phrases common to many items count less.
-    Of repeated item ids each row is an item. The benchmark is small beside the documents.
+    Of repeated item ids each text is an item. The benchmark is small beside the documents.
     """
     base = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    base = base.withColumn("n", F.size("w")).withColumn("arity", F.least(F.col("n"), F.lit(SHINGLE)))
+    # in a struct, as collect_set leaves out nulls
+    base = base.groupBy("w").agg(F.collect_set(F.struct("item_id")).alias("ids"), F.count("*").alias("rows"))
+    base = base.withColumn("item", F.monotonically_increasing_id()).withColumn("n", F.size("w")).withColumn("arity", F.least(F.col("n"), F.lit(SHINGLE)))
     base = checkpointed(base)
     out = None
     for arity in range(1, SHINGLE + 1):
         part = _shingles(base.filter(F.col("arity") == arity), arity, "s").drop("w")
         out = part if out is None else out.unionByName(part)
     out = checkpointed(out.withColumn("fp", simhash("s")))
-    df = out.select("item_id", F.explode(F.array_distinct("s")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    w = out.select("item_id", "fp", F.explode(F.array_distinct("s")).alias("h")).join(df, "h").groupBy("item_id", "fp").agg(F.map_from_entries(F.collect_list(F.struct("h", 1 / (1 + F.log("df"))))).alias("weights"))
-    return checkpointed(out.join(w, ["item_id", "fp"]))
+    each = out.select("item", "rows", F.explode(F.array_distinct("s")).alias("h"))
+    df = each.groupBy("h").agg(F.sum("rows").alias("df"))
+    w = each.join(df, "h").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("h", 1 / (1 + F.log("df"))))).alias("weights"))
+    return checkpointed(out.join(w, "item"))
 
 
 def _anchored(docs: DataFrame, shingles: DataFrame, arity: int) -> DataFrame:
@@ -94,7 +99,7 @@ def _anchored(docs: DataFrame, shingles: DataFrame, arity: int) -> DataFrame:
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    table = items.select("item_id", "n", "arity", F.posexplode("s").alias("pos", "h")).select("h", "pos", "n", "arity").distinct()
+    table = items.select("n", "arity", F.posexplode("s").alias("pos", "h")).select("h", "pos", "n", "arity").distinct()
     table = checkpointed(table.withColumn("part", F.pmod(F.col("h"), F.lit(max(1, -(-table.count() // PASS_SHINGLES))))))
     found = None
     for arity, part in sorted(tuple(r) for r in table.select("arity", "part").distinct().collect()):  # 5 arities at most, a part each PASS_SHINGLES
@@ -138,10 +143,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = near.filter(distance <= RADIUS).select("fp", "item_fp", distance.alias("hamming")).distinct()
     cand = content.join(near, "fp").drop("fp")
-    cand = cand.join(items.select("item_id", F.col("fp").alias("item_fp"), F.col("n").alias("item_n"), "s", "weights"), "item_fp").filter("n = item_n")
+    cand = cand.join(items.select("ids", F.col("fp").alias("item_fp"), F.col("n").alias("item_n"), "s", "weights"), "item_fp").filter("n = item_n")
     similarity, common, both = _similarity()
     good = cand.withColumn("common", common).withColumn("both", both).withColumn("similarity", similarity).filter(F.col("similarity") >= SIMILARITY)
-    good = checkpointed(good.select("content", "n", "item_id", "similarity", "hamming"))
+    good = good.select("content", "n", F.explode("ids").alias("id"), "similarity", "hamming").select("content", "n", "id.item_id", "similarity", "hamming")
+    good = checkpointed(good)
     if good.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
     found = wins.select("doc_id", "start", "n", "content").join(good, ["content", "n"])
@@ -151,9 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they were."""
-    bad = checkpointed(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct())
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that hold no benchmark item, all columns as they were. Rows go by their own text, whatever their ids."""
+    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    bad = checkpointed(contaminated(keyed, benchmark, "key", "text").select(F.col("doc_id").alias("__bad")).distinct())
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(bad, F.xxhash64(docs[text_col]) == bad["__bad"], "left_anti")

@@ -83,3 +83,14 @@ def test_several_passes_give_the_same(spark, monkeypatch):
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b", "")], DOCS), spark.createDataFrame([(1, "a b c d e f")], BENCH)
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.clean(docs, bench.limit(0)).count() == 1
+
+
+def test_null_and_repeated_ids_on_both_sides(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (None, b), (7, c), (7, c), (8, c), (7, a)], BENCH)
+    rows = [(None, "so " + a), (None, "clean words"), (1, "so " + b), (1, "clean too"), (2, c), (2, c), (3, None)]
+    docs = spark.createDataFrame([(*x, "x") for x in rows], DOCS)
+    got = dc.contaminated(docs, bench).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted([(None, None), (None, 7), (1, None), (2, 7), (2, 8)], key=str)
+    assert all(r["similarity"] == 1.0 for r in got)
+    assert {(r["doc_id"], r["text"]) for r in dc.clean(docs, bench).collect()} == {(None, "clean words"), (1, "clean too"), (3, None)}
