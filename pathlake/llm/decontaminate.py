@@ -3,8 +3,8 @@
 1. Windows: a window can only be similar to an item if they share a shingle, so windows are laid where a
    document's shingle is one of the benchmark's, each with the item's size and so that the shared shingles meet.
    Every way in which an item and a document line up is looked at; windows that share nothing are not fingerprinted.
-2. Every window gets a 64-bit SimHash. Four 16-bit blocks, each looked up in the Hamming balls of radius 3 round
-   the items' blocks, find every item within RADIUS = 15 bits (16 differing bits would be needed to differ in 4
+2. Every window gets a 64-bit SimHash. Four 16-bit blocks, each looked up in the Hamming balls of radius 4 round
+   the items' blocks, find every item within RADIUS = 19 bits (20 differing bits would be needed to differ in 5
    bits in every block); complete distances are then verified.
 3. What is left is verified by the exact weighted Jaccard similarity of the shingle multisets.
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Benchmark shingles of one pass over the documents; larger benchmarks take several passes.
 PASS_SHINGLES = 500_000
 

@@ -94,3 +94,15 @@ def test_null_and_repeated_ids_on_both_sides(spark):
     assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted([(None, None), (None, 7), (1, None), (2, 7), (2, 8)], key=str)
     assert all(r["similarity"] == 1.0 for r in got)
     assert {(r["doc_id"], r["text"]) for r in dc.clean(docs, bench).collect()} == {(None, "clean words"), (1, "clean too"), (3, None)}
+
+
+def test_windows_just_over_the_similarity_are_found(spark):
+    """One changed word in 50: similarity 0.804, at which a hundredth of the windows differ in more than 15 bits."""
+    bench = [(i, " ".join(f"i{i}w{j}" for j in range(50))) for i in range(8)]
+    docs = []
+    for d in range(800):
+        w = bench[d % 8][1].split(" ")
+        w[5 + d // 8 % 40] = f"new{d}"
+        docs.append((d, " ".join(w), ""))
+    got = dc.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 8) for d in range(800)} and max(r["hamming"] for r in got) > 15
