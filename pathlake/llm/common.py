@@ -60,15 +60,16 @@ def bounded_sample(rows: DataFrame, text: str, label: str, key: str, per_class:
     """Rows (text, label) to learn from: about per_class of each label and never more than four times that in all.
 
     Rows are chosen by a hash of key, so that the sample does not depend on partitions or order; texts
-    over max_bytes and rows without a label are left out. The result is small by construction.
+    over max_bytes and rows without a label are left out. The result is small by construction: it grows with the
+    number of labels alone, none of which is left out.
     """
     rows = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(64).collect()
-    keep = F.lit(False)
-    for value, n in counts:
-        keep |= (F.col(label) == F.lit(value)) & (unit_hash(F.col(key)) < F.lit(min(1.0, per_class / n)))
-    got = rows.filter(keep).select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key"))
-    got = got.limit(4 * per_class * max(1, len(counts))).collect()
+    counts = checkpointed(rows.groupBy(F.col(label).alias("__label")).agg(F.least(F.lit(1.0), per_class / F.count("*")).alias("__rate")))
+    n_labels = counts.count()
+    rates = F.broadcast(counts) if n_labels <= BROADCAST_ROWS else counts
+    kept = rows.join(rates, F.col(label) == F.col("__label")).filter(unit_hash(F.col(key)) < F.col("__rate"))
+    got = kept.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key"))
+    got = got.limit(4 * per_class * max(1, n_labels)).collect()
     return sorted(got, key=lambda r: (str(r["key"]), r["text"]))
 
 

@@ -98,7 +98,8 @@ class Model:
         """Best language (its number), score and whether a second language is nearly as close."""
         m, n = self.margins(data, offsets)
         f = (m * self.scale + self.shift) * (n / (n + 12.0))[:, None]
-        loss = np.logaddexp(0, -f[:, None, :] * self.code[None]).sum(2)  # logistic loss of each codeword
+        # logistic loss of each codeword, as products: an array of texts x languages x bits would grow with the square of the languages
+        loss = np.logaddexp(0, -f) @ (self.code > 0).T.astype(float) + np.logaddexp(0, f) @ (self.code < 0).T.astype(float)
         e = np.exp(loss.min(1, keepdims=True) - loss)
         p = e / e.sum(1, keepdims=True)
         best = p.argmax(1)

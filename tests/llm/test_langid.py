@@ -58,3 +58,16 @@ def test_ambiguity_is_flagged(spark, documents):
     mixed = [f"{prose('aa', rng, 80 - k)} {prose('bb', rng, k)}" for k in range(0, 81)]
     got = {r["doc_id"]: r["ambiguous"] for r in langid.identify(documents(mixed), model).collect()}
     assert not got[0] and not got[80] and any(got.values())
+
+
+def test_more_than_64_languages(spark, documents):
+    rng = random.Random(6)
+    names = [f"l{i:02}" for i in range(70)]
+    stems = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for x in names}
+    langs = names * 6
+    texts = [" ".join("".join(rng.choices(stems[x], k=2)) for _ in range(60)) for x in langs]
+    docs = documents(texts, langs=langs)
+    model = langid.fit(docs, F.col("doc_id") < 350)
+    assert model.languages == names
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[i] == langs[i] for i in range(350, 420)]) > 0.9 and set(got.values()) == set(names)
