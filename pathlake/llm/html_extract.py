@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -61,6 +62,11 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
     good, bad = np.array([_tokens(x) for x in nodes], float).reshape(-1, 2).T
     kind = [_kind(x.tag) for x in nodes]
     above = np.zeros((n, 8))  # good and bad tokens above; and article, main, nav, header, footer or aside, form above
+    order, same = np.zeros(n, int), np.ones(n, int)  # each child's position and how many of its siblings have its tag
+    for x in nodes:
+        tags = Counter(c.tag for c in x.children)
+        for at, c in enumerate(x.children):
+            order[c.number], same[c.number] = at, tags[c.tag]
     rows = []
     total = max(1.0, text[0])
     for x in nodes:
@@ -74,11 +80,9 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
                 a[c] = 1
             above[i] = a
             sib = x.parent.children
-            order = sib.index(x) if len(sib) < 64 else 32
             share = text[i] / max(1.0, text[k])
-            same = sum(s.tag == x.tag for s in sib) if len(sib) < 64 else 64
         else:
-            sib, order, share, same = [x], 0, 1.0, 1
+            sib, share = [x], 1.0
         rows.append(
             [
                 *(kind[i] == t for t in TAGS),
@@ -94,9 +98,9 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
                 p[i],
                 inline[i],
                 len(x.children),
-                order / len(sib),
+                order[i] / len(sib),
                 len(sib),
-                same,
+                same[i],
                 share,
                 text[i] / total,
                 x.start / max(1, length),

@@ -80,3 +80,13 @@ def test_letters_whose_lower_case_is_longer():
     for tag in ("script", "STYLE", "Button"):
         html = f"<p>{'İ' * 40}<{tag}>x</{tag.swapcase()}>seen <b>too</b> and all of this</p><p>end"
         assert text_of(html) == [f"{'İ' * 40} seen too and all of this", "end"]
+
+
+def test_sibling_features_at_any_number():
+    for n in (10, 63, 64, 150):
+        html = "<article>" + "".join(f"<{t}>words</{t}>" for t in ["h2" if i % 5 == 0 else "p" for i in range(n)]) + "</article>"
+        nodes, _ = parse(html)
+        x = hx.node_features(nodes, len(html))[2:]
+        heads = -(-n // 5)
+        assert np.allclose(x[:, -6], np.arange(n) / n) and set(x[:, -5]) == {n}
+        assert x[:, -4].tolist() == [heads if i % 5 == 0 else n - heads for i in range(n)]
