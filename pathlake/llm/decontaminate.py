@@ -6,7 +6,8 @@
 2. Every window gets a 64-bit SimHash. Four 16-bit blocks, each looked up in the Hamming balls of radius 4 round
    the items' blocks, find every item within RADIUS = 19 bits (20 differing bits would be needed to differ in 5
    bits in every block); complete distances are then verified.
-3. What is left is verified by the exact weighted Jaccard similarity of the shingle multisets.
+3. What is left is verified by the exact Jaccard similarity of the shingle multisets: the weighted one or, as phrases that many
+   items share weigh little and a changed word weighs 1, the plain one.
 
 Built-in functions only; texts are read once a pass and never shuffled.
 """
@@ -66,12 +67,12 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
     item is a key of our own, ids the item_ids of the rows with that text, null ones too, so that neither null nor repeated ids or rows are lost.
 
-    A shingle's weight falls with the number of items that hold it, so that phrases common to many items count less.
+    A shingle's weight falls with the number of distinct item texts that hold it, so that phrases common to many items count less.
     Of repeated item ids each text is an item. The benchmark is small beside the documents.
     """
     base = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     # in a struct, as collect_set leaves out nulls
-    base = base.groupBy("w").agg(F.collect_set(F.struct("item_id")).alias("ids"), F.count("*").alias("rows"))
+    base = base.groupBy("w").agg(F.collect_set(F.struct("item_id")).alias("ids"))
     base = base.withColumn("item", F.monotonically_increasing_id()).withColumn("n", F.size("w")).withColumn("arity", F.least(F.col("n"), F.lit(SHINGLE)))
     base = checkpointed(base)
     out = None
@@ -79,8 +80,8 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
         part = _shingles(base.filter(F.col("arity") == arity), arity, "s").drop("w")
         out = part if out is None else out.unionByName(part)
     out = checkpointed(out.withColumn("fp", simhash("s")))
-    each = out.select("item", "rows", F.explode(F.array_distinct("s")).alias("h"))
-    df = each.groupBy("h").agg(F.sum("rows").alias("df"))
+    each = out.select("item", F.explode(F.array_distinct("s")).alias("h"))
+    df = each.groupBy("h").agg(F.count("*").alias("df"))
     w = each.join(df, "h").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("h", 1 / (1 + F.log("df"))))).alias("weights"))
     return checkpointed(out.join(w, "item"))
 
@@ -114,19 +115,19 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
     return checkpointed(found.groupBy("doc_id", "start", "n", "content").agg(F.first("win").alias("win")))
 
 
-def _similarity() -> Column:
-    """Weighted Jaccard similarity of multisets win and s; a shingle that no item holds weighs 1."""
-    weight = lambda x: F.coalesce(F.element_at("weights", x), F.lit(1.0))
+def _similarity(weighted: bool) -> tuple[Column, Column]:
+    """What multisets win and s have in common and in both, by weight or by number; a shingle that no item holds weighs 1."""
+    weight = lambda x: F.coalesce(F.element_at("weights", x), F.lit(1.0)) if weighted else F.lit(1.0)
     count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + weight(x))
     common = F.aggregate(F.array_intersect("win", "s"), F.lit(0.0), lambda t, x: t + weight(x) * F.least(count(F.col("win"), x), count(F.col("s"), x)))
-    return F.try_divide(F.col("common"), F.col("both") - F.col("common")), common, total("win") + total("s")
+    return common, total("win") + total("s")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, hamming, start, n_windows): every document with a window that is an item, or nearly.
 
-    similarity, at least SIMILARITY, is the best window's, start its first word, hamming the least distance.
+    similarity, at least SIMILARITY, is the best window's, weighted unless only the plain one is so high; start its first word, hamming the least distance.
     Null and empty texts and items match nothing; repeated rows of a document count as one document; a null doc_id is
     reported as null; without rows on either side the result is empty. Other columns are not read.
     """
@@ -144,8 +145,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = near.filter(distance <= RADIUS).select("fp", "item_fp", distance.alias("hamming")).distinct()
     cand = content.join(near, "fp").drop("fp")
     cand = cand.join(items.select("ids", F.col("fp").alias("item_fp"), F.col("n").alias("item_n"), "s", "weights"), "item_fp").filter("n = item_n")
-    similarity, common, both = _similarity()
-    good = cand.withColumn("common", common).withColumn("both", both).withColumn("similarity", similarity).filter(F.col("similarity") >= SIMILARITY)
+    good = cand
+    for name, (common, both) in (("weighted", _similarity(True)), ("plain", _similarity(False))):
+        good = good.withColumn("common", common).withColumn("both", both).withColumn(name, F.try_divide(F.col("common"), F.col("both") - F.col("common")))
+    good = good.withColumn("similarity", F.when(F.col("weighted") >= SIMILARITY, F.col("weighted")).otherwise(F.col("plain"))).filter(F.col("similarity") >= SIMILARITY)
     good = good.select("content", "n", F.explode("ids").alias("id"), "similarity", "hamming").select("content", "n", "id.item_id", "similarity", "hamming")
     good = checkpointed(good)
     if good.count() <= BROADCAST_ROWS:

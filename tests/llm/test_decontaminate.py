@@ -106,3 +106,12 @@ def test_windows_just_over_the_similarity_are_found(spark):
         docs.append((d, " ".join(w), ""))
     got = dc.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 8) for d in range(800)} and max(r["hamming"] for r in got) > 15
+
+
+def test_near_copies_of_repeated_and_alike_items(spark):
+    once, twice = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    alike = [" ".join([*(f"c{i}" for i in range(49)), f"end{k}"]) for k in range(6)]
+    bench = [(0, once), (1, twice), (2, twice), (3, twice)] + [(10 + k, t) for k, t in enumerate(alike)]
+    docs = [(0, once.replace("a20", "zq"), ""), (1, twice.replace("b20", "zq"), ""), (2, alike[0].replace("c20", "zq"), "")]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in dc.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()}
+    assert {(0, 0), (1, 1), (1, 2), (1, 3), (2, 10)} <= set(got) and all(abs(s - 41 / 51) < 1e-9 for k, s in got.items() if k[0] < 2)
