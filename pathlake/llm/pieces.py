@@ -20,11 +20,12 @@ import heapq
 import re
 from dataclasses import dataclass, field as dc_field
 from hashlib import sha256
-from itertools import islice
-from math import log
+from itertools import chain, islice
+from math import exp, expm1, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +40,10 @@ SPACE = "▁"
 OWN_SPACE = "\ud800"
 BYTE_LOGP = -12.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose tables are built at once: bounds the memory that this takes.
-BLOCK = 4096
-#: Steps of a path that are looked at together with those of other paths.
-WIDTH = 384
+#: Characters of the words whose tables are built at once: bounds the memory that this takes.
+BLOCK = 1 << 16
+#: Steps of a path that are looked at together, and paths with which they are.
+WIDTH, SLAB = 256, 512
 MASK = (1 << 64) - 1
 #: Uniform numbers have 53 bits, so no exponential is under 2^-54 and no Gumbel this far above its location.
 FARTHEST = 38.0
@@ -94,6 +95,15 @@ def words(prepared: str) -> list[str]:
     return WORD.findall(prepared)
 
 
+def cut(text: str) -> list[str]:
+    """words(prepare(text)), each without its first U+2581, with which every word begins."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in words(prepare(text))]
+    return text.split(" ")
+
+
 class Trie:
     """The vocabulary as arrays: children of a node by character class (dense for the commonest classes), and which nodes are pieces."""
 
@@ -123,20 +133,22 @@ class Trie:
                 at = child[at][k]
             self.piece[at], self.logp[at] = i, v.logp[piece]
         self.piece, self.logp = np.array(self.piece, np.int32), np.array(self.logp)
-        self.logp[self.piece < 0] = -np.inf
-        self.dense = np.zeros((len(child), self.DENSE), np.int32)
+        self.dense = np.zeros(len(child) * self.DENSE, np.int32)
         rare = sorted((at * self.n_classes + k, to) for at, x in enumerate(child) for k, to in x.items() if k >= self.DENSE)
         for at, x in enumerate(child):
             for k, to in x.items():
                 if k < self.DENSE:
-                    self.dense[at, k] = to
+                    self.dense[at * self.DENSE + k] = to
         self.keys = np.array([k for k, _ in rare] or [-1], np.int64)
         self.to = np.array([t for _, t in rare] or [0], np.int32)
 
-    def step(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The children of nodes for classes k; 0 where there is none."""
-        out = self.dense[node, np.where(k < self.DENSE, k, 0)]
-        far = np.flatnonzero(k >= self.DENSE)
+    def step(self, node: np.ndarray, k: np.ndarray, common: bool) -> np.ndarray:
+        """The children of nodes for classes k, 0 where there is none; `common`: all classes are dense ones."""
+        if common:
+            return self.dense[node * self.DENSE + k]
+        near = k < self.DENSE
+        out = self.dense[node * self.DENSE + np.where(near, k, 0)]
+        far = np.flatnonzero(~near)
         if len(far):
             key = node[far].astype(np.int64) * self.n_classes + k[far]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -144,149 +156,195 @@ class Trie:
         return out
 
 
-def tables(distinct: list[str], v: Vocabulary, trie: Trie):
-    """The lattices of some words as flat arrays.
+def tables(keys: list[str], v: Vocabulary, trie: Trie) -> dict[str, np.ndarray]:
+    """The lattices of some words (without their first U+2581) as flat arrays.
 
-    A state is a character (the state after it). Returns, for the edges in order of the state they end in: that state, the
-    state they come from (-1: the word's start), piece id, probability given the state, log probability of the piece; and where
-    words end. A character without a piece is its byte, or, if it has several, minus its code point, to be written as bytes later.
+    States are numbered by how far into its word they are: first the starts of all words, then what is reached after one
+    character, and so on. first and count say which edges end in a state, the longest piece first. Of an edge: prev, the
+    state that it comes from (-1: a start); its piece's id and log probability; q, its probability given the state that it ends in, and rest,
+    that of the other edges there. last are the states in which the words end. A character without a piece is its byte,
+    or, if it has several, minus its code point, to be written as bytes later.
     """
-    text = "".join(distinct)
+    mark = f"\n{SPACE}"  # a line feed stands for each word's start
+    text = mark + mark.join(keys)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n, wide = len(points), v.longest
-    lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys)) + 2
     ends = np.cumsum(lengths)
-    local = np.arange(n) - np.repeat(ends - lengths, lengths)
-    room = np.repeat(lengths, lengths) - local  # characters from here to the word's end
-    k = trie.classes[points]
-    lp = np.full((n, wide), -np.inf)  # column wide - 1 - l: of the piece of l + 1 characters that ends here
-    ids = np.zeros((n, wide), np.int32)
-    at, node = np.arange(n), np.zeros(n, np.int32)
-    for size in range(wide):
-        on = (room[at] > size) & (k[np.minimum(at + size, n - 1)] > 0)
-        at, node = at[on], node[on]
-        if not len(at):
+    begin = ends - lengths
+    k = np.concatenate([trie.classes[points], np.zeros(wide, np.int32)])
+    k[begin] = 0  # no piece reaches over a start or over the end
+    common = bool(k.max() < trie.DENSE)
+    local = np.arange(n) - np.repeat(begin, lengths)
+    deepest = int(lengths.max())
+    order = np.argsort(local.astype(np.int16) if deepest < 1 << 15 else local, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    at = np.flatnonzero(k)
+    node, found = np.zeros(len(at), np.int32), []
+    single = np.zeros(n, bool)
+    single[begin] = True
+    for size in range(1, wide + 1):
+        node = trie.step(node, k[at + (size - 1)], common)
+        on = np.flatnonzero(node)
+        if not len(on):
             break
-        node = trie.step(node, k[at + size])
-        on = node > 0
         at, node = at[on], node[on]
-        ok = trie.piece[node] >= 0
-        lp[at[ok] + size, wide - 1 - size] = trie.logp[node[ok]]
-        ids[at[ok] + size, wide - 1 - size] = trie.piece[node[ok]]
-    bare = ids[:, -1] == 0
-    ascii_bare = np.flatnonzero(bare & (points < 128))
-    lp[ascii_bare, -1], ids[ascii_bare, -1] = BYTE_LOGP, np.array(v.byte_ids, np.int32)[points[ascii_bare]]
-    for i in np.flatnonzero(bare & (points >= 128)).tolist():
-        lp[i, -1] = BYTE_LOGP * len(v.bytes_of(text[i]))
-        ids[i, -1] = -int(points[i])
-    total, q = np.zeros(n), np.zeros((n, wide))
-    by = np.argsort(local, kind="stable")
-    bounds = np.searchsorted(local[by], np.arange(local.max() + 2))
-    back = np.arange(wide, 0, -1)
-    for j in range(len(bounds) - 1):
-        rows = by[bounds[j] : bounds[j + 1]]
-        w = min(wide, j + 1)
-        before = np.where(back[-w:] <= j, total[np.maximum(rows[:, None] - back[-w:], 0)], 0.0) if j else 0.0
-        vals = lp[rows, wide - w :] + before
-        m = vals.max(1)
-        e = np.exp(vals - m[:, None])
-        z = e.sum(1)
-        total[rows] = m + np.log(z)
-        q[rows, wide - w :] = e / z[:, None]
-    state, col = np.nonzero(q > 0)
-    size = wide - col
-    return state, np.where(local[state] >= size, state - size, -1), ids[state, col], q[state, col], lp[state, col], ends
+        piece = trie.piece[node]
+        ok = np.flatnonzero(piece >= 0)
+        found.append((size, at[ok], piece[ok], trie.logp[node[ok]]))
+        if size == 1:
+            single[at[ok]] = True
+    bare = np.flatnonzero(~single)
+    if len(bare):
+        low = points[bare] < 128
+        ids = np.where(low, np.array(v.byte_ids, np.int32)[np.minimum(points[bare], 127)], -points[bare].astype(np.int64)).astype(np.int32)
+        n_bytes = np.ones(len(bare))
+        for i in np.flatnonzero(~low).tolist():
+            n_bytes[i] = len(v.bytes_of(chr(points[bare[i]])))
+        found.append((1, bare, ids, BYTE_LOGP * n_bytes))
+    size = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+    start = np.concatenate([f[1] for f in found])
+    state = rank[start + size - 1]
+    key = (state * (wide + 1) + (wide - size)) << 32 | np.arange(len(start))
+    key.sort()
+    pick = key & 0xFFFFFFFF
+    state, prev = state[pick], rank[start[pick] - 1]
+    ids = np.concatenate([f[2] for f in found])[pick]
+    lp = np.concatenate([f[3] for f in found])[pick]
+    count = np.bincount(state, minlength=n)
+    first = np.concatenate([[0], np.cumsum(count)])
+    total, q = np.zeros(n), np.empty(len(lp))
+    level = np.cumsum(np.bincount(local)).tolist()
+    for lo, hi in zip(level, level[1:]):
+        a, b = int(first[lo]), int(first[hi])
+        vals = lp[a:b] + total[prev[a:b]]
+        head, own = first[lo:hi] - a, state[a:b] - lo
+        m = np.maximum.reduceat(vals, head)
+        e = np.exp(vals - m[own])
+        z = np.add.reduceat(e, head)
+        total[lo:hi] = m + np.log(z)
+        q[a:b] = e / z[own]
+    # what is near 1 is not subtracted from it: the others are summed
+    most = np.flatnonzero(q > 0.5)
+    others = q.copy()
+    others[most] = 0.0
+    rest = 1.0 - q
+    rest[most] = np.add.reduceat(others, first[len(keys) : n])[state[most] - len(keys)]
+    return {"first": first[:-1], "count": count, "prev": np.where(prev < len(keys), -1, prev), "ids": ids, "logp": lp, "q": q, "rest": rest, "last": rank[ends - 1]}
+
+
+class Numbers(dict):
+    """Words by number, in order of their first sight."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
 
 
 class Lattice:
-    """The tables of all words met so far, as flat arrays that grow in place until they hold MOST edges and are then begun anew."""
+    """The tables of all words met so far, as flat arrays that grow in place until they hold MOST edges and are then begun anew. MORE: room for one chunk's."""
 
-    MOST = 2_000_000
-    KINDS = {"state": np.int32, "prev": np.int32, "ids": np.int32, "q": np.float64, "logp": np.float32}
+    MOST, MORE = 1_500_000, 500_000
+    EDGE = {"prev": np.int32, "ids": np.int32, "logp": np.float32, "q": np.float64, "rest": np.float64}
 
     def __init__(self, v: Vocabulary, trie: Trie):
         self.v, self.trie = v, trie
-        self.edge = {k: np.empty(1 << 20, t) for k, t in self.KINDS.items()}
-        self.node = {k: np.empty(1 << 18, np.int32) for k in ("first", "count")}
+        self.edge = {k: np.empty(self.MOST + self.MORE, t) for k, t in self.EDGE.items()}  # memory is taken as it is filled
+        self.node = {k: np.empty((self.MOST + self.MORE) // 2, np.int32) for k in ("first", "count")}
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
-        self.ends = np.empty(0, np.int64)
+        self.number = Numbers()
+        self.last = np.empty(0, np.int64)
         self.n_states = self.n_edges = 0
 
     @staticmethod
-    def _put(arrays: dict, at: int, new: dict) -> None:
+    def _put(arrays: dict, at: int, new: dict) -> int:
         size = len(next(iter(new.values())))
         for k, x in new.items():
             if at + size > len(arrays[k]):
                 arrays[k] = np.concatenate([arrays[k][:at], np.empty(max(at, size), arrays[k].dtype)])
             arrays[k][at : at + size] = x
+        return at + size
 
     def add(self, parts: list[list[str]]) -> np.ndarray:
         """Numbers of the words of all texts, in order; their tables are there afterwards."""
         if self.n_edges > self.MOST:
             self.clear()
         had = len(self.number)
-        get, number = self.number.setdefault, self.number
-        codes = [get(w, len(number)) for x in parts for w in x]
-        fresh = list(islice(number, had, None))
-        for lo in range(0, len(fresh), BLOCK):
-            state, prev, ids, q, logp, ends = tables(fresh[lo : lo + BLOCK], self.v, self.trie)
-            count = np.bincount(state, minlength=int(ends[-1]))
-            first = np.cumsum(count) - count + self.n_edges
-            s0 = self.n_states
-            self._put(self.node, s0, {"first": first, "count": count})
-            self._put(self.edge, self.n_edges, {"state": state + s0, "prev": np.where(prev >= 0, prev + s0, -1), "ids": ids, "q": q, "logp": logp})
-            self.ends = np.concatenate([self.ends, ends - 1 + s0])
-            self.n_states += int(ends[-1])
-            self.n_edges += len(state)
-        self.last = self.ends
+        codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        fresh = list(islice(self.number, had, None))
+        lasts = [self.last]
+        for lo, hi in chunks([len(w) for w in fresh], BLOCK):
+            t = tables(fresh[lo:hi], self.v, self.trie)
+            t["prev"] += np.where(t["prev"] < 0, 0, self.n_states)
+            t["first"] += self.n_edges
+            lasts.append(t["last"] + self.n_states)
+            self.n_states = self._put(self.node, self.n_states, {k: t[k] for k in self.node})
+            self.n_edges = self._put(self.edge, self.n_edges, {k: t[k] for k in self.edge})
+        self.last = np.concatenate(lasts)
         self.first, self.count = self.node["first"], self.node["count"]
-        self.state, self.prev, self.ids, self.q, self.logp = (self.edge[k] for k in self.KINDS)
-        return np.array(codes, np.int64)
+        self.prev, self.ids, self.logp, self.q, self.rest = (self.edge[k] for k in self.EDGE)
+        return codes
 
     def choose(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each state, by its probability."""
         e = self.first[state]
-        last = e + self.count[state] - 1
         left = u - self.q[e]
-        on = np.flatnonzero((left >= 0) & (e < last))
+        on = np.flatnonzero(left >= 0)
+        last = e[on] + self.count[state[on]] - 1
+        more = np.flatnonzero(e[on] < last)
+        on, last, left = on[more], last[more], left[on[more]]
         while len(on):
-            e[on] += 1
-            x = e[on]
-            rest = left[on] - self.q[x]
-            left[on] = rest
-            on = on[(rest >= 0) & (x < last[on])]
+            x = e[on] + 1
+            e[on] = x
+            left = left - self.q[x]
+            more = np.flatnonzero((left >= 0) & (x < last))
+            on, last, left = on[more], last[more], left[more]
         return e
 
-    def finish(self, state: np.ndarray, seed: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """(edges, token) of paths from each token's state back to its word's start, in order of tokens and then of steps."""
+    def finish(self, state: np.ndarray, base: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, token) of paths from each token's state back to its word's start, in order of tokens and then of steps; state -1: none."""
         found = []
         token, step = np.flatnonzero(state >= 0), 0
         count = np.zeros(len(state), np.int64)
-        state = state[token]
+        state, base = state[token], base[token]
         while len(token):
-            e = self.choose(state, uniform(seed[token], sample, place[token], step))
+            e = self.choose(state, uniform(base, sample, step))
             found.append((token, e))
             state = self.prev[e]
-            on = state >= 0
+            on = np.flatnonzero(state >= 0)
             step += 1
-            count[token[~on]] = step
-            token, state = token[on], state[on]
+            count[token] = step
+            token, state, base = token[on], state[on], base[on]
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for step, (token, e) in enumerate(found):
             out[first[token] + step] = e
         return out, np.repeat(np.arange(len(count)), count)
 
+    def others(self, state: int, taken: frozenset) -> tuple[np.ndarray, np.ndarray]:
+        """The edges into a state that are not taken, and their probabilities."""
+        lo = int(self.first[state])
+        e = np.array([x for x in range(lo, lo + int(self.count[state])) if x not in taken], np.int64)
+        return e, self.q[e]
+
+
+def place_of(seed: np.ndarray, place) -> np.ndarray:
+    """What the random numbers of a place in a row begin with."""
+    with np.errstate(over="ignore"):
+        return seed + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
 
-def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend on these four alone (splitmix64)."""
+def uniform(base: np.ndarray, sample: int, step: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on row, place, sample and step alone (splitmix64)."""
     with np.errstate(over="ignore"):
-        x = seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((sample * 0xD1342543DE82EF95 + step * 0x2545F4914F6CDD1D + 0x632BE59BD9B4E019) & MASK)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = base + np.uint64((sample * 0xD1342543DE82EF95 + step * 0x2545F4914F6CDD1D + 0x632BE59BD9B4E019) & MASK)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return (x >> np.uint64(11)) * 2.0**-53
 
@@ -303,173 +361,190 @@ class Sample:
     score: float  # perturbed log probability: samples come in falling order of it
     inclusion: float  # probability that the segmentation's score passes the threshold, the greatest score left
     mass: float = 0.0  # log probability among all segmentations of the text
+    round_trip: bool = True  # whether the ids decode to the text
+
+
+@dataclass
+class Open:
+    """A set of paths: those that share `path` up to a step and take none of the `taken` edges into `state` there. before: log mass of what they share."""
+
+    path: np.ndarray
+    tokens: np.ndarray
+    step: int
+    state: int
+    taken: frozenset
+    before: float
 
 
 class Sampler:
-    """Draws from a vocabulary; keeps the tables of frequent words."""
+    """Draws from a vocabulary; keeps the tables of the words met so far."""
 
     def __init__(self, vocabulary: Vocabulary, samples: int = SAMPLES):
         self.v, self.k = vocabulary, samples
         self.lattice = Lattice(vocabulary, Trie(vocabulary))
+        said = [(x or "").replace(SPACE, " ").encode() for x in vocabulary.surface]
+        for b, i in enumerate(vocabulary.byte_ids):
+            said[i] = bytes([b])
+        self.piece_length = np.fromiter(map(len, said), np.int32, len(said))
+        self.piece_start = (np.cumsum(self.piece_length) - self.piece_length).astype(np.int32)
+        self.piece_bytes = np.frombuffer(b"".join(said), np.uint8)
 
     def draw(self, keys: list[str], texts: list[str]) -> list[list[Sample]]:
         """Up to k distinct segmentations of each text; fewer only where the text has fewer. An empty text has one, without pieces."""
         lat = self.lattice
-        parts = [words(prepare(t)) for t in texts]
+        parts = [cut(t) for t in texts]
         codes, lengths = lat.add(parts), np.array([len(x) for x in parts], np.int64)
         ends = np.cumsum(lengths)
+        begin = ends - lengths
         row = np.repeat(np.arange(len(texts)), lengths)
-        place = np.arange(len(codes)) - (ends - lengths)[row]
         seeds = np.array([xxh64_intdigest(k.encode(), SEED) for k in keys], np.uint64)
-        token_seed = seeds[row]
+        base = place_of(seeds[row], np.arange(len(codes)) - begin[row])
+        last = lat.last[codes]
+        said = [b" " + t.encode() if t else b"" for t in texts]
         out: list[list[Sample]] = [[] for _ in texts]
         heaps: list[list] = [[] for _ in texts]
-        last_states = lat.last[codes] if len(codes) else codes
-        live = np.flatnonzero(lengths > 0)
         for i in np.flatnonzero(lengths == 0):
             out[i].append(Sample(np.zeros(0, np.int32), 0.0, 0.0, 1.0))
         # the first sample of every row is drawn freely; its Gumbel is that of the whole space, log mass 0
-        pending = {int(i): (None, 0, -log(-log(min(max(float(uniform(seeds[i : i + 1], 0, np.array([1 << 40]), 0)[0]), 1e-300), 1 - 1e-16)))) for i in live}
+        live = np.flatnonzero(lengths > 0)
+        top = uniform(place_of(seeds[live], np.full(len(live), 1 << 40)), 0, 0)
+        top = -np.log(-np.log(np.clip(top, 1e-300, 1 - 1e-16)))
+        pending: list[tuple[int, Open | None, float]] = [(i, None, g) for i, g in zip(live.tolist(), top.tolist())]
         for m in range(1, self.k + 1):
             if not pending:
                 break
-            state = np.full(len(codes), -1, np.int64)
-            kept: dict[int, tuple] = {}
-            for i, (node, _, _) in pending.items():
-                lo, hi = int(ends[i] - lengths[i]), int(ends[i])
-                if node is None:
-                    state[lo:hi] = last_states[lo:hi]
-                    kept[i] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    continue
-                path, tokens, s, taken = node
-                here, token = self._state(lat, path, tokens, s, last_states), int(tokens[s])
-                options = [e for e in range(lat.first[here], lat.first[here] + lat.count[here]) if e not in taken]
-                w = np.cumsum(lat.q[options])
-                u = float(uniform(seeds[i : i + 1], m, np.array([(1 << 41) + s]), 0)[0])
+            state = last.copy() if m == 1 else np.full(len(codes), -1, np.int64)
+            firsts = []
+            rows = np.array([i for i, *_ in pending])
+            steps = np.array([(1 << 41) + (node.step if node else 0) for _, node, _ in pending])
+            own = uniform(place_of(seeds[rows], steps), m, 0).tolist()
+            for (i, node, _), u in zip(pending, own) if m > 1 else ():
+                token = int(node.tokens[node.step])
+                options, w = lat.others(node.state, node.taken)
+                w = np.cumsum(w)
                 e = options[min(int(np.searchsorted(w, u * w[-1], "right")), len(options) - 1)]
-                kept[i] = (np.append(path[:s], e), np.append(tokens[:s], token))
+                firsts.append(e)
                 state[token] = lat.prev[e]
-                state[token + 1 : hi] = last_states[token + 1 : hi]
-            edges, tokens = lat.finish(state, token_seed, place, m)
-            bound = np.searchsorted(tokens, np.concatenate([ends - lengths, ends[-1:]]) if len(ends) else [0])
-            nxt, opened = {}, []
-            mass = np.concatenate([[0.0], np.cumsum(np.log(lat.q[edges]))])
-            for i, (node, _, g) in pending.items():
-                path = np.concatenate([kept[i][0], edges[bound[i] : bound[i + 1]]])
-                toks = np.concatenate([kept[i][1], tokens[bound[i] : bound[i + 1]]])
-                kept_mass = float(np.log(lat.q[kept[i][0]]).sum())
-                opened.append((i, path, toks, node, g))
-                out[i].append(Sample(self._ids(lat, path, toks), float(lat.logp[path].sum()), g, 1.0, kept_mass + float(mass[bound[i + 1]] - mass[bound[i]])))
-            self._split_all(lat, heaps, opened, seeds, m)
-            for i in pending:
-                if heaps[i]:
-                    top = heapq.heappop(heaps[i])
-                    nxt[i] = (top[2], 0, -top[0])
+                state[token + 1 : ends[i]] = last[token + 1 : ends[i]]
+            edges, tokens = lat.finish(state, base, m)
+            if m == 1:
+                size = np.searchsorted(tokens, ends[live]) - np.searchsorted(tokens, begin[live])
+            else:
+                lo, hi = np.searchsorted(tokens, begin[rows]).tolist(), np.searchsorted(tokens, ends[rows]).tolist()
+                put, got = [], []
+                for (_, node, _), e, a, b in zip(pending, firsts, lo, hi):
+                    put += [node.path[: node.step], [e], edges[a:b]]
+                    got += [node.tokens[: node.step + 1], tokens[a:b]]
+                size = np.array([node.step + 1 + b - a for (_, node, _), a, b in zip(pending, lo, hi)])
+                edges, tokens = np.concatenate(put), np.concatenate(got)
+            at = np.cumsum(size) - size
+            self._emit(out, pending, edges, tokens, at, said)
+            kappa = self._split(heaps, pending, edges, tokens, at, size, last, seeds, m)
             if m == self.k:
                 # the greatest score left is the threshold of Gumbel top-k
-                for i, (_, _, kappa) in nxt.items():
-                    for s in out[i]:
-                        s.inclusion = float(-np.expm1(-np.exp(np.clip(s.mass - kappa, -700, 700))))
+                for (i, *_), left in zip(pending, kappa.tolist()):
+                    left = max(left, -heaps[i][0][0]) if heaps[i] else left
+                    if left > -np.inf:
+                        for s in out[i]:
+                            s.inclusion = -expm1(-exp(min(max(s.mass - left, -700.0), 700.0)))
                 break
-            pending = nxt
+            after = []
+            for i, *_ in pending:
+                if heaps[i]:
+                    g, _, _, node = heapq.heappop(heaps[i])
+                    after.append((i, node, -g))
+            pending = after
         return out
 
-    def _state(self, lat: Lattice, path, tokens, s: int, last_states) -> int:
-        t = tokens[s]
-        return int(lat.prev[path[s - 1]]) if s and tokens[s - 1] == t else int(last_states[t])
-
-    def _split_all(self, lat, heaps, opened, seeds, m) -> None:
-        """_split of many paths at once, by their first WIDTH steps; a path of which that is not enough is split alone."""
-        if not opened:
-            return
-        rows, width = len(opened), WIDTH
-        size = np.array([min(len(path), width) for _, path, *_ in opened])
-        flat = np.concatenate([path[:width] for _, path, *_ in opened])
-        col = np.arange(width)
-        inside = col < size[:, None]
-        edge = np.zeros((rows, width), np.int64)
-        edge[inside] = flat
-        start = np.array([0 if node is None else node[2] for *_, node, _ in opened])
-        q = np.where(inside, lat.q[edge], 1.0)
-        logq = np.log(q)
-        run = np.cumsum(logq, axis=1)
-        rest = 1.0 - q
-        left = np.where(inside, lat.count[lat.state[edge]] - 1, 0)
-        for r, (_, _, _, node, _) in enumerate(opened):
-            if node is not None and node[3] and start[r] < width:
-                rest[r, start[r]] -= lat.q[list(node[3])].sum()
-                left[r, start[r]] -= len(node[3])
-        ok = inside & (col >= start[:, None]) & (left > 0) & (rest > 1e-15)
-        r, c = np.nonzero(ok)
-        mu = run[r, c] - logq[r, c] + np.log(rest[r, c])
-        bound = np.array([g for *_, g in opened])
-        own = np.array([seeds[i] for i, *_ in opened], np.uint64)
-        gum = np.full((rows, width), -np.inf)
-        gum[r, c] = _gumbel_below(mu, bound[r], uniform(own[r], m + 64, c, 1))
-        best = np.argsort(-gum, axis=1, kind="stable")[:, : self.k]
-        worst = np.take_along_axis(gum, best[:, -1:], 1)[:, 0]
-        for n, (i, path, toks, node, g) in enumerate(opened):
-            if len(path) > width and (start[n] >= width or run[n, -1] + FARTHEST >= worst[n]):
-                self._split(lat, heaps[i], path, toks, node, g, seeds[i], m)
-                continue
-            for s in best[n].tolist():
-                if gum[n, s] > -np.inf:
-                    taken = frozenset([int(path[s]), *(node[3] if node is not None and s == start[n] else ())])
-                    heapq.heappush(heaps[i], (-float(gum[n, s]), (m, s), (path, toks, s, taken)))
-
-    def _split(self, lat, heap, path, toks, node, g, seed, m) -> None:
-        """Puts the sets of paths that leave this one at each step on the heap, as many of them as can ever be opened.
-
-        Masses fall along the path and no Gumbel lies FARTHEST above its location, so once the mass is that far below the k-th best
-        set so far, later steps cannot matter: nothing is lost by stopping there.
-        """
-        start, taken0 = (0, frozenset()) if node is None else (node[2], node[3])
-        lo, before, floor = 0, 0.0, -np.inf
-        steps, found = [], []
-        while lo < len(path) and (lo <= start or before + FARTHEST >= floor):
-            part = path[lo : max(lo + 192, start + 64)]
-            q = lat.q[part]
-            run = np.cumsum(np.log(q))
-            rest = 1.0 - q
-            left = lat.count[lat.state[part]] - 1  # a state with no other edge leaves nothing, whatever rounding says
-            skip = max(0, start - lo)
-            if skip < len(part) and lo <= start and taken0:
-                rest[skip] -= lat.q[list(taken0)].sum()
-                left[skip] -= len(taken0)
-            ok = np.flatnonzero((left > 0) & (rest > 1e-15))
-            ok = ok[ok >= skip]
-            mu = before + run[ok] - np.log(q[ok]) + np.log(rest[ok])
-            steps.append(ok + lo)
-            found.append(_gumbel_below(mu, g, uniform(np.full(len(ok), seed, np.uint64), m + 64, ok + lo, 1)))
-            lo, before = lo + len(part), before + run[-1]
-            best = np.concatenate(found)
-            floor = np.partition(best, -self.k)[-self.k] if len(best) >= self.k else -np.inf
-        if steps:
-            gum, at = np.concatenate(found), np.concatenate(steps)
-            for i in np.argsort(-gum, kind="stable")[: self.k]:
-                s = int(at[i])
-                taken = frozenset([int(path[s]), *(taken0 if s == start else ())])
-                heapq.heappush(heap, (-float(gum[i]), (m, s), (path, toks, s, taken)))
-
-    def _ids(self, lat, path, toks) -> np.ndarray:
+    def _emit(self, out, pending, edges, tokens, at, said) -> None:
+        """A sample a row of the paths that lie one after the other, each from `at`."""
+        lat = self.lattice
+        logp = np.add.reduceat(lat.logp[edges].astype(float), at)
+        mass = np.add.reduceat(np.log(lat.q[edges]), at)
         # steps run from a word's end to its start: words in order, each word's steps reversed
-        n = len(path)
-        if not n:
-            return np.zeros(0, np.int32)
-        new = np.flatnonzero(np.diff(toks)) + 1
-        first = np.concatenate([[0], new])
-        size = np.diff(np.append(first, n))
-        at = np.repeat(first + first + size - 1, size) - np.arange(n)
-        ids = lat.ids[path[at]]
-        if (ids >= 0).all():
-            return ids
-        out = []
-        for i in ids.tolist():
-            if i >= 0:
-                out.append(i)
-            else:
-                out += [self.v.byte_ids[b] for b in self.v.bytes_of(chr(-i))]
-        return np.array(out, np.int32)
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        size = np.diff(np.append(first, len(edges)))
+        ids = lat.ids[edges[np.repeat(2 * first + size - 1, size) - np.arange(len(edges))]]
+        ids, start = self._bytes_for_points(ids, at)
+        length = self.piece_length[ids]
+        end = np.cumsum(length, dtype=np.int32)
+        where = np.repeat(self.piece_start[ids] - (end - length), length)
+        where += np.arange(len(where), dtype=np.int32)
+        got = self.piece_bytes[where]
+        bounds = [*start.tolist(), len(ids)]
+        cuts = [0, *(int(end[b - 1]) for b in bounds[1:])]
+        whole = memoryview(got.tobytes())
+        for n, (i, _, g) in enumerate(pending):
+            same = whole[cuts[n] : cuts[n + 1]] == said[i]
+            out[i].append(Sample(ids[bounds[n] : bounds[n + 1]], float(logp[n]), g, 1.0, float(mass[n]), same))
+
+    def _bytes_for_points(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with the byte pieces of characters in place of minus their code points; and where each row now begins."""
+        far = np.flatnonzero(ids < 0)
+        if not len(far):
+            return ids, at
+        points, which = np.unique(-ids[far], return_inverse=True)
+        forms = [[self.v.byte_ids[b] for b in self.v.bytes_of(chr(p))] for p in points.tolist()]
+        n_bytes = np.array([len(f) for f in forms])
+        count = np.ones(len(ids), np.int64)
+        count[far] = n_bytes[which]
+        start = np.cumsum(count) - count
+        out = np.repeat(ids, count)
+        for b in range(int(n_bytes.max())):
+            on = np.flatnonzero(n_bytes[which] > b)
+            out[start[far[on]] + b] = np.array([f[min(b, len(f) - 1)] for f in forms], np.int32)[which[on]]
+        return out, start[at]
+
+    def _split(self, heaps, pending, edges, tokens, at, size, last, seeds, m) -> np.ndarray:
+        """Puts the sets of paths that leave each row's path at each step on its heap, as many of them as can ever be opened; returns the greatest Gumbels.
+
+        Masses fall along a path and no Gumbel lies FARTHEST above its location, so once the mass is that far below the last of the
+        sets wanted so far, later steps cannot matter: nothing is lost by stopping there.
+        """
+        lat, need = self.lattice, self.k - m + 1
+        best = np.full(len(pending), -np.inf)
+        for lo in range(0, len(pending), SLAB):
+            rows = pending[lo : lo + SLAB]
+            step0 = np.array([0 if node is None else node.step for _, node, _ in rows])
+            before = np.array([0.0 if node is None else node.before for _, node, _ in rows])
+            bound = np.array([g for *_, g in rows])
+            own = seeds[[i for i, *_ in rows]]
+            here, n = at[lo : lo + SLAB], size[lo : lo + SLAB]
+            top, step, pre = np.full((len(rows), need), -np.inf), np.zeros((len(rows), need), np.int64), np.zeros((len(rows), need))
+            on, begun = np.arange(len(rows)), step0.copy()
+            while len(on):
+                width = int(min(WIDTH, (n[on] - begun[on]).max()))
+                s = begun[on][:, None] + np.arange(width)
+                inside = s < n[on][:, None]
+                e = edges[here[on][:, None] + np.minimum(s, n[on][:, None] - 1)]
+                logq = np.where(inside, np.log(lat.q[e]), 0.0)
+                rest = np.where(inside, lat.rest[e], 0.0)
+                for j in np.flatnonzero(begun[on] == step0[on]).tolist() if m > 1 else ():
+                    node = rows[on[j]][1]
+                    rest[j, 0] = lat.others(node.state, node.taken | {int(e[j, 0])})[1].sum()
+                run = np.cumsum(logq, axis=1)
+                shared = before[on][:, None] + run - logq
+                r, c = np.nonzero(rest > 0)
+                gum = np.full(rest.shape, -np.inf)
+                gum[r, c] = _gumbel_below(shared[r, c] + np.log(rest[r, c]), bound[on[r]], uniform(place_of(own[on[r]], s[r, c]), m + 64, 1))
+                gum, steps, masses = np.concatenate([top[on], gum], 1), np.concatenate([step[on], s], 1), np.concatenate([pre[on], shared], 1)
+                pick = np.argpartition(-gum, need - 1, axis=1)[:, :need]
+                pick = np.take_along_axis(pick, np.argsort(-np.take_along_axis(gum, pick, 1), axis=1, kind="stable"), 1)
+                top[on], step[on], pre[on] = (np.take_along_axis(x, pick, 1) for x in (gum, steps, masses))
+                before[on] += run[:, -1]
+                begun[on] += width
+                on = on[(begun[on] < n[on]) & (before[on] + FARTHEST >= top[on, -1])]
+            best[lo : lo + SLAB] = top[:, 0]
+            if need == 1:
+                continue
+            for j, (i, node, _) in enumerate(rows):
+                path, toks = edges[here[j] : here[j] + n[j]], tokens[here[j] : here[j] + n[j]]
+                for g, s, b in zip(top[j].tolist(), step[j].tolist(), pre[j].tolist()):
+                    if g > -np.inf:
+                        state = int(lat.prev[path[s - 1]]) if s and toks[s - 1] == toks[s] else int(last[toks[s]])
+                        taken = frozenset([int(path[s]), *(node.taken if node and s == node.step else ())])
+                        heapq.heappush(heaps[i], (-g, m, s, Open(path, toks, s, state, taken, b)))
+        return best
 
 
 def encode(text: str, v: Vocabulary) -> list[int]:
@@ -505,7 +580,7 @@ def decode(ids, v: Vocabulary) -> str:
     return out.decode(errors="replace")[1:]
 
 
-def chunks(lengths: list[int], most: int = 1 << 19):
+def chunks(lengths: list[int], most: int = 1 << 18):
     """Runs of rows with about `most` characters."""
     lo = size = 0
     for i, n in enumerate(lengths):
@@ -531,19 +606,17 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         sampler = Sampler(shared.value, samples)
         for b in batches:
-            keys = [k or "" for k in b.column(1).to_pylist()]
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            for lo, hi in chunks([len(t) for t in texts]):
-                got = sampler.draw(keys[lo:hi], texts[lo:hi])
+            # a chunk at a time: no second copy of a whole batch
+            for lo, hi in chunks(pc.fill_null(pc.utf8_length(b.column(2)), 0).to_pylist()):
+                keys = [k or "" for k in b.column(1).slice(lo, hi - lo).to_pylist()]
+                got = sampler.draw(keys, [t or "" for t in b.column(2).slice(lo, hi - lo).to_pylist()])
                 flat = [s for x in got for s in x]
-                whole = [t for t, x in zip(texts[lo:hi], got) for _ in x]
                 if with_ids and flat:
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s.ids) for s in flat])]), pa.int32()), pa.array(np.concatenate([s.ids for s in flat]).astype(np.int32)))
                 else:
                     ids = pa.nulls(len(flat), pa.list_(pa.int32()))
-                same = [decode(s.ids, sampler.v) == t for s, t in zip(flat, whole)]
                 cols = [ids, pa.array([len(s.ids) for s in flat], pa.int64()), pa.array([ids_digest(s.ids) for s in flat], pa.string())]
-                cols += [*(pa.array([getattr(s, f) for s in flat], pa.float64()) for f in ("logp", "mass", "score", "inclusion")), pa.array(same, pa.bool_())]
+                cols += [*(pa.array([getattr(s, f) for s in flat], pa.float64()) for f in ("logp", "mass", "score", "inclusion")), pa.array([s.round_trip for s in flat], pa.bool_())]
                 values = pa.StructArray.from_arrays(cols, fields=list(item))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "samples"])

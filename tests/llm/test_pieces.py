@@ -61,6 +61,24 @@ def test_all_segmentations_of_a_short_text(sampler, v):
     assert {tuple(s.ids) for s in many} == set(distribution("ab", v)) and all(s.inclusion == 1.0 for s in many)
 
 
+def test_no_segmentation_is_lost_for_its_small_mass(v):
+    """As many samples as there are segmentations, however small the mass of what is left."""
+    for text in ("the", "and of", "mmm", "12", "aé", "####"):
+        want = distribution(text, v)
+        got = P.Sampler(v, len(want) + 2).draw(["k"], [text])[0]
+        assert len(got) == len(want) and {tuple(s.ids) for s in got} == set(want)
+        assert min(want.values()) < 1e-6 or len(want) < 20
+        for s in got:
+            assert math.isclose(math.exp(s.mass), want[tuple(s.ids)], rel_tol=1e-9)
+
+
+def test_long_paths_of_little_choice(v):
+    """What leaves a path only after more steps than are looked at together is found too."""
+    text = "🜁" * 700 + "the"  # characters of four byte pieces each: no choice before the last word
+    got = P.Sampler(v, 3).draw(["k"], [text])[0]
+    assert len({tuple(s.ids) for s in got}) == 3 and all(s.round_trip and P.decode(s.ids, v) == text for s in got)
+
+
 def test_distribution_without_replacement(sampler, v):
     text, n = "then re", 12_000
     p = distribution(text, v)
