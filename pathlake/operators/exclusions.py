@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlake.functions.paths import clean_prefix
+from pathlake.operators.overlay import INLINE
+from pathlake.operators.search import SMALL, small_side
 from pathlake.schema import EXCLUDED_FSTYPES, EXCLUDED_NAMES, NETWORK_FSTYPES
 
 
@@ -64,10 +66,17 @@ def in_roots(files: DataFrame, roots: list[str]) -> DataFrame:
 
 
 def excluded_by(files: DataFrame, prefixes: DataFrame, column: str = "path") -> DataFrame:
-    """Rows under none of the paths of a table, which may be large: an anti-join on equality over the ancestors."""
+    """Rows under none of the paths of a table, which may be large: an anti-join on equality over the ancestors.
+
+    Up to INLINE paths are tested where the rows lie, up to SMALL are broadcast; what they hit, not the listing, is what is joined again.
+    """
+    gone = prefixes.select(F.col(column).alias("__above")).filter("__above IS NOT NULL").distinct()
+    n = gone.limit(SMALL + 1).count()
+    if n <= INLINE:
+        return not_excluded(files, [r["__above"] for r in gone.collect()])
     at = files.select("path", F.explode("ancestors").alias("__above"))
-    gone = at.join(prefixes.select(F.col(column).alias("__above")).distinct(), "__above").select("path").distinct()
-    return files.join(gone, "path", "left_anti")
+    hit = at.join(F.broadcast(gone) if n <= SMALL else gone, "__above", "left_semi").select("path")
+    return files.join(small_side(hit), "path", "left_anti")
 
 
 def mounts_excluded(mounts: DataFrame, roots: list[str], fstypes: tuple[str, ...] = (), exclude_network: bool = True, removable: tuple[str, ...] = ()) -> DataFrame:

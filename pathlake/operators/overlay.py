@@ -7,13 +7,16 @@ Prefix conditions are joins on equality with the array of ancestors, never LIKE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlake.functions.paths import ancestors_of
-from pathlake.operators.search import small_side
+from pathlake.operators.search import SMALL, small_side
+from pathlake.sources.shared import checkpointed
 
 META = ("path", "size", "mtime", "is_dir")
+#: So many tombstones or excluded paths are written into the plan as literals.
+INLINE = 64
 
 
 def latest(delta: DataFrame) -> DataFrame:
@@ -29,10 +32,21 @@ def tombstones(delta: DataFrame) -> DataFrame:
 
 
 def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (path, seq, ...) that no tombstone of theirs is newer than."""
+    """rows (path, seq, ...) that no tombstone of theirs is newer than.
+
+    A few tombstones (INLINE) are written into the plan and rows are filtered where they lie. More of them are joined with the ancestors, by
+    broadcast up to SMALL, and only what they hit is taken out of the rows.
+    """
+    n = gone.limit(SMALL + 1).count()
+    if n <= INLINE:
+        dead = F.lit(False)
+        for r in gone.collect():
+            root = "/" if r["root"] == "/" else r["root"] + "/"
+            dead |= ((F.col("path") == r["root"]) | F.col("path").startswith(root)) & (F.col("seq") <= r["gone_at"])
+        return rows.filter(~dead)
     at = rows.select("path", "seq", F.explode(ancestors_of(F.col("path"))).alias("root"))
-    dead = at.join(small_side(gone), "root").filter("gone_at >= seq").select("path", "seq").distinct()
-    return rows.join(dead, ["path", "seq"], "left_anti")
+    dead = at.join(F.broadcast(gone) if n <= SMALL else gone, "root").filter("gone_at >= seq").select("path", "seq")
+    return rows.join(small_side(dead), ["path", "seq"], "left_anti")
 
 
 def merge(base: DataFrame, delta: DataFrame, base_seq: int = -1) -> DataFrame:
@@ -50,8 +64,10 @@ def prune(delta: DataFrame, base: DataFrame) -> DataFrame:
     """After a rebuild: upserts of paths that the new base lacks, and removals of paths that it has (their subtrees too)."""
     last = latest(delta)
     added = last.filter("op = 'upsert'").join(base.select("path"), "path", "left_anti")
-    there = base.select(F.explode(ancestors_of(F.col("path"))).alias("path")).distinct()
-    removed = last.filter("op = 'remove'").join(there, "path", "left_semi")
+    # the removals are the small side: only ancestors that one of them names are shuffled
+    gone = last.filter("op = 'remove'")
+    there = base.select(F.explode(ancestors_of(F.col("path"))).alias("path")).join(small_side(gone.select("path")), "path", "left_semi").distinct()
+    removed = gone.join(there, "path", "left_semi")
     return added.unionByName(removed)
 
 
@@ -61,19 +77,20 @@ def dirty(delta: DataFrame) -> DataFrame:
 
 
 def assign_ids(entries: DataFrame) -> DataFrame:
-    """entries with `id` in the order of paths: the same for the same entries. Ranges of paths are numbered side by side; no task sees them all."""
-    from pyspark.sql.types import LongType, StructField
-
-    ordered = entries.repartitionByRange("path").sortWithinPartitions("path").withColumn("__part", F.spark_partition_id())
-    sizes = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}  # a number a partition
-    start, offsets = 1, []
-    for p in sorted(sizes):
-        offsets.append((p, start))
-        start += sizes[p]
-    spark = entries.sparkSession
-    if not offsets:
-        return spark.createDataFrame([], entries.schema.add(StructField("id", LongType(), False)))
-    table = spark.createDataFrame(offsets, "__part int, __start long")
-    w = Window.partitionBy("__part").orderBy("path")
-    rows = ordered.join(F.broadcast(table), "__part")
-    return rows.withColumn("id", F.col("__start") + F.row_number().over(w) - 1).drop("__part", "__start")
+    """entries with `id` in the order of paths: the same for the same entries. Ranges of paths are numbered side by side; no task sees them all.
+
+    The ordered rows are written once, with the place of each in its range: the bounds of ranges are drawn from a sample, and would not be
+    the same in a second run. Counting ranges and numbering rows both read what was written.
+    """
+    row = (1 << 33) - 1  # monotonically_increasing_id: the partition's number above 33 bits, the row's place below
+    ordered = entries.repartitionByRange("path").sortWithinPartitions("path").withColumn("__at", F.monotonically_increasing_id())
+    ordered = checkpointed(ordered)
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = ordered.groupBy(part).agg(F.count("*").alias("n")).orderBy("__part").collect()  # a number a partition
+    offsets, start = [], 1
+    for r in sizes:
+        offsets.append((r["__part"], start))
+        start += r["n"]
+    table = entries.sparkSession.createDataFrame(offsets, "__part long, __start long")
+    rows = ordered.withColumn("__part", part).join(F.broadcast(table), "__part")
+    return rows.withColumn("id", F.col("__start") + F.col("__at").bitwiseAND(F.lit(row))).drop("__part", "__start", "__at")

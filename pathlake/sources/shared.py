@@ -1,16 +1,32 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and what is kept there for a while."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (as in tests) a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own. On a cluster that would be of no use to executors, so it is an error there."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="pathlake-shared-")
-        spark.sparkContext.setCheckpointDir(at)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
     return at
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of the shared store, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -105,11 +105,47 @@ def test_trash(spark):
         assert spark.range(1).select(codecs.encode_path_column(F.lit(p))).first()[0] == codecs.encode_path(p)
     assert codecs.decode_path("/a%zz") == "/a%zz"
     plan = trash.trash_plan(spark.createDataFrame([("/x/n.txt",), ("/y/n.txt",)], "path string"), spark.createDataFrame([("n.txt",)], "name string"), "2024-01-01T00:00:00").collect()
-    assert {(r["path"], r["name"]) for r in plan} == {("/x/n.txt", "n.1.txt"), ("/y/n.txt", "n.2.txt")} and "Path=/x/n.txt" in "".join(r["info"] for r in plan)
+    assert {(r["path"], r["name"]) for r in plan} == {("/x/n.txt", "n.txt.2"), ("/y/n.txt", "n.txt.3")} and "Path=/x/n.txt" in "".join(r["info"] for r in plan)
     back = trash.restore_plan(info, spark.createDataFrame([("/café",)], "path string")).collect()
     assert {r["target"]: r["conflict"] for r in back}["/café"] is True
 
 
+def test_planned_names_never_meet(spark):
+    """Names that look like numbered ones, whether in use or wanted, are never given to another."""
+    wanted = [f"/{d}/{n}" for d in "uvw" for n in ("a.txt", "a.txt.2", "a.txt.7", "b", "c.3", "9", ".2", "x.02")]
+    taken = ["a.txt", "a.txt.2", "c.3", "c.4", "b.2"]
+    rows = trash.trash_plan(spark.createDataFrame([(p,) for p in wanted], "path string"), spark.createDataFrame([(n,) for n in taken], "name string"), "2024").collect()
+    names = [r["name"] for r in rows]
+    assert len(names) == len(wanted) == len(set(names)) and not set(names) & set(taken)
+    assert {"a.txt.7", "b", "9", ".2", "x.02"} <= set(names) and {r["path"]: r["name"] for r in rows}["/u/c.3"] == "c.5"
+    items = spark.createDataFrame([("1", "/d/r.txt"), ("2", "/d/r.txt"), ("3", "/e/r.txt"), ("4", "/q"), ("5", "/d/k.tar.gz")], "name string, original_path string")
+    existing = spark.createDataFrame([("/d/r.txt",), ("/d/r.2.txt",), ("/d/k.tar.gz",), ("/other/r.txt",)], "path string")
+    got = {r["name"]: (r["conflict"], r["free"]) for r in trash.restore_plan(items, existing).collect()}
+    assert got == {"1": (True, "/d/r.3.txt"), "2": (True, "/d/r.4.txt"), "3": (False, "/e/r.txt"), "4": (False, "/q"), "5": (True, "/d/k.tar.2.gz")}
+
+
+def test_ids_beyond_the_range_sampler(spark):
+    """More rows than the sampler of ranges takes: its bounds differ from run to run."""
+    rows = spark.range(1_000_000).select(F.concat(F.lit("/p"), F.xxhash64("id").cast("string")).alias("path"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.lit(False).alias("is_dir"))
+    got = overlay.assign_ids(rows.repartition(16))
+    n = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    assert tuple(n) == (1_000_000, 1_000_000, 1, 1_000_000)
+    w = got.select("path", "id").orderBy("path").select("id").rdd.map(lambda r: r[0]).take(2000)
+    assert w == list(range(1, 2001))
+
+
+def test_many_tombstones_and_prefixes(spark):
+    """Beyond the few that are written into the plan, the joins say the same."""
+    base = spark.createDataFrame([(f"/d{i % 50}/f{i}", 1, 1, False) for i in range(400)], ENTRY)
+    delta = [gone(f"/d{i}", 5) for i in range(0, 50, 3)] + [gone(f"/none{i}", 5) for i in range(overlay.INLINE + 10)] + [up("/d3/new", 6), up("/d6/old", 4)]
+    got = {r["path"] for r in overlay.merge(base, spark.createDataFrame(delta, DELTA)).collect()}
+    assert got == {f"/d{i % 50}/f{i}" for i in range(400) if i % 50 % 3} | {"/d3/new"}
+    files = paths.derive(base)
+    many = [f"/d{i}" for i in range(0, 50, 3)] + [f"/none{i}" for i in range(overlay.INLINE)]
+    left = exclusions.excluded_by(files, spark.createDataFrame([(p,) for p in many], "path string"))
+    assert {r["path"] for r in left.collect()} == {f"/d{i % 50}/f{i}" for i in range(400) if i % 50 % 3}
+
+
 def test_rename_preview(spark):
     rows = paths.derive(spark.createDataFrame([("/d/a1.txt", 1, 1, False), ("/d/a2.txt", 1, 1, False), ("/d/b1.txt", 1, 1, False), ("/d/c.txt", 1, 1, False)], ENTRY))
     got = {r["path"]: (r["new_path"], r["conflict"]) for r in trash.rename_preview(rows, rows, "a", "b").collect()}
