@@ -214,16 +214,24 @@ def tables(keys: list[str], v: Vocabulary, trie: Trie) -> dict[str, np.ndarray]:
     lp = np.concatenate([f[3] for f in found])[pick]
     count = np.bincount(state, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
-    total, q = np.zeros(n), np.empty(len(lp))
+    q = np.empty(len(lp))
     level = np.cumsum(np.bincount(local)).tolist()
+    # a state is at least as probable as its characters one by one: where that is no denormal number, logarithms are not needed
+    plain = deepest * -lp[size[pick] == 1].min() < 700
+    total = np.ones(n) if plain else np.zeros(n)
+    p = np.exp(lp) if plain else lp
     for lo, hi in zip(level, level[1:]):
         a, b = int(first[lo]), int(first[hi])
-        vals = lp[a:b] + total[prev[a:b]]
         head, own = first[lo:hi] - a, state[a:b] - lo
-        m = np.maximum.reduceat(vals, head)
-        e = np.exp(vals - m[own])
-        z = np.add.reduceat(e, head)
-        total[lo:hi] = m + np.log(z)
+        if plain:
+            e = p[a:b] * total[prev[a:b]]
+            total[lo:hi] = z = np.add.reduceat(e, head)
+        else:
+            e = p[a:b] + total[prev[a:b]]
+            m = np.maximum.reduceat(e, head)
+            e = np.exp(e - m[own])
+            z = np.add.reduceat(e, head)
+            total[lo:hi] = m + np.log(z)
         q[a:b] = e / z[own]
     # what is near 1 is not subtracted from it: the others are summed
     most = np.flatnonzero(q > 0.5)
@@ -276,7 +284,7 @@ class Lattice:
         codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         fresh = list(islice(self.number, had, None))
         lasts = [self.last]
-        for lo, hi in chunks([len(w) for w in fresh], BLOCK):
+        for lo, hi in chunks(list(map(len, fresh)), BLOCK):
             t = tables(fresh[lo:hi], self.v, self.trie)
             t["prev"] += np.where(t["prev"] < 0, 0, self.n_states)
             t["first"] += self.n_edges
@@ -349,11 +357,6 @@ def uniform(base: np.ndarray, sample: int, step: int) -> np.ndarray:
     return (x >> np.uint64(11)) * 2.0**-53
 
 
-def _gumbel_below(mu: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
-    """Gumbels of locations mu, each conditioned on being at most `bound`."""
-    return -np.logaddexp(-bound, np.log(-np.log1p(-np.maximum(u, 2.0**-54))) - mu)
-
-
 @dataclass
 class Sample:
     ids: np.ndarray
@@ -517,21 +520,26 @@ class Sampler:
                 s = begun[on][:, None] + np.arange(width)
                 inside = s < n[on][:, None]
                 e = edges[here[on][:, None] + np.minimum(s, n[on][:, None] - 1)]
-                logq = np.where(inside, np.log(lat.q[e]), 0.0)
+                q = np.where(inside, lat.q[e], 1.0)
                 rest = np.where(inside, lat.rest[e], 0.0)
                 for j in np.flatnonzero(begun[on] == step0[on]).tolist() if m > 1 else ():
                     node = rows[on[j]][1]
                     rest[j, 0] = lat.others(node.state, node.taken | {int(e[j, 0])})[1].sum()
-                run = np.cumsum(logq, axis=1)
-                shared = before[on][:, None] + run - logq
-                r, c = np.nonzero(rest > 0)
-                gum = np.full(rest.shape, -np.inf)
-                gum[r, c] = _gumbel_below(shared[r, c] + np.log(rest[r, c]), bound[on[r]], uniform(place_of(own[on[r]], s[r, c]), m + 64, 1))
-                gum, steps, masses = np.concatenate([top[on], gum], 1), np.concatenate([step[on], s], 1), np.concatenate([pre[on], shared], 1)
-                pick = np.argpartition(-gum, need - 1, axis=1)[:, :need]
-                pick = np.take_along_axis(pick, np.argsort(-np.take_along_axis(gum, pick, 1), axis=1, kind="stable"), 1)
-                top[on], step[on], pre[on] = (np.take_along_axis(x, pick, 1) for x in (gum, steps, masses))
-                before[on] += run[:, -1]
+                run = np.cumprod(q, axis=1)
+                shared = np.concatenate([np.ones((len(on), 1)), run[:, :-1]], 1)
+                # of exponentials over masses the least are the greatest Gumbels: only of these the logarithms are needed
+                with np.errstate(divide="ignore"):
+                    late = -np.log1p(-np.maximum(uniform(place_of(own[on][:, None], s), m + 64, 1), 2.0**-54)) / (shared * rest)
+                    w = min(need, width)
+                    pick = np.argpartition(late, w - 1, axis=1)[:, :w] if w < width else np.arange(width)[None].repeat(len(on), 0)
+                    late, s, shared = (np.take_along_axis(x, pick, 1) for x in (late, s, shared))
+                    gum = -np.logaddexp(-bound[on][:, None], np.log(late) - before[on][:, None])
+                    masses = np.log(shared) + before[on][:, None]
+                gum, s, masses = np.concatenate([top[on], gum], 1), np.concatenate([step[on], s], 1), np.concatenate([pre[on], masses], 1)
+                pick = np.argsort(-gum, axis=1, kind="stable")[:, :need]
+                top[on], step[on], pre[on] = (np.take_along_axis(x, pick, 1) for x in (gum, s, masses))
+                with np.errstate(divide="ignore"):
+                    before[on] += np.log(run[:, -1])
                 begun[on] += width
                 on = on[(begun[on] < n[on]) & (before[on] + FARTHEST >= top[on, -1])]
             best[lo : lo + SLAB] = top[:, 0]
