@@ -26,7 +26,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a file or folder of the shared store, if it is there."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder of the shared store; none if it isn't there."""
+    at, fs = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
