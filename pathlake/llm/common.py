@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathlake.sources.shared import checkpointed, shared_dir  # noqa: F401  (for the operators and the pipeline)
+
 #: A lookup side of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -19,21 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="pathlake-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh_name(df: DataFrame, like: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{like}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def spread(rows: DataFrame) -> DataFrame:

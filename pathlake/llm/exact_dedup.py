@@ -1,45 +1,39 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash.
 
 New rows are digested, reduced to one row a digest, held against the index by a sort-merge anti-join,
-and what is new is appended. The index is a table in the warehouse (bucketBy + sortBy), so the join
-reads it without a shuffle, and it stays between jobs.
+and what is new is appended. The index is a bucketed and sorted table in the shared folder, so the join
+reads it without a shuffle, and it stays between jobs and sessions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pathlake.llm.common import checkpointed, lookup
+from pathlake.llm.common import BROADCAST_ROWS, checkpointed, fresh_name, lookup
+from pathlake.sources.shared import delete, shared_dir, subfolders
 
 #: The white space that doesn't count: code points 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
-INDEX = T.StructType(
-    [
-        T.StructField("text_sha256", T.StringType()),
-        T.StructField("keep_id", T.LongType()),
-        T.StructField("n_rows", T.LongType()),
-        T.StructField("keep_row", T.LongType()),
-        T.StructField("batch", T.LongType()),
-    ]
-)
+
+def digest(text: str) -> Column:
+    """SHA-256 of a text without white space; null counts as empty."""
+    return F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACES, ""), 256)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, n, text_sha256) of every row: code points of the text and digest of the text without white space."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """(doc_id, row, n, text_sha256) of every row: code points of the text and digest of the text without white space. Ids keep their type."""
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
-        F.char_length(text).alias("n"),
-        F.sha2(F.translate(text, SPACES, ""), 256).alias("text_sha256"),
+        F.char_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n"),
+        digest(text_col).alias("text_sha256"),
     )
 
 
 class DigestIndex:
-    """The digests of all that was ever added, as warehouse table `name`.
+    """The digests of all that was ever added, as table `name` (text_sha256, keep_id, n_rows, batch) in a folder of the shared store.
 
     add(docs) returns one row per document, dropped ones too:
     doc_id, keep_id, group_size, kept, text_sha256.
@@ -48,82 +42,104 @@ class DigestIndex:
     * Of equal texts in one batch the one with the most code points stays, then the smallest doc_id, then
       (repeated rows) any one of them: exactly one row of a group is kept. A null doc_id loses every tie.
     * Texts that an earlier batch holds are dropped; keep_id is then that batch's. group_size counts the rows
-      of the batch and those that stood in the index.
-    * An empty table gives no rows. Other columns are not read, so their names cannot clash.
+      of this batch and those of the batch that held the text first.
+    * A batch may be added again, as by a job that is run again after it failed: the answer is the same and the index does not grow.
+      Batches are told apart by the name that add() is given or, without one, by a hash of their digests and ids.
+    * An empty table gives no rows. Other columns are not read, so their names cannot clash. Ids may be of any type that has an order.
+
+    A session without the table attaches the folder's files. The number of buckets is that of the files that are there; it only counts for a new index.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, folder: str | None = None):
         self.spark, self.name = spark, name
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        self.folder = folder or f"{shared_dir(spark)}/{name}"
+        there = [x for x in subfolders(spark, self.folder) if x.startswith("buckets-")]
+        self.buckets = int(there[0].split("-")[1]) if there else buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name) if self.exists() else self.spark.createDataFrame([], INDEX)
+        return self.spark.table(self.name)
 
-    def drop(self) -> None:
+    def drop(self) -> DigestIndex:
+        """Removes the table and its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.folder)
+        return self
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        # digested once; the two uses below read small rows
-        rows = checkpointed(digests(docs, id_col, text_col))
-        # one row a digest before anything is shuffled: a text with a third of all rows is one row a task here
-        best = rows.groupBy("text_sha256").agg(
-            F.max(F.struct("n", F.bitwise_not("doc_id").alias("i"), F.bitwise_not("row").alias("r"))).alias("best"),
-            F.count("*").alias("n_rows"),
-        )
-        batch = 0
-        if self.exists():
-            batch = 1 + (self.table().agg(F.max("batch")).first()[0] or 0)
-        found = best.select(
-            "text_sha256",
-            F.bitwise_not("best.i").alias("keep_id"),
-            "n_rows",
-            F.bitwise_not("best.r").alias("keep_row"),
-            F.lit(batch).cast("long").alias("batch"),
+    def _create(self, id_type: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id {id_type}, n_rows BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/buckets-{self.buckets}'"
         )
-        if batch:
-            found = checkpointed(found)
-            new = found.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        else:
-            new = found
-        (
-            new.select(*INDEX.names)
-            .repartition(self.buckets, "text_sha256")
-            .write.mode("append")
-            .bucketBy(self.buckets, "text_sha256")
-            .sortBy("text_sha256")
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
-        index = self.table()
-        if batch:
-            here = found.select("text_sha256", F.col("n_rows").alias("n_here"))
-            index = index.join(here, "text_sha256").withColumn("n_rows", F.when(F.col("batch") == batch, F.col("n_rows")).otherwise(F.col("n_rows") + F.col("n_here"))).drop("n_here")
-        out = lookup(rows, index, "text_sha256", "n_rows", rows.count())
-        return out.select(
-            "doc_id",
-            "keep_id",
-            F.col("n_rows").alias("group_size"),
-            ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            "text_sha256",
-        )
-
 
-def unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def resolve(self, docs: DataFrame, id_col: str, text_col: str, batch: str | None) -> DataFrame:
+        """(doc_id, row, text_sha256, keep_id, group_size, here, kept) of every row; here: this batch is the first with its text."""
+        # digested once; what follows reads small rows
+        rows = checkpointed(digests(docs, id_col, text_col))
+        # one row a digest before anything is shuffled: a text with a third of all rows is one row a task here
+        order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+        best = rows.groupBy("text_sha256").agg(F.min(order).alias("b"), F.count("*").alias("n_here"))
+        best = checkpointed(best.select("text_sha256", F.col("b.doc_id").alias("id_here"), F.col("b.row").alias("keep_row"), "n_here"))
+        said = best.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n_here"), F.lit(0)).alias("n"), F.sum(F.xxhash64("text_sha256", "id_here").cast("decimal(38,0)")).alias("h")).first()
+        batch = batch or f"{said['n']}-{said['h']}"
+        self._create(rows.schema["doc_id"].dataType.simpleString())
+        new = checkpointed(best.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+        first = new.select("text_sha256", F.col("id_here").alias("keep_id"), F.col("n_here").alias("group_size"), F.lit(True).alias("here"), "keep_row", "n_here")
+        n_new = new.count()
+        if n_new < said["digests"]:
+            held = best.join(self.table().hint("merge"), "text_sha256")
+            again = F.col("batch") == batch
+            old = held.select(
+                "text_sha256",
+                F.when(again, F.col("id_here")).otherwise(F.col("keep_id")).alias("keep_id"),
+                F.when(again, F.col("n_here")).otherwise(F.col("n_here") + F.col("n_rows")).alias("group_size"),
+                again.alias("here"),
+                "keep_row",
+                "n_here",
+            )
+            first = first.unionByName(checkpointed(old))  # read before the index grows
+        if n_new:
+            (
+                new.select("text_sha256", F.col("id_here").alias("keep_id"), F.col("n_here").alias("n_rows"), F.lit(batch).alias("batch"))
+                .repartition(self.buckets, "text_sha256")
+                .write.mode("append")
+                .bucketBy(self.buckets, "text_sha256")
+                .sortBy("text_sha256")
+                .format("parquet")
+                .option("path", f"{self.folder}/buckets-{self.buckets}")
+                .saveAsTable(self.name)
+            )
+        out = lookup(rows, first, "text_sha256", "n_here", said["n"])
+        return out.withColumn("kept", F.col("here") & (F.col("row") == F.col("keep_row")))
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        return self.resolve(docs, id_col, text_col, batch).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of docs that the index keeps, all columns as they were: of equal texts one row, also where rows repeat.
 
-    Rows are matched to their digest and id (neither is hot: of a text one row is kept), so each is shuffled once. A null id is
-    matched like any other.
+    What goes is named by digest and id and taken out by an anti-join, by broadcast while it is small; beyond that texts are shuffled once.
+    A null id is matched like any other. Columns may have any names.
     """
-    from pyspark.sql import Window
-
-    kept = checkpointed(index.add(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("__digest", F.sha2(F.translate(text, SPACES, ""), 256))
-    on = marked[id_col].cast("long").eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__sha"])
-    found = marked.join(kept, on, "left_semi")
-    # repeated rows (the same id and text) are still there: one stays, of those with the most code points
-    w = Window.partitionBy("__digest", id_col).orderBy(F.desc(F.char_length(text)))
-    return found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = index.resolve(docs, id_col, text_col, batch)
+    # rows that repeat the kept one's text and id cannot be told from it by these: one of them stays
+    same = F.col("here") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = checkpointed(found.filter(~F.col("kept")).select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"), same.alias("__same")).distinct())
+    sha = fresh_name(docs, "digest")
+    marked = docs.withColumn(sha, digest(text_col))
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    def on(rows: DataFrame) -> Column:
+        return (marked[sha] == rows["__sha"]) & marked[f"`{id_col}`"].eqNullSafe(rows["__id"])
+
+    drop, repeat = side(gone.filter("not __same")), gone.filter("__same")
+    left = marked.join(drop, on(drop), "left_anti")
+    if repeat.count():
+        repeat = side(repeat)
+        n = fresh_name(left, "n")
+        w = Window.partitionBy(sha, f"`{id_col}`").orderBy(F.desc(F.char_length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+        one = left.join(repeat, on(repeat), "left_semi").withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
+        left = left.join(repeat, on(repeat), "left_anti").unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

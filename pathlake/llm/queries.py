@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents"))
+    """The index of this table alone: what an earlier run left of it goes, so that the answer depends on the table only."""
+    index = exact_dedup.DigestIndex(spark, f"digest_index_op5_{zlib.crc32(sf_dir.encode()):08x}").drop()
+    return index.add(table(spark, sf_dir, "documents"), batch="documents")
 
 
 OP5_SQL = r"""

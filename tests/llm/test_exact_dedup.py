@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from pathlake.llm.exact_dedup import DigestIndex
+from pathlake.llm.exact_dedup import DigestIndex, unique
 
 
 def norm(t):
@@ -39,3 +39,41 @@ def test_second_batch_is_held_against_the_index(spark, documents):
 
 def test_empty_table(spark, documents):
     assert DigestIndex(spark, "t_empty", 4).add(documents([])).count() == 0
+
+
+def test_a_batch_may_be_added_again(spark, documents):
+    """As by a retry after the index had grown: the same answer, and no second copy in the index."""
+    index = DigestIndex(spark, "t_again", 4)
+    old, new = documents([(1, "a"), (2, "b")]), documents([(3, "b"), (4, "c"), (5, "c ")])
+    index.add(old, batch="one").collect()
+    first = sorted(map(tuple, index.add(new, batch="two").collect()))
+    again = sorted(map(tuple, DigestIndex(spark, "t_again", 99).add(new, batch="two").collect()))
+    assert first == again and {r[0]: r[3] for r in first} == {3: False, 4: False, 5: True} and index.table().count() == 3
+    assert {r["doc_id"] for r in unique(new, index, batch="two").collect()} == {5}
+    # without a name, equal rows are the same batch
+    other = documents([(8, "z"), (9, "z")])
+    assert sorted(map(tuple, index.add(other).collect())) == sorted(map(tuple, index.add(other).collect()))
+    # a session that does not know the table finds its files
+    spark.sql("DROP TABLE t_again")
+    assert [r["kept"] for r in DigestIndex(spark, "t_again", 16).add(documents([(70, "a")]), batch="three").collect()] == [False]
+    index.drop()
+
+
+def test_unique_keeps_rows_and_names_as_they_are(spark):
+    """Repeated rows, null ids, text ids and columns that are called like our own."""
+    rows = [("x", "a b", 1, "p"), ("x", "a b", 1, "p"), ("y", "ab", 2, None), (None, "c", 3, "q"), (None, "c ", 3, "q"), ("z", None, 4, "r"), ("w", "", 5, "s"), ("x", "other", 6, "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __digest long, __n string")
+    got = unique(docs, DigestIndex(spark, "t_names", 4))
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("x", "a b", 1, "p"), (None, "c ", 3, "q"), ("w", "", 5, "s"), ("x", "other", 6, "t")]))
+    assert unique(docs.limit(0), DigestIndex(spark, "t_none", 4)).count() == 0
+
+
+def test_the_query_holds_its_table_against_the_index(spark, documents, tmp_path):
+    """The anti-join is there for an empty index too, and a second run of the query answers the same."""
+    from pathlake.llm.queries import op5_exact_dedup
+
+    documents([(1, "a"), (2, "a "), (3, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    for _ in range(2):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in op5_exact_dedup(spark, str(tmp_path)).collect()}
+        assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
