@@ -7,6 +7,8 @@ have no text. Missing and misnested end tags are closed the way browsers do for
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from html import unescape
 
 #: Element names by their parsing rule.
@@ -15,11 +17,13 @@ RAW = frozenset("button script style noscript template iframe textarea select sv
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
+SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 
 NAME = re.compile(r"[A-Za-z][^\s/>\x00]*")
 #: Searched in the page as it is: lower() may change its length (U+0130), and with it every position.
 RAW_END = {tag: re.compile(f"</{tag}", re.ASCII | re.IGNORECASE) for tag in RAW}
+#: The end of a tag, or a quote that begins a value.
+TAG_STOP = re.compile(r""">|=\s*(["'])""")
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -35,28 +39,44 @@ class Node:
             parent.children.append(self)
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Where the tag that begins before `at` ends: its ">" outside quotes, or the end of the text."""
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that begins before `at` ends: its ">" outside quoted values, or the end of the text. last: where each kind of quote stands last."""
     end = html.find(">", at)
     if end < 0:
         return len(html)
-    if '"' not in html[at:end] and "'" not in html[at:end]:
-        return end
-    quote, i, n = "", at, len(html)
-    value = False
-    while i < n:
-        c = html[i]
-        if quote:
-            if c == quote:
-                quote = ""
-        elif c in "\"'" and value:
-            quote = c
-        elif c == ">":
-            return i
-        if not c.isspace():
-            value = c == "="
-        i += 1
-    return end  # a quote that never closes: the first ">" ends the tag
+    i = at
+    while m := TAG_STOP.search(html, i):
+        if m[0] == ">":
+            return m.start()
+        close = html.find(m[1], m.end()) if m.end() <= last[m[1]] else -1
+        if close < 0:  # a quote that never closes: the first ">" ends the tag
+            return end
+        i = close + 1
+    return end
+
+
+class Stack:
+    """The open elements, and where in the stack those of each tag are: questions about tags don't walk the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def top(self, *tags: str) -> int:
+        """The place of the last open element with one of these tags; 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first_above(self, tags, floor: int) -> int:
+        """The lowest place above floor of an element with one of these tags; 0 without one."""
+        found = [x[k] for t in tags if (x := self.at.get(t)) and (k := bisect_right(x, floor)) < len(x)]
+        return min(found, default=0)
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -66,31 +86,34 @@ def attributes(text: str) -> dict[str, str]:
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """(nodes, blocks): block elements in page order, the root first; runs of text between block boundaries with the element that holds them."""
     root = Node("#root", {}, None, 0, 0)
-    nodes, stack = [root], [root]
+    nodes, stack = [root], Stack(root)
     blocks: list[tuple[Node, str]] = []
     run: list[str] = []
     inlines: list[str] = []  # open inline elements of the current block
+    open_: Counter[str] = Counter()  # how many of each
     at, n = 0, len(html)
+    last = {q: html.rfind(q) for q in "\"'"}
 
     def flush():
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((stack[-1], text))
+                blocks.append((stack.nodes[-1], text))
             run.clear()
 
     def say(raw: str):
         text = unescape(raw) if "&" in raw else raw
         run.append(text)
         size = len(text.strip())
-        stack[-1].own += size
-        if "a" in inlines:
-            stack[-1].links += size
+        stack.nodes[-1].own += size
+        if open_["a"]:
+            stack.nodes[-1].links += size
 
     def pop_to(k: int):
         flush()
-        del stack[k:]
+        stack.cut(k)
         inlines.clear()
+        open_.clear()
 
     while at < n:
         lt = html.find("<", at)
@@ -122,23 +145,23 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 at = lt + 1
             continue
         tag = m[0].lower()
-        end = _tag_end(html, m.end())
+        end = _tag_end(html, m.end(), last)
         at = end + 1
         if closing:
             if tag == "br":
                 run.append(" ")
             elif tag in INLINE:
-                if tag in inlines:
-                    del inlines[len(inlines) - 1 - inlines[::-1].index(tag) :]
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+                if open_[tag]:
+                    while True:
+                        gone = inlines.pop()
+                        open_[gone] -= 1
+                        if gone == tag:
+                            break
+            elif k := stack.top(tag):
+                if tag not in ("div", "p", "li") or k > stack.top("table", "td", "th"):
+                    pop_to(k)
+            elif tag == "p":
                 flush()
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
-                    if stack[k].tag in ("table", "td", "th") and tag in ("div", "p", "li", "span"):
-                        break
             continue
         if tag in RAW:
             if tag not in ("title",):
@@ -160,33 +183,26 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag in INLINE:
             inlines.append(tag)
-            stack[-1].inline += 1
+            open_[tag] += 1
+            stack.nodes[-1].inline += 1
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and stack.top(tag):
             continue
         if tag == "body":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "head":
-                    pop_to(k)
+            if k := stack.first_above(("head",), 0):
+                pop_to(k)
         elif tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in ("td", "th", "table", "button"):
-                    break
+            if (k := stack.top("p")) > stack.top("td", "th", "table"):
+                pop_to(k)
         if tag in SIBLINGS:
-            stop = SCOPE.get(tag, {"table"})
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
-                    break
-                if stack[k].tag in SIBLINGS[tag]:
-                    pop_to(k)
+            if k := stack.first_above(SIBLINGS[tag], stack.top(*SCOPE.get(tag, ("table",)))):
+                pop_to(k)
         flush()
         inlines.clear()
+        open_.clear()
         attrs = attributes(html[m.end() : end]) if end > m.end() else {}
-        node = Node(tag, attrs, stack[-1], len(nodes), lt)
+        node = Node(tag, attrs, stack.nodes[-1], len(nodes), lt)
         nodes.append(node)
-        stack.append(node)
+        stack.push(node)
     flush()
     return nodes, blocks

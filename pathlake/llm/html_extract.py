@@ -1,6 +1,6 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, and a hierarchical decoding.
 
-Trees give each block element the odds of holding main text, from its tag, its attribute tokens and those
+Trees give each block element the odds of holding main text, from its tag, its attribute tokens (hashed, with learned odds) and those
 above it, depth, text and link density of its subtree, and its siblings. Decoding then chooses the most
 likely set of elements in which nothing is kept under an element that is dropped. The tables have no labels
 for pages, so the trees are trained on pages made here: layouts of many kinds whose parts are known.
@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,14 +25,13 @@ from pyspark.sql import types as T
 from pathlake.llm.common import field, sigmoid, spread
 from pathlake.llm.dom import Node, parse
 
-#: Words in class, id and role that speak for or against main text.
-FOR = frozenset("article content post entry main body story text page blog hentry markdown prose".split())
-AGAINST = frozenset(
-    "nav navbar navigation menu sidebar side footer foot header masthead head banner ad ads advert advertisement sponsor sponsored promo cookie cookies consent gdpr notice alert comment comments reply disqus respond share sharing social related recommended widget breadcrumb breadcrumbs subscribe newsletter signup login form search popup modal overlay toolbar tags meta byline copyright legal pagination pager skip hidden toc outbrain taboola".split()
-)
-TAGS = ("article", "main", "section", "div", "p", "h", "li", "ul", "table", "blockquote", "nav", "header", "footer", "aside", "form")
+#: Tags that are a feature each. The others are told by their kind, or not at all.
+TAGS = ("article", "main", "section", "div", "p", "h", "li", "ul", "table", "blockquote", "nav", "header", "footer", "aside", "form", "head", "dialog")
+CODES = {tag: i for i, tag in enumerate(("body", *TAGS))}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NEVER = frozenset({"head", "nav", "footer", "form", "dialog"})
+#: Attribute tokens are hashed to so many slots; what each says for or against main text is learned.
+SLOTS = 1 << 12
+NAMING = ("class", "id", "role", "itemprop", "aria-label")
 
 
 def _kind(tag: str) -> str:
@@ -39,15 +40,28 @@ def _kind(tag: str) -> str:
     return {"ol": "ul", "dl": "ul", "dd": "li", "dt": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "pre": "blockquote", "figure": "div", "center": "div"}.get(tag, tag)
 
 
-def _tokens(node: Node) -> tuple[int, int]:
-    said = " ".join(node.attrs.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")) if node.attrs else ""
-    if not said.strip():
-        return 0, 0
-    t = {x.lower() for x in TOKEN.findall(said)}
-    return len(t & FOR), len(t & AGAINST)
+@lru_cache(maxsize=1 << 14)
+def _slots(said: str) -> tuple[int, ...]:
+    return tuple({zlib.crc32(x.lower().encode()) & (SLOTS - 1) for x in TOKEN.findall(said)})
 
 
-def node_features(nodes: list[Node], length: int) -> np.ndarray:
+def slots(node: Node) -> tuple[int, ...]:
+    """The slots of the distinct tokens in an element's naming attributes."""
+    return _slots(" ".join(node.attrs.get(k, "") for k in NAMING)) if node.attrs else ()
+
+
+def token_odds(pages: list[list[Node]], labels: list[float]) -> np.ndarray:
+    """For each slot how much oftener it stands in main-text elements than in others, as log odds drawn towards 0 where it is rare."""
+    hits = np.zeros((2, SLOTS))
+    total = np.zeros(2)
+    for n, y in zip([x for nodes in pages for x in nodes], labels):
+        total[int(y)] += 1
+        hits[int(y), list(slots(n))] += 1
+    seen = hits.sum(0)
+    return (np.log((hits[1] + 0.5) / (total[1] + 1)) - np.log((hits[0] + 0.5) / (total[0] + 1))) * seen / (seen + 4)
+
+
+def node_features(nodes: list[Node], length: int, odds: np.ndarray) -> np.ndarray:
     """One row of numbers a node."""
     n = len(nodes)
     own = np.array([x.own for x in nodes], float)
@@ -59,9 +73,15 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
         k = x.parent.number
         for a in (size, text, link, p, inline):
             a[k] += a[x.number]
-    good, bad = np.array([_tokens(x) for x in nodes], float).reshape(-1, 2).T
+    good, bad = np.zeros(n), np.zeros(n)
+    for x in nodes:
+        for slot in slots(x):
+            if odds[slot] > 0:
+                good[x.number] += odds[slot]
+            else:
+                bad[x.number] -= odds[slot]
     kind = [_kind(x.tag) for x in nodes]
-    above = np.zeros((n, 8))  # good and bad tokens above; and article, main, nav, header, footer or aside, form above
+    above = np.zeros((n, 8))  # tokens for and against above; and article, main, nav, header, footer or aside, form above
     order, same = np.zeros(n, int), np.ones(n, int)  # each child's position and how many of its siblings have its tag
     for x in nodes:
         tags = Counter(c.tag for c in x.children)
@@ -81,14 +101,19 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
             above[i] = a
             sib = x.parent.children
             share = text[i] / max(1.0, text[k])
+            beside = [text[sib[j].number] if 0 <= (j := order[i] + d) < len(sib) else 0.0 for d in (-1, 1)]
+            parent = [CODES.get(kind[k], -1), good[k], bad[k], math.log1p(own[k])]
         else:
-            sib, share = [x], 1.0
+            sib, share, beside, parent = [x], 1.0, [0.0, 0.0], [-2, 0.0, 0.0, 0.0]
         rows.append(
             [
                 *(kind[i] == t for t in TAGS),
                 good[i],
                 bad[i],
                 *above[i],
+                *parent,
+                math.log1p(beside[0]),
+                math.log1p(beside[1]),
                 x.depth,
                 math.log1p(text[i]),
                 math.log1p(own[i]),
@@ -112,12 +137,22 @@ def node_features(nodes: list[Node], length: int) -> np.ndarray:
 class Trees:
     """Gradient-boosted regression trees for a logistic loss, on binned columns."""
 
-    def __init__(self, rounds: int = 50, depth: int = 4, rate: float = 0.25, least: float = 4.0):
+    BINS = 32
+
+    def __init__(self, rounds: int = 90, depth: int = 6, rate: float = 0.3, least: float = 0.4):
         self.rounds, self.depth, self.rate, self.least = rounds, depth, rate, least
 
+    def _sums(self, bins: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Sums of gradients and weights of some rows, by column and bin."""
+        out, g, h = np.empty((2, len(bins), self.BINS)), g[rows], h[rows]
+        for j, b in enumerate(bins):
+            at = b[rows]
+            out[0, j], out[1, j] = np.bincount(at, g, self.BINS), np.bincount(at, h, self.BINS)
+        return out
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-        b = np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)], 1)
+        edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in x.T]
+        bins = [np.searchsorted(e, c, "right") for e, c in zip(edges, x.T)]
         self.base = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         f = np.full(len(y), self.base)
         self.trees = []
@@ -126,32 +161,33 @@ class Trees:
             g, h = y - p, p * (1 - p)
             n_nodes = 2 ** (self.depth + 1) - 1
             col, cut, value = np.full(n_nodes, -1), np.zeros(n_nodes, np.float32), np.zeros(n_nodes, np.float32)
-            at = np.zeros(len(y), int)
+            rows = {0: np.arange(len(y))}
+            sums = {0: self._sums(bins, rows[0], g, h)}
             for node in range(n_nodes):
-                rows = np.flatnonzero(at == node)
-                if not len(rows):
+                if node not in rows:
                     continue
-                gs, hs = g[rows].sum(), h[rows].sum()
+                here = rows.pop(node)
+                gs, hs = g[here].sum(), h[here].sum()
                 value[node] = self.rate * gs / (hs + 1.0)
                 if node >= 2**self.depth - 1:
+                    f[here] += value[node]
                     continue
-                best = (1e-3, -1, 0)
-                for j, e in enumerate(self.edges):
-                    if not len(e):
-                        continue
-                    gl = np.bincount(b[rows, j], g[rows], len(e) + 1).cumsum()[:-1]
-                    hl = np.bincount(b[rows, j], h[rows], len(e) + 1).cumsum()[:-1]
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    gain[(hl < self.least * 0.1) | (hs - hl < self.least * 0.1)] = -1
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (gain[k], j, k)
-                if best[1] < 0:
+                whole = sums.pop(node)
+                gl, hl = whole.cumsum(2)[:, :, :-1]
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                gain[(hl < self.least) | (hs - hl < self.least)] = -1
+                j, k = divmod(int(gain.argmax()), self.BINS - 1)
+                if gain[j, k] <= 1e-3:
+                    f[here] += value[node]
                     continue
-                col[node], cut[node] = best[1], self.edges[best[1]][best[2]]
-                at[rows] = 2 * node + 1 + (b[rows, best[1]] > best[2])
+                col[node], cut[node] = j, edges[j][k]
+                right = bins[j][here] > k
+                rows[2 * node + 1], rows[2 * node + 2] = here[~right], here[right]
+                if 2 * node + 1 < 2**self.depth - 1:  # of two children the smaller is summed, the other is what is left
+                    small, large = (2 * node + 1, 2 * node + 2) if 2 * right.sum() > len(right) else (2 * node + 2, 2 * node + 1)
+                    sums[small] = self._sums(bins, rows[small], g, h)
+                    sums[large] = whole - sums[small]
             self.trees.append((col, cut, value))
-            f = f + self._one(self.trees[-1], x)
         return self
 
     def _one(self, tree, x):
@@ -175,16 +211,12 @@ def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
     """The most likely choice of nodes in which every node above a kept one is kept.
 
     keep[i] is the best log odds of i's subtree with i kept; without i nothing under it is kept and the subtree counts 0.
-    Elements that cannot hold main text by their meaning (NEVER) are dropped with all that they hold.
     """
     gain = np.minimum(margin, 12.0).astype(float)
+    # a wrapper without text of its own costs little to keep for what it holds
     for x in nodes:
-        if x.tag in NEVER:
-            gain[x.number] = -1e9
-    # a wrapper without text of its own costs nothing to keep for what it holds
-    for x in reversed(nodes):
-        if x.own == 0 and x.tag not in NEVER:
-            gain[x.number] = max(gain[x.number], -0.5) if x.children else gain[x.number]
+        if x.own == 0 and x.children:
+            gain[x.number] = max(gain[x.number], -0.5)
     total = gain.copy()
     for x in reversed(nodes[1:]):
         if total[x.number] > 0:
@@ -202,6 +234,21 @@ def assemble(blocks: list[tuple[Node, str]], keep: np.ndarray) -> str:
 
 # --- training pages ---------------------------------------------------------------------------------------
 
+#: What pages made for training call their parts, in class, id or role.
+NAMES = {
+    "main": "article content post entry main body story text page blog hentry markdown prose post-content article-body entry-content post-body main-content story-body articleBody page-content blog-post news-text the-content",
+    "title": "title entry-title headline post-title page-title heading",
+    "own-head": "entry-header post-header article-header story-header",
+    "wrap": "container wrapper page row col layout inner site app root grid section wrap outer",
+    "menu": "menu main-menu navbar nav navigation topNav breadcrumb breadcrumbs toc pagination pager tabs toolbar skip-link",
+    "notice": "ad ads advert ad-slot advertisement sponsored sponsor promo promo-box cookie-banner cookies notice alert consent gdpr popup modal overlay banner-ad taboola outbrain",
+    "side": "sidebar side widget related related-posts recommended newsletter subscribe signup share sharing social tags byline meta-info author-box most-read",
+    "comments": "comments comment-list respond disqus_thread reply comment-body comment replies",
+    "form": "search login newsletter search-form signup contact-form",
+    "head": "header masthead site-header banner logo topbar page-header",
+    "foot": "footer site-footer foot copyright legal bottom colophon",
+}
+
 
 def _page(rng: random.Random) -> str:
     """A page whose main-text elements carry the attribute data-y."""
@@ -210,46 +257,54 @@ def _page(rng: random.Random) -> str:
     para = lambda: " ".join(sentence() for _ in range(rng.randint(1, 8)))
     y = " data-y"
     link = lambda a=1, b=3: f'<a href="/{words(1, 1)}">{words(a, b)}</a>'
-    cls = lambda *names: f' {rng.choice(("class", "class", "id"))}="{rng.choice(names)}"'
     end_p = lambda: rng.choice(("</p>", "</p>", "</p>", ""))
 
+    def cls(part: str) -> str:
+        name = rng.choice(NAMES[part].split())
+        name = rng.choice(("", "", "", "js-", "c-", "theme-")) + name + rng.choice(("", "", "", "-1", " clearfix", "__box", f" {words(1, 1)}"))
+        return f' {rng.choice(("class", "class", "class", "id"))}="{name}"'
+
     def menu():
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
-        return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<div{cls('menu', 'main-menu', 'navbar', 'topNav')}><ul>{items}</ul></div>", f"<nav>{' | '.join(link() for _ in range(5))}</nav>", f"<div{cls('breadcrumb', 'breadcrumbs')}>{link()} &gt; {link()} &gt; {words(1, 3)}</div>"))
+        return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<nav{cls('menu')}><ul>{items}</ul></nav>", f"<div{cls('menu')}><ul>{items}</ul></div>", f"<nav>{' | '.join(link() for _ in range(5))}</nav>", f"<div{cls('menu')}>{link()} &gt; {link()} &gt; {words(1, 3)}</div>", f"<ul{cls('menu')}>{items}</ul>"))
 
     def notice():
-        return rng.choice((f"<div{cls('ad', 'ads', 'advert', 'ad-slot', 'sponsored', 'promo-box')}>{sentence()}</div>", f"<aside>{sentence()}</aside>", f"<div{cls('cookie-banner', 'cookies', 'notice', 'alert', 'consent')}><p>{para()}{end_p()}</div>", f"<div{cls('ad')}><p>{sentence()}</p></div>", f"<p{cls('notice', 'alert', 'advert')}>{sentence()}</p>"))
+        tag = rng.choice(("div", "div", "section", "aside", "dialog"))
+        return rng.choice((f"<div{cls('notice')}>{sentence()}</div>", f"<aside>{sentence()}</aside>", f"<{tag}{cls('notice')}><p>{para()}{end_p()}</{tag}>", f"<div{cls('notice')}><p>{sentence()}</p></div>", f"<p{cls('notice')}>{sentence()}</p>", f"<dialog open><p>{para()}</p></dialog>"))
 
     def side():
         tag = rng.choice(("aside", "div", "section"))
-        inner = f"<h3>{words(1, 4)}</h3>" + rng.choice(("<ul>" + "".join(f"<li>{link(2, 6)}</li>" for _ in range(5)) + "</ul>", f"<p>{para()}</p>", "".join(f"<p>{link(3, 7)}</p>" for _ in range(4))))
-        return f"<{tag}{'' if tag == 'aside' and rng.random() < 0.5 else cls('sidebar', 'side', 'widget', 'related', 'related-posts', 'recommended', 'newsletter', 'subscribe')}>{inner}</{tag}>"
+        inner = f"<h3>{words(1, 4)}</h3>" + rng.choice(("<ul>" + "".join(f"<li>{link(2, 6)}</li>" for _ in range(5)) + "</ul>", f"<p>{para()}</p>", "".join(f"<p>{link(3, 7)}</p>" for _ in range(4)), f"<div><p>{para()}</p><p>{sentence()}</p></div>"))
+        return f"<{tag}{'' if tag == 'aside' and rng.random() < 0.5 else cls('side')}>{inner}</{tag}>"
 
     def comments():
-        one = lambda: f"<{(t := rng.choice(('div', 'li', 'article')))}{cls('comment', 'comment-body', 'reply')}><p>{para()}</p></{t}>"
+        one = lambda: f"<{(t := rng.choice(('div', 'li', 'article')))}{cls('comments')}><p>{para()}</p></{t}>"
         tag = rng.choice(("div", "section"))
-        return f"<{tag}{cls('comments', 'comment-list', 'respond', 'disqus_thread')}><h3>{words(1, 2)}</h3>{''.join(one() for _ in range(rng.randint(1, 6)))}</{tag}>"
+        return f"<{tag}{cls('comments')}><h3>{words(1, 2)}</h3>{''.join(one() for _ in range(rng.randint(1, 6)))}</{tag}>"
 
     def form():
-        return f"<form{rng.choice(('', cls('search', 'login', 'newsletter')))}><p>{sentence(1, 5)}</p><input name=q><button>{words(1, 1)}</button></form>"
+        label = rng.choice((f"<p>{sentence(1, 5)}</p>", f"<div>{words(1, 3)}</div>", words(1, 4), f"<h3>{words(1, 3)}</h3><p>{para()}</p>"))
+        return f"<form{rng.choice(('', cls('form')))}>{label}<input name=q><button>{words(1, 1)}</button></form>"
 
     def head():
-        inner = rng.choice((f"<h1>{words(1, 3)}</h1>{menu()}", f"<p>{sentence(2, 6)}</p>{menu()}", f"<div{cls('logo')}>{link()}</div>", f"<h2>{words(2, 5)}</h2>"))
-        return rng.choice((f"<header>{inner}</header>", f"<div{cls('header', 'masthead', 'site-header', 'banner')}>{inner}</div>", menu()))
+        inner = rng.choice((f"<h1>{words(1, 3)}</h1>{menu()}", f"<p>{sentence(2, 6)}</p>{menu()}", f"<div{cls('head')}>{link()}</div>", f"<h2>{words(2, 5)}</h2>", f"<h1>{link(1, 3)}</h1><p>{sentence(3, 9)}</p>"))
+        return rng.choice((f"<header>{inner}</header>", f"<div{cls('head')}>{inner}</div>", menu()))
 
     def foot():
-        inner = rng.choice((f"&copy; {words(1, 3)} &middot; {sentence()}", f"<p>{sentence()}</p>", "".join(f"<p>{link()}</p>" for _ in range(3)), f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>"))
-        return rng.choice((f"<footer>{inner}</footer>", f"<div{cls('footer', 'site-footer', 'foot', 'copyright')}>{inner}</div>"))
+        inner = rng.choice((f"&copy; {words(1, 3)} &middot; {sentence()}", f"<p>{sentence()}</p>", f"<p>{para()}</p>", "".join(f"<p>{link()}</p>" for _ in range(3)), f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>"))
+        return rng.choice((f"<footer>{inner}</footer>", f"<footer{cls('foot')}>{inner}</footer>", f"<div{cls('foot')}>{inner}</div>"))
 
     def block():
         k = rng.random()
         if k < 0.7:
             t = para() if rng.random() < 0.8 else sentence(1, 5)
+            if rng.random() < 0.06:  # a very long one beside the others
+                t = " ".join([t, para()] * rng.randint(2, 60))
             if rng.random() < 0.3:
                 t = f"{sentence()} {link(1, 4)} {t}"
             if rng.random() < 0.15:
                 t = f"<b>{t}<br>"
-            return f"<p{y}>{t}{end_p()}"
+            return f"<p{y}{cls('main') if rng.random() < 0.08 else ''}>{t}{end_p()}"
         if k < 0.8:
             return f"<h{(h := rng.randint(2, 4))}{y}>{words(1, 7)}</h{h}>"
         if k < 0.87:
@@ -260,55 +315,80 @@ def _page(rng: random.Random) -> str:
             return f"<table{y}>{''.join(f'<tr{y}><td{y}>{words(1, 3)}</td><td{y}>{words(1, 3)}</td></tr>' for _ in range(3))}</table>"
         return f"<div{y}>{para()}</div>"
 
-    def article():
+    def article(plain: bool):
         body = [block() for _ in range(rng.randint(1, 14))]
         if rng.random() < 0.25:  # a very short article
             body = [f"<p{y}>{sentence(1, 6)}{end_p()}" for _ in range(rng.randint(1, 2))]
+        if rng.random() < 0.06:  # no paragraphs: text between line breaks
+            body = [f"{para()}<br><br>{para()}<br>"]
         for make, odds in ((notice, 0.2), (side, 0.1), (form, 0.05)):
             if rng.random() < odds:
                 body.insert(rng.randint(0, len(body)), make())
-        title = f"<h1{y}>{words(2, 9)}</h1>" if rng.random() < 0.85 else ""
+        title = f"<h1{y}{cls('title') if rng.random() < 0.25 else ''}>{words(2, 9)}</h1>" if rng.random() < 0.85 else ""
+        if title and rng.random() < 0.2:  # the article's own header holds its title
+            tag = rng.choice(("header", "header", "div"))
+            title = f"<{tag}{y}{cls('own-head') if tag == 'div' or rng.random() < 0.6 else ''}>{title}</{tag}>"
         inner = title + "".join(body)
         if rng.random() < 0.2:
-            inner = f"{title}<div{y}{cls('body', 'entry-content', 'text', 'post-body')}>{''.join(body)}</div>"
+            inner = f"{title}<div{y}{cls('main')}>{''.join(body)}</div>"
+        if rng.random() < 0.15:
+            inner += foot()
         if rng.random() < 0.15:
             inner += comments()
-        return rng.choice((f"<article{y}>{inner}</article>", f"<article{y}{cls('post', 'hentry')}>{inner}</article>", f"<main{y}>{inner}</main>", f"<main{y}><article{y}>{inner}</article></main>", f"<div{y}{cls('content', 'post', 'post-content', 'article-body', 'entry', 'story', 'main')}>{inner}</div>", f"<section{y}{cls('content', 'article', 'main')}>{inner}</section>", f"<div{y}>{inner}</div>", inner))
+        main = cls("main")
+        if plain:
+            return inner
+        return rng.choice((f"<article{y}>{inner}</article>", f"<article{y}{main}>{inner}</article>", f"<main{y}>{inner}</main>", f"<main{y}><article{y}>{inner}</article></main>", f"<div{y}{main}>{inner}</div>", f"<div{y}{main}>{inner}</div>", f"<section{y}{main}>{inner}</section>", f"<div{y}>{inner}</div>", f"<table{y}><tr{y}><td>{menu()}</td><td{y}>{inner}</td></tr></table>", inner, inner))
 
     before = [make() for make, odds in ((head, 0.8), (menu, 0.6), (notice, 0.6), (form, 0.2)) if rng.random() < odds]
     after = [make() for make, odds in ((side, 0.5), (comments, 0.4), (notice, 0.2), (form, 0.15), (foot, 0.8)) if rng.random() < odds]
-    middle = article()
-    if rng.random() < 0.3:
-        middle = f"<div{y}{rng.choice(('', cls('container', 'wrapper', 'page')))}>{''.join([side()] * (rng.random() < 0.4))}{middle}{''.join([side()] * (rng.random() < 0.4))}</div>"
-    if rng.random() < 0.08:
+    bare = rng.random() < 0.14  # nothing but the article
+    if bare:
         before = after = []
-    return f"<!DOCTYPE html><html{y}><head><title>{words(2, 5)}</title></head><body{y}>{''.join(before)}{middle}{''.join(after)}</body></html>"
+    middle = article(bare and rng.random() < 0.6)
+    if not bare and rng.random() < 0.3:
+        middle = f"<div{y}{rng.choice(('', cls('wrap')))}>{''.join([side()] * (rng.random() < 0.4))}{middle}{''.join([side()] * (rng.random() < 0.4))}</div>"
+    page = f"{''.join(before)}{middle}{''.join(after)}"
+    for _ in range(rng.choice((0, 0, 0, 1, 2)) if not bare else 0):
+        page = f"<div{y}{rng.choice(('', cls('wrap')))}>{page}</div>"
+    if rng.random() < 0.1:  # the whole page is one form
+        page = f'<form{y} method=post action="/{words(1, 1)}" id="{rng.choice(("form1", words(1, 1), "aspnetForm"))}"><div><input type=hidden name=s></div>{page}</form>'
+    return f"<!DOCTYPE html><html{y}><head><title>{words(2, 5)}</title></head><body{y}>{page}</body></html>"
+
+
+@dataclass
+class Model:
+    trees: Trees
+    odds: np.ndarray
+
+    def margin(self, pages: list[tuple[list[Node], int]]) -> np.ndarray:
+        """Log odds of all nodes of some pages (nodes, length), one page after the other."""
+        return self.trees.margin(np.concatenate([node_features(nodes, length, self.odds) for nodes, length in pages]))
 
 
 @lru_cache(maxsize=1)
-def trees(pages: int = 700, seed: int = 4) -> Trees:
-    """The trees, trained on pages made from the seed: the same in every process."""
+def model(pages: int = 1600, seed: int = 4) -> Model:
+    """The trees and token odds, trained on pages made from the seed: the same in every process."""
     rng = random.Random(seed)
-    x, y = [], []
-    for _ in range(pages):
-        html = _page(rng)
-        nodes, _ = parse(html)
-        x.append(node_features(nodes, len(html)))
-        y += [float(n.number == 0 or "data-y" in n.attrs) for n in nodes]
-    return Trees().fit(np.concatenate(x), np.array(y))
+    made = [_page(rng) for _ in range(pages)]
+    parsed = [parse(html)[0] for html in made]
+    y = [float(n.number == 0 or "data-y" in n.attrs) for nodes in parsed for n in nodes]
+    odds = token_odds(parsed, y)
+    x = np.concatenate([node_features(nodes, len(html), odds) for nodes, html in zip(parsed, made)])
+    return Model(Trees().fit(x, np.array(y)), odds)
 
 
-def extract(html: str | None, model: Trees | None = None) -> str:
-    return extract_many([html], model)[0]
+def extract(html: str | None, by: Model | None = None) -> str:
+    return extract_many([html], by)[0]
 
 
-def extract_many(pages: list[str | None], model: Trees | None = None) -> list[str]:
+def extract_many(pages: list[str | None], by: Model | None = None) -> list[str]:
     """Main text of each page; nodes of all pages are scored together."""
-    model = model or trees()
+    by = by or model()
     parsed = [parse(h or "") for h in pages]
     if not parsed:
         return []
-    margin = model.margin(np.concatenate([node_features(nodes, len(h or "")) for (nodes, _), h in zip(parsed, pages)]))
+    margin = by.margin([(nodes, len(h or "")) for (nodes, _), h in zip(parsed, pages)])
     out, at = [], 0
     for nodes, blocks in parsed:
         out.append(assemble(blocks, decode(nodes, margin[at : at + len(nodes)])))
@@ -324,7 +404,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    shared = pages.sparkSession.sparkContext.broadcast(trees())  # some kB
+    shared = pages.sparkSession.sparkContext.broadcast(model())  # some kB
 
     def run(batches):
         for b in batches:
