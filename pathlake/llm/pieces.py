@@ -59,8 +59,9 @@ class Vocabulary:
     longest: int
     surface: list[str | None] = dc_field(default_factory=list)  # None: a byte that is no character of its own
 
-    def bytes_of(self, char: str) -> bytes:
-        return SPACE.encode() if char == OWN_SPACE else char.encode()
+
+def bytes_of(char: str) -> bytes:
+    return SPACE.encode() if char == OWN_SPACE else char.encode()
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -105,7 +106,7 @@ def cut(text: str) -> list[str]:
 
 
 class Trie:
-    """The vocabulary as arrays: children of a node by character class (dense for the commonest classes), and which nodes are pieces."""
+    """The vocabulary as arrays: children of a node by character class (dense for the commonest classes), which nodes are pieces, and the bytes of pieces."""
 
     DENSE = 96
 
@@ -115,39 +116,44 @@ class Trie:
             for c in piece:
                 use[c] = use.get(c, 0) + 1
         chars = sorted(use, key=lambda c: (-use[c], c))
-        self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
-        for i, c in enumerate(chars):
-            self.classes[ord(c)] = i + 1
+        number = {c: i + 1 for i, c in enumerate(chars)}  # 0: in no piece
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in chars]] = range(1, len(chars) + 1)
         self.n_classes = len(chars) + 1
-        child: list[dict[int, int]] = [{}]
-        self.piece, self.logp = [-1], [0.0]
-        for piece, i in v.ids.items():
-            at = 0
-            for c in piece:
-                k = int(self.classes[ord(c)])
-                if k not in child[at]:
-                    child[at][k] = len(child)
-                    child.append({})
-                    self.piece.append(-1)
-                    self.logp.append(-np.inf)
-                at = child[at][k]
-            self.piece[at], self.logp[at] = i, v.logp[piece]
-        self.piece, self.logp = np.array(self.piece, np.int32), np.array(self.logp)
-        self.dense = np.zeros(len(child) * self.DENSE, np.int32)
-        rare = sorted((at * self.n_classes + k, to) for at, x in enumerate(child) for k, to in x.items() if k >= self.DENSE)
-        for at, x in enumerate(child):
-            for k, to in x.items():
+        # nodes are prefixes of pieces; those with children have the lower numbers, as they alone need a row
+        inner = {piece[:n] for piece in v.ids for n in range(len(piece))}
+        node = {p: i for i, p in enumerate(["", *sorted(inner - {""}), *sorted(set(v.ids) - inner)])}
+        self.n_inner = len(inner)
+        self.piece, self.logp = np.full(len(node), -1, np.int32), np.full(len(node), -np.inf)
+        for p, i in v.ids.items():
+            self.piece[node[p]], self.logp[node[p]] = i, v.logp[p]
+        self.dense = np.zeros((self.n_inner + 1) * self.DENSE, np.int32)
+        rare = []
+        for p, i in node.items():
+            if p:
+                at, k = node[p[:-1]], number[p[-1]]
                 if k < self.DENSE:
-                    self.dense[at * self.DENSE + k] = to
+                    self.dense[at * self.DENSE + k] = i
+                else:
+                    rare.append((at * self.n_classes + k, i))
+        rare.sort()
         self.keys = np.array([k for k, _ in rare] or [-1], np.int64)
         self.to = np.array([t for _, t in rare] or [0], np.int32)
+        self.longest, self.byte_ids = v.longest, np.array(v.byte_ids, np.int32)
+        said = [(x or "").replace(SPACE, " ").encode() for x in v.surface]
+        for b, i in enumerate(v.byte_ids):
+            said[i] = bytes([b])
+        self.length = np.fromiter(map(len, said), np.int32, len(said))
+        self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(said), np.uint8)
 
     def step(self, node: np.ndarray, k: np.ndarray, common: bool) -> np.ndarray:
         """The children of nodes for classes k, 0 where there is none; `common`: all classes are dense ones."""
+        row = np.minimum(node, self.n_inner) * self.DENSE  # the last row is that of all leaves
         if common:
-            return self.dense[node * self.DENSE + k]
+            return self.dense[row + k]
         near = k < self.DENSE
-        out = self.dense[node * self.DENSE + np.where(near, k, 0)]
+        out = self.dense[row + np.where(near, k, 0)]
         far = np.flatnonzero(~near)
         if len(far):
             key = node[far].astype(np.int64) * self.n_classes + k[far]
@@ -156,7 +162,7 @@ class Trie:
         return out
 
 
-def tables(keys: list[str], v: Vocabulary, trie: Trie) -> dict[str, np.ndarray]:
+def tables(keys: list[str], trie: Trie) -> dict[str, np.ndarray]:
     """The lattices of some words (without their first U+2581) as flat arrays.
 
     States are numbered by how far into its word they are: first the starts of all words, then what is reached after one
@@ -168,7 +174,7 @@ def tables(keys: list[str], v: Vocabulary, trie: Trie) -> dict[str, np.ndarray]:
     mark = f"\n{SPACE}"  # a line feed stands for each word's start
     text = mark + mark.join(keys)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n, wide = len(points), v.longest
+    n, wide = len(points), trie.longest
     lengths = np.fromiter(map(len, keys), np.int64, len(keys)) + 2
     ends = np.cumsum(lengths)
     begin = ends - lengths
@@ -198,10 +204,10 @@ def tables(keys: list[str], v: Vocabulary, trie: Trie) -> dict[str, np.ndarray]:
     bare = np.flatnonzero(~single)
     if len(bare):
         low = points[bare] < 128
-        ids = np.where(low, np.array(v.byte_ids, np.int32)[np.minimum(points[bare], 127)], -points[bare].astype(np.int64)).astype(np.int32)
+        ids = np.where(low, trie.byte_ids[np.minimum(points[bare], 127)], -points[bare].astype(np.int64)).astype(np.int32)
         n_bytes = np.ones(len(bare))
         for i in np.flatnonzero(~low).tolist():
-            n_bytes[i] = len(v.bytes_of(chr(points[bare[i]])))
+            n_bytes[i] = len(bytes_of(chr(points[bare[i]])))
         found.append((1, bare, ids, BYTE_LOGP * n_bytes))
     size = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
     start = np.concatenate([f[1] for f in found])
@@ -256,8 +262,8 @@ class Lattice:
     MOST, MORE = 1_500_000, 500_000
     EDGE = {"prev": np.int32, "ids": np.int32, "logp": np.float32, "q": np.float64, "rest": np.float64}
 
-    def __init__(self, v: Vocabulary, trie: Trie):
-        self.v, self.trie = v, trie
+    def __init__(self, trie: Trie):
+        self.trie = trie
         self.edge = {k: np.empty(self.MOST + self.MORE, t) for k, t in self.EDGE.items()}  # memory is taken as it is filled
         self.node = {k: np.empty((self.MOST + self.MORE) // 2, np.int32) for k in ("first", "count")}
         self.clear()
@@ -285,7 +291,7 @@ class Lattice:
         fresh = list(islice(self.number, had, None))
         lasts = [self.last]
         for lo, hi in chunks(list(map(len, fresh)), BLOCK):
-            t = tables(fresh[lo:hi], self.v, self.trie)
+            t = tables(fresh[lo:hi], self.trie)
             t["prev"] += np.where(t["prev"] < 0, 0, self.n_states)
             t["first"] += self.n_edges
             lasts.append(t["last"] + self.n_states)
@@ -382,15 +388,9 @@ class Open:
 class Sampler:
     """Draws from a vocabulary; keeps the tables of the words met so far."""
 
-    def __init__(self, vocabulary: Vocabulary, samples: int = SAMPLES):
-        self.v, self.k = vocabulary, samples
-        self.lattice = Lattice(vocabulary, Trie(vocabulary))
-        said = [(x or "").replace(SPACE, " ").encode() for x in vocabulary.surface]
-        for b, i in enumerate(vocabulary.byte_ids):
-            said[i] = bytes([b])
-        self.piece_length = np.fromiter(map(len, said), np.int32, len(said))
-        self.piece_start = (np.cumsum(self.piece_length) - self.piece_length).astype(np.int32)
-        self.piece_bytes = np.frombuffer(b"".join(said), np.uint8)
+    def __init__(self, vocabulary: Vocabulary | Trie, samples: int = SAMPLES):
+        self.k, self.trie = samples, vocabulary if isinstance(vocabulary, Trie) else Trie(vocabulary)
+        self.lattice = Lattice(self.trie)
 
     def draw(self, keys: list[str], texts: list[str]) -> list[list[Sample]]:
         """Up to k distinct segmentations of each text; fewer only where the text has fewer. An empty text has one, without pieces."""
@@ -469,11 +469,11 @@ class Sampler:
         size = np.diff(np.append(first, len(edges)))
         ids = lat.ids[edges[np.repeat(2 * first + size - 1, size) - np.arange(len(edges))]]
         ids, start = self._bytes_for_points(ids, at)
-        length = self.piece_length[ids]
+        length = self.trie.length[ids]
         end = np.cumsum(length, dtype=np.int32)
-        where = np.repeat(self.piece_start[ids] - (end - length), length)
+        where = np.repeat(self.trie.start[ids] - (end - length), length)
         where += np.arange(len(where), dtype=np.int32)
-        got = self.piece_bytes[where]
+        got = self.trie.bytes[where]
         bounds = [*start.tolist(), len(ids)]
         cuts = [0, *(int(end[b - 1]) for b in bounds[1:])]
         whole = memoryview(got.tobytes())
@@ -487,7 +487,7 @@ class Sampler:
         if not len(far):
             return ids, at
         points, which = np.unique(-ids[far], return_inverse=True)
-        forms = [[self.v.byte_ids[b] for b in self.v.bytes_of(chr(p))] for p in points.tolist()]
+        forms = [[int(self.trie.byte_ids[b]) for b in bytes_of(chr(p))] for p in points.tolist()]
         n_bytes = np.array([len(f) for f in forms])
         count = np.ones(len(ids), np.int64)
         count[far] = n_bytes[which]
@@ -574,7 +574,7 @@ def encode(text: str, v: Vocabulary) -> list[int]:
             t, i = back[t]
             part.append(i)
         for i in reversed(part):
-            best += [i] if i >= 0 else [v.byte_ids[b] for b in v.bytes_of(chr(-i))]
+            best += [i] if i >= 0 else [v.byte_ids[b] for b in bytes_of(chr(-i))]
     return best
 
 
@@ -608,7 +608,7 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     get equal samples. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))  # the vocabulary: 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(Trie(load(model)))  # some 15 MB, whatever the input
     item = pa.struct([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("logp", pa.float64()), ("mass", pa.float64()), ("score", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
 
     def run(batches):
