@@ -259,7 +259,7 @@ class Numbers(dict):
 class Lattice:
     """The tables of all words met so far, as flat arrays that grow in place until they hold MOST edges and are then begun anew. MORE: room for one chunk's."""
 
-    MOST, MORE = 1_500_000, 500_000
+    MOST, MORE = 700_000, 200_000
     EDGE = {"prev": np.int32, "ids": np.int32, "logp": np.float32, "q": np.float64, "rest": np.float64}
 
     def __init__(self, trie: Trie):
@@ -588,7 +588,7 @@ def decode(ids, v: Vocabulary) -> str:
     return out.decode(errors="replace")[1:]
 
 
-def chunks(lengths: list[int], most: int = 1 << 18):
+def chunks(lengths: list[int], most: int = 1 << 17):
     """Runs of rows with about `most` characters."""
     lo = size = 0
     for i, n in enumerate(lengths):
@@ -628,6 +628,8 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 values = pa.StructArray.from_arrays(cols, fields=list(item))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "samples"])
+                del keys, got, flat, ids, cols, values, offsets
+            del b  # not kept while the next one is read
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), *(T.StructField(f, T.DoubleType()) for f in ("logp", "mass", "score", "inclusion")), T.StructField("round_trip", T.BooleanType())])
     return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("samples", T.ArrayType(kind))]))
