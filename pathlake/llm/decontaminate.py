@@ -138,13 +138,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     content = checkpointed(content.withColumn("fp", simhash("win")))
     keys = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), v.alias("v")) for b, v in enumerate(_blocks("fp"))])).alias("k")
     ball = F.lit([m for m in range(1 << 16) if m.bit_count() <= RADIUS // 4])
-    probe = items.select("fp").distinct().select(F.col("fp").alias("item_fp"), keys).select("item_fp", "k.b", "k.v", F.explode(ball).alias("m"))
-    probe = probe.select("item_fp", "b", F.col("v").bitwiseXOR(F.col("m").cast("long")).alias("v"))
-    near = content.select("fp").distinct().select("fp", keys).select("fp", "k.b", "k.v").join(probe, ["b", "v"])
+    # a window has the size of its item, so the blocks of one size are looked up among those of that size alone; never by broadcast: the balls are large
+    probe = items.select("n", "fp").distinct().select("n", F.col("fp").alias("item_fp"), keys).select("n", "item_fp", "k.b", "k.v", F.explode(ball).alias("m"))
+    probe = probe.select("n", "item_fp", "b", F.col("v").bitwiseXOR(F.col("m").cast("long")).alias("v"))
+    near = content.select("n", "fp").distinct().select("n", "fp", keys).select("n", "fp", "k.b", "k.v").hint("merge").join(probe.hint("merge"), ["n", "b", "v"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = near.filter(distance <= RADIUS).select("fp", "item_fp", distance.alias("hamming")).distinct()
-    cand = content.join(near, "fp").drop("fp")
-    cand = cand.join(items.select("ids", F.col("fp").alias("item_fp"), F.col("n").alias("item_n"), "s", "weights"), "item_fp").filter("n = item_n")
+    near = near.filter(distance <= RADIUS).select("n", "fp", "item_fp", distance.alias("hamming")).distinct()
+    cand = content.join(near, ["n", "fp"]).drop("fp")
+    cand = cand.join(items.select("ids", F.col("fp").alias("item_fp"), "n", "s", "weights"), ["n", "item_fp"])
     good = cand
     for name, (common, both) in (("weighted", _similarity(True)), ("plain", _similarity(False))):
         good = good.withColumn("common", common).withColumn("both", both).withColumn(name, F.try_divide(F.col("common"), F.col("both") - F.col("common")))

@@ -1,8 +1,9 @@
 """Language identification by error-correcting output codes.
 
 Every language has a codeword; one binary n-gram classifier a bit says on which side of that bit's split
-of the languages a text is; the codeword with the least loss over all bits is chosen. With two losses
-close to each other the answer is flagged as ambiguous.
+of the languages a text is. Decoding is loss-weighted: a bit's loss counts for a language as much as that bit's
+classifier was right about that language's texts in a part of the sample that it had not learned from. The codeword
+with the least weighted loss is chosen; with two losses close to each other the answer is flagged as ambiguous.
 """
 
 from __future__ import annotations
@@ -87,6 +88,12 @@ class Model:
     weights: np.ndarray  # slots x (bits + 1): log odds of each bit, and 1 where the n-gram counts
     scale: np.ndarray  # bits
     shift: np.ndarray
+    trust: np.ndarray  # languages x bits: how much a bit's loss counts for a language; rows sum to the number of bits
+
+    def odds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's calibrated log odds for every bit, drawn to 0 where it has few n-grams."""
+        m, n = self.margins(data, offsets)
+        return (m * self.scale + self.shift) * (n / (n + 12.0))[:, None]
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean log odds for every bit, and how many n-grams it has."""
@@ -96,10 +103,9 @@ class Model:
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language (its number), score and whether a second language is nearly as close."""
-        m, n = self.margins(data, offsets)
-        f = (m * self.scale + self.shift) * (n / (n + 12.0))[:, None]
-        # logistic loss of each codeword, as products: an array of texts x languages x bits would grow with the square of the languages
-        loss = np.logaddexp(0, -f) @ (self.code > 0).T.astype(float) + np.logaddexp(0, f) @ (self.code < 0).T.astype(float)
+        f = self.odds(data, offsets)
+        # weighted logistic loss of each codeword, as products: an array of texts x languages x bits would grow with the square of the languages
+        loss = np.logaddexp(0, -f) @ (self.trust * (self.code > 0)).T + np.logaddexp(0, f) @ (self.trust * (self.code < 0)).T
         e = np.exp(loss.min(1, keepdims=True) - loss)
         p = e / e.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -117,31 +123,45 @@ def _pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(owner)
 
 
+def _log_odds(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Slots x (bits + 1): each n-gram's log odds for every bit, from its counts in each language; and 1 where it counts."""
+    p = (counts[:, :SLOTS] + 0.5) / (counts[:, :SLOTS].sum(1, keepdims=True) + 0.5 * SLOTS)
+    w = np.zeros((SLOTS + 2, code.shape[1] + 1), np.float32)
+    w[:SLOTS, -1] = 1
+    for b in range(code.shape[1]):
+        yes, no = p[code[:, b] > 0], p[code[:, b] < 0]
+        if len(yes) and len(no):
+            w[:SLOTS, b] = np.log(yes.mean(0)) - np.log(no.mean(0))
+    return w
+
+
 def train(rows: list[tuple[str, str]]) -> Model | None:
-    """A model of (text, language) rows; None if there are none."""
+    """A model of (text, language) rows; None if there are none.
+
+    Every fifth text of a language is kept from a first set of classifiers. On these texts the bits are calibrated and their
+    weights in decoding measured; the classifiers are then learned from all texts. A language with fewer than five texts is
+    measured on what it was learned from.
+    """
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
     code = codewords(len(languages))
-    counts = np.zeros((len(languages), SLOTS + 2))
-    parts = {}
-    for i, lang in enumerate(languages):
-        data, offsets, _ = _pieces([t.encode() for t, x in rows if x == lang])
-        if len(offsets) < 2:
-            continue
-        parts[i] = (data, offsets)
-        counts[i] = np.bincount(grams(data, offsets)[0], minlength=SLOTS + 2)
-    p = (counts[:, :SLOTS] + 0.5) / (counts[:, :SLOTS].sum(1, keepdims=True) + 0.5 * SLOTS)
     bits = code.shape[1]
-    w = np.zeros((SLOTS + 2, bits + 1), np.float32)
-    w[:SLOTS, -1] = 1
-    for b in range(bits):
-        yes, no = p[code[:, b] > 0], p[code[:, b] < 0]
-        if len(yes) and len(no):
-            w[:SLOTS, b] = np.log(yes.mean(0)) - np.log(no.mean(0))
-    model = Model(languages, code, w, np.ones(bits), np.zeros(bits))
+    first, all_ = np.zeros((2, len(languages), SLOTS + 2))
+    checks = {}
+    for i, lang in enumerate(languages):
+        texts = [t.encode() for t, x in rows if x == lang]
+        late = texts[4::5]
+        for counts, some in ((first, [t for k, t in enumerate(texts) if k % 5 != 4]), (all_, texts)):
+            data, offsets, _ = _pieces(some)
+            if len(offsets) > 1:
+                counts[i] = np.bincount(grams(data, offsets)[0], minlength=SLOTS + 2)
+        data, offsets, _ = _pieces(late or texts)
+        if len(offsets) > 1:
+            checks[i] = (data, offsets)
+    model = Model(languages, code, _log_odds(first, code), np.ones(bits), np.zeros(bits), np.ones(code.shape))
     x, y = [], []
-    for i, (data, offsets) in parts.items():
+    for i, (data, offsets) in checks.items():
         m, _ = model.margins(data, offsets)
         x.append(m)
         y.append(np.repeat(code[i][None] > 0, len(m), axis=0))
@@ -154,6 +174,10 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
                 q = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
                 v += np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y[:, b] - q) - 1e-2 * v)
             model.scale[b], model.shift[b] = v
+        for i, (data, offsets) in checks.items():
+            right = ((model.odds(data, offsets) > 0) == (code[i] > 0)).mean(0) + 1e-3  # no bit counts for nothing
+            model.trust[i] = right * bits / right.sum()
+    model.weights = _log_odds(all_, code)
     return model
 
 

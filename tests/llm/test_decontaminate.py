@@ -20,7 +20,7 @@ def shingles(w):
 
 
 def brute(docs, bench):
-    """All (doc, item) with an item-sized window, aligned by a shared shingle, of weighted similarity 0.8 or more."""
+    """All (doc, item) with an item-sized window of weighted similarity 0.8 or more. Every window at every place is compared with every item, those that reach over an end of the text too."""
     items = {i: shingles(words(t)) for i, t in bench if words(t)}
     n = {i: len(words(t)) for i, t in bench}
     df = Counter(s for x in items.values() for s in set(x))
@@ -30,12 +30,11 @@ def brute(docs, bench):
         w = words(t)
         for i, s in items.items():
             k, b = min(5, n[i]), Counter(s)
-            at = {}
-            for j in range(len(w) - k + 1):
-                at.setdefault(tuple(w[j : j + k]), []).append(j)
-            for start in {j - q for q, x in enumerate(s) for j in at.get(x, ())}:
+            for start in range(1 - n[i], len(w)):
                 part = w[max(0, start) : start + n[i]]
                 a = Counter(tuple(part[j : j + k]) for j in range(len(part) - k + 1))
+                if not a.keys() & b.keys():
+                    continue  # nothing in common: similarity 0
                 own = lambda x: weight(x) if x in b else 1.0
                 common = sum(own(x) * min(a[x], b[x]) for x in a)
                 total = sum(own(x) * v for x, v in a.items()) + sum(own(x) * v for x, v in b.items()) - common
