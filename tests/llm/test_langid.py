@@ -1,6 +1,8 @@
 """Language identification: codes, determinism, odd texts, accuracy on rows that were not learned from."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -71,3 +73,57 @@ def test_more_than_64_languages(spark, documents):
     assert model.languages == names
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
     assert np.mean([got[i] == langs[i] for i in range(350, 420)]) > 0.9 and set(got.values()) == set(names)
+
+
+def plain(model, text):
+    """(language, score) of one text in plain Python: n-grams one by one, then the weighted loss of every codeword."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    c = [32, *(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()), 32]
+    total, n = [0.0] * model.code.shape[1], 0
+    for order in langid.ORDERS:
+        for i in range(len(c) - order + 1):
+            gram = c[i : i + order]
+            if set(gram) == {32}:
+                continue
+            h = 0
+            for x in gram:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (x * 0x9E3779B1 & 0xFFFFFFFF)
+            slot = ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 17
+            n += 1
+            total = [t + float(w) for t, w in zip(total, model.weights[slot])]
+    f = [(t / max(n, 1) * s + d) * n / (n + 12) for t, s, d in zip(total, model.scale, model.shift)]
+    loss = [sum(w * math.log1p(math.exp(-int(x) * y)) for w, x, y in zip(trust, code, f)) for trust, code in zip(model.trust, model.code)]
+    p = [math.exp(min(loss) - x) for x in loss]
+    best = max(range(len(p)), key=p.__getitem__)
+    return model.languages[best], p[best] / sum(p)
+
+
+def test_query_equals_brute_force(spark, documents, tmp_path):
+    """Every row of the registered query, its learning rows chosen by hand, against the plain version."""
+    from pathlake.llm.queries import op1_language_id
+
+    rng = random.Random(9)
+    langs = [rng.choice("aa bb cc dd".split()) for _ in range(120)]
+    texts = [prose(x, rng, rng.choice([1, 4, 60])) for x in langs] + [None, "", "12 !", "Éa", " x\n"]
+    docs = documents(texts, langs=[*(x if i % 5 else None for i, x in enumerate(langs)), None, "aa", "bb", None, None])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    late = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = sorted(((str(i), t, x) for i, (t, x) in enumerate(zip(texts, [*(x if i % 5 else None for i, x in enumerate(langs)), None, "aa", "bb", None, None])) if i not in late and x and t is not None))
+    model = langid.train([(t, x) for _, t, x in rows])
+    got = {r["doc_id"]: r for r in op1_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and {i for i, r in got.items() if r["held_out"]} == late
+    for i, t in enumerate(texts):
+        lang, score = plain(model, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, (t, got[i], lang, score)
+
+
+def test_a_bit_that_is_wrong_about_a_language_counts_less_for_it():
+    rng = random.Random(5)
+    rows = [(prose(x, rng, 40), x) for x in "aa bb cc".split() for _ in range(25)]
+    # dd is half aa: the bits that part the two are often wrong about its texts
+    rows += [(f"{prose('aa', rng, 20)} {prose('dd', rng, rng.choice([1, 20]))}", "dd") for _ in range(25)]
+    model = langid.train(rows)
+    i, j = model.languages.index("aa"), model.languages.index("dd")
+    parts = model.code[i] != model.code[j]
+    assert np.allclose(model.trust.sum(1), model.code.shape[1]) and model.trust[j][parts].mean() <= model.trust[j][~parts].mean()
