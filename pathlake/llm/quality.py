@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.llm.common import BROADCAST_ROWS, byte_chunks, checkpointed, labelled_sample, sigmoid, spread
+from pathlake.llm.common import BROADCAST_ROWS, byte_chunks, checkpointed, fresh_name, labelled_sample, sigmoid, spread
 
 #: Rows learned from, about so many of each label; longer texts (bytes) are left out of the sample.
 PER_CLASS, MAX_BYTES = 1500, 1 << 16
@@ -105,17 +105,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return train(*labelled_sample(docs, labels, label, per_class, MAX_BYTES, learn, id_col, text_col))
 
 
-def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column, P: the document classifier's probability of good quality."""
+def evidence(docs: DataFrame, model: Model, text_col: str = "text", name: str = P) -> DataFrame:
+    """docs with one more column, `name`: the document classifier's probability of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred bytes
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
             p = shared.value.probability(features(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, P])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, name])
 
-    return spread(docs).mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(P, T.DoubleType())]))
+    return spread(docs).mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(name, T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, mean: Column, n: str = "n") -> Column:
@@ -160,20 +160,21 @@ def score(docs: DataFrame, model: Model, host: Column, path: Column, text_col: s
     Null and empty texts are scored as empty; null hosts and paths make a site of their own; an empty table gives no rows.
     """
     added = {"quality_evidence", "quality_host", "quality_path", "quality_score", "quality_keep"}
-    kept = [c for c in docs.columns if c not in added]
-    named = docs.select(*kept, host.alias("__host"), path.alias("__path"))
-    slim = named.select(F.col(text_col), F.col("__host").alias("host"), F.col("__path").alias("path"))
-    found = checkpointed(sites(evidence(slim, model, text_col).select("host", "path", P)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    h, p, e = (fresh_name(docs, x) for x in ("host", "path", "evidence"))
+    named = docs.select(*kept, host.alias(h), path.alias(p))
+    slim = docs.select(F.col(f"`{text_col}`").alias("text"), host.alias("host"), path.alias("path"))
+    found = checkpointed(sites(evidence(slim, model, "text", P).select("host", "path", P)))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    on = F.col("d.__host").eqNullSafe(F.col("s.host")) & F.col("d.__path").eqNullSafe(F.col("s.path"))
-    out = evidence(named, model, text_col).alias("d").join(found.alias("s"), on, "left")
-    final = 1 / (1 + F.exp(-(_logit(F.col(P)) + _logit(F.col("path_post")) - _logit(F.col("global_mean")))))
+    d = evidence(named, model, text_col, e)
+    out = d.join(found, d[h].eqNullSafe(found["host"]) & d[p].eqNullSafe(found["path"]), "left")
+    final = 1 / (1 + F.exp(-(_logit(d[e]) + _logit(found["path_post"]) - _logit(found["global_mean"]))))
     return out.select(
-        *[F.col(f"d.`{c}`") for c in kept],
-        F.col(P).alias("quality_evidence"),
-        F.col("host_post").alias("quality_host"),
-        F.col("path_post").alias("quality_path"),
+        *[d[f"`{c}`"] for c in docs.columns if c not in added],
+        d[e].alias("quality_evidence"),
+        found["host_post"].alias("quality_host"),
+        found["path_post"].alias("quality_path"),
         final.alias("quality_score"),
         (final >= THRESHOLD).alias("quality_keep"),
     )

@@ -53,6 +53,41 @@ def test_odd_rows_and_names(spark):
     assert quality.score(docs.limit(0), model, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_columns_called_like_our_own(spark):
+    docs = spark.createDataFrame([(1, good(random.Random(1)), "en", "s", 7, 8, 0.5, "g")], "doc_id long, text string, lang string, source string, __host long, __path long, __quality_evidence double, host_post string")
+    row = quality.score(docs, quality.train([], {}), F.col("source"), F.col("lang")).first()
+    assert (row["__host"], row["__path"], row["__quality_evidence"], row["host_post"]) == (7, 8, 0.5, "g") and 0 <= row["quality_score"] <= 1
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole query's arithmetic in plain Python: document evidence, hosts drawn to the mean, paths to their host, odds added."""
+    docs, labels, y = tables(spark, 300)
+    model = quality.fit(docs, labels, id_hash(F.col("doc_id")) != 1, per_class=100)
+    rows = [(r["doc_id"], r["text"], r["source"], f"{r['source']}/{r['lang']}") for r in docs.collect()]
+    p = dict(zip([r[0] for r in rows], model.probability(quality.features(pa.array([r[1] for r in rows]))).tolist()))
+    mean = sum(p.values()) / len(p)
+
+    def moments(groups, prior):
+        n = {k: len(v) for k, v in groups.items()}
+        m = {k: sum(v) / len(v) for k, v in groups.items()}
+        total = sum(n.values())
+        within = sum(sum((x - m[k]) ** 2 for x in v) for k, v in groups.items()) / max(1, total - len(n))
+        between = (sum(n[k] * (m[k] - prior[k]) ** 2 for k in n) - (len(n) - 1) * within) / max(total - sum(x * x for x in n.values()) / total, 1e-9)
+        strength = min(max((within + 1e-6) / max(between, 1e-9), 1.0), 1e6)
+        return {k: (sum(v) + strength * prior[k]) / (n[k] + strength) for k, v in groups.items()}
+
+    hosts, paths = {}, {}
+    for i, _, h, q in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    host = moments(hosts, dict.fromkeys(hosts, mean))
+    path = moments(paths, {k: host[k[0]] for k in paths})
+    logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    want = {i: 1 / (1 + np.exp(-(logit(p[i]) + logit(path[h, q]) - logit(mean)))) for i, _, h, q in rows}
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_features_read_whole_texts():
     a = quality.features(pa.array(["ab cd. " * 400_000 + "!", None, "", "A B A A"]))
     assert a.shape == (4, quality.N_FEATURES) and abs(a[0, 0] - np.log1p(800_001)) < 1e-9 and (a[1] == a[2]).all() and a[0, 4] > 0
