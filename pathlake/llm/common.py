@@ -60,7 +60,8 @@ def bounded_sample(rows: DataFrame, text: str, label: str, key: str, per_class:
     rates = F.broadcast(counts) if n_labels <= BROADCAST_ROWS else counts
     kept = rows.join(rates, F.col(label) == F.col("__label")).filter(unit_hash(F.col(key)) < F.col("__rate"))
     got = kept.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key"))
-    got = got.limit(4 * per_class * max(1, n_labels)).collect()
+    # an order, so that what the limit leaves does not depend on partitions either
+    got = got.orderBy(unit_hash(F.col("key")), "key", "text").limit(4 * per_class * max(1, n_labels)).collect()
     return sorted(got, key=lambda r: (str(r["key"]), r["text"]))
 
 
@@ -124,9 +125,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value, n in counts.items():
         keep |= (F.col("label") == F.lit(value)) & (unit_hash(F.col(id_col)) < F.lit(min(1.0, per_class / n)))
     most = 4 * per_class * max(1, len(counts))
-    ids = known.filter(keep).limit(most).collect()
+    ids = known.filter(keep).orderBy(unit_hash(F.col(id_col)), id_col).limit(most).collect()
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r[id_col], r["label"]) for r in ids], known.schema)
     texts = docs.filter(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes)).select(F.col(id_col), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen), id_col).limit(most).collect()
+    got = texts.join(F.broadcast(chosen), id_col).orderBy(unit_hash(F.col(id_col)), id_col, "text").limit(most).collect()
     return [(r["text"], int(r["label"])) for r in sorted(got, key=lambda r: (str(r[id_col]), r["text"]))], counts

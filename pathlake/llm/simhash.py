@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pathlake.llm.common import BROADCAST_ROWS, checkpointed, field, lookup, spread
-from pathlake.llm.components import connected_components
+from pathlake.llm.common import checkpointed, field, lookup, spread
+from pathlake.llm.components import connected_components, least_rows, only_least, order
 
 SEED = 42
 MASK32 = 0xFFFFFFFF
@@ -120,12 +120,9 @@ def hex16(fp):
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that stand for their component, all columns as they were: of each component the row with its smallest doc_id.
-
-    Rows with a null id all stay: they cannot be told apart. Ids are taken as unique, as after exact dedup.
-    """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = checkpointed(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stand for their component, all columns as they were: of each component the row with its smallest doc_id (see only_least)."""
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    rows = checkpointed(fingerprints(keyed, "key", "text", shingle).select("doc_id.doc_id", "doc_id.th", "fp"))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(order("doc_id")).alias("best"), F.count("*").alias("copies")))
+    return only_least(docs, least_rows(rows, nodes, links(nodes.select("fp"), radius), "fp"), id_col, text_col)

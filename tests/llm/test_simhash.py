@@ -90,3 +90,12 @@ def test_connected_components(spark):
     want = components(300, real)
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {n: want[n] for p in real for n in p}
+
+
+def test_representatives_of_repeated_and_null_ids(spark, documents):
+    """An id that stands on several texts takes none of them along."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(0, a), (1, b), (1, a), (None, a), (None, b + " and more words"), (None, None), (7, "")]
+    kept = simhash.representatives(documents(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(0, a), (1, b), (None, b + " and more words"), (7, "")], key=str)
+    assert simhash.representatives(documents([])).count() == 0
