@@ -1,6 +1,7 @@
 """Queries over the driver's tables, and the same in DuckDB's SQL.
 
-`documents` is read as a file catalog: a row a document, with a path made of its language, source and id, and rows for the directories.
+`documents` is taken for a file system: a file a document, with a path made of its language, source and id, and the directories. Its catalog
+is built once and stored; queries by name read it alone, queries by content read the texts.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -20,7 +22,7 @@ from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
 from pathlake.sources import archives, documents
 from pathlake.sources.catalog import Catalog
-from pathlake.sources.shared import shared_dir
+from pathlake.sources.shared import shared_dir, stamp
 from pathlake.streaming import cdc
 
 #: Fixed values of the catalog view.
@@ -34,12 +36,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, path, size, mtime, is_dir, text): documents as files."""
+    """(doc_id, path, size, mtime, is_dir, text): documents as files."""
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % 10 + 1).cast("int"))
     folder = F.concat(F.lit("/corpus/"), F.coalesce("lang", F.lit("xx")), F.lit("/"), F.coalesce("source", F.lit("none")))
     name = F.concat(F.when(F.col("doc_id") % 17 == 0, ".").otherwise(""), F.lit("Doc-"), F.col("doc_id").cast("string"), suffix)
     return read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"),
+        "doc_id",
         F.concat(folder, F.lit("/"), name).alias("path"),
         F.octet_length("text").cast("long").alias("size"),
         (F.lit(EPOCH) + F.col("doc_id") * 3600).alias("mtime"),
@@ -48,18 +50,35 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """The catalog: files and their directories, with derived columns. Texts only where they are asked for."""
-    docs = corpus(spark, sf_dir)
-    dirs = docs.groupBy(paths.dir_of(F.col("path")).alias("path")).agg((-1 - F.min("id")).alias("id"))
-    dirs = dirs.select("id", "path", F.lit(0).cast("long").alias("size"), F.lit(EPOCH).cast("long").alias("mtime"), F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("text"))
-    rows = docs.unionByName(dirs)
-    return paths.derive(rows if text else rows.drop("text"))
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with their texts, as a content search reads them: names are matched first, on what is derived from each row alone."""
+    return paths.derive(corpus(spark, sf_dir))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk of the documents gives: files and their directories."""
+    docs = corpus(spark, sf_dir).select("path", "size", "mtime", "is_dir")
+    dirs = docs.select(paths.dir_of(F.col("path")).alias("path")).distinct()
+    return docs.unionByName(dirs.select("path", F.lit(0).cast("long").alias("size"), F.lit(EPOCH).cast("long").alias("mtime"), F.lit(True).alias("is_dir")))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The stored catalog of a folder's documents. It lies in the shared folder and is built by the first query that wants it, and again when the documents' files change."""
+    catalog = Catalog(spark, f"{shared_dir(spark)}/catalog-{zlib.crc32(sf_dir.encode()):08x}")
+    key = stamp(spark, f"{sf_dir}/documents.parquet")
+    if catalog.needs_rebuild(key):
+        catalog.rebuild(entries(spark, sf_dir), key)
+    return catalog
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with derived columns, as it is stored: no query by name reads a text."""
+    return stored(spark, sf_dir).snapshot()
 
 
 FILES_SQL = f"""
 WITH corpus AS (
-  SELECT doc_id AS id,
+  SELECT doc_id,
          concat('/corpus/', coalesce(lang, 'xx'), '/', coalesce(source, 'none'), '/', CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END, 'Doc-', doc_id::VARCHAR,
                 CASE doc_id % 10 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES))} END) AS path,
          strlen(text)::BIGINT AS size, ({EPOCH} + doc_id * 3600)::BIGINT AS mtime, false AS is_dir, text
@@ -67,9 +86,9 @@ WITH corpus AS (
 ), entries AS (
   SELECT * FROM corpus
   UNION ALL
-  SELECT -1 - min(id), regexp_replace(path, '/[^/]*$', ''), 0, {EPOCH}, true, NULL FROM corpus GROUP BY 2
+  SELECT -1 - min(doc_id), regexp_replace(path, '/[^/]*$', ''), 0, {EPOCH}, true, NULL FROM corpus GROUP BY 2
 ), named AS (
-  SELECT *, string_split(path, '/')[-1] AS name, regexp_replace(path, '/[^/]*$', '') AS dir FROM entries
+  SELECT *, row_number() OVER (ORDER BY path) AS id, string_split(path, '/')[-1] AS name, regexp_replace(path, '/[^/]*$', '') AS dir FROM entries
 ), files AS (
   SELECT *, lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) AS name_ext,
          CASE WHEN is_dir THEN '' ELSE lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) END AS ext,
@@ -216,12 +235,12 @@ def _lines(pattern: str, flags: str = "i") -> str:
 
 @query(_sql(f"{SHOWN} AND NOT is_dir AND {_lines('^the .*ing[.]')}"))
 def content_line(spark, sf_dir):
-    return search.content_matching(files(spark, sf_dir, text=True), None, Query(content="^the .*ing[.]"), NOW).select(*search.RESULT)
+    return search.content_matching(live(spark, sf_dir), None, Query(content="^the .*ing[.]"), NOW).select(*search.RESULT)
 
 
 @query(_sql(f"{SHOWN} AND NOT is_dir AND regexp_matches(text, '[.]{chr(92)}n[a-d]', 'i')"))
 def content_multiline(spark, sf_dir):
-    return search.content_matching(files(spark, sf_dir, text=True), None, Query(content=r"[.]\n[a-d]", multiline=True), NOW).select(*search.RESULT)
+    return search.content_matching(live(spark, sf_dir), None, Query(content=r"[.]\n[a-d]", multiline=True), NOW).select(*search.RESULT)
 
 
 @query(_sql(f"{SHOWN} AND NOT is_dir AND ext IN ('md', 'txt') AND contains(lower(name), 'doc') AND {_lines('license')}"))
@@ -233,12 +252,12 @@ def content_and_name(spark, sf_dir):
 
 @query(_sql(f"{SHOWN} AND NOT is_dir AND (contains(name, '77') OR {_lines('license')})", "path, CASE WHEN contains(name, '77') THEN 0 ELSE 1 END::INTEGER AS rank"))
 def content_or_name(spark, sf_dir):
-    return search.content_matching(files(spark, sf_dir, text=True), None, Query(name="77", content="license", content_or_name=True), NOW).select("path", "rank")
+    return search.content_matching(live(spark, sf_dir), None, Query(name="77", content="license", content_or_name=True), NOW).select("path", "rank")
 
 
 @query(_sql(f"{SHOWN} AND NOT is_dir AND {_lines('@mail[0-9]', '')}", "count(*)::BIGINT AS n"))
 def count_content(spark, sf_dir):
-    return search.count_content(files(spark, sf_dir, text=True), Query(content="@mail[0-9]", case_sensitive=True), now=NOW)
+    return search.count_content(live(spark, sf_dir), Query(content="@mail[0-9]", case_sensitive=True), now=NOW)
 
 
 DUPLICATES_SQL = f"""{FILES_SQL} SELECT sha256(text) AS digest, size, count(*)::BIGINT AS n, ((count(*) - 1) * size)::BIGINT AS waste,
@@ -247,13 +266,14 @@ DUPLICATES_SQL = f"""{FILES_SQL} SELECT sha256(text) AS digest, size, count(*)::
 
 @query(DUPLICATES_SQL)
 def duplicate_groups(spark, sf_dir):
-    return duplicates.duplicate_groups(duplicates.duplicate_members(files(spark, sf_dir, text=True), "text"))
+    """Sizes come from the stored catalog; only texts of files that share their size with another are read."""
+    return duplicates.duplicate_groups(duplicates.duplicate_members(files(spark, sf_dir), corpus(spark, sf_dir).select("path", "text")))
 
 
 @query(_sql("NOT is_dir AND sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)"))
 def find_by_hash(spark, sf_dir):
-    rows = files(spark, sf_dir, text=True)
-    wanted = rows.filter("id = 5").select(F.sha2("text", 256)).first()[0]
+    rows = live(spark, sf_dir)
+    wanted = rows.filter("doc_id = 5").select(F.sha2("text", 256)).first()[0]
     return duplicates.find_by_hash(rows, wanted, "text").select(*search.RESULT)
 
 
@@ -313,7 +333,7 @@ def delta_dirty(spark, sf_dir):
 
 @query(_sql("true", "path, row_number() OVER (ORDER BY path) AS row_id"))
 def assign_ids(spark, sf_dir):
-    return overlay.assign_ids(files(spark, sf_dir).drop("id")).select("path", F.col("id").alias("row_id"))
+    return overlay.assign_ids(entries(spark, sf_dir)).select("path", F.col("id").alias("row_id"))
 
 
 @query(_sql("NOT (path = '/corpus/en' OR starts_with(path, '/corpus/en/') OR path = '/corpus/de/src3' OR starts_with(path, '/corpus/de/src3/'))"))
@@ -341,11 +361,11 @@ def exclude_names(spark, sf_dir):
 
 def tag_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels as tags of documents, joined by id."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.explode(F.array(F.when(F.col("quality") == 1, " #good"), F.when(F.col("toxic") == 1, "##toxic"))).alias("tag")).filter("tag IS NOT NULL")
-    return tags.cleaned(corpus(spark, sf_dir).select("id", "path").join(labels, "id").select("path", "tag"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.when(F.col("quality") == 1, " #good"), F.when(F.col("toxic") == 1, "##toxic"))).alias("tag")).filter("tag IS NOT NULL")
+    return tags.cleaned(corpus(spark, sf_dir).select("doc_id", "path").join(labels, "doc_id").select("path", "tag"))
 
 
-TAGS_SQL = f"{FILES_SQL}, tags AS (SELECT f.path, t.tag FROM files f JOIN (SELECT doc_id, 'good' AS tag FROM labels WHERE quality = 1 UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) t ON f.id = t.doc_id)"
+TAGS_SQL = f"{FILES_SQL}, tags AS (SELECT f.path, t.tag FROM files f JOIN (SELECT doc_id, 'good' AS tag FROM labels WHERE quality = 1 UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) t ON f.doc_id = t.doc_id)"
 
 
 @query(f"{TAGS_SQL} SELECT tag, count(*)::BIGINT AS n FROM tags GROUP BY tag")
@@ -373,11 +393,11 @@ def filter_within(spark, sf_dir):
     return search.within(search.matching(files(spark, sf_dir), Query(name="doc"), NOW).select(*search.RESULT), "DE/src1")
 
 
-@query(f"{FILES_SQL}, wanted AS (SELECT path FROM files WHERE id IN (SELECT doc_id FROM labels) UNION SELECT '/none/here') SELECT w.path, coalesce(f.size, 0)::BIGINT AS size, coalesce(f.mtime, 0)::BIGINT AS mtime, coalesce(f.is_dir, false) AS is_dir FROM wanted w LEFT JOIN files f USING (path)")
+@query(f"{FILES_SQL}, wanted AS (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels) UNION SELECT '/none/here') SELECT w.path, coalesce(f.size, 0)::BIGINT AS size, coalesce(f.mtime, 0)::BIGINT AS mtime, coalesce(f.is_dir, false) AS is_dir FROM wanted w LEFT JOIN files f USING (path)")
 def point_lookup(spark, sf_dir):
     rows = files(spark, sf_dir)
-    labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    wanted = rows.join(labelled, "id", "left_semi").select("path").union(spark.range(1).select(F.lit("/none/here").alias("path")))
+    labelled = read(spark, sf_dir, "labels").select("doc_id")
+    wanted = corpus(spark, sf_dir).select("doc_id", "path").join(labelled, "doc_id", "left_semi").select("path").union(spark.range(1).select(F.lit("/none/here").alias("path")))
     return search.lookup(rows, wanted)
 
 

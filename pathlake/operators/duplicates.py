@@ -1,7 +1,7 @@
 """Duplicate files: size, then a prefix, then the whole content; and search by content hash.
 
-Each step keeps only members of groups of two or more before the next, dearer one. Groups are counted by partial aggregation and rows
-semi-joined to the groups that are left, so no group is gathered in one task.
+Each step keeps only members of groups of two or more before the next, dearer one, and what it keeps is written, so that contents are read once a step
+and only of what is left. Groups are counted by partial aggregation and rows semi-joined to the groups that are left, so no group is gathered in one task.
 """
 
 from __future__ import annotations
@@ -9,28 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathlake.operators.search import small_side
+from pathlake.sources.shared import checkpointed
+
 PREFIX = 64 << 10
-GROUPS_MAX = 50_000
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys another row has too."""
+    """Rows whose keys another row has too. Written once: what follows reads them twice."""
+    rows = checkpointed(rows)
     many = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return rows.join(many, list(keys), "left_semi")
+    return checkpointed(rows.join(many, list(keys), "left_semi"))
+
 
+def duplicate_members(files: DataFrame, content: str | Column | DataFrame = "content", inode: str | None = None) -> DataFrame:
+    """(path, size, mtime, digest) of every file whose content another has; empty files aside. With inode, hard links count once.
 
-def duplicate_members(files: DataFrame, content: str | Column = "content", inode: str | None = None) -> DataFrame:
-    """(path, size, mtime, digest) of every file whose content another has; empty files aside. With inode, hard links count once."""
+    content: a column of files, or a table (path, text) of its own, which is read for candidates alone.
+    """
     rows = files.filter(~F.col("is_dir") & (F.col("size") > 0))
     if inode:
         first = rows.groupBy(inode).agg(F.min("path").alias("path"))
         rows = rows.join(first.select("path"), "path", "left_semi")
-    body = F.col(content) if isinstance(content, str) else content
-    slim = _shared(rows.select("path", "size"), "size")
-    heads = rows.join(slim.select("path"), "path", "left_semi").select("path", "size", F.sha2(F.substring(body, 1, PREFIX).cast("binary"), 256).alias("head"))
-    left = _shared(heads, "size", "head").select("path")
-    full = rows.join(left, "path", "left_semi").select("path", "size", "mtime", F.sha2(body.cast("binary"), 256).alias("digest"))
-    return _shared(full, "size", "digest")
+    if isinstance(content, DataFrame):
+        bodies = content.select("path", F.col("text").alias("__body"))
+    else:
+        bodies = rows.select("path", (F.col(content) if isinstance(content, str) else content).alias("__body"))
+
+    def read(wanted: DataFrame, body: Column, name: str) -> DataFrame:
+        return bodies.join(small_side(wanted), "path").select(*wanted.columns, F.sha2(body.cast("binary"), 256).alias(name))
+
+    slim = _shared(rows.select("path", "size", "mtime"), "size")
+    heads = _shared(read(slim, F.substring("__body", 1, PREFIX), "head"), "size", "head")
+    return _shared(read(heads.drop("head"), F.col("__body"), "digest"), "size", "digest").select("path", "size", "mtime", "digest")
 
 
 def duplicate_groups(members: DataFrame, most: int | None = None) -> DataFrame:

@@ -46,8 +46,8 @@ def matching(files: DataFrame, query: Query | Compiled, now: int | None = None)
 
 
 def _with_text(files: DataFrame, doc_text: DataFrame | None) -> DataFrame:
-    """files with `text`: their own column, or that of doc_text by path."""
-    return files if doc_text is None else files.join(doc_text.select("path", "text"), "path")
+    """files with `text`: their own column, or that of doc_text by path. A few candidates go to the texts, not the texts to them."""
+    return files if doc_text is None else doc_text.select("path", "text").join(small_side(files), "path")
 
 
 def content_matching(files: DataFrame, doc_text: DataFrame | None, query: Query | Compiled, now: int | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from pathlake.functions.paths import ancestors_of, derive
 from pathlake.operators import overlay
 from pathlake.operators.search import small_side
 from pathlake.schema import COMPACT_AT, DELTA, FILES, SCHEMA_VERSION
+from pathlake.sources.shared import stamp
 
 TEXTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("seq", T.LongType())])
 
@@ -31,23 +32,25 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.dir, self.paused = spark, directory.rstrip("/"), False
+        self.seen: tuple[str, dict] | None = None  # the commits' stamp, and the last of them
 
     # --- commits
 
     def _exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(path)) and len(fs.listStatus(path)) > 0
+        return stamp(self.spark, f"{self.dir}/{name}") != ""
 
     def commit(self) -> dict | None:
         """The last commit's record."""
-        if not self._exists("commits"):
+        at = stamp(self.spark, f"{self.dir}/commits")
+        if not at:
             return None
+        if self.seen and self.seen[0] == at:
+            return self.seen[1]
         rows = self.spark.read.text(f"{self.dir}/commits").collect()  # a line a version
         found = [json.loads(r["value"]) for r in rows]
         found = [c for c in found if c.get("schema_version") == SCHEMA_VERSION and c.get("complete")]
-        return max(found, key=lambda c: c["version"], default=None)
+        self.seen = (at, max(found, key=lambda c: c["version"], default=None))
+        return self.seen[1]
 
     def needs_rebuild(self, walk_key: str) -> bool:
         c = self.commit()

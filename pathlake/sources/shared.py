@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,12 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     """The names of the folders in a folder of the shared store; none if it isn't there."""
     at, fs = _at(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """Changes with the files in a folder (or with one file): a hash of their names, sizes and times. "" if there is nothing."""
+    at, fs = _at(spark, path)
+    if not fs.exists(at):
+        return ""
+    found = sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(at))
+    return hashlib.sha256("\n".join([path, *found]).encode()).hexdigest() if found else ""
