@@ -13,23 +13,23 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
 
     Each round joins every node with its smallest neighbour, in number of edges never more than before,
     and is written to the shared folder; it ends when a round changes nothing, after about log(n) rounds.
-    A node with very many edges, as the root of a giant component, is looked up by broadcast, so that its edges stay where they are.
-    Nodes may have any type that has an order. Null nodes and loops are left out.
+    A node with very many edges, as the root of a giant component, fills a partition of the join alone; that is a skewed one, which the planner splits,
+    as its other side is one row. Nodes may have any type that has an order. Null nodes and loops are left out.
     """
     e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = checkpointed(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen, n = None, e.count()
+    seen = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
-        large = lookup(both, least, "u", "degree", 2 * n).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, "u").filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.union(least).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen, n = now, now[0]
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
@@ -40,13 +40,13 @@ def order(id_: str) -> Column:
     return F.struct(F.col(id_).isNull().alias("z"), F.col(id_).alias("doc_id"), F.col("th").alias("th"))
 
 
-def least_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+def least_rows(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """(doc_id, th, least) of rows (doc_id, th, node): least is the least row of their component.
 
-    nodes: (node, best, copies), a row a distinct node with its least row and how many rows have it; edges: (a, b). A node or a component
-    with a third of all rows is no hot key: each is looked up.
+    nodes: (node, best, copies), a row a distinct node with its least row and how many rows have it; roots: connected_components() of them. A node
+    or a component with a third of all rows is no hot key: each is looked up.
     """
-    stars = connected_components(edges, "a", "b").withColumnRenamed("node", node)
+    stars = roots.withColumnRenamed("node", node)
     rooted = checkpointed(nodes.join(stars, node, "left").select(node, "best", "copies", F.coalesce("root", node).alias("root")))
     least = checkpointed(rooted.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("size")))
     classes = lookup(rooted, least, "root", "size", rooted.count()).select(node, "least", "copies")

@@ -125,4 +125,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th")).alias("key"), F.col(f"`{text_col}`").alias("text"))
     rows = checkpointed(fingerprints(keyed, "key", "text", shingle).select("doc_id.doc_id", "doc_id.th", "fp"))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(order("doc_id")).alias("best"), F.count("*").alias("copies")))
-    return only_least(docs, least_rows(rows, nodes, links(nodes.select("fp"), radius), "fp"), id_col, text_col)
+    return only_least(docs, least_rows(rows, nodes, connected_components(links(nodes.select("fp"), radius), "a", "b"), "fp"), id_col, text_col)
