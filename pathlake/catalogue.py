@@ -20,7 +20,7 @@ from pathlake.functions import codecs, paths
 from pathlake.operators import duplicates, exclusions, overlay, search, tags, trash
 from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
-from pathlake.sources import archives, documents
+from pathlake.sources import archives, documents, walk
 from pathlake.sources.catalog import Catalog
 from pathlake.sources.shared import shared_dir, stamp
 from pathlake.streaming import cdc
@@ -518,5 +518,75 @@ def trash_list(spark, sf_dir):
     return trash.listing(info, rows.filter("ext != 'zip'").select(name.alias("name")))
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, target): source files as links to the Markdown file of the next document but eight, which often isn't there."""
+    rows = corpus(spark, sf_dir).filter("doc_id % 10 = 3")
+    target = F.concat(F.regexp_replace("path", "/[^/]*$", "/Doc-"), (F.col("doc_id") + 8).cast("string"), F.lit(".md"))
+    return rows.select("path", target.alias("target"))
+
+
+@query(f"{FILES_SQL}, links AS (SELECT path, concat(dir, '/Doc-', (doc_id + 8)::VARCHAR, '.md') AS target FROM files WHERE NOT is_dir AND doc_id % 10 = 3) SELECT path, target FROM links WHERE target NOT IN (SELECT path FROM files)")
+def broken_links(spark, sf_dir):
+    return search.broken_links(links(spark, sf_dir), files(spark, sf_dir))
+
+
+@query(f"{FILES_SQL}, pool AS (SELECT * FROM files WHERE {SHOWN} AND NOT is_dir AND contains(lower(name), 'doc') ORDER BY id LIMIT 200) SELECT path FROM pool WHERE {_lines('license')} ORDER BY id LIMIT 40")
+def content_candidate_cap(spark, sf_dir):
+    """As the interactive engine: of the first 200 candidates those with the pattern, at most 40."""
+    doc_text = corpus(spark, sf_dir).select("path", "text")
+    return search.search(files(spark, sf_dir), Query(name="doc", content="license", limit=40), doc_text, NOW, candidate_cap=200).select("path")
+
+
+@query(_sql("NOT is_dir", "path, CASE ext WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'zip' THEN 'application/zip' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'mp4' THEN 'video/mp4' WHEN 'gz' THEN 'application/gzip' ELSE 'application/octet-stream' END AS mime, sha256(text) AS sha256, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS modified"))
+def details(spark, sf_dir):
+    """The details of every file: MIME type, digest of the content, time."""
+    rows = live(spark, sf_dir)
+    day = F.date_format(F.to_utc_timestamp(F.timestamp_seconds("mtime"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    return rows.select("path", search.categories.mime(F.col("name_ext")).alias("mime"), F.sha2("text", 256).alias("sha256"), day.alias("modified"))
+
+
+@query(f"{FILES_SQL} SELECT path, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(path, ''), lambda c: ord(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM files WHERE regexp_matches(path, '^[ -~]+$')")
+def path_hashes(spark, sf_dir):
+    rows = files(spark, sf_dir).filter(F.col("path").rlike("^[ -~]+$"))
+    return rows.select("path", codecs.path_hash(F.col("path")).alias("hash"))
+
+
+MOVED_SQL = f"{FILES_SQL}, new AS (SELECT path, CASE WHEN doc_id % 5 = 1 THEN size + 1 ELSE size END AS size, mtime, is_dir FROM files WHERE doc_id % 7 != 2 UNION ALL SELECT concat(path, '.new'), size, mtime, is_dir FROM files WHERE NOT is_dir AND doc_id % 11 = 0)"
+
+
+def walked_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing as a later walk might find it: some files gone, some grown, some new. Directories have the numbers that their files give them."""
+    docs = corpus(spark, sf_dir).select("doc_id", "path", "size", "mtime", "is_dir")
+    dirs = docs.groupBy(paths.dir_of(F.col("path")).alias("path")).agg((-1 - F.min("doc_id")).alias("doc_id"))
+    rows = docs.unionByName(dirs.select("doc_id", "path", F.lit(0).cast("long").alias("size"), F.lit(EPOCH).cast("long").alias("mtime"), F.lit(True).alias("is_dir")))
+    left = rows.filter("doc_id % 7 != 2").withColumn("size", F.when(F.col("doc_id") % 5 == 1, F.col("size") + 1).otherwise(F.col("size")))
+    new = docs.filter("doc_id % 11 = 0").withColumn("path", F.concat("path", F.lit(".new")))
+    return left.unionByName(new).drop("doc_id")
+
+
+@query(f"{MOVED_SQL} SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NULL THEN 'remove' ELSE 'upsert' END AS op, n.size AS size FROM files o FULL JOIN new n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.size != n.size")
+def rescan_changes(spark, sf_dir):
+    """What a rescan applies: the stored catalog against a later walk."""
+    return walk.changes(files(spark, sf_dir).select(*search.RESULT), walked_again(spark, sf_dir), 1).select("path", "op", "size")
+
+
+@query(f"{MOVED_SQL} SELECT count_if(NOT is_dir)::BIGINT AS files, count_if(is_dir)::BIGINT AS dirs FROM new")
+def counts_with_changes(spark, sf_dir):
+    """Counts after a rescan, from the base's counts and its changes alone."""
+    base = files(spark, sf_dir).select(*search.RESULT)
+    return overlay.counts_with(base, walk.changes(base, walked_again(spark, sf_dir), 1))
+
+
+@query(f"{CHANGES_SQL} SELECT path, concat('text of ', path) AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert'")
+def stream_extract(spark, sf_dir):
+    """Two streams over the same events: one keeps the catalog, one the texts; then the texts of what is still there."""
+    at = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    catalog = Catalog(spark, f"{at}/catalog")
+    cdc.ingest(event_stream(spark, sf_dir), catalog, f"{at}/offsets").awaitTermination()
+    read_text = lambda wanted: wanted.select("path", F.concat(F.lit("text of "), "path").alias("text"))
+    cdc.extract_stream(cdc.normalise(event_stream(spark, sf_dir)), catalog, read_text, f"{at}/texts-offsets").awaitTermination()
+    return catalog.texts()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](spark, sf_dir)

@@ -1,9 +1,10 @@
-"""Command line: `python -m pathlake.cli search TERMS --catalog DIR`, and count, status, rebuild, serve."""
+"""Command line: `python -m pathlake.cli search TERMS --catalog DIR`, and count, watch, status, rebuild, rescan, serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,11 +20,15 @@ from pathlake.sources import export
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pathlake")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("search", "count", "status", "rebuild", "serve"):
+    for name in ("search", "count", "watch", "status", "rebuild", "rescan", "serve"):
         c = sub.add_parser(name)
         c.add_argument("--catalog", required=True)
         c.add_argument("--config")
-        if name in ("search", "count"):
+        c.add_argument("--mounts", help="a mount table, such as /proc/self/mounts")
+        if name in ("watch", "rescan"):
+            c.add_argument("--interval", type=int, default=1 if name == "watch" else None)
+            c.add_argument("--times", type=int, help="stop after so many; default: watch goes on, rescan does one")
+        if name in ("search", "count", "watch"):
             c.add_argument("terms", nargs="*")
             c.add_argument("--content")
             for flag in ("regex", "case-sensitive", "hidden", "full-path", "files-only", "fuzzy", "multiline", "or", "json"):
@@ -50,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     a = parser().parse_args(argv)
     out = out or sys.stdout
     spark = spark or SparkSession.builder.appName("pathlake").getOrCreate()
-    engine = Engine(spark, a.catalog, Config.load(a.config) if a.config else None)
+    engine = Engine(spark, a.catalog, Config.load(a.config) if a.config else Config().overridden(os.environ), a.mounts)
     try:
         if a.command == "search":
             found = engine.search(query_of(a))
@@ -60,6 +65,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
                 for r in found.results.collect():  # at most the limit
                     print(r["path"], file=out)
                 print(f"{found.indexed} files indexed, {found.elapsed_ms} ms{', truncated' * found.truncated}", file=sys.stderr)
+        elif a.command == "watch":
+            for rows in engine.watch(query_of(a), a.interval, a.times):
+                for r in rows:
+                    print(json.dumps(r.asDict(), ensure_ascii=False) if a.json else r["path"], file=out)
+                out.flush()  # a reader sees each match as it appears
+        elif a.command == "rescan":
+            if a.interval is not None:
+                engine.config = engine.config.patched({"rescan_interval_secs": a.interval})
+                for n in engine.rescans(a.times):
+                    print(n, file=out, flush=True)
+            else:
+                print(engine.rescan(), file=out)
         elif a.command == "count":
             print(engine.count(query_of(a)), file=out)
         elif a.command == "status":

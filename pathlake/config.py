@@ -25,6 +25,7 @@ class Config:
     index_hidden_dirs: bool = False
     persist_index: bool = True
     content_index: bool = False
+    candidate_cap: int | None = None
     content_max_file_bytes: int = TEXT_MAX
     content_max_total_bytes: int = CACHE_MAX
     overlay_compaction_threshold: int = 8192
@@ -38,8 +39,15 @@ class Config:
         try:
             data = json.loads(Path(path).read_text())
         except (OSError, ValueError):
-            return cls()
-        return cls().patched(data) if isinstance(data, dict) else cls()
+            data = None
+        return (cls().patched(data) if isinstance(data, dict) else cls()).overridden(os.environ)
+
+    def overridden(self, env) -> Config:
+        """With what the environment says of a switch: PATHLAKE_ and its name, as 1, true, yes, on or 0, false, no, off. Other values say nothing."""
+        said = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
+        switches = [f.name for f in fields(self) if isinstance(getattr(Config(), f.name), bool)]
+        found = {k: said.get((env.get(f"PATHLAKE_{k.upper()}") or "").strip().lower()) for k in switches}
+        return self.patched({k: v for k, v in found.items() if v is not None})
 
     def patched(self, patch: dict) -> Config:
         known, plain = {f.name for f in fields(self)}, asdict(Config())
@@ -60,17 +68,18 @@ class Config:
                 names = Path(self.exclude_names_file).read_text()
             except OSError:
                 names = None
-        return WalkOptions(effective_roots([expand(r, home) for r in self.roots], home), self.respect_ignore_files, self.follow_symlinks, self.index_hidden_dirs, names, [expand(d, home) for d in dict.fromkeys(self.exclude_dirs)])
+        return WalkOptions(effective_roots([expand(r, home) for r in self.roots], home), self.respect_ignore_files, self.follow_symlinks, self.index_hidden_dirs, names, list(dict.fromkeys(expand(d, home) for d in self.exclude_dirs)))
 
     def fstypes(self) -> list[str]:
         return list(dict.fromkeys([*EXCLUDED_FSTYPES, *self.extra_excluded_fstypes]))
 
 
 def expand(path: str, home: str) -> str:
-    """`~`, and paths relative to the home directory."""
+    """`~`, and paths relative to the home directory; without links, dots and double slashes. What isn't there stays as it is named."""
     if path == "~" or path.startswith("~/"):
-        return home + path[1:]
-    return path if path.startswith("/") else f"{home}/{path}"
+        path = home + path[1:]
+    full = path if path.startswith("/") else f"{home}/{path}"
+    return os.path.realpath(full) if os.path.exists(full) else full
 
 
 __all__ = ["Config", "ExcludeNames", "expand"]

@@ -4,34 +4,60 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathlake.config import Config
 from pathlake.operators import search
+from pathlake.operators.exclusions import mounts_excluded
 from pathlake.plans.patterns import PatternError
 from pathlake.plans.query import Query, QueryError
+from pathlake.schema import CANDIDATE_CAP, CONTENT_MIN
 from pathlake.sources import documents, export, walk
 from pathlake.sources.catalog import Catalog
+from pathlake.sources.mounts import read_mounts
+from pathlake.sources.shared import checkpointed, delete, shared_dir
 
 
 class Engine:
-    """Walks, searches and keeps a catalog. Changes apply to the next query; a paused engine takes none."""
+    """Walks, searches and keeps a catalog. Changes apply to the next query; a paused engine takes none.
 
-    WALK_KEYS = {"roots", "exclude_dirs", "exclude_names_file", "respect_ignore_files", "follow_symlinks", "index_hidden_dirs"}
+    mounts: a mount table, to leave out what the settings exclude; None: none is looked at.
+    """
 
-    def __init__(self, spark: SparkSession, directory: str, config: Config | None = None):
-        self.spark, self.config, self.catalog = spark, config or Config(), Catalog(spark, directory)
+    WALK_KEYS = {"roots", "exclude_dirs", "exclude_names_file", "respect_ignore_files", "follow_symlinks", "index_hidden_dirs", "extra_excluded_fstypes", "exclude_network", "exclude_removable"}
+    #: Seconds between two rescans, whatever the settings say.
+    RESCAN_LEAST = 5
+
+    def __init__(self, spark: SparkSession, directory: str, config: Config | None = None, mounts: str | None = None):
+        self.spark, self.config, self.mounts, self.degraded = spark, config or Config(), mounts, False
+        # what is not to persist lies in the shared folder until the engine is closed
+        self.catalog = Catalog(spark, directory if self.config.persist_index else f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}")
+
+    def close(self) -> None:
+        if not self.config.persist_index:
+            delete(self.spark, self.catalog.dir)
+
+    def walk_options(self) -> walk.WalkOptions:
+        """The settings' walk, without the mounts that they exclude; a mount that is a root or holds one stays."""
+        options = self.config.walk_options()
+        if self.mounts:
+            table = read_mounts(self.spark, self.mounts)
+            out = mounts_excluded(table, options.roots, tuple(self.config.extra_excluded_fstypes), self.config.exclude_network, self.config.exclude_removable)
+            options.excluded += [r["point"] for r in out.select("point").distinct().orderBy("point").collect()]  # a mount table is short
+        return options
 
     def start(self) -> Engine:
         """Builds the catalog unless the one that is there was walked with the same options."""
-        if self.catalog.needs_rebuild(self.config.walk_options().fingerprint()):
+        if self.catalog.needs_rebuild(self.walk_options().fingerprint()):
             self.rebuild()
         return self
 
     def rebuild(self) -> dict:
-        options = self.config.walk_options()
+        options = self.walk_options()
         return self.catalog.rebuild(walk.walk(self.spark, options), options.fingerprint())
 
     def apply(self, delta: DataFrame) -> None:
@@ -39,41 +65,88 @@ class Engine:
             self.catalog.apply(delta)
             self.catalog.compact(self.config.overlay_compaction_threshold)
 
+    def rescan(self) -> int:
+        """Walks again and applies what differs, for a tree that nobody watches; how many entries differed. Texts of changed and removed files go."""
+        if self.config.paused:
+            return 0
+        seq = time.time_ns() // 1000
+        found = checkpointed(walk.changes(self.catalog.entries(), walk.walk(self.spark, self.walk_options()), seq))
+        n = found.count()
+        if n:
+            self.apply(found)
+            if self.config.content_index:
+                self.catalog.add_texts(found.select("path", F.lit(None).cast("string").alias("text"), "seq"))
+        return n
+
+    def rescans(self, times: int | None = None, sleep=time.sleep):
+        """Rescans every rescan_interval_secs, at least RESCAN_LEAST apart: what is left when changes cannot be watched. Yields how many entries differed."""
+        self.degraded = True
+        while times is None or times > 0:
+            sleep(max(self.RESCAN_LEAST, self.config.rescan_interval_secs))
+            yield self.rescan()
+            times = None if times is None else times - 1
+
+    def watch(self, query: Query, interval: int = 1, times: int | None = None, sleep=time.sleep):
+        """Searches every `interval` seconds, at least one; yields the rows of each time whose paths were not reported before. What is removed is not reported.
+
+        The limit is that of one search. Reported paths are remembered, so what is held grows with them.
+        """
+        seen: set[str] = set()
+        while times is None or times > 0:
+            rows = [r for r in self.search(query).results.collect() if r["path"] not in seen]
+            seen.update(r["path"] for r in rows)
+            yield rows
+            times = None if times is None else times - 1
+            if times != 0:
+                sleep(max(1, interval))
+
     def resume(self) -> dict:
         """Changes that came during a pause were not taken, so the catalog is built anew."""
         self.config = self.config.patched({"paused": False})
         return self.rebuild()
 
     def patch(self, patch: dict) -> bool:
-        """New settings; one rebuild at the end if any of them changes what a walk finds."""
+        """New settings; one rebuild at the end if any of them changes what a walk finds. Texts go when they are no longer to be kept."""
         before = self.config
         self.config = before.patched(patch)
+        if before.content_index and not self.config.content_index:
+            self.catalog.clear_texts()
         changed = any(getattr(before, k) != getattr(self.config, k) for k in self.WALK_KEYS)
         if changed:
             self.rebuild()
         return changed
 
     def _texts(self, query: Query) -> DataFrame | None:
-        return self.catalog.texts() if query.content is not None else None
+        """Texts for a content search: the cached ones, and of candidates without one the file as it is now."""
+        if query.content is None:
+            return None
+        candidates = search.candidates(self.catalog.files(), query)
+        cached = documents.within_cap(self.catalog.texts(with_seq=True), self.config.content_max_total_bytes).select("path", "text")
+        return documents.cached_or_live(candidates, cached, self.config.content_max_file_bytes)
 
     def index_texts(self, directory: str, seq: int) -> None:
-        """Extracts the texts of a directory into the catalog."""
-        self.catalog.add_texts(documents.texts(self.spark, directory, self.config.content_max_file_bytes), seq)
-
-    def search(self, query: Query, now: int | None = None) -> search.SearchResult:
+        """Extracts the texts of a directory into the catalog, if texts are to be kept."""
+        if self.config.content_index:
+            self.catalog.add_texts(documents.texts(self.spark, directory, self.config.content_max_file_bytes), seq)
+
+    def search(self, query: Query, now: int | None = None, interactive: bool = False) -> search.SearchResult:
+        """interactive: as typed by someone, where a short content pattern would match nearly everything."""
+        if interactive and query.content is not None and len(query.content) < CONTENT_MIN:
+            raise QueryError(f"a content pattern has {CONTENT_MIN} characters at least")
         if self.config.max_results:
             query = Query(**{**query.__dict__, "limit": min(query.limit, self.config.max_results)})
-        return search.run(self.catalog.files(), query, self._texts(query), now)
+        cap = self.config.candidate_cap or (CANDIDATE_CAP if interactive else None)
+        return search.run(self.catalog.files(), query, self._texts(query), now, cap)
 
     def count(self, query: Query, now: int | None = None) -> int:
         return search.count(self.catalog.files(), query, now).first()["n"]
 
     def status(self) -> dict:
-        return {**self.catalog.status(), "paused": self.config.paused, "roots": self.config.walk_options().roots}
+        return {**self.catalog.status(), "paused": self.config.paused, "degraded": self.degraded, "roots": self.config.walk_options().roots}
 
 
 def handle(engine: Engine, line: str) -> str:
-    """One request line to one answer line. Operations: search, count, status, rebuild, config, set_config, pause, resume, ping."""
+    """One request line to one answer line. Operations: search, count, status, rebuild, rescan, text_stats, clear_texts, config, set_config, pause, resume, ping."""
     try:
         request = json.loads(line)
         op = request.get("op")
@@ -87,6 +160,13 @@ def handle(engine: Engine, line: str) -> str:
             return json.dumps(engine.status())
         if op == "rebuild":
             return json.dumps(engine.rebuild())
+        if op == "rescan":
+            return json.dumps({"changed": engine.rescan()})
+        if op == "clear_texts":
+            engine.catalog.clear_texts()
+            return json.dumps({"cleared": True})
+        if op == "text_stats":
+            return json.dumps(engine.catalog.text_stats().first().asDict())
         if op == "config":
             return json.dumps(asdict(engine.config))
         if op == "set_config":

@@ -65,3 +65,34 @@ def shell_quote(path: Column) -> Column:
 
 def shell_quote_text(path: str) -> str:
     return shlex.quote(path)
+
+
+#: Offset and prime of the 64-bit FNV-1a hash; the prime is 2^40 + 0x1B3.
+FNV_OFFSET, FNV_LOW = 0xCBF29CE484222325, 0x1B3
+MASK32 = 0xFFFFFFFF
+
+
+def path_hash(path: Column) -> Column:
+    """FNV-1a of a path's bytes as 16 hex digits. In two halves of 32 bits, as products of 64 bits would overflow."""
+    low = lambda x: x.bitwiseAND(F.lit(MASK32))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(path)), lambda i: F.conv(F.substring(F.hex(F.encode(path, "utf-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(h, byte):
+        lo = h["lo"].bitwiseXOR(byte)
+        product = lo * F.lit(FNV_LOW)
+        hi = h["hi"] * F.lit(FNV_LOW) + F.shiftright(product, 32) + F.shiftleft(lo, 8)
+        return F.struct(low(hi).alias("hi"), low(product).alias("lo"))
+
+    begin = F.struct(F.lit(FNV_OFFSET >> 32).cast("long").alias("hi"), F.lit(FNV_OFFSET & MASK32).cast("long").alias("lo"))
+    half = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.aggregate(F.when(F.octet_length(path) > 0, codes).otherwise(F.array().cast("array<bigint>")), begin, step, lambda h: F.concat(half(h["hi"]), half(h["lo"])))
+
+
+def spool_name(path: Column) -> Column:
+    """The name under which a path's extracted text is kept."""
+    return F.concat(path_hash(path), F.lit(".txt"))
+
+
+def local_time(seconds: Column) -> Column:
+    """Epoch seconds in the session's time zone, as YYYY-MM-DDTHH:MM:SS."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")

@@ -79,12 +79,14 @@ def excluded_by(files: DataFrame, prefixes: DataFrame, column: str = "path") ->
     return files.join(small_side(hit), "path", "left_anti")
 
 
-def mounts_excluded(mounts: DataFrame, roots: list[str], fstypes: tuple[str, ...] = (), exclude_network: bool = True, removable: tuple[str, ...] = ()) -> DataFrame:
+def mounts_excluded(mounts: DataFrame, roots: list[str], fstypes: tuple[str, ...] = (), exclude_network: bool = True, exclude_removable: bool = True, removable: tuple[str, ...] = ()) -> DataFrame:
     """Of mounts (device, point, fstype), those that a walk leaves out: pseudo, network and removable ones, but none that is a root or holds one."""
-    bad = F.col("fstype").isin(list(dict.fromkeys([*EXCLUDED_FSTYPES, *fstypes])))
+    network = F.col("fstype").isin(NETWORK_FSTYPES)
+    bad = F.col("fstype").isin([f for f in EXCLUDED_FSTYPES if f not in NETWORK_FSTYPES] + list(fstypes))
     if exclude_network:
-        bad |= F.col("fstype").isin(NETWORK_FSTYPES)
-    bad |= F.col("point").rlike("^(/media|/run/media)/")
+        bad |= network
+    if exclude_removable:
+        bad |= F.col("point").rlike("^(/media|/run/media)/")
     if removable:
         bad |= F.col("device").isin(list(removable))
     holds = F.lit(False)

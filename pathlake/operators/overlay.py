@@ -76,6 +76,17 @@ def dirty(delta: DataFrame) -> DataFrame:
     return delta.agg(F.count_distinct("path").alias("n"))
 
 
+def counts_with(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """One row, `files` and `dirs`: the base's counts, more by what was added and less by what was removed, without merging. A removal counts for its own path alone."""
+    count = lambda rows, sign: rows.agg((F.count_if(~F.col("is_dir")) * sign).alias("files"), (F.count_if("is_dir") * sign).alias("dirs"))
+    last = latest(delta)
+    here = base.select("path", F.col("is_dir").alias("was_dir"))
+    added = last.filter("op = 'upsert'").join(here, "path", "left_anti")
+    removed = here.join(small_side(last.filter("op = 'remove'").select("path")), "path", "left_semi").select(F.col("was_dir").alias("is_dir"))
+    parts = count(base, 1).unionByName(count(added, 1)).unionByName(count(removed, -1))
+    return parts.agg(F.sum("files").alias("files"), F.sum("dirs").alias("dirs"))
+
+
 def assign_ids(entries: DataFrame) -> DataFrame:
     """entries with `id` in the order of paths: the same for the same entries. Ranges of paths are numbered side by side; no task sees them all.
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlake.functions import categories, paths
 from pathlake.plans.compiler import Compiled, compile_query
 from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS
+from pathlake.sources.shared import checkpointed
 
 RESULT = ("path", "size", "mtime", "is_dir")
 #: A side of a join of at most so many rows is broadcast.
@@ -67,6 +68,13 @@ def content_matching(files: DataFrame, doc_text: DataFrame | None, query: Query
     return rows
 
 
+def candidates(files: DataFrame, query: Query | Compiled, now: int | None = None) -> DataFrame:
+    """(path) of the files whose content a query looks at."""
+    q = _compiled(query, now)
+    either = q.query.content_or_name and q.has_name_filter
+    return files.filter(q.coarse(files_only=True) if either else q.predicate(files_only=True)).select("path")
+
+
 def search(files: DataFrame, query: Query, doc_text: DataFrame | None = None, now: int | None = None, candidate_cap: int | None = None, columns: tuple[str, ...] = RESULT) -> DataFrame:
     """The query's rows in index order, at most `limit`; with a content pattern, of files whose text has it too.
 
@@ -81,12 +89,12 @@ def search(files: DataFrame, query: Query, doc_text: DataFrame | None = None, no
     return content_matching(files, doc_text, q).orderBy("rank", "id").limit(q.limit).select(*columns)
 
 
-def run(files: DataFrame, query: Query, doc_text: DataFrame | None = None, now: int | None = None) -> SearchResult:
+def run(files: DataFrame, query: Query, doc_text: DataFrame | None = None, now: int | None = None, candidate_cap: int | None = None) -> SearchResult:
     """search() with its envelope. `truncated` is set when as many rows as the limit are found, in OR searches when more are."""
     began = time.monotonic()
     q = _compiled(query, now)
     wider = Query(**{**query.__dict__, "limit": q.limit + 1})
-    rows = search(files, wider, doc_text, q.now, columns=("id", *RESULT)).cache()
+    rows = checkpointed(search(files, wider, doc_text, q.now, candidate_cap, ("id", *RESULT)))
     n = rows.count()
     either = query.content is not None and query.content_or_name and q.has_name_filter
     out = rows.orderBy("id").limit(q.limit).select(*RESULT) if not either else rows.limit(q.limit).select(*RESULT)
@@ -125,7 +133,9 @@ def root_counts(files: DataFrame, roots: list[str]) -> DataFrame:
     return wanted.join(found, "root", "left").select("root", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("dirs", F.lit(0)).alias("dirs"))
 
 
+#: Columns by which results are ordered, and the way they go first. `created` wants a listing with details.
 SORTS = {
+    "created": ("created", "desc"),
     "relevance": ("relevance", "desc"),
     "name": ("name", "asc"),
     "path": ("path", "asc"),
@@ -177,7 +187,3 @@ def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
 def row_columns(files: DataFrame) -> DataFrame:
     """The columns of a result list: type, MIME type and time as a timestamp."""
     return files.select(*RESULT, "name", categories.kind(F.col("name_ext"), F.col("is_dir")).alias("type"), categories.mime(F.col("name_ext")).alias("mime"), F.timestamp_seconds("mtime").alias("modified"))
-
-
-def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
-    return rows.orderBy(*order).limit(max(1, n))

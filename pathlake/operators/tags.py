@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlake.functions.codecs import clean_tag
+from pathlake.sources.shared import stamp
 
 SCHEMA = "path string, tag string"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The relation of a tag document; empty where it is missing or damaged. Tags are cleaned."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-        rows = text.select(F.from_json("value", "version int, tags map<string, array<string>>").alias("j"))
-        tags = rows.select(F.explode("j.tags").alias("path", "t")).select("path", F.explode("t").alias("tag"))
-        tags.head(1)
-    except Exception:
-        tags = spark.createDataFrame([], SCHEMA)
+    """The relation of a tag document; empty where there is none or it is no such document. A store that cannot be reached is an error. Tags are cleaned."""
+    if not stamp(spark, path):
+        return spark.createDataFrame([], SCHEMA)
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.from_json("value", "version int, tags map<string, array<string>>").alias("j"))
+    tags = rows.select(F.explode("j.tags").alias("path", "t")).select("path", F.explode("t").alias("tag"))
     return cleaned(tags)
 
 
+def save(tags: DataFrame, path: str) -> bool:
+    """Writes the document of a relation beside the old one and renames it, unless it says the same; whether it was written."""
+    text = to_json(tags)
+    try:
+        with open(path, encoding="utf-8") as f:
+            if f.read() == text:
+                return False
+    except FileNotFoundError:
+        pass
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(f"{path}.part", path)
+    return True
+
+
 def cleaned(tags: DataFrame) -> DataFrame:
     return tags.select("path", clean_tag(F.col("tag")).alias("tag")).filter("tag IS NOT NULL").distinct()
 

@@ -14,6 +14,19 @@ ENTRY = T.StructType(
     ]
 )
 
+#: What a walk can add of each entry.
+DETAILS = T.StructType(
+    [
+        *ENTRY.fields,
+        T.StructField("created", T.LongType()),
+        T.StructField("owner", T.StringType()),
+        T.StructField("group", T.StringType()),
+        T.StructField("permissions", T.IntegerType()),
+        T.StructField("inode", T.LongType()),
+        T.StructField("links", T.LongType()),
+    ]
+)
+
 #: The catalog: an entry with what is derived from its path once, at ingest.
 FILES = T.StructType(
     [
@@ -53,8 +66,6 @@ EVENT = T.StructType(
     ]
 )
 
-DOC_TEXT = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("text", T.StringType())])
-
 SCHEMA_VERSION = 2
 
 # Extensions of each category, archive and document types, limits and file-system types.
@@ -69,7 +80,7 @@ CATEGORY_EXTENSIONS = {
 ARCHIVE_NAMES = "zip tar gz tgz xz bz2 7z rar zst deb rpm jar war apk cbz".split()
 ZIP_ARCHIVES = "zip jar war apk cbz".split()
 DOCUMENT_EXTENSIONS = "docx odt ods odp odg pdf".split()
-DEFAULT_LIMIT, CLI_LIMIT, CANDIDATE_CAP, COMPACT_AT = 1000, 100, 50_000, 20_000
+DEFAULT_LIMIT, CLI_LIMIT, CANDIDATE_CAP, COMPACT_AT, CONTENT_MIN = 1000, 100, 50_000, 20_000, 3
 ARCHIVE_LIST_MAX, TAR_MEMBERS_MAX = 5000, 20_000
 TEXT_MAX, CACHE_MAX, ARCHIVE_MAX, MEMBER_MAX, PROBE = 8 << 20, 256 << 20, 64 << 20, 16 << 20, 8192
 NETWORK_FSTYPES = "nfs nfs4 smbfs cifs sshfs fuse.sshfs fuse.rclone fuse.s3fs fuse.smb 9p".split()

@@ -22,7 +22,7 @@ from pathlake.functions.paths import ancestors_of, derive
 from pathlake.operators import overlay
 from pathlake.operators.search import small_side
 from pathlake.schema import COMPACT_AT, DELTA, FILES, SCHEMA_VERSION
-from pathlake.sources.shared import stamp
+from pathlake.sources.shared import checkpointed, delete, stamp
 
 TEXTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("seq", T.LongType())])
 
@@ -75,8 +75,18 @@ class Catalog:
         """Appends changes."""
         delta.select(*DELTA.names).write.mode("append").parquet(f"{self.dir}/changes")
 
-    def add_texts(self, texts: DataFrame, seq: int) -> None:
-        texts.select("path", "text", F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(f"{self.dir}/texts")
+    def add_texts(self, texts: DataFrame, seq: int | None = None) -> None:
+        """Appends texts (path, text), with their own `seq` or one for all. The text with the greatest seq of a path counts; a null text removes it."""
+        number = F.col("seq") if seq is None else F.lit(seq)
+        texts.select("path", "text", number.cast("long").alias("seq")).write.mode("append").parquet(f"{self.dir}/texts")
+
+    def remove_texts_under(self, roots: DataFrame, seq: int) -> None:
+        """Removes the cached texts below the given paths."""
+        gone = self._under(self.texts(), roots).select("path", F.lit(None).cast("string").alias("text"))
+        self.add_texts(checkpointed(gone), seq)
+
+    def clear_texts(self) -> None:
+        delete(self.spark, f"{self.dir}/texts")
 
     def compact(self, threshold: int = COMPACT_AT) -> bool:
         """A rebuild from snapshot and changes, once over `threshold` paths have changed."""
@@ -113,19 +123,23 @@ class Catalog:
         rows = merged.join(ids, "path", "left").withColumn("id", F.coalesce("id", F.lit(1 << 48) + F.col("seq")))
         return derive(rows.drop("seq")).select(*FILES.names)
 
-    def texts(self) -> DataFrame:
-        """(path, text): the last text of each path that is still there."""
+    def texts(self, with_seq: bool = False) -> DataFrame:
+        """(path, text) or (path, text, seq): the last text of each path that is still there."""
         if not self._exists("texts"):
-            return self.spark.createDataFrame([], "path string, text string")
+            return self.spark.createDataFrame([], TEXTS if with_seq else "path string, text string")
         t = self.spark.read.schema(TEXTS).parquet(f"{self.dir}/texts")
-        last = t.groupBy("path").agg(F.max_by("text", "seq").alias("text"))
-        return last.join(self.files().select("path"), "path", "left_semi")
+        # max_by leaves a null text in its place, where it stands for a removal
+        last = t.groupBy("path").agg(F.max_by("text", F.struct("seq", "text")).alias("text"), F.max("seq").alias("seq")).filter("text IS NOT NULL")
+        last = last.join(self.files().select("path"), "path", "left_semi")
+        return last if with_seq else last.drop("seq")
+
+    def _under(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        at = rows.select("path", F.explode(ancestors_of(F.col("path"))).alias("root"))
+        return at.join(small_side(roots.select(F.col("path").alias("root"))), "root", "left_semi").select("path").distinct()
 
     def drop_texts_under(self, roots: DataFrame) -> DataFrame:
         """texts() without those below the given paths."""
-        at = self.texts().select("path", F.explode(ancestors_of(F.col("path"))).alias("root"))
-        gone = at.join(small_side(roots.select(F.col("path").alias("root"))), "root").select("path").distinct()
-        return self.texts().join(gone, "path", "left_anti")
+        return self.texts().join(self._under(self.texts(), roots), "path", "left_anti")
 
     def text_stats(self) -> DataFrame:
         return self.texts().agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))

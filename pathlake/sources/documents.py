@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathlake.operators.search import small_side
 from pathlake.schema import DOCUMENT_EXTENSIONS, PROBE, TEXT_MAX
 
 #: Which elements hold text and which end lines or cells.
@@ -154,6 +156,32 @@ def texts(spark: SparkSession, directory: str, most: int = TEXT_MAX) -> DataFram
     return f.select(path.alias("path"), extract_text(ext, "content").alias("text")).filter("text IS NOT NULL")
 
 
+def read_live(wanted: DataFrame, most: int = TEXT_MAX) -> DataFrame:
+    """(path, text) of the files that wanted (path) names, as they are now; those that cannot be read or hold no text are left out. Executors must see the files."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for path in rows["path"]:
+                try:
+                    if os.path.isfile(path) and os.path.getsize(path) <= 8 * most:
+                        with open(path, "rb") as f:
+                            ext = re.search(r"[^/]\.([^./]*)$", path)
+                            out.append((path, extract(ext[1].lower() if ext else "", f.read(), most)))
+                except OSError:
+                    continue
+            yield pd.DataFrame([x for x in out if x[1] is not None], columns=["path", "text"])
+
+    return wanted.select("path").mapInPandas(run, "path string, text string")
+
+
+def cached_or_live(candidates: DataFrame, cached: DataFrame, most: int = TEXT_MAX) -> DataFrame:
+    """(path, text) of candidates: the text that is cached where there is one, else the file as it is now."""
+    here = candidates.select("path")
+    known = cached.select("path", "text").join(small_side(here), "path", "left_semi")
+    return known.unionByName(read_live(here.join(cached.select("path"), "path", "left_anti"), most))
+
+
 def within_cap(doc_text: DataFrame, cap: int, order: str = "seq") -> DataFrame:
     """The newest texts that fit in `cap` bytes together, oldest out first.
 

@@ -1,24 +1,31 @@
 """Directory walks as a Spark data source: `spark.read.format("walk").option("roots", ...).load()`.
 
-The driver lists the first levels under each root, and each of their subtrees is a partition, so that executors walk side by side; they must see
-the file system that is walked (a shared mount on a cluster). Spark's own file listing is of no use here: it drops names that begin with a dot or an
-underscore, and directories.
+The driver lists directories from the top until there are PARTS subtrees, however they lie, and each subtree is a partition, so that executors walk
+side by side; they must see the file system that is walked (a shared mount on a cluster). Spark's own file listing is of no use here: it drops
+names that begin with a dot or an underscore, and directories.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
+from collections import deque
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from pathlake.functions import paths
 from pathlake.operators.exclusions import ExcludeNames
-from pathlake.schema import ENTRY, EVENT
+from pathlake.schema import DELTA, DETAILS, ENTRY, EVENT
 from pathlake.sources.ignore import IGNORE_FILES, Ignore
 
+#: Subtrees that a walk is split into, if there are so many.
+PARTS = 64
+
 
 @dataclass
 class WalkOptions:
@@ -30,6 +37,7 @@ class WalkOptions:
     excluded: list[str] = field(default_factory=list)  # subtrees that are left out
     dirs_only: bool = False
     global_ignore: str | None = None  # text of one more ignore file, for all roots
+    details: bool = False  # also creation time, owner, group, mode, inode and number of links
 
     def names(self) -> ExcludeNames:
         return ExcludeNames.default() if self.exclude_names is None else ExcludeNames.parse(self.exclude_names)
@@ -41,8 +49,23 @@ class WalkOptions:
         return hashlib.sha256(json.dumps(self.__dict__, sort_keys=True).encode()).hexdigest()
 
 
-def _entry(path: str, st: os.stat_result, is_dir: bool) -> tuple:
-    return path, 0 if is_dir else st.st_size, max(0, int(st.st_mtime)), is_dir
+def _entry(path: str, st: os.stat_result, is_dir: bool, details: bool = False) -> tuple:
+    plain = path, 0 if is_dir else st.st_size, max(0, int(st.st_mtime)), is_dir
+    if not details:
+        return plain
+    born = getattr(st, "st_birthtime", None)  # where the system knows it
+    return *plain, None if born is None else int(born), _name_of("pwd", st.st_uid), _name_of("grp", st.st_gid), st.st_mode & 0o7777, st.st_ino, st.st_nlink
+
+
+def _name_of(module: str, number: int) -> str:
+    """The name of a user or group; its number where the system has none."""
+    import grp
+    import pwd
+
+    try:
+        return pwd.getpwuid(number).pw_name if module == "pwd" else grp.getgrgid(number).gr_name
+    except KeyError:
+        return str(number)
 
 
 class Walker:
@@ -55,14 +78,9 @@ class Walker:
     def ignore_in(self, directory: str, above: Ignore) -> Ignore:
         if not self.o.respect_ignore:
             return above
-        texts = []
-        for name in IGNORE_FILES:
-            try:
-                with open(os.path.join(directory, name), encoding="utf-8", errors="replace") as f:
-                    texts.append(f.read())
-            except OSError:
-                continue
-        return above.enter(directory, texts)
+        # later ones win: what a repository excludes by itself, then the files that lie in the directory
+        found = (_text_of(os.path.join(directory, name)) for name in (".git/info/exclude", *IGNORE_FILES))
+        return above.enter(directory, [t for t in found if t is not None])
 
     def prunes(self, path: str, name: str) -> bool:
         hidden = name.startswith(".") and len(name) > 1
@@ -87,7 +105,7 @@ class Walker:
             if e.path in self.gone or ignore.ignores(e.path, is_dir) or (is_dir and self.prunes(e.path, e.name)):
                 continue
             if is_dir or not self.o.dirs_only:
-                yield _entry(e.path, st, is_dir), is_dir, link
+                yield _entry(e.path, st, is_dir, self.o.details), is_dir, link
 
     def walk(self, directory: str, ignore: Ignore, seen: frozenset = frozenset()):
         """All entries under a directory. Links that lead back to a directory above are not followed again."""
@@ -106,8 +124,10 @@ class Walker:
             stack += reversed(deeper)
 
     def rules_above(self, directory: str) -> Ignore:
-        out = Ignore().enter(directory, [self.o.global_ignore]) if self.o.global_ignore and self.o.respect_ignore else Ignore()
+        """The rules that hold above a directory: the user's own, and those of the directories up to the root."""
+        out = Ignore()
         if self.o.respect_ignore:
+            out = out.enter("/", [t for t in (git_global_ignore(), self.o.global_ignore) if t])
             up = []
             at = os.path.dirname(directory)
             while at and at != directory:
@@ -118,6 +138,30 @@ class Walker:
         return out
 
 
+def _text_of(path: str) -> str | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def git_global_ignore() -> str | None:
+    """The text of the ignore file that git holds for all of a user's repositories: core.excludesFile, or git/ignore in the configuration folder."""
+    home = os.path.expanduser("~")
+    conf = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    named = None
+    for path in (os.path.join(conf, "git/config"), os.path.join(home, ".gitconfig")):
+        section = ""
+        for line in (_text_of(path) or "").split("\n"):
+            line = line.strip()
+            if line.startswith("["):
+                section = line.strip("[]").strip().lower()
+            elif section == "core" and "=" in line and (kv := line.split("=", 1))[0].strip().lower() == "excludesfile":
+                named = kv[1].strip().strip('"')
+    return _text_of(os.path.expanduser(named)) if named else _text_of(os.path.join(conf, "git/ignore"))
+
+
 class WalkPartition(InputPartition):
     def __init__(self, directory: str, deep: bool):
         self.directory, self.deep = directory, deep
@@ -128,12 +172,24 @@ class WalkReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        """A partition for what lies directly in each root, and one for each subtree below it."""
+        """Partitions for subtrees, and for what lies directly in the directories above them. The uppermost are split first, until there are PARTS."""
         out, walker = [], Walker(self.options)
+        below = deque()
         for root in dict.fromkeys(paths.clean_prefix(r) for r in self.options.roots):
-            out.append(WalkPartition(root, False))
-            rules = walker.ignore_in(root, walker.rules_above(root))
-            out += [WalkPartition(entry[0], True) for entry, is_dir, _ in walker.children(root, rules) if is_dir]
+            below.append((root, walker.rules_above(root), True))
+        listed = 0
+        while below and (below[0][2] or len(below) + len(out) < PARTS and listed < 4 * PARTS):
+            directory, above, _ = below.popleft()
+            rules = walker.ignore_in(directory, above)
+            out.append(WalkPartition(directory, False))
+            listed += 1
+            # links are walked whole by one task, which alone knows where they lead back to
+            for entry, is_dir, link in walker.children(directory, rules):
+                if is_dir and link:
+                    out.append(WalkPartition(entry[0], True))
+                elif is_dir:
+                    below.append((entry[0], rules, False))
+        out += [WalkPartition(directory, True) for directory, _, _ in below]
         return out or [WalkPartition("", False)]
 
     def read(self, partition):
@@ -149,13 +205,24 @@ class WalkReader(DataSourceReader):
 
 
 class WalkStreamReader(DataSourceStreamReader):
-    """Events from comparing listings: every micro-batch walks again and reports what is new, changed or gone. The offset is a batch number and the last listing."""
-
-    def __init__(self, options: WalkOptions):
-        self.options, self.seq, self.last, self.pending = options, 0, {}, {}
+    """Events from comparing listings: every micro-batch walks again and reports what is new, changed or gone.
+
+    Numbers of events follow the clock, so that they go on growing when a query is started again. With a `state` file the last listing and the
+    events that are not committed yet are kept there: a query that is started again reports what changed while it was down, and what it had not
+    finished. The listing is held by the driver, which suits trees of some million entries; larger ones are compared by tasks (see changes()).
+    """
+
+    def __init__(self, options: WalkOptions, state: str | None = None):
+        self.options, self.state, self.pending = options, state, {}
+        self.seq, self.last = 0, {}
+        if state and (text := _text_of(state)):
+            kept = json.loads(text)
+            self.seq, self.last = kept["seq"], {e[0]: tuple(e) for e in kept["entries"]}
+            self.pending = {first: ([tuple(r) for r in rows], last) for first, last, rows in kept["pending"]}
+        self.first = min(self.pending, default=self.seq)
 
     def initialOffset(self):
-        return {"seq": 0}
+        return {"seq": self.first}  # may be asked for after a first listing
 
     def latestOffset(self):
         walker, now = Walker(self.options), {}
@@ -165,21 +232,32 @@ class WalkStreamReader(DataSourceStreamReader):
         events = [("create" if p not in self.last else "data", e) for p, e in now.items() if self.last.get(p) != e]
         events += [("remove", e) for p, e in self.last.items() if p not in now]
         if events:
-            self.pending[self.seq] = [(e[0], k, e[1], e[2], e[3], self.seq + i) for i, (k, e) in enumerate(sorted(events, key=lambda x: x[1][0]))]
-            self.seq += len(events)
-            self.last = now
+            first = max(self.seq, time.time_ns() // 1000)
+            rows = [(e[0], k, e[1], e[2], e[3], first + i) for i, (k, e) in enumerate(sorted(events, key=lambda x: x[1][0]))]
+            self.seq, self.last = first + len(rows), now
+            self.pending[first] = (rows, self.seq)
+            self._keep()
         return {"seq": self.seq}
 
+    def _keep(self) -> None:
+        if self.state:
+            with open(f"{self.state}.part", "w", encoding="utf-8") as f:
+                json.dump({"seq": self.seq, "entries": list(self.last.values()), "pending": [[s, last, rows] for s, (rows, last) in self.pending.items()]}, f)
+            os.replace(f"{self.state}.part", self.state)
+
     def partitions(self, start, end):
-        rows = [r for s, batch in sorted(self.pending.items()) if start["seq"] <= s < end["seq"] for r in batch]
-        return [EventPartition(rows)]
+        rows = [r for s, (batch, _) in sorted(self.pending.items()) if start["seq"] <= s < end["seq"] for r in batch]
+        return [EventPartition(rows[lo : lo + 10_000]) for lo in range(0, max(1, len(rows)), 10_000)]
+
+    def commit(self, end):
+        if done := [s for s, (_, last) in self.pending.items() if last <= end["seq"]]:
+            for s in done:
+                del self.pending[s]
+            self._keep()
 
     def read(self, partition):
         yield from partition.rows
 
-    def commit(self, end):
-        self.pending = {s: b for s, b in self.pending.items() if s >= end["seq"]}
-
 
 class EventPartition(InputPartition):
     def __init__(self, rows):
@@ -195,7 +273,7 @@ class WalkSource(DataSource):
         return WalkOptions(**json.loads(self.options["walk"])) if "walk" in self.options else WalkOptions(roots=[r for r in self.options.get("roots", "").split("\n") if r])
 
     def schema(self):
-        return ENTRY
+        return DETAILS if self._options().details else ENTRY
 
     def reader(self, schema):
         return WalkReader(self._options())
@@ -210,18 +288,51 @@ class WatchSource(WalkSource):
         return EVENT
 
     def streamReader(self, schema):
-        return WalkStreamReader(self._options())
+        return WalkStreamReader(self._options(), self.options.get("state"))
 
 
 def walk(spark: SparkSession, options: WalkOptions) -> DataFrame:
-    """(path, size, mtime, is_dir) of all that lies under the roots; each path once, however roots nest."""
+    """(path, size, mtime, is_dir) of all that lies under the roots, with `details` more; each path once, however roots nest."""
     spark.dataSource.register(WalkSource)
     rows = spark.read.format("walk").option("walk", json.dumps(options.__dict__)).load()
     nested = any(a != b and b.startswith(a.rstrip("/") + "/") for a in options.roots for b in options.roots)
     return rows.dropDuplicates(["path"]) if nested else rows
 
 
-def events(spark: SparkSession, options: WalkOptions) -> DataFrame:
-    """A stream of events, by walking again at each trigger."""
+def events(spark: SparkSession, options: WalkOptions, state: str | None = None) -> DataFrame:
+    """A stream of events, by walking again at each trigger; `state` is a file that outlives the query."""
     spark.dataSource.register(WatchSource)
-    return spark.readStream.format("watch").option("walk", json.dumps(options.__dict__)).load()
+    rows = spark.readStream.format("watch").option("walk", json.dumps(options.__dict__))
+    return (rows.option("state", state) if state else rows).load()
+
+
+def below(created: DataFrame, options: WalkOptions) -> DataFrame:
+    """Changes for all that lies below directories of created (path, op, size, mtime, is_dir, seq): what was there before anyone watched them.
+
+    Each directory is walked by the task that has its row; entries take its seq.
+    """
+
+    def run(batches):
+        walker = Walker(options)
+        for rows in batches:
+            out = []
+            for path, seq in zip(rows["path"], rows["seq"]):
+                out += [(e[0], "upsert", *e[1:4], seq) for e in walker.walk(path, walker.rules_above(path))]
+            yield pd.DataFrame(out, columns=DELTA.names)
+
+    dirs = created.filter("op = 'upsert' AND is_dir").groupBy("path").agg(F.max("seq").alias("seq"))
+    return dirs.mapInPandas(run, DELTA)
+
+
+def changes(old: DataFrame, new: DataFrame, seq: int) -> DataFrame:
+    """The changes that turn listing old into listing new (path, size, mtime, is_dir), compared side by side by path; all have this seq."""
+    o, n = old.alias("o"), new.alias("n")
+    same = F.struct("o.size", "o.mtime", "o.is_dir").eqNullSafe(F.struct("n.size", "n.mtime", "n.is_dir"))
+    rows = o.join(n, F.col("o.path") == F.col("n.path"), "full").filter(F.col("o.path").isNull() | F.col("n.path").isNull() | ~same)
+    gone = F.col("n.path").isNull()
+    return rows.select(
+        F.coalesce("n.path", "o.path").alias("path"),
+        F.when(gone, "remove").otherwise("upsert").alias("op"),
+        *[F.col(f"n.{c}").alias(c) for c in ("size", "mtime", "is_dir")],
+        F.lit(seq).cast("long").alias("seq"),
+    )

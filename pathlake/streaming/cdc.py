@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pathlake.functions.paths import clean_prefix, derive
+from pathlake.operators.search import search
 from pathlake.plans.compiler import compile_query
 from pathlake.plans.query import Query
 from pathlake.schema import DELTA
 from pathlake.sources.catalog import Catalog
+from pathlake.sources.shared import checkpointed
+from pathlake.sources.walk import WalkOptions, below
 
 UPSERTS, REMOVALS = ("create", "rename_to", "data", "metadata"), ("remove", "rename_from")
 
@@ -29,26 +34,45 @@ def normalise(events: DataFrame, roots: list[str] | None = None) -> DataFrame:
     return rows.select(*DELTA.names)
 
 
-def ingest(events: DataFrame, catalog: Catalog, checkpoint: str, roots: list[str] | None = None, compact_at: int | None = None, **trigger) -> StreamingQuery:
+def ingest(events: DataFrame, catalog: Catalog, checkpoint: str, roots: list[str] | None = None, compact_at: int | None = None, walk_created: WalkOptions | None = None, after: Callable[[int], None] | None = None, **trigger) -> StreamingQuery:
     """Appends the changes of a stream of events to a catalog; with compact_at, compacts it after a batch that brings it over.
 
+    walk_created: directories that appear are walked, as what lies in them may be older than any watch. after is called with a batch's number
+    once its changes can be searched, as by results that are shown live.
     A batch that is replayed after a failure appends its changes again, which changes nothing: they have the same seq.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
+        batch = checkpointed(batch)
+        if walk_created is not None:
+            batch = batch.unionByName(below(batch, walk_created))
         catalog.apply(batch)
         if compact_at is not None:
             catalog.compact(compact_at)
+        if after is not None:
+            after(number)
 
     return normalise(events, roots).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def live_results(events: DataFrame, catalog: Catalog, query: Query, show: Callable[[DataFrame], None], checkpoint: str, now: int | None = None, debounce_ms: int = 700, **trigger) -> StreamingQuery:
+    """ingest() that shows a query's results anew after every batch of changes; a batch waits debounce_ms for more of them."""
+    return ingest(events, catalog, checkpoint, after=lambda _: show(search(catalog.files(), query, now=now)), **(trigger or {"processingTime": f"{debounce_ms} milliseconds"}))
+
+
 def extract_stream(changes: DataFrame, catalog: Catalog, read_text, checkpoint: str, **trigger) -> StreamingQuery:
-    """A second stream that extracts texts of changed files: read_text maps a DataFrame of paths to (path, text)."""
+    """A second stream that extracts texts of changed files: read_text maps a DataFrame of paths to (path, text).
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        wanted = batch.filter("op = 'upsert' AND NOT is_dir").select("path").distinct()
-        catalog.add_texts(read_text(wanted), batch_id)
+    A text has the seq of the change that it was read for, so what a later change says wins, whichever stream wrote it. What is removed loses its text.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch = checkpointed(batch)
+        wanted = batch.filter("op = 'upsert' AND NOT is_dir").groupBy("path").agg(F.max("seq").alias("seq"))
+        found = wanted.join(read_text(wanted.select("path")), "path")
+        catalog.add_texts(found)
+        gone = batch.filter("op = 'remove'").groupBy("path").agg(F.max("seq").alias("seq"))
+        catalog.add_texts(gone.select("path", F.lit(None).cast("string").alias("text"), "seq"))
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
