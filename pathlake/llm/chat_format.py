@@ -1,9 +1,10 @@
 """Chat formatting of reply trees.
 
-Messages form trees (a message answers its parent). Iterative self-joins enumerate the root-to-leaf
-paths by doubling: every round, a path's upper end jumps twice as far, so a tree of depth d takes
-log2(d) rounds. Branches are ranked by the sum of their messages' scores, and each chosen path is
-formatted as one conversation. Built-in functions only.
+Messages form trees (a message answers its parent). Iterative self-joins find each leaf's root by doubling: every
+round, jumps reach twice as far up, so a tree of depth d takes log2(d) rounds. Branches are ranked by the sum of their
+messages' scores. The nodes of the chosen ones are enumerated by the same jumps, the longest first, a row a node: what
+is held grows with the messages, not with the square of a conversation. Each chosen path is formatted as one
+conversation. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def chains(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 def branches(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, leaf, path, score, rank) of the `top` best root-to-leaf paths of each tree; path lists nodes from the root.
+    """(tree, leaf, rank, score, n_turns, pos, node) of the `top` best root-to-leaf paths of each tree, a row a node; pos counts from the root, 0.
 
     messages: tree, node, parent, score. A parent that is null or not in the tree makes a root. Of repeated
     (tree, node) rows one counts. A chain that runs into a cycle has no root and gives no path. Null scores count 0.
@@ -81,39 +82,46 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
 
     m = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), "parent")).alias("m"))
     m = checkpointed(m.select("tree", "node", F.col("m.parent").alias("parent"), F.col("m.s").alias("score")))
-    same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
     known = m.select("tree", F.col("node").alias("up"), F.lit(1).alias("known"))
     jump = (
         m.alias("a")
-        .join(known.alias("b"), same("a", "b") & (F.col("a.parent") == F.col("b.up")), "left")
-        .select("a.tree", "a.node", F.when(F.col("b.known") == 1, F.col("a.parent")).alias("up"), F.array("a.node").alias("path"), F.col("a.score").alias("score"))
+        .join(known.alias("b"), _same("a", "b") & (F.col("a.parent") == F.col("b.up")), "left")
+        .select("a.tree", "a.node", F.when(F.col("b.known") == 1, F.col("a.parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("a.score").alias("score"))
     )
     jump = checkpointed(jump)
     inner = jump.filter("up IS NOT NULL").select("tree", "up").distinct()
-    paths = (
-        jump.alias("a")
-        .join(inner.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.up")), "left_anti")
-        .select("a.tree", F.col("a.node").alias("leaf"), "a.up", "a.path", "a.score")
-    )
-    paths = checkpointed(paths)
+    paths = checkpointed(jump.alias("a").join(inner.alias("b"), _same("a", "b") & (F.col("a.node") == F.col("b.up")), "left_anti").select(F.col("a.node").alias("leaf"), "a.*"))
     most = m.count()
-    reach = 1
+    reach, levels = 1, []
     # only what has not reached a root yet is joined again: long paths alone go into the later rounds
     while reach <= most and paths.filter("up IS NOT NULL").limit(1).count():
-        paths = checkpointed(paths.filter("up IS NULL").unionByName(_farther(paths, jump, "leaf")))
+        levels.append((reach, jump.filter("up IS NOT NULL").select("tree", "node", "up")))
+        paths = checkpointed(paths.filter("up IS NULL").unionByName(_farther(paths, jump, "leaf", "node")))
         jump = checkpointed(jump.filter("up IS NULL").unionByName(_farther(jump, jump, "node")))
         reach *= 2
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return paths.filter("up IS NULL").withColumn("rank", rank).filter(F.col("rank") <= top).drop("up")
+    chosen = paths.filter("up IS NULL").withColumn("rank", rank).filter(F.col("rank") <= top)
+    steps = chosen.select("tree", "leaf", "rank", "score", F.col("n").alias("n_turns"), (F.col("n") - 1).alias("pos"), "node")
+    for reach, up in reversed(levels):
+        # what lies this far above the nodes so far; none of it is among them
+        steps = checkpointed(steps)
+        above = steps.alias("a").join(up.alias("b"), _same("a", "b") & (F.col("a.node") == F.col("b.node")))
+        above = above.select("a.tree", "a.leaf", "a.rank", "a.score", "a.n_turns", (F.col("a.pos") - reach).alias("pos"), F.col("b.up").alias("node"))
+        steps = steps.unionByName(above)
+    return steps
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
 
 
-def _farther(rows: DataFrame, jump: DataFrame, key: str) -> DataFrame:
+def _farther(rows: DataFrame, jump: DataFrame, *keys: str) -> DataFrame:
     """The open rows (with an `up`), taken as much farther up as `jump` reaches from there."""
     return (
         rows.filter("up IS NOT NULL")
         .alias("a")
-        .join(jump.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
-        .select("a.tree", f"a.{key}", "b.up", F.concat("b.path", "a.path").alias("path"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        .join(jump.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b.node")))
+        .select("a.tree", *[f"a.{k}" for k in keys], "b.up", (F.col("a.n") + F.col("b.n")).alias("n"), (F.col("a.score") + F.col("b.score")).alias("score"))
     )
 
 
@@ -124,12 +132,11 @@ def format_branches(messages: DataFrame, top: int = 1, loss_role: str = "assista
     (first, length), in code points from 1, of the texts of loss_role inside `formatted`.
     Null roles and texts count as empty; an empty table gives no rows; other columns are not read.
     """
-    chosen = branches(messages, top)
+    steps = branches(messages, top)
     said = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    steps = chosen.select("tree", "leaf", "rank", "score", F.posexplode("path").alias("pos", "node"))
     turns = (
         steps.alias("a")
-        .join(said.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node")))
+        .join(said.alias("b"), _same("a", "b") & (F.col("a.node") == F.col("b.node")))
         .select("a.tree", "a.leaf", "a.rank", "a.score", "a.pos", F.col("b.m.role").alias("role"), F.col("b.m.text").alias("text"))
         .select("tree", "leaf", "rank", "score", "pos", (F.col("role") == loss_role).alias("loss"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
     )

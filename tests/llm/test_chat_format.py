@@ -1,6 +1,7 @@
 """Chat formatting: round trips, loss masks and reply trees."""
 
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,11 +47,20 @@ def test_round_trip(spark, talks):
     check(spark, [(c, i, r, t, None) for c, turns in enumerate(talks) for i, (r, t) in enumerate(turns)])
 
 
+def paths(df, top):
+    """{(tree, rank): ([(pos, node)], score)} of all branches."""
+    out = {}
+    for r in cf.branches(df, top).collect():
+        out.setdefault((r["tree"], r["rank"]), ([], r["score"]))[0].append((r["pos"], r["node"]))
+        assert r["n_turns"] > r["pos"] >= 0
+    return out
+
+
 def test_reply_tree(spark):
     m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "good", 2.0), (1, 3, 1, "assistant", "bad", 1.0), (1, 4, 3, "user", "more", 0.5), (1, 5, 4, "assistant", "end", 0.1)]
     m += [(2, 1, 99, "user", "lost parent", None), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (2, 1, 99, "user", "lost parent", None)]
     df = spark.createDataFrame(m, MESSAGES)
-    got = {(r["tree"], r["rank"]): (list(r["path"]), r["score"]) for r in cf.branches(df, top=5).collect()}
+    got = {k: ([node for _, node in sorted(v)], score) for k, (v, score) in paths(df, 5).items()}
     assert got == {(1, 1): ([1, 2], 2.0), (1, 2): ([1, 3, 4, 5], 1.6), (2, 1): ([1], 0.0)}
     best = cf.format_branches(df).filter("tree = 1").first()
     assert best["formatted"] == f"{cf.START}user\nq{cf.END}{cf.START}assistant\ngood{cf.END}"
@@ -60,5 +70,32 @@ def test_reply_tree(spark):
 
 def test_deep_chain(spark):
     df = spark.range(1, 201).select(F.lit(1).cast("long").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.lit("t").alias("text"), F.lit(1.0).alias("score"))
-    r = cf.branches(df).first()
-    assert list(r["path"]) == list(range(1, 201)) and r["score"] == 200.0
+    (steps, score), = paths(df, 1).values()
+    assert sorted(steps) == [(i - 1, i) for i in range(1, 201)] and score == 200.0
+
+
+def test_random_trees_equal_brute_force(spark):
+    """All branches of random trees, their order of nodes, scores and ranks, against walks up from every leaf."""
+    rng, rows, want = random.Random(4), [], {}
+    for tree in range(12):
+        n = rng.choice([1, 2, 7, 33, 64, 65])
+        parent = {i: (rng.randrange(max(0, i - rng.choice([1, 3, 40])), i) if i else None) for i in range(n)}
+        score = {i: rng.randrange(100) / 8 for i in range(n)}
+        rows += [(tree, i, p, "user", "", score[i]) for i, p in parent.items()]
+        found = []
+        for leaf in set(parent) - set(parent.values()):
+            path = [leaf]
+            while parent[path[0]] is not None:
+                path.insert(0, parent[path[0]])
+            found.append((-sum(score[i] for i in path), leaf, path))
+        want |= {(tree, k + 1): (path, -s) for k, (s, _, path) in enumerate(sorted(found)[:4])}
+    got = {k: ([node for _, node in sorted(v)], score) for k, (v, score) in paths(spark.createDataFrame(rows, MESSAGES), 4).items()}
+    assert got == want
+
+
+def test_a_long_conversation_takes_rows_in_proportion(spark):
+    """20,000 turns: one row a turn at any time, not one list of turns a turn."""
+    n = 20_000
+    df = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.lit("t").alias("text"), F.lit(0.0).alias("score"))
+    r = cf.branches(df).agg(F.count("*"), F.count_distinct("pos"), F.sum(F.abs(F.col("pos") + 1 - F.col("node")))).first()
+    assert tuple(r) == (n, n, 0)
