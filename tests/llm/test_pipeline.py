@@ -3,14 +3,16 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_near import shingles, similar
+from test_quality import plain_scores
 
 import __spark_entry__
 import corpus_pipeline
-from pathlake.llm import quality, simhash
+from pathlake.llm import quality
 from pathlake.llm.common import id_hash, table
-from pathlake.llm.queries import site
 
 
 @pytest.fixture(scope="module")
@@ -31,29 +33,61 @@ def tables(spark, tmp_path_factory):
 
 
 def test_run_equals_brute_force(spark, tables):
+    """Every stage in plain Python: scores of documents and sites, equal texts, five-word similarity of all pairs, every window against the item."""
     at, texts, item = tables
-    docs = table(spark, at, "documents")
-    model = quality.fit(docs, table(spark, at, "labels"), id_hash(F.col("doc_id")) != 1)
-    left = {r["doc_id"] for r in quality.score(docs, model, *site(docs)).filter("quality_keep").collect()}
+    model = quality.fit(table(spark, at, "documents"), table(spark, at, "labels"), id_hash(F.col("doc_id")) != 1)
+    evidence = model.probability(quality.features(pa.array(texts, pa.string()))).tolist()
+    score = plain_scores([(i, f"s{i % 4}", f"s{i % 4}/en") for i in range(len(texts))], evidence)
+    left = {i for i, s in score.items() if s >= 0.5}
     assert not [i for i in left if "###" in (texts[i] or "")] and set(range(150)) <= left
     groups = {}
     for i in sorted(left):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", texts[i] or ""), []).append((-len(texts[i] or ""), i))
     left = sorted(min(g)[1] for g in groups.values())
-    fps, root = {i: simhash.fingerprint(texts[i]) for i in left}, {i: i for i in left}
-    changed = True
-    while changed:
-        changed = False
-        for a in left:
-            for b in left:
-                if (fps[a] ^ fps[b]).bit_count() <= 3 and root[a] > root[b]:
-                    root[a], changed = root[b], True
-    left = [i for i in left if root[i] == i and item not in (texts[i] or "")]
+    shingled = {i: shingles(texts[i]) for i in left}
+    root = {i: i for i in left}
+    for a in left:
+        for b in left:
+            if b < a and root[a] != root[b] and similar(shingled[a], shingled[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    left = [i for i in left if root[i] == i]
+    want, n = shingles(item), len(item.split())
+
+    def holds(text):
+        w = (text or "").lower().split()
+        windows = (shingles(" ".join(w[k : k + n])) for k in range(max(1, len(w) - n + 1)))
+        return any(x and len(x & want) >= 0.8 * len(x | want) for x in windows)
+
+    left = [i for i in left if not holds(texts[i])]
     got = corpus_pipeline.run(spark, at).collect()
     assert sorted(r["doc_id"] for r in got) == left and all(r["round_trip"] for r in got)
     assert len(left) < len(texts) - 45
 
 
+def test_run_again_leaves_one_set_of_tables(spark, tables):
+    from pathlake.sources.shared import shared_dir, subfolders
+
+    at, _, _ = tables
+    first = sorted(map(tuple, corpus_pipeline.run(spark, at).select("doc_id", "n_pieces").collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, at).select("doc_id", "n_pieces").collect())) == first
+    mine = [x for x in subfolders(spark, shared_dir(spark)) if x.startswith("pipeline-")]
+    assert mine and all(len(subfolders(spark, f"{shared_dir(spark)}/{x}")) == 1 for x in mine)
+
+
+def test_odd_rows_at_every_stage(spark, tables):
+    """Null ids, texts, sources and languages, repeated rows, a very long text, columns called like our own: no stage fails, and columns stay as they are."""
+    at, texts, _ = tables
+    rows = [(None, texts[0], None, None, None, 1), (None, None, "en", "s", 0, 2), (1, texts[1], "en", "s", 1, 3), (1, texts[1], "en", "s", 1, 3), (2, "", None, "s", 0, 4), (3, " ".join(texts[2:40]) * 5, "en", "s", 9, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __digest long")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, at)
+        kept = got.collect()
+        assert 1 <= len(kept) <= len(rows), name
+        if name != "sentencepiece":
+            assert got.columns == docs.columns and {tuple(r) for r in kept} <= set(rows), name
+
+
 def test_stages_return_the_columns_of_documents(spark, tables):
     at, _, _ = tables
     docs = table(spark, at, "documents")

@@ -1,6 +1,7 @@
 """Quality: statistics, shrinkage against formulas, skewed and odd tables, accuracy."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -59,15 +60,12 @@ def test_columns_called_like_our_own(spark):
     assert (row["__host"], row["__path"], row["__quality_evidence"], row["host_post"]) == (7, 8, 0.5, "g") and 0 <= row["quality_score"] <= 1
 
 
-def test_scores_equal_brute_force(spark):
-    """The whole query's arithmetic in plain Python: document evidence, hosts drawn to the mean, paths to their host, odds added."""
-    docs, labels, y = tables(spark, 300)
-    model = quality.fit(docs, labels, id_hash(F.col("doc_id")) != 1, per_class=100)
-    rows = [(r["doc_id"], r["text"], r["source"], f"{r['source']}/{r['lang']}") for r in docs.collect()]
-    p = dict(zip([r[0] for r in rows], model.probability(quality.features(pa.array([r[1] for r in rows]))).tolist()))
+def plain_scores(rows, probability):
+    """{row: score} of (row, host, path) rows in plain Python: document evidence, hosts drawn to the mean, paths to their host, odds added."""
+    p = dict(zip([r[0] for r in rows], probability))
     mean = sum(p.values()) / len(p)
 
-    def moments(groups, prior):
+    def drawn(groups, prior):
         n = {k: len(v) for k, v in groups.items()}
         m = {k: sum(v) / len(v) for k, v in groups.items()}
         total = sum(n.values())
@@ -77,15 +75,29 @@ def test_scores_equal_brute_force(spark):
         return {k: (sum(v) + strength * prior[k]) / (n[k] + strength) for k, v in groups.items()}
 
     hosts, paths = {}, {}
-    for i, _, h, q in rows:
+    for i, h, q in rows:
         hosts.setdefault(h, []).append(p[i])
         paths.setdefault((h, q), []).append(p[i])
-    host = moments(hosts, dict.fromkeys(hosts, mean))
-    path = moments(paths, {k: host[k[0]] for k in paths})
+    host = drawn(hosts, dict.fromkeys(hosts, mean))
+    path = drawn(paths, {k: host[k[0]] for k in paths})
     logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
-    want = {i: 1 / (1 + np.exp(-(logit(p[i]) + logit(path[h, q]) - logit(mean)))) for i, _, h, q in rows}
-    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    return {i: 1 / (1 + np.exp(-(logit(p[i]) + logit(path[h, q]) - logit(mean)))) for i, h, q in rows}
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    from pathlake.llm.queries import op6_quality
+
+    docs, labels, y = tables(spark, 300)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = sorted((r for r in docs.collect()), key=lambda r: r["doc_id"])
+    late = {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    learn = [(r["text"], y[r["doc_id"]]) for r in sorted(rows, key=lambda r: str(r["doc_id"])) if r["doc_id"] not in late]
+    model = quality.train(learn, {v: sum(1 for _, x in learn if x == v) for v in (0, 1)})
+    want = plain_scores([(r["doc_id"], r["source"], f"{r['source']}/{r['lang']}") for r in rows], model.probability(quality.features(pa.array([r["text"] for r in rows]))).tolist())
+    got = {r["doc_id"]: r for r in op6_quality(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and {i for i, r in got.items() if r["held_out"]} == late
+    assert all(abs(got[i]["quality_score"] - want[i]) < 1e-6 and got[i]["quality_keep"] == (want[i] >= 0.5) for i in want)
 
 
 def test_features_read_whole_texts():

@@ -1,6 +1,8 @@
 """Toxicity: gradients against differences, windows, accuracy on rows that were not learned from, odd texts."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -86,3 +88,69 @@ def test_long_and_odd_texts(spark, documents, net):
     assert got[3]["predicted"] == 0 and got[4]["predicted"] == 1 and got[4]["score"] == got[5]["score"] and got[0]["predicted"] == got[1]["predicted"] == 0 and got[7]["predicted"] == 1
     assert tx.score(documents([]), net).count() == 0 and tx.score(documents(["a"]), None).first()["score"] == 0.0
     assert tx.train([("a", 1)] * 20, {1: 20}) is None
+
+
+def plain_score(net, text):
+    """One text's score, window by window, word by word and unit by unit, in plain Python floats."""
+    words = text.encode().lower().split()
+    sig = lambda x: 1 / (1 + math.exp(-min(max(x, -500), 500)))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def vector(w):
+        bare = w.strip(tx.EDGE) or w
+        code = zlib.crc32(bare)
+        c = [32, *bare, 32]
+        slots = []
+        for i in range(len(c) - 2):
+            h = (c[i] * 0x9E3779B1 ^ (c[i + 1] * 0x85EBCA6B + (c[i + 2] << 9))) & 0xFFFFFFFF
+            slots.append(((h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 19)
+        odds = [float(net.char_odds[k]) for k in slots]
+        return [*p["E"][code & (tx.WORD_SLOTS - 1)], *np.mean([p["C"][k] for k in slots], axis=0), float(net.word_odds[code & (tx.ODDS_SLOTS - 1)]), max(odds), sum(odds) / len(odds)]
+
+    def logit(window):
+        n, hid = len(window), tx.HIDDEN
+        both = [[0.0] * (2 * hid) for _ in range(n)]
+        for d in range(2):
+            h = [0.0] * hid
+            for t in range(n) if d == 0 else range(n - 1, -1, -1):
+                x = vector(window[t])
+                g = [sum(x[i] * p["W"][i][d * 3 * hid + j] for i in range(len(x))) + p["b"][d * 3 * hid + j] for j in range(3 * hid)]
+                a = [sum(h[i] * p["U"][d][i][j] for i in range(hid)) for j in range(3 * hid)]
+                z = [sig(g[j] + a[j]) for j in range(hid)]
+                r = [sig(g[hid + j] + a[hid + j]) for j in range(hid)]
+                c = [math.tanh(g[2 * hid + j] + r[j] * a[2 * hid + j]) for j in range(hid)]
+                h = [c[j] + z[j] * (h[j] - c[j]) for j in range(hid)]
+                both[t][d * hid : (d + 1) * hid] = h
+        if not n:
+            return float(p["c"][0])
+        att = [sum(s[j] * p["v"][j] for j in range(2 * hid)) for s in both]
+        e = [math.exp(x - max(att)) for x in att]
+        pooled = [sum(e[t] * both[t][j] for t in range(n)) / sum(e) for j in range(2 * hid)]
+        return sum(pooled[j] * p["o"][j] for j in range(2 * hid)) + float(p["c"][0])
+
+    begins = [0]
+    while begins[-1] + tx.WINDOW < len(words):
+        begins.append(begins[-1] + tx.STRIDE)
+    worst = max(logit(words[b : b + tx.WINDOW]) for b in begins)
+    a, b, c = net.calibration
+    return min(max(sig(a * min(max(worst, -15), 15) + b * math.log(len(begins)) + c), 1e-4), 1 - 1e-4)
+
+
+def test_query_equals_brute_force(spark, documents, tmp_path):
+    """Every row of the registered query against the plain version, with the network of the rows that may be learned from."""
+    from pathlake.llm.queries import op7_toxicity
+
+    rng = random.Random(8)
+    y = [int(rng.random() < 0.4) for _ in range(90)]
+    texts = [make(rng, v) for v in y] + [None, "", "one", "A " * 25, "b " * 24, "Grotty!! " + "c " * 60]
+    documents(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    late = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = [(texts[i], y[i]) for i in sorted((i for i in range(90) if i not in late), key=str)]
+    net = tx.train(rows, {v: sum(1 for _, x in rows if x == v) for v in (0, 1)})
+    got = {r["doc_id"]: r for r in op7_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and {i for i, r in got.items() if r["held_out"]} == late
+    for i, t in enumerate(texts):
+        want = plain_score(net, t or "")
+        assert abs(got[i]["score"] - want) < 2e-3, (i, t, got[i], want)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.7)
