@@ -146,7 +146,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
     """What the query returns of spans()."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     n = [count(kind).alias(f"n_{kind}") for kind in BASE]
-    return found.select("doc_id", *n, F.sha2(joined(only=BASE), 256).alias("base_sha256"), joined().alias("spans"))
+    return found.select("doc_id", *n, F.sha2(joined(only=BASE), 256).alias("base_sha256"), joined().alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def mask(text: str) -> str:
