@@ -37,9 +37,9 @@ def octal_unescape(text: str) -> str:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf(T.StringType())
-def decode_path_udf(paths: pd.Series) -> pd.Series:
-    return paths.map(decode_path, na_action="ignore")
+def decode_path_column(text: Column) -> Column:
+    """decode_path with built-in functions: what form decoding reads otherwise (a plus, a "%" without two hex digits) is encoded first."""
+    return F.url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
 
 
 @F.pandas_udf(T.StringType())

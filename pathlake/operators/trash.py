@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlake.functions.codecs import decode_path_udf, encode_path_column
+from pathlake.functions.codecs import decode_path_column, encode_path_column
 from pathlake.functions.paths import dir_of, name_of
 from pathlake.operators.search import small_side
 
@@ -18,7 +18,7 @@ def parse_info(records: DataFrame) -> DataFrame:
     raw = F.regexp_extract("value", r"(?m)^Path=(.*)$", 1)
     date = F.regexp_extract("value", r"(?m)^DeletionDate=(.*)$", 1)
     rows = records.select(name.alias("name"), raw.alias("raw"), F.trim(date).alias("deletion_date")).filter("name != '' AND raw != ''")
-    return rows.select("name", decode_path_udf("raw").alias("original_path"), "deletion_date")
+    return rows.select("name", decode_path_column(F.col("raw")).alias("original_path"), "deletion_date")
 
 
 def listing(info: DataFrame, payload: DataFrame) -> DataFrame:

@@ -103,6 +103,8 @@ def test_trash(spark):
     for p in ("/a b/c", "/café", "/x~y*z+&%", "/ünï/ok-1_2.t"):
         assert codecs.decode_path(codecs.encode_path(p)) == p
         assert spark.range(1).select(codecs.encode_path_column(F.lit(p))).first()[0] == codecs.encode_path(p)
+    for p in ("/a%zz", "/a+b%2", "%", "%41%4g%C3%A9", "/plain é", "/%2541"):
+        assert spark.range(1).select(codecs.decode_path_column(F.lit(p))).first()[0] == codecs.decode_path(p), p
     assert codecs.decode_path("/a%zz") == "/a%zz"
     plan = trash.trash_plan(spark.createDataFrame([("/x/n.txt",), ("/y/n.txt",)], "path string"), spark.createDataFrame([("n.txt",)], "name string"), "2024-01-01T00:00:00").collect()
     assert {(r["path"], r["name"]) for r in plan} == {("/x/n.txt", "n.txt.2"), ("/y/n.txt", "n.txt.3")} and "Path=/x/n.txt" in "".join(r["info"] for r in plan)
