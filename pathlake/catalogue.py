@@ -7,7 +7,6 @@ is built once and stored; queries by name read it alone, queries by content read
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 import zlib
 from xml.sax.saxutils import escape
@@ -22,7 +21,7 @@ from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
 from pathlake.sources import archives, documents, walk
 from pathlake.sources.catalog import Catalog
-from pathlake.sources.shared import shared_dir, stamp
+from pathlake.sources.shared import delete, shared_dir, stamp
 from pathlake.streaming import cdc
 
 #: Fixed values of the catalog view.
@@ -401,9 +400,23 @@ def point_lookup(spark, sf_dir):
     return search.lookup(rows, wanted)
 
 
-@query(_sql("(NOT is_dir AND size = 0) OR (is_dir AND path NOT IN (SELECT dir FROM files))"))
+EMPTY_SQL = f"""{FILES_SQL}, more AS (
+  SELECT path, size, mtime, is_dir, dir FROM files
+  UNION ALL SELECT concat('/corpus/', r_name), 0, {EPOCH}, true, '/corpus' FROM region
+  UNION ALL SELECT concat('/corpus/', r_name, '/', n_name), n_nationkey % 3, {EPOCH}, false, concat('/corpus/', r_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3)
+SELECT path, size::BIGINT AS size, mtime::BIGINT AS mtime, is_dir FROM more WHERE (NOT is_dir AND size = 0) OR (is_dir AND path NOT IN (SELECT dir FROM more))"""
+
+
+@query(EMPTY_SQL)
 def empty_entries(spark, sf_dir):
-    return search.empty_entries(files(spark, sf_dir))
+    """The catalog with a directory for each region, which some nations are files of: every third of them is empty, and some regions have none."""
+    regions, nations = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    stamp_ = F.lit(EPOCH).cast("long").alias("mtime")
+    dirs = regions.select(F.concat(F.lit("/corpus/"), "r_name").alias("path"), F.lit(0).cast("long").alias("size"), stamp_, F.lit(True).alias("is_dir"))
+    inside = nations.join(regions.filter("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"))
+    inside = inside.select(F.concat(F.lit("/corpus/"), "r_name", F.lit("/"), "n_name").alias("path"), (F.col("n_nationkey") % 3).cast("long").alias("size"), stamp_, F.lit(False).alias("is_dir"))
+    rows = files(spark, sf_dir).select(*search.RESULT).unionByName(dirs).unionByName(inside)
+    return search.empty_entries(paths.derive(rows))
 
 
 @query(f"{FILES_SQL}, r AS (SELECT path, concat(dir, '/', replace(name, 'Doc-1', 'File-1')) AS new_path FROM files WHERE NOT is_dir AND contains(name, 'Doc-1')) SELECT path, new_path, (count(*) OVER (PARTITION BY new_path) > 1 OR new_path IN (SELECT path FROM files)) AS conflict FROM r")
@@ -435,6 +448,13 @@ def copy_as_uri(spark, sf_dir):
     return search.matching(files(spark, sf_dir), Query(name="ext:zip"), NOW).select("path", codecs.file_uri(F.col("path")).alias("uri"))
 
 
+def workspace(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """An empty folder in the shared one for a query over sf_dir; what the query's last run left there goes."""
+    at = f"{shared_dir(spark)}/{name}-{zlib.crc32(sf_dir.encode()):08x}"
+    delete(spark, at)
+    return at
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a stream of file-system events."""
     schema = read(spark, sf_dir, "events").schema
@@ -452,7 +472,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CHANGES_SQL} SELECT path, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert'")
 def stream_cdc(spark, sf_dir):
     """The event stream ingested into a stored catalog, then its entries."""
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = workspace(spark, "stream", sf_dir)
     catalog = Catalog(spark, f"{at}/catalog")
     cdc.ingest(event_stream(spark, sf_dir), catalog, f"{at}/offsets").awaitTermination()
     return catalog.entries().select("path", "size")
@@ -461,7 +481,7 @@ def stream_cdc(spark, sf_dir):
 @query(f"{CHANGES_SQL} SELECT DISTINCT path FROM changes WHERE op = 'upsert' AND contains(string_split(path, '/')[-1], '1')")
 def stream_watch_new(spark, sf_dir):
     """Each matching path once, as it appears."""
-    at = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    at = workspace(spark, "watch", sf_dir)
     found = cdc.watch(event_stream(spark, sf_dir), Query(name="1"), NOW).select("path")
     found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/found")
@@ -580,7 +600,7 @@ def counts_with_changes(spark, sf_dir):
 @query(f"{CHANGES_SQL} SELECT path, concat('text of ', path) AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert'")
 def stream_extract(spark, sf_dir):
     """Two streams over the same events: one keeps the catalog, one the texts; then the texts of what is still there."""
-    at = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    at = workspace(spark, "extract", sf_dir)
     catalog = Catalog(spark, f"{at}/catalog")
     cdc.ingest(event_stream(spark, sf_dir), catalog, f"{at}/offsets").awaitTermination()
     read_text = lambda wanted: wanted.select("path", F.concat(F.lit("text of "), "path").alias("text"))

@@ -54,3 +54,16 @@ def test_duplicates_by_column_and_by_table_are_the_same(spark, folder):
     by_table = duplicates.duplicate_members(catalogue.files(spark, at), catalogue.corpus(spark, at).select("path", "text"))
     by_column = duplicates.duplicate_members(catalogue.live(spark, at), "text")
     assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, by_column.collect())) and by_table.count() > 100
+
+
+def test_streams_may_be_run_again(spark, tmp_path):
+    """A query over streams begins anew each time: what its last run left is removed."""
+    rows = [(i, f"2024-01-01 00:00:{i:02}", i % 9, ("signup", "error", "view")[i % 3]) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").write.parquet(str(tmp_path / "e"))
+    part = next(f for f in (tmp_path / "e").iterdir() if f.suffix == ".parquet")
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(str(part.parent)).coalesce(1).write.parquet(str(tmp_path / "sf" / "one"))
+    next(f for f in (tmp_path / "sf" / "one").iterdir() if f.suffix == ".parquet").rename(tmp_path / "sf" / "events.parquet")
+    for name in ("stream_cdc", "stream_watch_new", "stream_extract"):
+        first, again = (sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path / "sf")).collect())) for _ in range(2))
+        assert first == again and first, name
