@@ -58,7 +58,7 @@ def test_duplicates_by_column_and_by_table_are_the_same(spark, folder):
 
 def test_streams_may_be_run_again(spark, tmp_path):
     """A query over streams begins anew each time: what its last run left is removed."""
-    rows = [(i, f"2024-01-01 00:00:{i:02}", i % 9, ("signup", "error", "view")[i % 3]) for i in range(40)]
+    rows = [(i, f"2024-01-01 00:00:{i:02}", i % 10, ("signup", "error", "view")[i % 3]) for i in range(40)]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").write.parquet(str(tmp_path / "e"))
     part = next(f for f in (tmp_path / "e").iterdir() if f.suffix == ".parquet")
     (tmp_path / "sf").mkdir()
