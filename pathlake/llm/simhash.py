@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -71,8 +71,34 @@ def _ball(v, bits: int):
     return F.concat(F.array(v), cleared)
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints that differ in `radius` (at most 3) bits or fewer.
+def _segment(s: int) -> Column:
+    return F.shiftrightunsigned("fp", 32) if s == 0 else F.col("fp").bitwiseAND(F.lit(MASK32))
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def hub_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): links within `radius` bits of distinct fingerprints to hubs, which they share a half or a quarter with: six rows a fingerprint, however many share one.
+
+    A hub is the one whose halves are shared most: of a text and its edited copies that is the text, and all within 3 bits of it have a quarter of its own.
+    """
+    quarter = [F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
+    parts = F.array(*[F.struct(F.lit(k).alias("s"), v.alias("v")) for k, v in enumerate([_segment(0), _segment(1), *quarter])])
+    base = nodes.select("fp", F.explode(parts).alias("key"))
+    sizes = checkpointed(base.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    n = 6 * nodes.count()
+    base = checkpointed(lookup(base, sizes, "key", "size", n))
+    shared = base.filter("key.s < 2").groupBy("fp").agg(F.sum("size").alias("shared"))
+    ranked = base.join(shared, "fp", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("shared", F.lit(0)).alias("n"), "fp")).alias("h"), F.count("*").alias("size"))
+    hubs = checkpointed(ranked.select("key", F.col("h.fp").alias("hub"), "size"))
+    near = lookup(base.select("fp", "key"), hubs, "key", "size", n).filter((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= radius))
+    return near.select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+
+
+def links(nodes: DataFrame, radius: int = 3, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of distinct fingerprints that differ in `radius` (at most 3) bits or fewer; with roots (node, root) only those of different roots.
 
     Complete: no bucket is capped. Members of a bucket over DENSE are keyed once more by a 16-bit half of
     the other segment (radius 1 again: at most 3 bits are left for two halves), so that fingerprints that
@@ -80,24 +106,37 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 find pairs within 3 bits")
-    seg = F.when(F.col("s") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(MASK32)))
-    other = F.when(F.col("s") == 1, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(MASK32)))
-    base = nodes.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).select("fp", "s", seg.alias("v"), other.alias("o"))
+    if roots is None:
+        nodes = nodes.select("fp", F.col("fp").alias("r"))
+    else:
+        nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("r"))
+    base = nodes.select("fp", "r", F.explode(F.array(F.lit(0), F.lit(1))).alias("s"))
+    base = base.select("fp", "r", "s", F.when(F.col("s") == 0, _segment(0)).otherwise(_segment(1)).alias("v"), F.when(F.col("s") == 1, _segment(0)).otherwise(_segment(1)).alias("o"))
     counts = base.groupBy("s", "v").count().filter(F.col("count") > DENSE).select(F.col("s").alias("hs"), F.col("v").alias("hv"), F.lit(True).alias("dense"))
-    stored = base.join(counts, (F.col("s") == F.col("hs")) & (F.col("v") == F.col("hv")), "left").select("fp", "s", "v", "o", F.coalesce("dense", F.lit(False)).alias("dense"))
-    probe = base.select("fp", "s", "o", F.explode(_ball(F.col("v"), 32)).alias("v"))
+    dense = lambda rows: rows.join(counts, (F.col("s") == F.col("hs")) & (F.col("v") == F.col("hv")), "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    stored = dense(base)
     # a probe of a dense bucket asks for it by halves
-    probe = probe.join(counts, (F.col("s") == F.col("hs")) & (F.col("v") == F.col("hv")), "left").select("fp", "s", "v", "o", F.coalesce("dense", F.lit(False)).alias("dense"))
+    probe = dense(base.select("fp", "r", "s", "o", F.explode(_ball(F.col("v"), 32)).alias("v")))
     halves = F.array(*[F.struct(F.lit(h).alias("h"), v.alias("w")) for h, v in enumerate((F.shiftright("o", 16), F.col("o").bitwiseAND(F.lit(0xFFFF))))])
     none = F.array(F.struct(F.lit(-1).alias("h"), F.lit(0).cast("long").alias("w")))
     ball16 = F.flatten(F.transform(halves, lambda x: F.transform(F.concat(_ball(x["w"], 16), F.transform(F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.call_function("getbit", x["w"], i) == 0), lambda i: x["w"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda w: F.struct(x["h"].alias("h"), w.alias("w")))))
-    stored = stored.select("fp", "s", "v", F.explode(F.when(F.col("dense"), halves).otherwise(none)).alias("k")).select("fp", "s", "v", "k.h", "k.w")
-    probe = probe.select("fp", "s", "v", F.explode(F.when(F.col("dense"), ball16).otherwise(none)).alias("k")).select(F.col("fp").alias("fq"), "s", "v", "k.h", "k.w")
-    pairs = stored.join(probe, ["s", "v", "h", "w"]).filter(F.col("fp") != F.col("fq"))
-    pairs = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= radius)
+    stored = stored.select("fp", "r", "s", "v", F.explode(F.when(F.col("dense"), halves).otherwise(none)).alias("k")).select("fp", "r", "s", "v", "k.h", "k.w")
+    probe = probe.select("fp", "r", "s", "v", F.explode(F.when(F.col("dense"), ball16).otherwise(none)).alias("k")).select(F.col("fp").alias("fq"), F.col("r").alias("rq"), "s", "v", "k.h", "k.w")
+    pairs = stored.join(probe, ["s", "v", "h", "w"]).filter((F.col("r") != F.col("rq")) & (_distance("fp", "fq") <= radius))
     return pairs.select(F.least("fp", "fq").alias("a"), F.greatest("fp", "fq").alias("b")).distinct()
 
 
+def roots_of(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """(node, root) of the fingerprints that are linked to another; root is the least one reachable.
+
+    Links to hubs come first; after them only pairs of different components are made, so that a large group of fingerprints that are all
+    near to each other doesn't give all its pairs.
+    """
+    near = checkpointed(connected_components(hub_links(nodes, radius), "a", "b"))
+    rest = checkpointed(links(nodes, radius, near))
+    return connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id, copies) of every row.
 
@@ -108,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    stars = connected_components(links(nodes.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
+    stars = roots_of(nodes.select("fp"), radius).withColumnRenamed("node", "fp")
     rooted = nodes.join(stars, "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id", "copies")
@@ -125,4 +164,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th")).alias("key"), F.col(f"`{text_col}`").alias("text"))
     rows = checkpointed(fingerprints(keyed, "key", "text", shingle).select("doc_id.doc_id", "doc_id.th", "fp"))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(order("doc_id")).alias("best"), F.count("*").alias("copies")))
-    return only_least(docs, least_rows(rows, nodes, connected_components(links(nodes.select("fp"), radius), "a", "b"), "fp"), id_col, text_col)
+    return only_least(docs, least_rows(rows, nodes, roots_of(nodes.select("fp"), radius), "fp"), id_col, text_col)

@@ -83,6 +83,27 @@ def test_links_are_complete(spark, monkeypatch, dense):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_a_group_of_near_fingerprints_does_not_give_all_its_pairs(spark):
+    """Hubs first, then links between what they left apart: the same components, few pairs."""
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(6):
+        c = rng.getrandbits(64)
+        for _ in range(120):
+            x = c
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    pairs = [(i, j) for i in range(len(signed)) for j in range(i) if ((signed[i] ^ signed[j]) & (1 << 64) - 1).bit_count() <= 3]
+    root = components(len(signed), pairs)
+    want = {signed[i]: signed[root[i]] for p in pairs for i in p}
+    assert {r["node"]: r["root"] for r in simhash.roots_of(nodes).collect()} == want
+    near = connected_components(simhash.hub_links(nodes), "a", "b")
+    assert simhash.links(nodes, 3, near).count() < len(pairs) / 5
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(0, 0), (None, 4), (200, 201), (200, 201)]
