@@ -11,6 +11,7 @@ from pathlake.functions.paths import clean_prefix
 from pathlake.operators.overlay import INLINE
 from pathlake.operators.search import SMALL, small_side
 from pathlake.schema import EXCLUDED_FSTYPES, EXCLUDED_NAMES, NETWORK_FSTYPES
+from pathlake.sources.shared import checkpointed
 
 
 class ExcludeNames:
@@ -71,11 +72,12 @@ def excluded_by(files: DataFrame, prefixes: DataFrame, column: str = "path") ->
     Up to INLINE paths are tested where the rows lie, up to SMALL are broadcast; what they hit, not the listing, is what is joined again.
     """
     gone = prefixes.select(F.col(column).alias("__above")).filter("__above IS NOT NULL").distinct()
-    n = gone.limit(SMALL + 1).count()
+    head = checkpointed(gone.limit(SMALL + 1))
+    n = head.count()
     if n <= INLINE:
-        return not_excluded(files, [r["__above"] for r in gone.collect()])
+        return not_excluded(files, [r["__above"] for r in head.collect()])
     at = files.select("path", F.explode("ancestors").alias("__above"))
-    hit = at.join(F.broadcast(gone) if n <= SMALL else gone, "__above", "left_semi").select("path")
+    hit = at.join(F.broadcast(head) if n <= SMALL else gone, "__above", "left_semi").select("path")
     return files.join(small_side(hit), "path", "left_anti")
 
 

@@ -37,15 +37,16 @@ def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
     A few tombstones (INLINE) are written into the plan and rows are filtered where they lie. More of them are joined with the ancestors, by
     broadcast up to SMALL, and only what they hit is taken out of the rows.
     """
-    n = gone.limit(SMALL + 1).count()
+    head = checkpointed(gone.limit(SMALL + 1))
+    n = head.count()
     if n <= INLINE:
         dead = F.lit(False)
-        for r in gone.collect():
+        for r in head.collect():
             root = "/" if r["root"] == "/" else r["root"] + "/"
             dead |= ((F.col("path") == r["root"]) | F.col("path").startswith(root)) & (F.col("seq") <= r["gone_at"])
         return rows.filter(~dead)
     at = rows.select("path", "seq", F.explode(ancestors_of(F.col("path"))).alias("root"))
-    dead = at.join(F.broadcast(gone) if n <= SMALL else gone, "root").filter("gone_at >= seq").select("path", "seq")
+    dead = at.join(F.broadcast(head) if n <= SMALL else gone, "root").filter("gone_at >= seq").select("path", "seq")
     return rows.join(small_side(dead), ["path", "seq"], "left_anti")
 
 

@@ -24,8 +24,9 @@ SMALL = 200_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small: its rows are counted first, and beyond SMALL the planner decides."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """df, to be broadcast if it is small: up to SMALL rows it is computed once and stored; beyond that the planner decides."""
+    head = checkpointed(df.limit(SMALL + 1))
+    return F.broadcast(head) if head.count() <= SMALL else df
 
 
 @dataclass
