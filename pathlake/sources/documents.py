@@ -96,7 +96,12 @@ def package_text(data: bytes, ext: str, most: int = TEXT_MAX) -> str | None:
 
 
 _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
-_SHOWN = re.compile(rb"(\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\]\s*TJ|(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\"))|(T\*|Td|TD|ET|Tm)", re.S)
+#: What is shown, what ends a line, and which font is taken.
+_SHOWN = re.compile(rb"(\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\]\s*TJ|(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\"))|(T\*|Td|TD|ET|Tm)|/(\S+)\s+[-+.\d]+\s+Tf", re.S)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"(.*?)stream\r?\n(.*?)\r?\nendstream", re.S)
+_REF = rb"\s*(\d+)\s+\d+\s+R"
+_FONTS = re.compile(rb"/Font\s*(?:<<(.*?)>>|" + _REF.strip() + rb")", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -108,24 +113,88 @@ def _pdf_string(s: bytes) -> bytes:
     return re.sub(rb"\\([0-7]{1,3}|.)", one, s[1:-1], flags=re.S)
 
 
+def _inflated(head: bytes, body: bytes, most: int) -> bytes | None:
+    """A stream's bytes; None for a coding other than Flate, or one that is damaged."""
+    if b"FlateDecode" not in head:
+        return None if b"/Filter" in head else body
+    try:
+        return zlib.decompressobj().decompress(body, most)
+    except zlib.error:
+        return None
+
+
+def _pdf_objects(data: bytes, most: int) -> dict[int, tuple[bytes, bytes | None]]:
+    """{number: (dictionary, stream)} of all objects, those packed in object streams too; a later one of a number wins."""
+    out = {}
+    for m in _OBJECT.finditer(data):
+        s = _STREAM.match(m[2])
+        out[int(m[1])] = (s[1], _inflated(s[1], s[2], most)) if s else (m[2], None)
+    for head, body in list(out.values()):
+        first = re.search(rb"/First\s+(\d+)", head)
+        if body is None or not first or not re.search(rb"/Type\s*/ObjStm", head):
+            continue
+        table = [int(x) for x in body[: int(first[1])].split() if x.isdigit()]
+        starts = [int(first[1]) + x for x in table[1::2]]
+        for number, lo, hi in zip(table[::2], starts, [*starts[1:], len(body)]):
+            out.setdefault(number, (body[lo:hi], None))
+    return out
+
+
+def _unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """(bytes a code, {code: text}) of a font's ToUnicode table."""
+    text = lambda h: bytes.fromhex(h[: len(h) // 4 * 4].decode()).decode("utf-16-be", "replace")
+    out, width = {}, 1
+    for part in re.finditer(rb"begin(bfchar|bfrange)(.*?)end", cmap, re.S):
+        if part[1] == b"bfchar":
+            for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]{4,})>", part[2]):
+                out[int(code, 16)], width = text(to), max(width, len(code) // 2)
+            continue
+        for lo, hi, to, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]{4,})>|\[(.*?)\])", part[2], re.S):
+            width = max(width, len(lo) // 2)
+            first, count = int(lo, 16), min(int(hi, 16) - int(lo, 16) + 1, 1 << 16)
+            if many:
+                out |= {first + i: text(h) for i, h in enumerate(re.findall(rb"<([0-9A-Fa-f]{4,})>", many)[:count])}
+            else:
+                start = text(to)
+                out |= {first + i: start[:-1] + chr(min(ord(start[-1]) + i, 0x10FFFF)) for i in range(count)}
+    return width, out
+
+
+def _font_maps(objects: dict) -> dict[bytes, tuple[int, dict[int, str]]]:
+    """The ToUnicode tables by the names that pages give to fonts. Of one name on several pages with different fonts the last counts."""
+    out = {}
+    for head, _ in objects.values():
+        for m in _FONTS.finditer(head):
+            named = m[1] if m[1] is not None else objects.get(int(m[2]), (b"", None))[0]
+            for name, number in re.findall(rb"/(\S+?)" + rb"\s+(\d+)\s+\d+\s+R", named):
+                table = re.search(rb"/ToUnicode" + _REF, objects.get(int(number), (b"", None))[0])
+                if table and (cmap := objects.get(int(table[1]), (b"", None))[1]):
+                    out[name] = _unicode_map(cmap)
+    return out
+
+
+def _shown_text(raw: bytes, font: tuple[int, dict[int, str]] | None) -> str:
+    if font:
+        width, table = font
+        return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+    return raw.decode("utf-16", "replace") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("latin-1")
+
+
 def pdf_text(data: bytes, most: int = TEXT_MAX) -> str | None:
-    """The text layer of a simple PDF: strings shown by its content streams, in their order. Best effort: None where there is nothing to read."""
+    """The text layer of a PDF: strings shown by its content streams, in their order, by the fonts' tables where they have any. Best effort: None where there is nothing to read."""
     if len(data) > 8 * most or not data.lstrip()[:5] == b"%PDF-":
         return None
-    out = []
-    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[2]
-        if b"FlateDecode" in m[1]:
-            try:
-                body = zlib.decompressobj().decompress(body, 8 * most)
-            except zlib.error:
-                continue
-        if b"BT" not in body:
+    objects = _pdf_objects(data, 8 * most)
+    fonts, out = _font_maps(objects), []
+    for _, body in objects.values():
+        if body is None or b"BT" not in body:
             continue
+        font = None
         for shown in _SHOWN.finditer(body):
             if shown[1]:
-                raw = b"".join(_pdf_string(x[0]) for x in _STRING.finditer(shown[1]))
-                out.append(raw.decode("utf-16") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("latin-1"))
+                out += [_shown_text(_pdf_string(x[0]), font) for x in _STRING.finditer(shown[1])]
+            elif shown[3]:
+                font = fonts.get(shown[3])
             elif out and out[-1] != "\n":
                 out.append("\n")
     text = "".join(out).strip()

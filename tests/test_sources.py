@@ -83,6 +83,33 @@ def test_documents(spark):
     assert {r["seq"] for r in documents.within_cap(cached, 95).collect()} == set(range(41, 50)) and documents.within_cap(cached.limit(0), 5).count() == 0
 
 
+def pdf(*objects):
+    """A PDF file of (dictionary, stream) objects, numbered from 1; streams are packed."""
+    out = b"%PDF-1.5\n"
+    for i, (head, body) in enumerate(objects, 1):
+        if body is None:
+            out += b"%d 0 obj\n<< %s >>\nendobj\n" % (i, head)
+        else:
+            out += b"%d 0 obj\n<< %s /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (i, head, zlib.compress(body))
+    return out + b"%%EOF"
+
+
+def test_pdf_fonts_with_their_own_codes():
+    """Two-byte codes by a font's table, single and in ranges; a second font without a table; fonts that lie in an object stream."""
+    cmap = b"1 beginbfchar\n<0003> <0020>\nendbfchar\n2 beginbfrange\n<0010> <0012> <0041>\n<0020> <0021> [<00E9> <00660069>]\nendbfrange"
+    page = b"BT /F1 12 Tf <001000110012> Tj <0003> Tj [<0020> -20 <0021>] TJ T* /F2 9 Tf (plain) Tj ET"
+    direct = pdf((b"/Type /Page /Resources << /Font << /F1 2 0 R /F2 3 0 R >> >>", None), (b"/Type /Font /ToUnicode 4 0 R", None), (b"/Type /Font", None), (b"", cmap), (b"", page))
+    assert documents.extract("pdf", direct) == "ABC éfi\nplain"
+    first, second = b"<< /Type /Page /Resources << /Font 12 0 R >> >> ", b"<< /F1 13 0 R >> "
+    table = b"11 0 12 %d 13 %d " % (len(first), len(first) + len(second))
+    packed = pdf((b"/Type /ObjStm /N 3 /First %d" % len(table), table + first + second + b"<< /Type /Font /ToUnicode 2 0 R >>"), (b"", cmap), (b"", page.replace(b"/F2 9 Tf (plain) Tj ", b"")))
+    assert documents.extract("pdf", packed) == "ABC éfi"
+    odd = b"beginbfchar <01> <00411> <zz> <0042> endbfchar beginbfrange <05> <02> <0041> <0> <ff> <D800> endbfrange"
+    documents.extract("pdf", pdf((b"/Type /Page /Resources << /Font << /F1 2 0 R >> >>", None), (b"/Type /Font /ToUnicode 3 0 R", None), (b"", odd), (b"", b"BT /F1 1 Tf <0102FF0> Tj ET")))
+    for cut in range(0, len(direct), 7):
+        documents.extract("pdf", direct[:cut])  # damaged files give some text or none, and no error
+
+
 def test_archives(spark):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
