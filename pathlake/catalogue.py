@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from pathlake.functions import codecs, paths
 from pathlake.operators import duplicates, exclusions, overlay, search, tags, trash
+from pathlake.plans.compiler import compile_query
 from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
-from pathlake.sources import archives, documents, walk
+from pathlake.sources import archives, documents, export, mounts, walk
 from pathlake.sources.catalog import Catalog
 from pathlake.sources.shared import delete, shared_dir, stamp
 from pathlake.streaming import cdc
@@ -608,5 +609,169 @@ def stream_extract(spark, sf_dir):
     return catalog.texts()
 
 
+@query(_sql(f"{SHOWN} AND NOT is_dir AND ext IN ('md', 'pdf') AND size >= 1025 AND starts_with(path, '/corpus/en/')"))
+def coarse_candidates(spark, sf_dir):
+    """What is left of a query without its names: the part that Parquet statistics prune by."""
+    q = compile_query(Query(name="no-such-name ext:md,pdf size:>1KB file:", under="/corpus/en"), NOW)
+    return files(spark, sf_dir).filter(q.coarse(files_only=False)).select(*search.RESULT)
+
+
+@query(_sql(f"{SHOWN} AND contains(lower(name), 'doc-3')", "name, path, size::VARCHAR AS size, mtime::VARCHAR AS modified"))
+def export_tsv(spark, sf_dir):
+    """A result list written as TSV, and read again."""
+    at = workspace(spark, "export", sf_dir)
+    export.export(search.matching(files(spark, sf_dir), Query(name="doc-3"), NOW), f"{at}/tsv", "tsv")
+    return spark.read.csv(f"{at}/tsv", sep="\t", header=True)
+
+
+@query(_sql("NOT is_dir", "count(*)::BIGINT AS entries, sum(strlen(text))::BIGINT AS bytes"))
+def text_cache_stats(spark, sf_dir):
+    """All texts put into a catalog's cache, as two batches of which the later counts."""
+    catalog = Catalog(spark, f"{workspace(spark, 'cache', sf_dir)}/catalog")
+    catalog.rebuild(entries(spark, sf_dir))
+    texts = corpus(spark, sf_dir).select("path", "text")
+    catalog.add_texts(texts.withColumn("text", F.lit("old")), 1)
+    catalog.add_texts(texts, 2)
+    return catalog.text_stats()
+
+
+@query(f"{FILES_SQL}, run AS (SELECT path, sum(strlen(text)) OVER (ORDER BY doc_id DESC) AS so_far FROM files WHERE NOT is_dir) SELECT path FROM run WHERE so_far <= 200000")
+def text_cache_eviction(spark, sf_dir):
+    """The newest texts that fit in 200 kB together: the oldest go first."""
+    cached = corpus(spark, sf_dir).select("path", "text", F.col("doc_id").alias("seq"))
+    return documents.within_cap(cached, 200_000).select("path")
+
+
+@query(f"{CHANGES_SQL}, last AS (SELECT path, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert') SELECT path, size, row_number() OVER (ORDER BY path) AS row_id FROM last")
+def compacted_catalog(spark, sf_dir):
+    """All changes applied to an empty catalog, and a rebuild once they are over the threshold: ids follow paths again."""
+    catalog = Catalog(spark, f"{workspace(spark, 'compact', sf_dir)}/catalog")
+    catalog.rebuild(changes(spark, sf_dir).limit(0))
+    catalog.apply(changes(spark, sf_dir))
+    if not catalog.compact(threshold=1):
+        raise RuntimeError("nothing to compact")
+    return catalog.snapshot().select("path", "size", F.col("id").alias("row_id"))
+
+
+MOUNTS_SQL = f"""WITH base AS (SELECT n_nationkey AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+mounts AS (SELECT concat('/dev/sd', chr((97 + k % 4)::INTEGER), (k % 3)::VARCHAR) AS device, concat(CASE k % 4 WHEN 0 THEN '/media/u/' WHEN 1 THEN '/mnt/' WHEN 2 THEN '/data/' ELSE '/run/media/u/' END, replace(r_name, ' ', ''), ' ', n_name) AS point,
+  CASE k % 5 WHEN 0 THEN 'ext4' WHEN 1 THEN 'nfs4' WHEN 2 THEN 'proc' WHEN 3 THEN 'vfat' ELSE 'btrfs' END AS fstype FROM base)"""
+
+
+def mount_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a mount table, written with octal escapes for spaces and read again."""
+    base = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (k % len(x) + 1).cast("int"))
+    point = F.concat(pick("/media/u/", "/mnt/", "/data/", "/run/media/u/"), F.replace("r_name", F.lit(" "), F.lit("")), F.lit(" "), "n_name")
+    line = F.concat_ws(" ", F.concat(F.lit("/dev/sd"), pick("a", "b", "c", "d"), (k % 3).cast("string")), F.replace(point, F.lit(" "), F.lit("\\040")), pick("ext4", "nfs4", "proc", "vfat", "btrfs"), F.lit("rw 0 0"))
+    at = f"{workspace(spark, 'mounts', sf_dir)}/table"
+    base.select(line.alias("value")).write.text(at)
+    return mounts.read_mounts(spark, at)
+
+
+@query(f"{MOUNTS_SQL} SELECT * FROM mounts")
+def mounts_read(spark, sf_dir):
+    return mount_table(spark, sf_dir)
+
+
+@query(f"{MOUNTS_SQL} SELECT point FROM mounts WHERE (fstype IN ('proc', 'nfs4', 'btrfs') OR starts_with(point, '/media/') OR starts_with(point, '/run/media/')) AND NOT starts_with(point, '/data/ASIA ') AND point != '/data/ASIA'")
+def mounts_left_out(spark, sf_dir):
+    """Pseudo, network, removable and one more kind of file systems; none that holds a root."""
+    table = mount_table(spark, sf_dir)
+    roots = [r["point"] + "/home" for r in table.filter("point LIKE '/data/ASIA %'").select("point").collect()]  # a mount table is short
+    return exclusions.mounts_excluded(table, roots, ("btrfs",)).select("point")
+
+
+@query(f"{MOUNTS_SQL} SELECT device, point FROM mounts WHERE fstype != 'nfs4' AND regexp_matches(device, '^/dev/sd[bd]') AND regexp_matches(point, '^(/media|/run/media|/mnt)/')")
+def mounts_removable(spark, sf_dir):
+    return mounts.removable_mounts(mount_table(spark, sf_dir), ["sdb", "sdd"]).select("device", "point")
+
+
+@query(f"{TAGS_SQL} SELECT path, tag FROM tags WHERE tag != 'toxic' OR path NOT IN (SELECT path FROM files WHERE ext = 'pdf') UNION SELECT path, 'picture' FROM files WHERE ext = 'png'")
+def tags_edit(spark, sf_dir):
+    """One tag added to all pictures and one taken from all PDF files."""
+    rows = files(spark, sf_dir)
+    added = tags.add(tag_relation(spark, sf_dir), rows.filter("ext = 'png'"), "#picture")
+    return tags.remove(added, rows.filter("ext = 'pdf'"), "toxic")
+
+
+@query(f"{TAGS_SQL} SELECT path, tag FROM tags")
+def tags_document(spark, sf_dir):
+    """The relation as its document, and the document as a relation."""
+    at = f"{workspace(spark, 'tags', sf_dir)}/document"
+    spark.createDataFrame([(tags.to_json(tag_relation(spark, sf_dir)),)], "value string").coalesce(1).write.text(at)
+    return tags.load(spark, at)
+
+
+def _packed(kind):
+    """(path, ext, content): each path as the text of a file of a kind."""
+    import tarfile
+
+    def pack(path):
+        b = io.BytesIO()
+        if kind == "odt":
+            with zipfile.ZipFile(b, "w") as z:
+                z.writestr("content.xml", f'<o xmlns:text="t"><text:p>{escape(path)}</text:p></o>')
+        elif kind == "tar":
+            with tarfile.open(fileobj=b, mode="w") as t:
+                info = tarfile.TarInfo(path.strip("/"))
+                info.size = len(path.encode())
+                t.addfile(info, io.BytesIO(path.encode()))
+        elif kind == "pdf":
+            shown = "FEFF" + path.encode("utf-16-be").hex()
+            body = zlib.compress(f"BT /F1 9 Tf <{shown}> Tj ET".encode())
+            return b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + body + b"\nendstream\nendobj\n"
+        else:
+            return path.encode()
+        return b.getvalue()
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame({"path": rows["path"], "ext": kind, "content": [pack(p) for p in rows["path"]]})
+
+    return run
+
+
+def _extracted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    packed = files(spark, sf_dir).filter("NOT is_dir").select("path").mapInPandas(_packed(kind), "path string, ext string, content binary")
+    return packed.select("path", documents.extract_text("ext", "content").alias("text"))
+
+
+@query(_sql("NOT is_dir", "path, concat(path, chr(10)) AS text"))
+def extract_odt(spark, sf_dir):
+    return _extracted(spark, sf_dir, "odt")
+
+
+@query(_sql("NOT is_dir", "path, path AS text"))
+def extract_pdf(spark, sf_dir):
+    return _extracted(spark, sf_dir, "pdf")
+
+
+@query(_sql("NOT is_dir", "path, path AS text"))
+def extract_plain(spark, sf_dir):
+    return _extracted(spark, sf_dir, "txt")
+
+
+@query(_sql("NOT is_dir", "path, ltrim(path, '/') AS member, path AS text"))
+def archive_texts_tar(spark, sf_dir):
+    """Members of tar files with their texts."""
+    packed = files(spark, sf_dir).filter("NOT is_dir").select("path").mapInPandas(_packed("tar"), "path string, ext string, content binary")
+    return archives.member_texts(packed.withColumnRenamed("ext", "name_ext")).select("path", "member", "text")
+
+
+@query(_sql("true", "count_if(NOT is_dir)::BIGINT AS files, count_if(is_dir)::BIGINT AS dirs, 0::BIGINT AS dirty"))
+def catalog_status(spark, sf_dir):
+    s = stored(spark, sf_dir).status()
+    return spark.createDataFrame([(s["files"], s["dirs"], s["dirty"])], "files long, dirs long, dirty long")
+
+
+@query(_sql(f"{SHOWN} AND contains(lower(name), 'doc-1')", "least(count(*), 20)::BIGINT AS n, count(*) >= 20 AS truncated, (SELECT count_if(NOT is_dir) FROM files)::BIGINT AS indexed"))
+def search_envelope(spark, sf_dir):
+    """What a search says of itself: how many rows, whether there may be more, how many files there are."""
+    r = search.run(files(spark, sf_dir), Query(name="doc-1", limit=20), now=NOW)
+    return r.results.agg(F.count("*").alias("n")).select("n", F.lit(r.truncated).alias("truncated"), F.lit(r.indexed).cast("long").alias("indexed"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](spark, sf_dir)
