@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pathlake.sources.shared import checkpointed, shared_dir  # noqa: F401  (for the operators and the pipeline)
 
@@ -131,3 +133,113 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     texts = docs.filter(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes)).select(F.col(id_col), F.col(text_col).alias("text"))
     got = texts.join(F.broadcast(chosen), id_col).orderBy(unit_hash(F.col(id_col)), id_col, "text").limit(most).collect()
     return [(r["text"], int(r["label"])) for r in sorted(got, key=lambda r: (str(r[id_col]), r["text"]))], counts
+
+
+def _numbered(key: str):
+    """Numbers each run of equal keys in a sorted partition, from 1; what is kept between batches is the last key and its count."""
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key))
+            ends = np.asarray(pc.run_end_encode(keys).run_ends)
+            starts = np.concatenate([[0], ends[:-1]])
+            at = np.arange(1, n + 1) - np.repeat(starts, ends - starts)
+            first, final = keys[0].as_py(), keys[n - 1].as_py()
+            if seen and first == last:
+                at[: ends[0]] += seen
+            last, seen = final, int(at[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(at, pa.int64())], names=[*batch.schema.names, "__part", "pos"])
+
+    return number
+
+
+def placed(rows: DataFrame, key: str, order: list[Column], keep: list[str]) -> DataFrame:
+    """The columns `keep` of rows, and `pos`: a row's place among those of its key, from 1, in the given order. Written to the shared folder.
+
+    Rows are dealt out by ranges of (key, *order), so a key with a third of all rows lies in many tasks, and each task numbers its own. A range
+    begins with at most one key of the range before, so what has to be added to it is a row a partition, and is broadcast. Null keys are one key.
+    """
+    by = [F.col(key).asc_nulls_first(), *order]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep)
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("pos", T.LongType())])
+    at = checkpointed(dealt.mapInArrow(_numbered(key), schema))
+    runs = at.groupBy(key, "__part").agg(F.max("pos").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = runs.select(F.col(key).alias("__key"), F.col("__part").alias("__in"), before.alias("__before")).filter("__before > 0")
+    whole = at.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__in")), "left")
+    return whole.withColumn("pos", F.col("pos") + F.coalesce("__before", F.lit(0))).drop("__part", "__key", "__in", "__before")
+
+
+#: Places of a key that one window sees.
+SCAN = 4096
+
+
+def scanned(rows: DataFrame, key: list[str], pos: Column, values: dict[str, Column], fold) -> DataFrame:
+    """rows with each of `values` folded over its key's rows up to its own, in order of pos (no two of a key are the same).
+
+    fold is an associative aggregate (F.sum, F.max, F.bit_xor). A window sees SCAN places; of longer keys, blocks are folded first and what lies before
+    each is joined to it, a row a block: no task sees a long key whole. `rows` is read twice and should be stored.
+    """
+    rows = rows.withColumn("__at", pos).withColumn("__block", F.floor(F.col("__at") / SCAN))
+    rows = rows.withColumns({f"__v{i}": v for i, v in enumerate(values.values())})
+    blocks = rows.groupBy(*key, "__block").agg(*[fold(f"__v{i}").alias(f"__v{i}") for i in range(len(values))])
+    earlier = Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    least = blocks.withColumn("__first", F.row_number().over(Window.partitionBy(*key).orderBy("__block")))
+    carry = least.select(*key, "__block", "__first", *[fold(f"__v{i}").over(earlier).alias(f"__c{i}") for i in range(len(values))]).filter("__first > 1").drop("__first")
+    here = Window.partitionBy(*key, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"__w{i}": fold(f"__v{i}").over(here) for i in range(len(values))}).join(small(carry), [*key, "__block"], "left")
+    both = {name: _fold2(fold, F.col(f"__w{i}"), F.col(f"__c{i}")) for i, name in enumerate(values)}
+    return out.select(*[c for c in rows.columns if not c.startswith("__")], *[c.alias(n) for n, c in both.items()])
+
+
+def _fold2(fold, a: Column, b: Column) -> Column:
+    if fold is F.max:
+        return F.greatest(a, b)
+    if fold is F.bit_xor:
+        return a.bitwiseXOR(F.coalesce(b, F.lit(0)))
+    return a + F.coalesce(b, F.lit(0))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, stored, and to be broadcast if it has at most BROADCAST_ROWS rows."""
+    stored = checkpointed(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def sha256_in_order(pieces: DataFrame, key: list[str], order: str, piece: str, name: str, sep: str = "") -> DataFrame:
+    """(key, name): the SHA-256 of each key's pieces, joined by sep in the given order. A digest is taken piece by piece: a key's whole text is never held."""
+    fields = [*key, piece]
+    schema = T.StructType([*[pieces.schema[k] for k in key], T.StructField(name, T.StringType())])
+
+    def digest(batches):
+        import hashlib
+
+        last, state = None, None
+        for batch in batches:
+            done = []
+            for *k, text in zip(*[batch.column(batch.schema.get_field_index(f)).to_pylist() for f in fields]):
+                if k != last:
+                    if state is not None:
+                        done.append((*last, state.hexdigest()))
+                    last, state = k, hashlib.sha256()
+                else:
+                    state.update(sep.encode())
+                state.update(text.encode())
+            if done:
+                yield _batch(done, out)
+        if state is not None:
+            yield _batch([(*last, state.hexdigest())], out)
+
+    out = to_arrow_schema(schema)
+    dealt = pieces.select(*fields, order).repartition(*key).sortWithinPartitions(*key, order).select(*fields)
+    return dealt.mapInArrow(digest, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

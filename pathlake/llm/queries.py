@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlake.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, pieces, pii, quality, simhash, toxicity
-from pathlake.llm.common import held_out, id_hash, table
+from pathlake.llm import chat_format, decontaminate, exact_dedup, html_extract, langid, pieces, pii, prefix_trie, quality, repair, simhash, token_files, toxicity
+from pathlake.llm.common import held_out, id_hash, shared_dir, table
+from pathlake.sources.shared import delete, subfolders
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +113,150 @@ SELECT conv_id,
 FROM t GROUP BY conv_id
 """
 
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters: a fold over its bytes, eight steps of the polynomial each."""
+    step = "xor(a >> 8, list_reduce(list_concat([xor(a, b) & 255], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH said AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h, count(*) AS n FROM said GROUP BY c
+), sized AS (
+  SELECT a.*, least(a.h, coalesce(b.n, 0)) AS m FROM convs a LEFT JOIN convs b ON b.c = a.base
+), rebuilt AS (
+  SELECT v.c, s.pos AS d, s.role, s.text FROM sized v JOIN said s ON s.c = v.base AND s.pos <= v.h
+  UNION ALL SELECT v.c, s.pos - v.h + v.m, s.role, s.text FROM sized v JOIN said s ON s.c = v.c AND s.pos > v.h
+  UNION ALL SELECT c, 0, '', '' FROM sized
+), prefixed AS (
+  SELECT c, d, strlen(text) AS n_bytes, max(d) OVER (PARTITION BY c) = d AS last,
+         sha256(string_agg(sha256(role) || sha256(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS p
+  FROM rebuilt
+), linked AS (
+  SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS q FROM prefixed
+), nodes AS (
+  SELECT p, any_value(q) AS q, any_value(d) AS d, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(n_bytes) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM linked GROUP BY p
+), kids AS (
+  SELECT q AS p, count(*) AS n_children FROM nodes WHERE q IS NOT NULL GROUP BY q
+), leafy AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (p)
+), sums AS (
+  SELECT a.p, sum(b.saved) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+  FROM leafy b JOIN prefixed a ON a.c = b.c AND a.d <= b.d GROUP BY a.p
+)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM leafy n JOIN sums s USING (p) LEFT JOIN nodes u ON u.p = n.q
+"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """vocabulary: a tokenizer's file. The files of this folder's last run go first, so two runs over one folder must not overlap."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    top = f"{shared_dir(spark)}/token_files-{zlib.crc32(sf_dir.encode()):08x}"
+    for old in subfolders(spark, top):
+        delete(spark, f"{top}/{old}")
+    at = f"{top}/{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), at, vocabulary)
+    return token_files.read(spark, at)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def _best(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _step(state: str, more: str, letter: str) -> str:
+    """The key (cost, audit) of a state after an edit; a key is the cost in ten digits and the audit, so keys compare as text."""
+    return f"lpad((left({state}, 10)::BIGINT + {more})::VARCHAR, 10, '0') || substr({state}, 11) || '{letter}'"
+
+
+def _inserts(a: list[str]) -> str:
+    """Keys of the states 0 to 3 with inserted turns: one user turn, then one assistant turn, and the other way round."""
+    user = _best(a[2], *[_step(x, "2", "I") for x in (a[0], a[1], a[3])])
+    agent = _best(a[3], _step(a[2], "2", "I"), _step(_step(a[0], "2", "I"), "2", "I"), _step(_step(a[1], "2", "I"), "2", "I"))
+    return f"[{a[0]}, {a[1]}, {user}, {agent}]"
+
+
+def _taken() -> str:
+    """Keys of the states after the turn t, from the keys a, all as text; a state that can't be reached has null."""
+    a = [f"a[{i}]" for i in (1, 2, 3, 4)]
+    late = "(t[2] = 't')::INT"
+    stays = lambda key: f"CASE WHEN t[2] NOT IN ('b', 'd') THEN {key} END"
+    keep = lambda i, state: stays(f"CASE WHEN t[1] = '{i}' THEN {_step(state, late, 'K')} END")
+    role = lambda state: stays(_step(state, f"2 + {late}", "R"))
+    drop = [_step(x, "3", "D") for x in a]
+    return "[" + ", ".join(
+        [drop[0], _best(drop[1], keep("s", a[0])), _best(drop[2], *[w for x in (a[0], a[1], a[3]) for w in (keep("u", x), role(x))]), _best(drop[3], keep("a", a[2]), role(a[2]))]
+    ) + "]"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+  FROM hurt
+), judged AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+         CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial
+  FROM placed
+), pairs AS (
+  SELECT *, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM judged
+), walk(conv_id, i, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {_inserts(["'0000000000'", "NULL::VARCHAR", "NULL::VARCHAR", "NULL::VARCHAR"])} FROM judged
+  UNION ALL
+  SELECT conv_id, i, {_inserts([f"b[{i}]" for i in (1, 2, 3, 4)])} FROM (
+    SELECT w.conv_id, w.i + 1 AS i, {_taken()} AS b FROM (SELECT w.*, [j.initial, j.fault] AS t FROM walk w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1) w
+  )
+), ended AS (
+  SELECT conv_id, least(max_by(a, i)[1], max_by(a, i)[4]) AS key FROM walk GROUP BY conv_id
+), plan AS (
+  SELECT conv_id, left(key, 10)::BIGINT AS cost, substr(key, 11) AS audit FROM ended
+), edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS e FROM plan WHERE audit <> ''
+), turned AS (
+  SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY e) AS i, sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY e) AS o FROM edits
+), kept AS (
+  SELECT t.conv_id, t.e, t.edit, t.o, j.role, j.text, bool_or(t.edit = 'K' AND j.initial = 's') OVER (PARTITION BY t.conv_id) AS system
+  FROM turned t LEFT JOIN judged j ON t.edit <> 'I' AND t.conv_id IS NOT DISTINCT FROM j.conv_id AND t.i = j.i WHERE t.edit <> 'D'
+), lines AS (
+  SELECT conv_id, e, CASE WHEN edit = 'K' THEN role WHEN (o - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line FROM kept
+), written AS (
+  SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY e)) AS repaired_sha256 FROM lines GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM pairs GROUP BY conv_id
+), convs AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT v.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated,
+       coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(p.cost, 0)::BIGINT AS cost, coalesce(p.audit, '') AS audit, coalesce(w.repaired_sha256, sha256('')) AS repaired_sha256
+FROM convs v LEFT JOIN counted c ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN plan p ON v.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN written w ON v.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -122,6 +268,9 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_files": op12_token_files,
+    "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_chat_format": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_structure_repair": OP13_SQL}

@@ -1,0 +1,105 @@
+"""Token files: exact round trips of files, and the table held against the tokenizer run over each whole text."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from pathlake.llm import token_files
+from pathlake.llm.token_files import Encoder, TokenFile, pack
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 70_000])
+@pytest.mark.parametrize("most", [1, 2, 300, 49_408, 2**32])
+def test_round_trip(n, most):
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % most).astype(np.uint32) if most > 2 else rng.integers(0, most, n).astype(np.uint32)
+    if n and most == 2**32:
+        ids[n // 2] = 2**32 - 1
+    lengths = [n // 3, 0, n - n // 3]
+    f = TokenFile(pack(ids, lengths))
+    assert (f.ids() == ids).all() and f.lengths.tolist() == lengths
+    for first in (0, 1, 1000, 1024, n):
+        assert (f.ids(first, 100) == ids[first : first + 100]).all()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=60))
+def test_any_ids(ids):
+    assert TokenFile(pack(np.array(ids, np.uint32), [len(ids)])).ids().tolist() == ids
+
+
+def test_outliers_are_exceptions():
+    ids = np.full(1024, 7, np.uint32)
+    ids[[3, 900]] = (40_000, 2**31)
+    small = pack(ids, [1024])
+    assert len(small) < 100 and (TokenFile(small).ids() == ids).all()
+
+
+def test_only_the_blocks_asked_for_are_read():
+    ids = np.arange(10 * 1024, dtype=np.uint32)
+    data = bytearray(pack(ids, [len(ids)]))
+    f = TokenFile(bytes(data))
+    data[f.area : f.area + int(f.starts[5])] = bytes(int(f.starts[5]))  # the first five blocks are gone
+    assert (TokenFile(bytes(data)).ids(5 * 1024, 1024) == ids[5 * 1024 : 6 * 1024]).all()
+
+
+TEXTS = ["", " \n", "Hello, WORLD's été  İstanbul. ΟΔΟΣ", "a<|endoftext|>b #", "x" * 5000, " a b\x1cc\x85d", "'s 's'll", "日本語 text 12345", "́ a", "a\x00b", "word " * 400_000]
+
+
+def test_words_are_encoded_like_whole_texts(monkeypatch):
+    whole = Tokenizer.from_file(VOCABULARY)
+    encode = Encoder(VOCABULARY)
+    for memo in (1_000, 3):
+        monkeypatch.setattr(token_files, "MEMO", memo)
+        for t in TEXTS:
+            assert np.frombuffer(encode(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def expected(rows):
+    whole, start, out = Tokenizer.from_file(VOCABULARY), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def key(r):
+    return r[1]
+
+
+@pytest.mark.parametrize("per_file", [1, 600, 1 << 20])
+def test_table(spark, documents, tmp_path, monkeypatch, per_file):
+    """Nulls, ties, repeated rows, clashing columns; documents cut into files of any size."""
+    monkeypatch.setattr(token_files, "FILE_IDS", per_file)
+    rows = [(9, None), (None, "null id"), (-4, "minus"), (3, "same"), (3, "same"), (3, "other")] + [(100 - i, t) for i, t in enumerate(TEXTS[:-1])] + [(1000 + i, f"text {i} " * (i % 50)) for i in range(300)]
+    docs = documents(rows).selectExpr("*", "1 AS part", "2 AS file", "3 AS data", "4 AS `a.b`").repartition(7)
+    at = str(tmp_path / "files")
+    token_files.write(docs, at, VOCABULARY)
+    assert sorted(map(tuple, token_files.read(spark, at).collect()), key=key) == expected(rows)
+    ids = token_files.ids(spark, at).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, len(r["ids"])) for r in ids) == sorted((i is not None, i or 0, n) for i, _, n, _ in expected(rows))
+    assert all(r["ids"][-1] == 2 for r in ids)
+
+
+def test_empty_table(spark, documents, tmp_path):
+    token_files.write(documents([]), str(tmp_path / "none"), VOCABULARY)
+    assert token_files.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_query(spark):
+    """The registered query over a whole table, twice."""
+    from pathlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    for _ in range(2):
+        got = sorted((tuple(r) for r in QUERIES["op12_token_files"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=key)
+        assert got == expected(rows)
