@@ -15,19 +15,21 @@ a task that is lost is written again, and (part, file) is their order.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 1 << 20
-#: Words whose ids a worker remembers, and bytes of text that are cut into words at once.
-MEMO, PIECE = 300_000, 1 << 20
+#: Bytes of texts whose words are encoded together, and words whose ids are put in place at once.
+RUN, WORDS = 24 << 20, 1 << 18
 MAGIC = b"PFOR"
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -136,9 +138,9 @@ class TokenFile:
 # --- ids
 
 
-def text_pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
+def text_pieces(text: bytes, most: int | None = None) -> Iterator[bytes]:
     """text in runs of some `most` bytes, cut behind white space; a longer word is not cut."""
-    lo = 0
+    most, lo = most or RUN, 0
     while len(text) - lo > most:
         hi = lo + most
         while hi < len(text) and text[hi] not in WHITE:
@@ -148,31 +150,80 @@ def text_pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
     yield text[lo:]
 
 
+#: Letters that lower-casing and normalisation keep apart, one for one: Latin and Cyrillic. Fixed by Unicode.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0400-\u0481\u048a-\u052f"
+#: ASCII marks but the apostrophe, which begins endings of its own: behind a letter, a run of them is a piece of its own.
+MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Words of such letters with such marks behind them.
+PLAIN = f"^(?P<stem>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$"
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, by a tokenizer that drops white space and joins nothing over it: each word's ids are looked up once.
+    """Ids of texts, by a tokenizer that drops white space and joins nothing over it: each word of a run of texts is encoded once.
 
-    At most MEMO words are remembered; then all are forgotten.
+    Words of letters are encoded some hundreds at a time, as one text, without case and the marks behind them: each ends in one token that ends a word,
+    which tells them apart. Other words are encoded one by one. Nothing is kept between runs.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(vocabulary), {}
-
-    def __call__(self, text: bytes) -> bytes:
-        parts = []
-        for piece in text_pieces(text):
-            words = piece.split()
-            new = list(set(words).difference(self.memo))
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(set(words))
-            for lo in range(0, len(new), 1000):
-                some = new[lo : lo + 1000]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
-            parts.append(b"".join(map(self.memo.__getitem__, words)))
-        return b"".join(parts)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(max(names.values(), default=0) + 1, bool)
+        if suffix:
+            self.final[[i for name, i in names.items() if name.endswith(suffix)]] = True
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words = lists.flatten().dictionary_encode()
+        del lists
+        at = words.indices.to_numpy(zero_copy_only=False)
+        flat, starts, sizes, two = self._vocabulary(words.dictionary)
+        lo = first = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, first + WORDS, "right")))
+            # a word is two pieces of the flat table, the second often empty
+            pieces = two[at[first : ends[hi - 1]]].reshape(-1)
+            n = sizes[pieces]
+            done = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.arange(int(done[-1])) + np.repeat(starts[pieces] - done[:-1], n)]
+            yield from np.split(ids, done[2 * (ends[lo : hi - 1] - first)])
+            lo, first = hi, int(ends[hi - 1])
+
+    def _vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces in one array, where each piece begins and how many it has, and the two pieces of each word; piece 0 is empty."""
+        parts = pc.extract_regex(words, PLAIN) if self.final.any() else pa.nulls(len(words), pa.struct([("stem", pa.large_string()), ("marks", pa.large_string())]))
+        two = np.zeros((len(words), 2), np.int64)
+        tables = [[np.zeros(0, "<u4")]]
+        n = 1
+        plain = np.asarray(parts.is_valid())
+        for column, name, encode in ((0, "stem", self._together), (1, "marks", self._one_by_one)):
+            found = pc.utf8_lower(parts.filter(plain).field(name)).dictionary_encode()
+            two[plain, column] = n + found.indices.to_numpy(zero_copy_only=False)
+            tables.append(encode(found.dictionary.to_pylist()))
+            n += len(tables[-1])
+        other = np.flatnonzero(~plain)
+        two[other, 0] = n + np.arange(len(other))
+        tables.append(self._one_by_one(words.take(pa.array(other)).to_pylist()))
+        ids = [x for t in tables for x in t]
+        sizes = np.array([len(x) for x in ids])
+        return np.concatenate(ids), np.cumsum(sizes) - sizes, sizes, two
+
+    def _together(self, stems: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for lo in range(0, len(stems), 500):
+            some = stems[lo : lo + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            out += np.split(ids, ends[:-1]) if len(ends) == len(some) else self._one_by_one(some)
+        return out
+
+    def _one_by_one(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for lo in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[lo : lo + 1000], add_special_tokens=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -188,6 +239,31 @@ def _encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
+def _encoded(encode: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+    """(document, ids) of each row of batches (document, text); texts are encoded some RUN bytes at a time, a longer text in pieces."""
+    names, texts, held = [], [], 0
+
+    def run() -> Iterator[tuple[object, np.ndarray]]:
+        yield from zip(names, encode(pa.array(texts, pa.large_binary())))
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
+            raw = text.as_py()
+            if len(raw) > RUN:
+                yield from run() if names else ()
+                names, texts, held = [], [], 0
+                yield doc.as_py(), np.concatenate([next(encode(pa.array([p], pa.large_binary()))) for p in text_pieces(raw)])
+                continue
+            names.append(doc.as_py())
+            texts.append(raw)
+            held += len(raw)
+            if held > RUN:
+                yield from run()
+                names, texts, held = [], [], 0
+    if names:
+        yield from run()
+
+
 # --- tables
 
 
@@ -202,29 +278,28 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col:
         [T.StructField("part", T.IntegerType()), T.StructField("file", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())]
     )
     arrow = to_arrow_schema(schema)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, n = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list = []
         held = 0
 
         def one() -> pa.RecordBatch:
-            data = pack(np.frombuffer(b"".join(ids), "<u4"), [len(x) // 4 for x in ids])
+            data = pack(np.concatenate(ids), [len(x) for x in ids])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, n, names, held, data), arrow)], schema=arrow)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                found = encode(text.as_py()) + end
-                if ids and held + len(found) // 4 > FILE_IDS:
-                    yield one()
-                    ids, names, held, n = [], [], 0, n + 1
-                ids.append(found)
-                names.append(doc)
-                held += len(found) // 4
+        for doc, found in _encoded(encode, batches):
+            found = np.concatenate([found, end])
+            if ids and held + len(found) > FILE_IDS:
+                yield one()
+                ids, names, held, n = [], [], 0, n + 1
+            ids.append(found)
+            names.append(doc)
+            held += len(found)
         if ids:
             yield one()
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,16 +51,19 @@ def test_only_the_blocks_asked_for_are_read():
     assert (TokenFile(bytes(data)).ids(5 * 1024, 1024) == ids[5 * 1024 : 6 * 1024]).all()
 
 
-TEXTS = ["", " \n", "Hello, WORLD's été  İstanbul. ΟΔΟΣ", "a<|endoftext|>b #", "x" * 5000, " a b\x1cc\x85d", "'s 's'll", "日本語 text 12345", "́ a", "a\x00b", "word " * 400_000]
+TEXTS = ["", " \n", "Hello, WORLD's été  İstanbul. ΟΔΟΣ", "a<|endoftext|>b #", "x" * 5000, " a b\x1cc\x85d", "'s 's'll", "日本語 text 12345", "Émile,### naïve-- Ёлка… d's (x) K\u212a İx. don't! a.b, 5th; e\u0301. x\u0307, ПРИВЕТ!!", "́ a", "a\x00b", "word " * 400_000]
 
 
-def test_words_are_encoded_like_whole_texts(monkeypatch):
-    whole = Tokenizer.from_file(VOCABULARY)
-    encode = Encoder(VOCABULARY)
-    for memo in (1_000, 3):
-        monkeypatch.setattr(token_files, "MEMO", memo)
-        for t in TEXTS:
-            assert np.frombuffer(encode(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:40]
+@pytest.mark.parametrize("run", [8 << 20, 100, 1])
+def test_words_are_encoded_like_whole_texts(monkeypatch, run):
+    """Together, and in runs and pieces of a few bytes."""
+    monkeypatch.setattr(token_files, "RUN", run)
+    whole, texts = Tokenizer.from_file(VOCABULARY), TEXTS if run > 100 else TEXTS[:-1]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    got = list(token_files._encoded(Encoder(VOCABULARY), iter([batch])))
+    assert [i for i, _ in got] == list(range(len(texts)))
+    for i, ids in got:
+        assert ids.tolist() == whole.encode(texts[i], add_special_tokens=False).ids, texts[i][:40]
 
 
 def expected(rows):
