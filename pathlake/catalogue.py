@@ -122,10 +122,9 @@ def _search(name: str, q: Query, where: str, limited: bool = False) -> None:
     """Registers a name search: all rows that match or, if `limited`, the first `limit` by id."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog = files(spark, sf_dir)
         if limited:
-            return search.search(catalog, q, now=NOW)
-        return search.matching(catalog, q, now=NOW).select(*search.RESULT)
+            return stored(spark, sf_dir).search(q, NOW)
+        return search.matching(files(spark, sf_dir), q, now=NOW).select(*search.RESULT)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -598,6 +597,56 @@ def counts_with_changes(spark, sf_dir):
     return overlay.counts_with(base, walk.changes(base, walked_again(spark, sf_dir), 1))
 
 
+def rescanned(spark: SparkSession, sf_dir: str, name: str) -> Catalog:
+    """A catalog of the documents after a rescan that found the later walk: a snapshot, and changes that have one number."""
+    catalog = Catalog(spark, f"{workspace(spark, name, sf_dir)}/catalog")
+    catalog.rebuild(entries(spark, sf_dir))
+    catalog.apply(walk.changes(catalog.entries(), walked_again(spark, sf_dir), catalog.next_seq()))
+    return catalog
+
+
+LIVE_SQL = f"""{MOVED_SQL}, changed AS (
+  SELECT coalesce(n.path, o.path) AS path, row_number() OVER (ORDER BY coalesce(n.path, o.path)) AS place FROM files o FULL JOIN new n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.size != n.size
+), live AS (
+  SELECT n.*, coalesce(o.id, (SELECT count(*) FROM files) + c.place)::BIGINT AS row_id, lower(string_split(n.path, '/')[-1]) AS lower_name,
+         CASE WHEN n.is_dir THEN '' ELSE lower(regexp_extract(string_split(n.path, '/')[-1], '^.+\\.([^.]*)$', 1)) END AS ext, regexp_matches(n.path, '(^|/)\\.[^/]') AS is_hidden
+  FROM new n LEFT JOIN files o ON o.path = n.path LEFT JOIN changed c ON c.path = n.path
+)"""
+
+
+@query(f"{LIVE_SQL} SELECT path, size, row_id FROM live")
+def live_ids(spark, sf_dir):
+    """Every row after a rescan with its id: what was there keeps it, what is new comes after, in order of paths."""
+    return rescanned(spark, sf_dir, "live-ids").files().select("path", "size", F.col("id").alias("row_id"))
+
+
+@query(f"{LIVE_SQL} SELECT path, size, row_id FROM live WHERE contains(lower_name, '7') AND NOT is_hidden ORDER BY row_id LIMIT 150")
+def search_limit_live(spark, sf_dir):
+    """The first rows of a catalog with changes, which hold some that the rescan brought where the documents are few. Files are read until the limit is met."""
+    return rescanned(spark, sf_dir, "live-limit").search(Query(name="7", limit=150), NOW, ("path", "size", "id")).withColumnRenamed("id", "row_id")
+
+
+@query(f"{LIVE_SQL} SELECT path, size, row_id FROM live WHERE contains(lower_name, '.new') AND size >= 100 AND NOT is_hidden ORDER BY row_id LIMIT 100")
+def search_limit_new(spark, sf_dir):
+    """The first rows among those that only the changes have."""
+    return rescanned(spark, sf_dir, "live-new").search(Query(name=".new size:>=100", limit=100), NOW, ("path", "size", "id")).withColumnRenamed("id", "row_id")
+
+
+@query(f"{LIVE_SQL} SELECT path, size, row_id FROM live")
+def compaction_keeps_ids(spark, sf_dir):
+    """The same after a compaction."""
+    catalog = rescanned(spark, sf_dir, "live-compact")
+    if not catalog.compact(0):
+        raise RuntimeError("nothing to compact")
+    return catalog.snapshot().select("path", "size", F.col("id").alias("row_id"))
+
+
+@query(f"{LIVE_SQL} SELECT count(*)::BIGINT AS \"all\", count_if(mtime > 0 AND mtime >= {NOW - 604_800})::BIGINT AS recent, count_if(NOT is_dir AND size >= 104857600)::BIGINT AS large, " + ", ".join(f"count_if(lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1)) IN ({', '.join(repr(e) for e in exts)}))::BIGINT AS {k.lower()}" for k, exts in _EXTS.items()) + " FROM live")
+def facets_from_record(spark, sf_dir):
+    """All facets after a rescan: the record's counts, corrected by the changes, and a scan of recent rows alone."""
+    return rescanned(spark, sf_dir, "live-facets").facets(Query(), NOW)
+
+
 @query(f"{CHANGES_SQL} SELECT path, concat('text of ', path) AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert'")
 def stream_extract(spark, sf_dir):
     """Two streams over the same events: one keeps the catalog, one the texts; then the texts of what is still there."""
@@ -642,13 +691,21 @@ def text_cache_eviction(spark, sf_dir):
     return documents.within_cap(cached, 200_000).select("path")
 
 
+@query(f"{FILES_SQL}, run AS (SELECT path, sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id % 3 DESC, path) AS so_far, sum(strlen(coalesce(text, ''))) OVER () AS whole FROM files WHERE NOT is_dir) SELECT path FROM run WHERE so_far <= whole // 2")
+def text_cache_eviction_ties(spark, sf_dir):
+    """Texts of three numbers only, as whole directories are extracted under one: half of all bytes stay, the cut being inside a number."""
+    cached = corpus(spark, sf_dir).select("path", "text", (F.col("doc_id") % 3).alias("seq"))
+    half = cached.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return documents.within_cap(cached, half // 2).select("path")
+
+
 @query(f"{CHANGES_SQL}, last AS (SELECT path, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1 AND op = 'upsert') SELECT path, size, row_number() OVER (ORDER BY path) AS row_id FROM last")
 def compacted_catalog(spark, sf_dir):
     """All changes applied to an empty catalog, and a rebuild once they are over the threshold: ids follow paths again."""
     catalog = Catalog(spark, f"{workspace(spark, 'compact', sf_dir)}/catalog")
     catalog.rebuild(changes(spark, sf_dir).limit(0))
     catalog.apply(changes(spark, sf_dir))
-    if not catalog.compact(threshold=1):
+    if not catalog.compact(threshold=1, renumber=True):
         raise RuntimeError("nothing to compact")
     return catalog.snapshot().select("path", "size", F.col("id").alias("row_id"))
 

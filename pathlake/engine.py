@@ -69,8 +69,7 @@ class Engine:
         """Walks again and applies what differs, for a tree that nobody watches; how many entries differed. Texts of changed and removed files go."""
         if self.config.paused:
             return 0
-        seq = time.time_ns() // 1000
-        found = checkpointed(walk.changes(self.catalog.entries(), walk.walk(self.spark, self.walk_options()), seq))
+        found = checkpointed(walk.changes(self.catalog.entries(), walk.walk(self.spark, self.walk_options()), self.catalog.next_seq()))
         n = found.count()
         if n:
             self.apply(found)
@@ -135,6 +134,11 @@ class Engine:
             raise QueryError(f"a content pattern has {CONTENT_MIN} characters at least")
         if self.config.max_results:
             query = Query(**{**query.__dict__, "limit": min(query.limit, self.config.max_results)})
+        if query.content is None:
+            began = time.monotonic()
+            rows = checkpointed(self.catalog.search(query, now, ("id", *search.RESULT)))
+            truncated = rows.count() >= max(1, query.limit)
+            return search.SearchResult(rows.orderBy("id").select(*search.RESULT), truncated, int((time.monotonic() - began) * 1000), self.catalog.counts()["files"])
         cap = self.config.candidate_cap or (CANDIDATE_CAP if interactive else None)
         return search.run(self.catalog.files(), query, self._texts(query), now, cap)
 

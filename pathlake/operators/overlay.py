@@ -31,8 +31,8 @@ def tombstones(delta: DataFrame) -> DataFrame:
     return delta.filter("op = 'remove'").groupBy(F.col("path").alias("root")).agg(F.max("seq").alias("gone_at"))
 
 
-def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (path, seq, ...) that no tombstone of theirs is newer than.
+def alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (path, seq, ...) that no tombstone (root, gone_at) of theirs is newer than.
 
     A few tombstones (INLINE) are written into the plan and rows are filtered where they lie. More of them are joined with the ancestors, by
     broadcast up to SMALL, and only what they hit is taken out of the rows.
@@ -58,7 +58,7 @@ def merge(base: DataFrame, delta: DataFrame, base_seq: int = -1) -> DataFrame:
     if "seq" not in base.columns:
         base = base.withColumn("seq", F.lit(base_seq).cast("long"))
     kept = base.select(*META, "seq").join(upserts.select("path"), "path", "left_anti")
-    return _alive(kept.unionByName(upserts), gone)
+    return alive(kept.unionByName(upserts), gone)
 
 
 def prune(delta: DataFrame, base: DataFrame) -> DataFrame:
@@ -88,18 +88,18 @@ def counts_with(base: DataFrame, delta: DataFrame) -> DataFrame:
     return parts.agg(F.sum("files").alias("files"), F.sum("dirs").alias("dirs"))
 
 
-def assign_ids(entries: DataFrame) -> DataFrame:
-    """entries with `id` in the order of paths: the same for the same entries. Ranges of paths are numbered side by side; no task sees them all.
+def assign_ids(entries: DataFrame, by: tuple[str, ...] = ("path",), first: int = 1) -> DataFrame:
+    """entries with `id`, from `first` on, in the order of columns `by`: the same for the same entries. Ranges are numbered side by side; no task sees them all.
 
     The ordered rows are written once, with the place of each in its range: the bounds of ranges are drawn from a sample, and would not be
     the same in a second run. Counting ranges and numbering rows both read what was written.
     """
     row = (1 << 33) - 1  # monotonically_increasing_id: the partition's number above 33 bits, the row's place below
-    ordered = entries.repartitionByRange("path").sortWithinPartitions("path").withColumn("__at", F.monotonically_increasing_id())
+    ordered = entries.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     ordered = checkpointed(ordered)
     part = F.shiftright("__at", 33).alias("__part")
     sizes = ordered.groupBy(part).agg(F.count("*").alias("n")).orderBy("__part").collect()  # a number a partition
-    offsets, start = [], 1
+    offsets, start = [], first
     for r in sizes:
         offsets.append((r["__part"], start))
         start += r["n"]

@@ -21,6 +21,8 @@ from pathlake.sources.shared import checkpointed
 RESULT = ("path", "size", "mtime", "is_dir")
 #: A side of a join of at most so many rows is broadcast.
 SMALL = 200_000
+#: Bytes of a large file.
+LARGE = 100 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def counts(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("dirs"))
 
 
-def facets(files: DataFrame, query: Query, now: int, recent_secs: int = 604_800, large_bytes: int = 100 << 20, locations: dict[str, str] | None = None) -> DataFrame:
+def facets(files: DataFrame, query: Query, now: int, recent_secs: int = 604_800, large_bytes: int = LARGE, locations: dict[str, str] | None = None) -> DataFrame:
     """One row with a count for each category and for each named location, in one pass. Categories overlap; counts are by name."""
     cats = {"all": Category(), "recent": Category("Recent", recent_secs), "large": Category("Large", large_bytes), **{k.lower(): Category(k) for k in CATEGORY_EXTENSIONS}}
     cols = [F.count_if(categories.predicate(c, now)).alias(k) for k, c in cats.items()]

@@ -66,7 +66,7 @@ EVENT = T.StructType(
     ]
 )
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 # Extensions of each category, archive and document types, limits and file-system types.
 CATEGORY_EXTENSIONS = {

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathlake.operators.search import small_side
+from pathlake.sources.shared import checkpointed
 from pathlake.schema import DOCUMENT_EXTENSIONS, PROBE, TEXT_MAX
 
 #: Which elements hold text and which end lines or cells.
@@ -251,21 +252,28 @@ def cached_or_live(candidates: DataFrame, cached: DataFrame, most: int = TEXT_MA
     return known.unionByName(read_live(here.join(cached.select("path"), "path", "left_anti"), most))
 
 
-def within_cap(doc_text: DataFrame, cap: int, order: str = "seq") -> DataFrame:
-    """The newest texts that fit in `cap` bytes together, oldest out first.
+def within_cap(doc_text: DataFrame, cap: int, order: str = "seq", key: str = "path") -> DataFrame:
+    """The newest texts that fit in `cap` bytes together, oldest out first: by `order` downwards, then by `key`, nulls last.
 
-    The running sum is taken over coarse buckets of `order` and then inside the one bucket where the cap is met, so no task sees all rows.
+    Only sizes are sorted, by ranges side by side: sums of the ranges (a number a task) say in which one the cap is met, and a running sum over that one where.
+    The texts are then filtered by that place, and neither sorted nor shuffled. Rows that are alike in order and key stay or go together. A null text has no bytes.
     """
     from pyspark.sql import Window
 
-    sized = doc_text.withColumn("__n", F.octet_length("text").cast("long"))
-    lo, hi = sized.agg(F.min(order), F.max(order)).first()
-    if lo is None:
+    seq, name = doc_text[f"`{order}`"], doc_text[f"`{key}`"]
+    by = [F.col("s").desc_nulls_last(), F.col("k").asc_nulls_last()]
+    sizes = doc_text.select(seq.alias("s"), name.alias("k"), F.coalesce(F.octet_length(doc_text["`text`"]), F.lit(0)).cast("long").alias("n")).groupBy("s", "k").agg(F.sum("n").alias("n"))
+    at = checkpointed(sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before = 0
+    for r in at.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).orderBy("part").collect():
+        if before + r["n"] > cap:
+            break
+        before += r["n"]
+    else:
         return doc_text
-    bucket = F.floor((F.col(order) - F.lit(lo)) * 1000 / F.lit(max(1, hi - lo + 1)))
-    sized = sized.withColumn("__b", bucket)
-    sums = sized.groupBy("__b").agg(F.sum("__n").alias("__s"))  # at most 1,000 rows
-    later = sums.select("__b", (F.sum("__s").over(Window.orderBy(F.desc("__b"))) - F.col("__s")).alias("__later"))
-    run = F.col("__later") + F.sum("__n").over(Window.partitionBy("__b").orderBy(F.desc(order)))
-    rows = sized.join(F.broadcast(later), "__b").withColumn("__run", run)
-    return rows.filter(F.col("__run") <= cap).select(*doc_text.columns)
+    run = at.filter(part == r["part"]).withColumn("run", before + F.sum("n").over(Window.orderBy("at")))
+    out = run.filter(F.col("run") > cap).orderBy("at").first()  # the first that doesn't fit
+    newer = F.coalesce(seq > F.lit(out["s"]), F.lit(out["s"] is None) & seq.isNotNull())
+    earlier = F.coalesce(name < F.lit(out["k"]), F.lit(out["k"] is None) & name.isNotNull())
+    return doc_text.filter(newer | (seq.eqNullSafe(F.lit(out["s"])) & earlier))

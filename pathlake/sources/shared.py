@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +54,49 @@ def stamp(spark: SparkSession, path: str) -> str:
         return ""
     found = sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(at))
     return hashlib.sha256("\n".join([path, *found]).encode()).hexdigest() if found else ""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole, unless it is there; whether it did. Of several writers one succeeds.
+
+    The text goes to a file of its own, which is then renamed without replacing; in a local file system it is linked, as renaming replaces there.
+    """
+    jvm = spark.sparkContext._jvm
+    final, fs = _at(spark, path)
+    part, _ = _at(spark, f"{final.getParent()}/.{final.getName()}.{uuid.uuid4().hex}")
+    if fs.exists(final):
+        return False
+    fs.mkdirs(final.getParent())
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(part.toUri().getPath(), final.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, final, none)
+        return True
+    except (FileExistsError, Py4JJavaError):
+        if not fs.exists(final):  # another error than a lost race
+            raise
+        return False
+    finally:
+        fs.delete(part, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the shared store."""
+    at, fs = _at(spark, path)
+    source = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, time of change in milliseconds) of what lies in a folder, but for hidden files; nothing if it isn't there."""
+    at, fs = _at(spark, path)
+    return sorted((x.getPath().getName(), x.getModificationTime()) for x in fs.listStatus(at) if not x.getPath().getName().startswith(".")) if fs.exists(at) else []
