@@ -58,32 +58,49 @@ class Engine:
 
     def rebuild(self) -> dict:
         options = self.walk_options()
-        return self.catalog.rebuild(walk.walk(self.spark, options), options.fingerprint())
+        return self.catalog.rebuild(walk.walk(self.spark, options), options.fingerprint(), roots=walk.root_times(options))
 
     def apply(self, delta: DataFrame) -> None:
         if not self.config.paused:
             self.catalog.apply(delta)
             self.catalog.compact(self.config.overlay_compaction_threshold)
 
-    def rescan(self) -> int:
-        """Walks again and applies what differs, for a tree that nobody watches; how many entries differed. Texts of changed and removed files go."""
+    def rescan(self, quick: bool = False) -> int:
+        """Walks again and applies what differs, for a tree that nobody watches; how many entries differed. Texts of changed and removed files go.
+
+        quick: lists only directories whose times have changed, so that a tree in which little came or went costs little; files that were written in place
+        are found by the next whole walk.
+        """
         if self.config.paused:
             return 0
-        found = checkpointed(walk.changes(self.catalog.entries(), walk.walk(self.spark, self.walk_options()), self.catalog.next_seq()))
+        began, options, seq = int(time.time()), self.walk_options(), self.catalog.next_seq()
+        roots, last = walk.root_times(options), self.catalog.commit()
+        if quick and last and last["walk_key"] == options.fingerprint() and not options.follow_symlinks:
+            # what a root's time was before is known for roots that were walked; others are listed
+            known = {root: last["roots"].get(root, -1) for root in roots}
+            found, _ = walk.quick_changes(self.catalog.files(), known, options, last["walked_at"], seq)
+        else:
+            found = walk.changes(self.catalog.entries(), walk.walk(self.spark, options), seq)
+        found = checkpointed(found)
         n = found.count()
         if n:
             self.apply(found)
             if self.config.content_index:
                 self.catalog.add_texts(found.select("path", F.lit(None).cast("string").alias("text"), "seq"))
+        self.catalog.walked(began, roots)
         return n
 
-    def rescans(self, times: int | None = None, sleep=time.sleep):
-        """Rescans every rescan_interval_secs, at least RESCAN_LEAST apart: what is left when changes cannot be watched. Yields how many entries differed."""
+    def rescans(self, times: int | None = None, sleep=time.sleep, whole_every: int = 1):
+        """Rescans every rescan_interval_secs, at least RESCAN_LEAST apart: what is left when changes cannot be watched. Yields how many entries differed.
+
+        Of whole_every rescans one is whole, the last of them; the others are quick.
+        """
         self.degraded = True
-        while times is None or times > 0:
+        done = 0
+        while times is None or done < times:
             sleep(max(self.RESCAN_LEAST, self.config.rescan_interval_secs))
-            yield self.rescan()
-            times = None if times is None else times - 1
+            done += 1
+            yield self.rescan(quick=done % whole_every != 0)
 
     def watch(self, query: Query, interval: int = 1, times: int | None = None, sleep=time.sleep):
         """Searches every `interval` seconds, at least one; yields the rows of each time whose paths were not reported before. What is removed is not reported.

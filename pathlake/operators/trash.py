@@ -77,7 +77,11 @@ def trash_plan(paths: DataFrame, taken: DataFrame, when: str) -> DataFrame:
 
 
 def restore_plan(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, target, conflict, free): where each item would go back to, whether something is there already, and a free path: the target, or one with a number before its extension."""
+    """(name, target, conflict, free): where each item would go back to, whether something is there already, and a free path: the target, or one with a number before its extension.
+
+    Names that aren't those of a single entry (empty, ".", "..", or with a slash) are refused: such items have no plan.
+    """
+    items = items.filter(F.col("name").isNotNull() & ~F.col("name").isin("", ".", "..") & ~F.col("name").contains("/"))
     path = F.col("path")
     there = existing.select(dir_of(path).alias("dir"), name_of(path).alias("name"))
     wanted = items.select(F.col("name").alias("item"), F.col("original_path").alias("path"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlake.schema import ARCHIVE_LIST_MAX, ARCHIVE_MAX, ARCHIVE_NAMES, MEMBER_MAX, TAR_MEMBERS_MAX, ZIP_ARCHIVES
+from pathlake.schema import ARCHIVE_LIST_MAX, ARCHIVE_MAX, ARCHIVE_NAMES, MEMBER_MAX, PROBE, TAR_MEMBERS_MAX, ZIP_ARCHIVES
 
 
 def is_archive(name_ext: Column) -> Column:
@@ -85,13 +85,16 @@ def list_members(archives: DataFrame) -> DataFrame:
     """(path, member, size, is_dir) of archives (path, name_ext, content)."""
     spark = archives.sparkSession
     register(spark)
-    archives.filter(is_readable(F.col("name_ext"))).createOrReplaceTempView("__archives")
-    return spark.sql("SELECT a.path, m.member, m.size, m.is_dir FROM __archives a, LATERAL archive_list(a.content, a.name_ext) m")
+    readable = archives.filter(is_readable(F.col("name_ext")))
+    return spark.sql("SELECT a.path, m.member, m.size, m.is_dir FROM {readable} a, LATERAL archive_list(a.content, a.name_ext) m", readable=readable)
 
 
 def member_texts(archives: DataFrame) -> DataFrame:
-    """(path, member, text) of readable members, as UTF-8."""
+    """(path, member, text) of readable members that are UTF-8 without a zero byte near their beginning; others are left out, as binary files are."""
     spark = archives.sparkSession
     register(spark)
-    archives.filter(is_readable(F.col("name_ext"))).createOrReplaceTempView("__archives")
-    return spark.sql("SELECT a.path, m.member, decode(m.body, 'UTF-8') AS text FROM __archives a, LATERAL archive_read(a.content, a.name_ext) m")
+    readable = archives.filter(is_readable(F.col("name_ext")))
+    rows = spark.sql("SELECT a.path, m.member, m.body FROM {readable} a, LATERAL archive_read(a.content, a.name_ext) m", readable=readable)
+    text = F.col("body").cast("string")
+    binary = F.position(F.lit(b"\0"), F.substring("body", 1, PROBE)) > 0
+    return rows.filter(F.is_valid_utf8(text) & ~binary).select("path", "member", text.alias("text"))

@@ -63,7 +63,7 @@ class Catalog:
 
     def _last(self) -> dict:
         """The last record, of whatever schema; one without a snapshot if there is none."""
-        empty = {"commit": 0, "version": 0, "snapshot": None, "complete": False, "walk_key": "", "built_at": 0, "base_seq": -1, "last_seq": -1, "next_id": 1, "changes": [], "texts": [], "header": dict.fromkeys(COUNTED, 0), "counts": None}
+        empty = {"commit": 0, "version": 0, "snapshot": None, "complete": False, "walk_key": "", "walked_at": 0, "roots": {}, "built_at": 0, "base_seq": -1, "last_seq": -1, "next_id": 1, "changes": [], "texts": [], "header": dict.fromkeys(COUNTED, 0), "counts": None}
         names = self._versions()
         if not names:
             return empty
@@ -102,8 +102,12 @@ class Catalog:
         ids.coalesce(1).write.parquet(f"{self.dir}/manifests/{name}")  # a row a file
         return name
 
-    def rebuild(self, entries: DataFrame, walk_key: str = "", base_seq: int | None = None) -> dict:
-        """A new snapshot of entries (path, size, mtime, is_dir), each path once. Changes up to base_seq (by default: all so far) are held to be in it."""
+    def rebuild(self, entries: DataFrame, walk_key: str = "", base_seq: int | None = None, roots: dict[str, int] | None = None) -> dict:
+        """A new snapshot of entries (path, size, mtime, is_dir), each path once. Changes up to base_seq (by default: all so far) are held to be in it.
+
+        roots: the times of the walk's roots, for a later look at what changed; they must be read before the walk.
+        """
+        began = int(time.time())
         before = self._last()
         base_seq = before["last_seq"] if base_seq is None else base_seq
         known = {b["name"] for b in before["changes"] if b["last_seq"] <= base_seq}
@@ -113,7 +117,7 @@ class Catalog:
 
         def make(last: dict) -> dict:
             return {
-                "version": last["version"] + 1, "snapshot": name, "complete": True, "walk_key": walk_key, "built_at": int(time.time()), "base_seq": base_seq, "next_id": max(last["next_id"], n + 1),
+                "version": last["version"] + 1, "snapshot": name, "complete": True, "walk_key": walk_key, "walked_at": began, "roots": roots or {}, "built_at": int(time.time()), "base_seq": base_seq, "next_id": max(last["next_id"], n + 1),
                 "changes": [b for b in last["changes"] if b["name"] not in known], "header": counts, "counts": None,
             }
 
@@ -140,6 +144,10 @@ class Catalog:
             self._merge_batches(record)
         return record
 
+    def walked(self, at: int, roots: dict[str, int]) -> None:
+        """Records that the tree was looked at, at a time, when its roots had these times."""
+        self._publish(lambda last: {"walked_at": at, "roots": roots})
+
     def next_seq(self) -> int:
         """A number for changes that come now: above that of any change so far."""
         return self._last()["last_seq"] + 1

@@ -8,23 +8,31 @@ names that begin with a dot or an underscore, and directories.
 from __future__ import annotations
 
 import json
+import operator
 import os
 import time
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from pathlake.functions import paths
 from pathlake.operators.exclusions import ExcludeNames
+from pathlake.operators.search import SMALL
+from pathlake.plans.compiler import Compiled, compile_query
+from pathlake.plans.query import Query
 from pathlake.schema import DELTA, DETAILS, ENTRY, EVENT
 from pathlake.sources.ignore import IGNORE_FILES, Ignore
+from pathlake.sources.shared import checkpointed
 
 #: Subtrees that a walk is split into, if there are so many.
 PARTS = 64
+#: Conditions on an entry's columns that a walk tests by itself.
+COMPARE = {"=": operator.eq, ">=": operator.ge, "<=": operator.le}
 
 
 @dataclass
@@ -38,6 +46,8 @@ class WalkOptions:
     dirs_only: bool = False
     global_ignore: str | None = None  # text of one more ignore file, for all roots
     details: bool = False  # also creation time, owner, group, mode, inode and number of links
+    under: str = ""  # only this path and what lies below it
+    tests: list = field(default_factory=list)  # only entries that pass each (column, one of COMPARE, value)
 
     def names(self) -> ExcludeNames:
         return ExcludeNames.default() if self.exclude_names is None else ExcludeNames.parse(self.exclude_names)
@@ -107,8 +117,8 @@ class Walker:
             if is_dir or not self.o.dirs_only:
                 yield _entry(e.path, st, is_dir, self.o.details), is_dir, link
 
-    def walk(self, directory: str, ignore: Ignore, seen: frozenset = frozenset()):
-        """All entries under a directory. Links that lead back to a directory above are not followed again."""
+    def walk(self, directory: str, ignore: Ignore, seen: frozenset = frozenset(), leads=None):
+        """All entries under a directory, but for directories that `leads` refuses. Links that lead back to a directory above are not followed again."""
         stack = [(directory, ignore, seen)]
         while stack:
             at, above, met = stack.pop()
@@ -116,7 +126,7 @@ class Walker:
             deeper = []
             for entry, is_dir, link in self.children(at, rules):
                 yield entry
-                if is_dir:
+                if is_dir and (leads is None or leads(entry[0])):
                     real = os.path.realpath(entry[0]) if self.o.follow_symlinks else entry[0]
                     if link and (real in met or os.path.realpath(at).startswith(real.rstrip("/") + "/")):
                         continue
@@ -168,8 +178,21 @@ class WalkPartition(InputPartition):
 
 
 class WalkReader(DataSourceReader):
+    """A walk. With the options' `under`, directories outside that subtree are not entered; entries that fail one of its tests aren't sent."""
+
     def __init__(self, options: WalkOptions):
-        self.options = options
+        self.options, self.top = options, paths.clean_prefix(options.under)
+
+    def wanted(self, entry: tuple) -> bool:
+        inside = self.top in ("", "/") or entry[0] == self.top or entry[0].startswith(self.top + "/")
+        return inside and all(COMPARE[how](entry[ENTRY.names.index(column)], value) for column, how, value in self.options.tests)
+
+    def leads(self, directory: str) -> bool:
+        """Whether what is wanted may lie in a directory."""
+        if self.top in ("", "/"):
+            return True
+        at = directory.rstrip("/") + "/"
+        return at.startswith(self.top + "/") or self.top.startswith(at)
 
     def partitions(self):
         """Partitions for subtrees, and for what lies directly in the directories above them. The uppermost are split first, until there are PARTS."""
@@ -180,11 +203,15 @@ class WalkReader(DataSourceReader):
         listed = 0
         while below and (below[0][2] or len(below) + len(out) < PARTS and listed < 4 * PARTS):
             directory, above, _ = below.popleft()
+            if not self.leads(directory):
+                continue
             rules = walker.ignore_in(directory, above)
             out.append(WalkPartition(directory, False))
             listed += 1
             # links are walked whole by one task, which alone knows where they lead back to
             for entry, is_dir, link in walker.children(directory, rules):
+                if is_dir and not self.leads(entry[0]):
+                    continue
                 if is_dir and link:
                     out.append(WalkPartition(entry[0], True))
                 elif is_dir:
@@ -198,9 +225,11 @@ class WalkReader(DataSourceReader):
         walker = Walker(self.options)
         rules = walker.rules_above(partition.directory)
         if partition.deep:
-            yield from walker.walk(partition.directory, rules)
+            found = walker.walk(partition.directory, rules, leads=self.leads)
         else:
-            for entry, _, _ in walker.children(partition.directory, walker.ignore_in(partition.directory, rules)):
+            found = (entry for entry, _, _ in walker.children(partition.directory, walker.ignore_in(partition.directory, rules)))
+        for entry in found:
+            if self.wanted(entry):
                 yield entry
 
 
@@ -299,6 +328,18 @@ def walk(spark: SparkSession, options: WalkOptions) -> DataFrame:
     return rows.dropDuplicates(["path"]) if nested else rows
 
 
+def matching(spark: SparkSession, options: WalkOptions, query: Query | Compiled, now: int) -> DataFrame:
+    """The entries of a walk that a query accepts by name, as rows of a catalog without ids. Only the query's subtree is listed, and its conditions on size, time and
+    kind are tested where the entries are found. (The conditions are given with the walk, not pushed down by Spark: that would keep those of a DataFrame's first query for its next.)
+    """
+    q = query if isinstance(query, Compiled) else compile_query(query, now)
+    tests = [["size", how, n] for how, n in ((">=", q.min_size), ("<=", q.max_size)) if n is not None]
+    tests += [["is_dir", "=", False]] if not q.include_dirs else []
+    tests += [["mtime", ">=", now - q.modified_within_secs]] if q.modified_within_secs is not None else []
+    rows = walk(spark, replace(options, under=q.under or "", tests=tests))
+    return paths.derive(rows).filter(q.predicate())
+
+
 def events(spark: SparkSession, options: WalkOptions, state: str | None = None) -> DataFrame:
     """A stream of events, by walking again at each trigger; `state` is a file that outlives the query."""
     spark.dataSource.register(WatchSource)
@@ -309,7 +350,7 @@ def events(spark: SparkSession, options: WalkOptions, state: str | None = None)
 def below(created: DataFrame, options: WalkOptions) -> DataFrame:
     """Changes for all that lies below directories of created (path, op, size, mtime, is_dir, seq): what was there before anyone watched them.
 
-    Each directory is walked by the task that has its row; entries take its seq.
+    Each directory is walked by the task that has its row, but for those that lie in another one, which finds them; entries take its seq.
     """
 
     def run(batches):
@@ -321,7 +362,78 @@ def below(created: DataFrame, options: WalkOptions) -> DataFrame:
             yield pd.DataFrame(out, columns=DELTA.names)
 
     dirs = created.filter("op = 'upsert' AND is_dir").groupBy("path").agg(F.max("seq").alias("seq"))
-    return dirs.mapInPandas(run, DELTA)
+    above = dirs.select("path", F.explode(paths.ancestors_of(F.col("path"))).alias("up")).filter("up != path")
+    inner = above.join(dirs.select(F.col("path").alias("up")), "up", "left_semi").select("path")
+    return dirs.join(inner, "path", "left_anti").mapInPandas(run, DELTA)
+
+
+LISTED = T.StructType([T.StructField("dir", T.StringType()), T.StructField("listed", T.BooleanType()), *ENTRY.fields])
+
+
+def changed_dirs(dirs: DataFrame, options: WalkOptions, since: int) -> DataFrame:
+    """(dir, listed, path, size, mtime, is_dir) of the directories of dirs (path, mtime) whose time isn't the known one: an entry a row, and with `listed`
+    a row for the directory itself.
+
+    Tasks ask for the time of each directory and list those that differ; the others cost one call each. A time of `since` or later may hide a change of the
+    same second, so such directories are listed too. Directories that are gone give nothing: their parents show it.
+    """
+
+    def run(batches):
+        walker = Walker(options)
+        for rows in batches:
+            out = []
+            for path, known in zip(rows["path"], rows["mtime"]):
+                try:
+                    st = os.stat(path, follow_symlinks=options.follow_symlinks)
+                except OSError:
+                    continue
+                now = max(0, int(st.st_mtime))
+                if now != known or now >= since:
+                    out.append((path, True, path, 0, now, True))
+                    out += [(path, False, *e) for e, _, _ in walker.children(path, walker.ignore_in(path, walker.rules_above(path)))]
+            yield pd.DataFrame(out, columns=LISTED.names)
+
+    return dirs.select("path", F.col("mtime")).mapInPandas(run, LISTED)
+
+
+def quick_changes(files: DataFrame, roots: dict[str, int], options: WalkOptions, since: int, seq: int) -> tuple[DataFrame, DataFrame]:
+    """(changes, listed): what changed in a catalog's tree since time `since` as far as the times of its directories tell, and (path, mtime) of those that were listed.
+
+    files is the catalog, which holds each directory's time from when it was last listed; roots maps the roots, which aren't in it, to theirs. What
+    comes, goes or is renamed changes a directory's time; a file that was written in place, or a new rule in an ignore file, does not, and wants a full walk (changes()).
+    Only listed directories' rows are compared; directories that are new are walked whole.
+    """
+    spark = files.sparkSession
+    tops = spark.createDataFrame([(paths.clean_prefix(p), t) for p, t in roots.items()], "path string, mtime long")
+    dirs = files.filter("is_dir").select("path", "mtime").unionByName(tops)
+    found = checkpointed(changed_dirs(spread_out(dirs), options, since))
+    listed = found.filter("listed").select("path", "mtime")
+    few = F.broadcast if listed.count() <= SMALL else (lambda df: df)
+    known = files.join(few(listed.select(F.col("path").alias("dir"))), "dir", "left_semi").select(*ENTRY.names)
+    own = files.filter("is_dir").join(few(listed.select("path")), "path", "left_semi").select(*ENTRY.names)
+    # a listed directory's row is in its parent's listing too, if that was listed
+    now = found.filter("NOT listed").select(*ENTRY.names)
+    alone = found.filter("listed").select(*ENTRY.names).join(tops.select("path"), "path", "left_anti").join(own.select("path"), "path", "left_semi").join(now.select("path"), "path", "left_anti")
+    old = known.unionByName(own).dropDuplicates(["path"])
+    found_changes = checkpointed(changes(old, now.unionByName(alone), seq))
+    fresh = found_changes.filter("op = 'upsert' AND is_dir").join(files.filter("is_dir").select("path"), "path", "left_anti")
+    return found_changes.unionByName(below(fresh, options)).dropDuplicates(["path"]), listed
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows that cost a call each, dealt to all cores: a catalog's directories may lie in one file."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1), "path")
+
+
+def root_times(options: WalkOptions) -> dict[str, int]:
+    """The times of the roots; -1 for one that isn't there."""
+    out = {}
+    for root in options.roots:
+        try:
+            out[paths.clean_prefix(root)] = int(os.stat(root).st_mtime)
+        except OSError:
+            out[paths.clean_prefix(root)] = -1
+    return out
 
 
 def changes(old: DataFrame, new: DataFrame, seq: int) -> DataFrame:
