@@ -1,7 +1,8 @@
 """A small forgiving HTML tree: block elements as nodes, their text in page order.
 
-Inline elements belong to the block that holds them. Scripts, styles and other raw or non-text elements
-have no text. Missing and misnested end tags are closed the way browsers do for the common cases.
+Inline elements belong to the block that holds them; those with a name of their own (class, id, role and the like) are nodes too, and their text is told apart
+inside its block. Text beside blocks, directly in their container, is a node "#text" for each run. Only scripts, styles, embedded media and
+form controls have no text. Missing and misnested end tags are closed the way browsers do for the common cases.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from html import unescape
 
 #: Element names by their parsing rule.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("button script style noscript template iframe textarea select svg math object canvas audio video title xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("button script style template iframe textarea select svg audio video title noembed noframes annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark math meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+#: Attributes that name an element: an inline element with one is a node.
+NAMING = ("class", "id", "role", "itemprop", "aria-label")
+NAMED = re.compile("|".join(NAMING), re.ASCII | re.IGNORECASE)
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 
@@ -28,13 +32,14 @@ ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "depth", "number", "own", "links", "start", "inline")
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "number", "own", "links", "start", "inline", "within")
 
     def __init__(self, tag, attrs, parent, number, start):
         self.tag, self.attrs, self.parent, self.number, self.start = tag, attrs, parent, number, start
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
         self.own = self.links = self.inline = 0
+        self.within = False  # an inline element
         if parent:
             parent.children.append(self)
 
@@ -84,30 +89,44 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """(nodes, blocks): block elements in page order, the root first; runs of text between block boundaries with the element that holds them."""
+    """(nodes, blocks): elements in page order, the root first; runs of text between block boundaries with the node that holds them."""
+    nodes, runs = parse_runs(html)
+    return nodes, [(node, joined(parts)) for node, parts in runs]
+
+
+def joined(parts: list[tuple[Node, str]]) -> str:
+    return " ".join("".join(t for _, t in parts).split())
+
+
+def parse_runs(html: str) -> tuple[list[Node], list[tuple[Node, list[tuple[Node, str]]]]]:
+    """(nodes, runs): as parse(), with each run in parts, each with the node that says it: the block or an inline node in it."""
     root = Node("#root", {}, None, 0, 0)
-    nodes, stack = [root], Stack(root)
-    blocks: list[tuple[Node, str]] = []
-    run: list[str] = []
-    inlines: list[str] = []  # open inline elements of the current block
+    stack = Stack(root)
+    runs: list[tuple[Node, int, list[tuple[Node, str, int, int]], list[Node]]] = []  # holder, place, parts with their sizes and linked sizes, inline nodes
+    run: list[tuple[Node, str, int, int]] = []
+    made: list[Node] = []  # inline nodes of the run
+    inlines: list[tuple[str, Node | None]] = []  # open inline elements of the current block, with the last node among them
     open_: Counter[str] = Counter()  # how many of each
-    at, n = 0, len(html)
+    at, n, run_at = 0, len(html), 0
     last = {q: html.rfind(q) for q in "\"'"}
 
+    def holder() -> Node:
+        return inlines[-1][1] if inlines and inlines[-1][1] else stack.nodes[-1]
+
     def flush():
-        if run:
-            text = " ".join("".join(run).split())
-            if text:
-                blocks.append((stack.nodes[-1], text))
+        if run or made:
+            if any(size for _, _, size, _ in run):
+                runs.append((stack.nodes[-1], run_at, list(run), list(made)))
             run.clear()
+            made.clear()
 
-    def say(raw: str):
+    def say(raw: str, where: int):
+        nonlocal run_at
         text = unescape(raw) if "&" in raw else raw
-        run.append(text)
+        if not run:
+            run_at = where
         size = len(text.strip())
-        stack.nodes[-1].own += size
-        if open_["a"]:
-            stack.nodes[-1].links += size
+        run.append((holder(), text, size, size if open_["a"] else 0))
 
     def pop_to(k: int):
         flush()
@@ -118,10 +137,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
-            say(html[at:])
+            say(html[at:], at)
             break
         if lt > at:
-            say(html[at:lt])
+            say(html[at:lt], at)
         nxt = html[lt + 1 : lt + 2]
         if html.startswith("<!--", lt):
             end = html.find("-->", lt + 4)
@@ -131,8 +150,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 at = n if end < 0 else end + 3
             continue
         if nxt in ("!", "?"):
-            end = html.find(">", lt)
-            at = n if end < 0 else end + 1
+            end = html.find("]]>", lt) if html.startswith("<![CDATA[", lt) else -1
+            at = end + 3 if end >= 0 else n if (end := html.find(">", lt)) < 0 else end + 1
             continue
         closing = nxt == "/"
         m = NAME.match(html, lt + 1 + closing)
@@ -141,19 +160,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 end = html.find(">", lt)
                 at = n if end < 0 else end + 1
             else:
-                say("<")
+                say("<", lt)
                 at = lt + 1
             continue
         tag = m[0].lower()
         end = _tag_end(html, m.end(), last)
         at = end + 1
+        # a formula's elements are parts of its line
+        inline = tag in INLINE or (open_["math"] > 0 and tag not in CLOSES_P and tag not in RAW and tag not in VOID)
         if closing:
             if tag == "br":
-                run.append(" ")
-            elif tag in INLINE:
+                say(" ", lt)
+            elif inline:
                 if open_[tag]:
                     while True:
-                        gone = inlines.pop()
+                        gone, _ = inlines.pop()
                         open_[gone] -= 1
                         if gone == tag:
                             break
@@ -165,8 +186,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag in RAW:
             if tag not in ("title",):
-                run.append(" ")
-            if html[end - 1 : end] == "/" and tag in ("svg", "math"):
+                say(" ", lt)
+            if html[end - 1 : end] == "/" and tag == "svg":
                 continue
             close = RAW_END[tag].search(html, at)
             if not close:
@@ -178,11 +199,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag != "wbr":
-                run.append(" " if tag in ("br", "img", "input", "embed") else "")
+            elif tag in ("br", "img", "input", "embed"):
+                say(" ", lt)
             continue
-        if tag in INLINE:
-            inlines.append(tag)
+        if inline:
+            node = inlines[-1][1] if inlines else None
+            if end > m.end() and NAMED.search(html, m.end(), end):
+                attrs = attributes(html[m.end() : end])
+                if any(attrs.get(k) for k in NAMING):
+                    node = Node(tag, attrs, holder(), 0, lt)
+                    node.within = True
+                    made.append(node)
+            inlines.append((tag, node))
             open_[tag] += 1
             stack.nodes[-1].inline += 1
             continue
@@ -201,8 +229,37 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         inlines.clear()
         open_.clear()
         attrs = attributes(html[m.end() : end]) if end > m.end() else {}
-        node = Node(tag, attrs, stack.nodes[-1], len(nodes), lt)
-        nodes.append(node)
-        stack.push(node)
+        stack.push(Node(tag, attrs, stack.nodes[-1], 0, lt))
     flush()
-    return nodes, blocks
+    return _finished(root, runs)
+
+
+def _finished(root: Node, runs) -> tuple[list[Node], list[tuple[Node, list[tuple[Node, str]]]]]:
+    """Gives runs beside blocks a node of their own, sums sizes, and numbers all nodes in page order, parents first."""
+    n_runs = Counter(id(block) for block, _, _, _ in runs)
+    out = []
+    for block, start, parts, made in runs:
+        own = block
+        if n_runs[id(block)] > 1 or any(not c.within for c in block.children if c.tag != "#text"):
+            own = Node("#text", {k: v for k, v in block.attrs.items() if k.startswith("data-")}, block, 0, start)
+            moved = {id(x) for x in made if x.parent is block}
+            for x in made:
+                if id(x) in moved:
+                    x.parent = own
+                    own.children.append(x)
+        said = []
+        for node, text, size, linked in parts:
+            node = own if node is block else node
+            node.own += size
+            node.links += linked
+            said.append((node, text))
+        out.append((own, said))
+    nodes, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        x.number = len(nodes)
+        x.depth = x.parent.depth + 1 if x.parent else 0
+        nodes.append(x)
+        x.children = sorted((c for c in x.children if c.parent is x), key=lambda c: c.start)
+        todo += reversed(x.children)
+    return nodes, out

@@ -23,21 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathlake.llm.common import field, sigmoid, spread
-from pathlake.llm.dom import Node, parse
+from pathlake.llm.dom import INLINE, NAMING, Node, joined, parse, parse_runs
 
 #: Tags that are a feature each. The others are told by their kind, or not at all.
-TAGS = ("article", "main", "section", "div", "p", "h", "li", "ul", "table", "blockquote", "nav", "header", "footer", "aside", "form", "head", "dialog")
+TAGS = ("article", "main", "section", "div", "p", "h", "li", "ul", "table", "blockquote", "nav", "header", "footer", "aside", "form", "head", "dialog", "span", "#text")
+RARE = ("noscript", "object", "canvas", "details", "address", "pre", "figure")
 CODES = {tag: i for i, tag in enumerate(("body", *TAGS))}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Attribute tokens are hashed to so many slots; what each says for or against main text is learned.
 SLOTS = 1 << 12
-NAMING = ("class", "id", "role", "itemprop", "aria-label")
 
 
 def _kind(tag: str) -> str:
     if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
         return "h"
-    return {"ol": "ul", "dl": "ul", "dd": "li", "dt": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "pre": "blockquote", "figure": "div", "center": "div"}.get(tag, tag)
+    if tag in INLINE:
+        return "span"
+    return {"ol": "ul", "dl": "ul", "dd": "li", "dt": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "pre": "blockquote", "address": "blockquote", "xmp": "blockquote", "figure": "div", "center": "div", "object": "div", "canvas": "div", "noscript": "div", "details": "div"}.get(tag, tag)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -46,8 +48,9 @@ def _slots(said: str) -> tuple[int, ...]:
 
 
 def slots(node: Node) -> tuple[int, ...]:
-    """The slots of the distinct tokens in an element's naming attributes."""
-    return _slots(" ".join(node.attrs.get(k, "") for k in NAMING)) if node.attrs else ()
+    """The slots of the distinct tokens in an element's naming attributes; a tag that is no kind of its own is one too."""
+    rare = node.tag if node.tag in RARE else ""
+    return _slots(" ".join([rare, *[node.attrs.get(k, "") for k in NAMING]])) if rare or node.attrs else ()
 
 
 def token_odds(pages: list[list[Node]], labels: list[float]) -> np.ndarray:
@@ -87,7 +90,7 @@ def node_features(nodes: list[Node], length: int, odds: np.ndarray) -> np.ndarra
         tags = Counter(c.tag for c in x.children)
         for at, c in enumerate(x.children):
             order[c.number], same[c.number] = at, tags[c.tag]
-    rows = []
+    rows, near = [], np.full((n, 2), -2)  # near: the kinds of the siblings before and after
     total = max(1.0, text[0])
     for x in nodes:
         i = x.number
@@ -102,9 +105,10 @@ def node_features(nodes: list[Node], length: int, odds: np.ndarray) -> np.ndarra
             sib = x.parent.children
             share = text[i] / max(1.0, text[k])
             beside = [text[sib[j].number] if 0 <= (j := order[i] + d) < len(sib) else 0.0 for d in (-1, 1)]
-            parent = [CODES.get(kind[k], -1), good[k], bad[k], math.log1p(own[k])]
+            near[i] = [CODES.get(kind[sib[j].number], -1) if 0 <= (j := order[i] + d) < len(sib) else -2 for d in (-1, 1)]
+            parent = [CODES.get(kind[k], -1), good[k], bad[k], math.log1p(own[k]), math.log1p(p[k]), link[k] / max(1.0, text[k]), *near[i], *near[k]]
         else:
-            sib, share, beside, parent = [x], 1.0, [0.0, 0.0], [-2, 0.0, 0.0, 0.0]
+            sib, share, beside, parent = [x], 1.0, [0.0, 0.0], [-2, 0.0, 0.0, 0.0, 0.0, 0.0, *near[i], *near[i]]
         rows.append(
             [
                 *(kind[i] == t for t in TAGS),
@@ -139,7 +143,7 @@ class Trees:
 
     BINS = 32
 
-    def __init__(self, rounds: int = 90, depth: int = 6, rate: float = 0.3, least: float = 0.4):
+    def __init__(self, rounds: int = 100, depth: int = 6, rate: float = 0.3, least: float = 0.4):
         self.rounds, self.depth, self.rate, self.least = rounds, depth, rate, least
 
     def _sums(self, bins: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -215,7 +219,7 @@ def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
     gain = np.minimum(margin, 12.0).astype(float)
     # a wrapper without text of its own costs little to keep for what it holds
     for x in nodes:
-        if x.own == 0 and x.children:
+        if x.own == 0 and x.children and not any(c.tag == "#text" for c in x.children):
             gain[x.number] = max(gain[x.number], -0.5)
     total = gain.copy()
     for x in reversed(nodes[1:]):
@@ -228,8 +232,10 @@ def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
     return keep
 
 
-def assemble(blocks: list[tuple[Node, str]], keep: np.ndarray) -> str:
-    return "\n\n".join(t for x, t in blocks if keep[x.number])
+def assemble(runs: list[tuple[Node, list[tuple[Node, str]]]], keep: np.ndarray) -> str:
+    """The kept text: each run is a block, without the parts of dropped inline nodes."""
+    blocks = (joined([(x, t) for x, t in parts if keep[x.number]]) for node, parts in runs if keep[node.number])
+    return "\n\n".join(t for t in blocks if t)
 
 
 # --- training pages ---------------------------------------------------------------------------------------
@@ -247,7 +253,11 @@ NAMES = {
     "form": "search login newsletter search-form signup contact-form",
     "head": "header masthead site-header banner logo topbar page-header",
     "foot": "footer site-footer foot copyright legal bottom colophon",
+    "inline": "highlight term dfn nowrap caps lead date reference-text citation mw-reflink hljs token keyword smallcaps first-letter",
+    "refs": "references reflist footnotes notes bibliography sources",
 }
+#: Landmark roles of the parts.
+ROLES = {"main": "main", "menu": "navigation", "side": "complementary", "form": "search", "head": "banner", "foot": "contentinfo", "notice": "alert"}
 
 
 def _page(rng: random.Random) -> str:
@@ -262,12 +272,18 @@ def _page(rng: random.Random) -> str:
     def cls(part: str) -> str:
         name = rng.choice(NAMES[part].split())
         name = rng.choice(("", "", "", "js-", "c-", "theme-")) + name + rng.choice(("", "", "", "-1", " clearfix", "__box", f" {words(1, 1)}"))
+        if part in ROLES and rng.random() < 0.12:
+            return f' role="{ROLES[part]}"' + (f' class="{name}"' if rng.random() < 0.4 else "")
         return f' {rng.choice(("class", "class", "class", "id"))}="{name}"'
 
     def menu():
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
         return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<nav{cls('menu')}><ul>{items}</ul></nav>", f"<div{cls('menu')}><ul>{items}</ul></div>", f"<nav>{' | '.join(link() for _ in range(5))}</nav>", f"<div{cls('menu')}>{link()} &gt; {link()} &gt; {words(1, 3)}</div>", f"<ul{cls('menu')}>{items}</ul>"))
 
+    def listed():
+        """A menu that nothing names."""
+        return f"<ul>{''.join(f'<li>{link(1, 2)}</li>' for _ in range(rng.randint(3, 9)))}</ul>"
+
     def notice():
         tag = rng.choice(("div", "div", "section", "aside", "dialog"))
         return rng.choice((f"<div{cls('notice')}>{sentence()}</div>", f"<aside>{sentence()}</aside>", f"<{tag}{cls('notice')}><p>{para()}{end_p()}</{tag}>", f"<div{cls('notice')}><p>{sentence()}</p></div>", f"<p{cls('notice')}>{sentence()}</p>", f"<dialog open><p>{para()}</p></dialog>"))
@@ -294,9 +310,19 @@ def _page(rng: random.Random) -> str:
         inner = rng.choice((f"&copy; {words(1, 3)} &middot; {sentence()}", f"<p>{sentence()}</p>", f"<p>{para()}</p>", "".join(f"<p>{link()}</p>" for _ in range(3)), f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>"))
         return rng.choice((f"<footer>{inner}</footer>", f"<footer{cls('foot')}>{inner}</footer>", f"<div{cls('foot')}>{inner}</div>"))
 
+    def spans(t: str) -> str:
+        """A sentence in which words stand in named inline elements, some of them adverts."""
+        out = t.split()
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(out))
+            out[k] = rng.choice((f"<span{y}{cls('inline')}>{out[k]}</span>", f"<em{y}{cls('inline')}>{out[k]}</em>", f'<a{y} href="/x"{cls("inline")}>{out[k]}</a>', f"<math><mi>{words(1, 1)}</mi><mo>=</mo><mn>7</mn></math>"))
+        if rng.random() < 0.35:
+            out.insert(rng.randint(0, len(out)), f"<{(t := rng.choice(('span', 'a', 'ins')))}{cls(rng.choice(('notice', 'notice', 'side')))}>{words(1, 6)}</{t}>")
+        return " ".join(out)
+
     def block():
         k = rng.random()
-        if k < 0.7:
+        if k < 0.57:
             t = para() if rng.random() < 0.8 else sentence(1, 5)
             if rng.random() < 0.06:  # a very long one beside the others
                 t = " ".join([t, para()] * rng.randint(2, 60))
@@ -304,23 +330,50 @@ def _page(rng: random.Random) -> str:
                 t = f"{sentence()} {link(1, 4)} {t}"
             if rng.random() < 0.15:
                 t = f"<b>{t}<br>"
+            elif rng.random() < 0.2:
+                t = spans(t)
             return f"<p{y}{cls('main') if rng.random() < 0.08 else ''}>{t}{end_p()}"
-        if k < 0.8:
+        if k < 0.66:
             return f"<h{(h := rng.randint(2, 4))}{y}>{words(1, 7)}</h{h}>"
-        if k < 0.87:
+        if k < 0.72:
             return f"<ul{y}>{''.join(f'<li{y}>{sentence(2, 9)}</li>' for _ in range(rng.randint(2, 6)))}</ul>"
-        if k < 0.92:
+        if k < 0.76:
             return f"<blockquote{y}>{rng.choice((sentence(), f'<p{y}>{para()}</p>'))}</blockquote>"
-        if k < 0.95:
+        if k < 0.79:
             return f"<table{y}>{''.join(f'<tr{y}><td{y}>{words(1, 3)}</td><td{y}>{words(1, 3)}</td></tr>' for _ in range(3))}</table>"
-        return f"<div{y}>{para()}</div>"
+        if k < 0.82:
+            return f"<div{y}>{rng.choice((para, sentence))()}</div>"
+        if k < 0.86:
+            return rng.choice((f"<pre{y}>{words(1, 9)}</pre>", f"<pre{y}><code>{words(3, 40)}</code></pre>", f"<xmp{y}>{words(1, 9)}</xmp>"))
+        if k < 0.89:
+            return f"<address{y}>{rng.choice((sentence(), words(2, 9), f'{words(1, 4)}, {words(1, 3)}', f'{words(1, 3)}<br>{words(1, 3)}'))}</address>"
+        if k < 0.92:
+            return f"<p{y}>{rng.choice((link(1, 9), link(4, 12), f'<b>{link(2, 6)}</b>'))}{end_p()}"
+        if k < 0.948:  # a list of links that belongs to what is told
+            return rng.choice(("", f"<p{y}>{words(1, 4).capitalize()}:{end_p()}")) + f"<ul{y}>{''.join(f'<li{y}>{link(1, 6)}</li>' for _ in range(rng.randint(2, 5)))}</ul>"
+        if k < 0.957:
+            return f"<figure{y}><img src=x><figcaption{y}>{sentence()}</figcaption></figure>"
+        if k < 0.985:
+            t = rng.choice(("noscript", "noscript", "noscript", "object", "canvas", "details"))
+            return f"<{t}{y}>{''.join(f'<p{y}>{rng.choice((para, sentence))()}</p>' for _ in range(rng.randint(1, 2)))}</{t}>"
+        return f"<dl{y}>{''.join(f'<dt{y}>{words(1, 3)}<dd{y}>{sentence()}' for _ in range(rng.randint(1, 4)))}</dl>"
+
+    def refs():
+        one = lambda: rng.choice((f"{sentence()}", f"{words(1, 3)}. {link(2, 6)}", f'<a href="#r">^</a> <span{y}{cls("inline")}>{sentence()} {link()}</span>', link(2, 7)))
+        return f"<h2{y}>{words(1, 1)}</h2><ol{y}{rng.choice(('', cls('refs')))}>" + "".join(f'<li{y} id="cite_note-{i}">{one()}</li>' for i in range(rng.randint(1, 6))) + "</ol>"
 
     def article(plain: bool):
         body = [block() for _ in range(rng.randint(1, 14))]
         if rng.random() < 0.25:  # a very short article
             body = [f"<p{y}>{sentence(1, 6)}{end_p()}" for _ in range(rng.randint(1, 2))]
+        if rng.random() < 0.07:  # no paragraphs but a sentence a div
+            body = [f"<div{y}>{sentence(4, 16)}</div>" for _ in range(rng.randint(2, 9))]
+        if rng.random() < 0.04:  # a list is what the page is about
+            body = [f"<{(t := rng.choice(('ul', 'ol')))}{y}>" + "".join(f"<li{y}>{rng.choice((link(1, 6), link(1, 6) + ' ' + sentence()))}</li>" for _ in range(rng.randint(3, 12))) + f"</{t}>"]
         if rng.random() < 0.06:  # no paragraphs: text between line breaks
             body = [f"{para()}<br><br>{para()}<br>"]
+        if rng.random() < 0.1:
+            body.append(refs())
         for make, odds in ((notice, 0.2), (side, 0.1), (form, 0.05)):
             if rng.random() < odds:
                 body.insert(rng.randint(0, len(body)), make())
@@ -338,9 +391,17 @@ def _page(rng: random.Random) -> str:
         main = cls("main")
         if plain:
             return inner
-        return rng.choice((f"<article{y}>{inner}</article>", f"<article{y}{main}>{inner}</article>", f"<main{y}>{inner}</main>", f"<main{y}><article{y}>{inner}</article></main>", f"<div{y}{main}>{inner}</div>", f"<div{y}{main}>{inner}</div>", f"<section{y}{main}>{inner}</section>", f"<div{y}>{inner}</div>", f"<table{y}><tr{y}><td>{menu()}</td><td{y}>{inner}</td></tr></table>", inner, inner))
+        return rng.choice((f"<article{y}>{inner}</article>", f"<article{y}{main}>{inner}</article>", f"<main{y}>{inner}</main>", f"<main{y}><article{y}>{inner}</article></main>", f"<div{y}{main}>{inner}</div>", f"<div{y}{main}>{inner}</div>", f"<section{y}{main}>{inner}</section>", f"<div{y}>{inner}</div>", f"<table{y}><tr{y}><td>{rng.choice((menu, listed))()}</td><td{y}>{inner}</td></tr></table>", inner, inner))
 
-    before = [make() for make, odds in ((head, 0.8), (menu, 0.6), (notice, 0.6), (form, 0.2)) if rng.random() < odds]
+    def loose():
+        """Text that no element of its own holds."""
+        return rng.choice((" | ".join(words(1, 2) for _ in range(rng.randint(3, 7))), " | ".join(link() for _ in range(rng.randint(3, 6))), f"{link()} &gt; {link()}", f"&copy; {words(1, 4)}", f"{words(1, 3)} {link()} {link()}"))
+
+    def scriptless():
+        """What a page says above its parts to those without scripts."""
+        return f"<noscript>{rng.choice((sentence(), f'<p>{sentence()}</p>', f'<div{cls('notice')}>{sentence()}</div>'))}</noscript>"
+
+    before = [make() for make, odds in ((scriptless, 0.05), (head, 0.8), (menu, 0.6), (notice, 0.6), (form, 0.2)) if rng.random() < odds]
     after = [make() for make, odds in ((side, 0.5), (comments, 0.4), (notice, 0.2), (form, 0.15), (foot, 0.8)) if rng.random() < odds]
     bare = rng.random() < 0.14  # nothing but the article
     if bare:
@@ -348,12 +409,23 @@ def _page(rng: random.Random) -> str:
     middle = article(bare and rng.random() < 0.6)
     if not bare and rng.random() < 0.3:
         middle = f"<div{y}{rng.choice(('', cls('wrap')))}>{''.join([side()] * (rng.random() < 0.4))}{middle}{''.join([side()] * (rng.random() < 0.4))}</div>"
-    page = f"{''.join(before)}{middle}{''.join(after)}"
+    page, body_y = f"{''.join(before)}{middle}{''.join(after)}", y
+    if not bare and rng.random() < 0.15 and middle.startswith(("<article", "<main", "<section", "<div")) and middle.endswith(("</article>", "</main>", "</section>", "</div>")):
+        # directly in the body, which is not the article's own then
+        page, body_y = rng.choice((f"{loose()} {page}", f"{page} {loose()}", f"{loose()} {page} {loose()}")), ""
     for _ in range(rng.choice((0, 0, 0, 1, 2)) if not bare else 0):
-        page = f"<div{y}{rng.choice(('', cls('wrap')))}>{page}</div>"
+        page = f"<div{body_y}{rng.choice(('', cls('wrap')))}>{page}</div>"
     if rng.random() < 0.1:  # the whole page is one form
-        page = f'<form{y} method=post action="/{words(1, 1)}" id="{rng.choice(("form1", words(1, 1), "aspnetForm"))}"><div><input type=hidden name=s></div>{page}</form>'
-    return f"<!DOCTYPE html><html{y}><head><title>{words(2, 5)}</title></head><body{y}>{page}</body></html>"
+        page = f'<form{body_y} method=post action="/{words(1, 1)}" id="{rng.choice(("form1", words(1, 1), "aspnetForm"))}"><div><input type=hidden name=s></div>{page}</form>'
+    return f"<!DOCTYPE html><html{y}><head><title>{words(2, 5)}</title></head><body{body_y}>{page}</body></html>"
+
+
+def _labels(nodes: list[Node]) -> list[float]:
+    """1 for nodes that carry the mark or hold one that does."""
+    kept = ["data-y" in n.attrs for n in nodes]
+    for n in reversed(nodes[1:]):
+        kept[n.parent.number] |= kept[n.number]
+    return [float(k or not i) for i, k in enumerate(kept)]
 
 
 @dataclass
@@ -367,12 +439,12 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 1600, seed: int = 4) -> Model:
+def model(pages: int = 3200, seed: int = 4) -> Model:
     """The trees and token odds, trained on pages made from the seed: the same in every process."""
     rng = random.Random(seed)
     made = [_page(rng) for _ in range(pages)]
     parsed = [parse(html)[0] for html in made]
-    y = [float(n.number == 0 or "data-y" in n.attrs) for nodes in parsed for n in nodes]
+    y = [v for nodes in parsed for v in _labels(nodes)]
     odds = token_odds(parsed, y)
     x = np.concatenate([node_features(nodes, len(html), odds) for nodes, html in zip(parsed, made)])
     return Model(Trees().fit(x, np.array(y)), odds)
@@ -385,13 +457,13 @@ def extract(html: str | None, by: Model | None = None) -> str:
 def extract_many(pages: list[str | None], by: Model | None = None) -> list[str]:
     """Main text of each page; nodes of all pages are scored together."""
     by = by or model()
-    parsed = [parse(h or "") for h in pages]
+    parsed = [parse_runs(h or "") for h in pages]
     if not parsed:
         return []
     margin = by.margin([(nodes, len(h or "")) for (nodes, _), h in zip(parsed, pages)])
     out, at = [], 0
-    for nodes, blocks in parsed:
-        out.append(assemble(blocks, decode(nodes, margin[at : at + len(nodes)])))
+    for nodes, runs in parsed:
+        out.append(assemble(runs, decode(nodes, margin[at : at + len(nodes)])))
         at += len(nodes)
     return out
 

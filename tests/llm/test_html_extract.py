@@ -84,6 +84,60 @@ def test_layouts_that_were_not_trained_on(name):
     assert got == "\n\n".join(["The bridge", ONE, TWO, THREE])
 
 
+def around(inner, before="", after=""):
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}<article><h1>The bridge</h1><p>{ONE}</p>{inner}<p>{TWO}</p><p>{THREE}</p></article>{after}</body></html>"
+
+
+#: What stands in an article or around it, and the blocks that it adds to the article's text.
+PARTS = {
+    "formula": ("<p>We know that <math><mi>x</mi><mo>=</mo><mn>42</mn></math> holds.</p>", ["We know that x=42 holds."]),
+    "no script": (f"<noscript><p>{THREE} Again.</p></noscript>", [f"{THREE} Again."]),
+    "object": (f"<object data=x><p>{THREE} Again.</p></object>", [f"{THREE} Again."]),
+    "short pre": ("<pre>make all</pre>", ["make all"]),
+    "xmp": ("<xmp>x = 1 and y</xmp>", ["x = 1 and y"]),
+    "address": ("<address>Town hall, Main street 1</address>", ["Town hall, Main street 1"]),
+    "one link": ('<p><a href="/r">Read the whole report on the bridge here</a></p>', ["Read the whole report on the bridge here"]),
+    "two links": ('<p>See these:</p><ul><li><a href="/r">The report</a></li><li><a href="/s">The plan</a></li></ul>', ["See these:", "The report", "The plan"]),
+    "inline advert": (f"<p>{THREE} <span class=ad>Buy a boat now!</span> Again.</p>", [f"{THREE} Again."]),
+    "inline term": (f"<p>{THREE} <span class=term>Ferry</span> again.</p>", [f"{THREE} Ferry again."]),
+    "character data": (f"<p>{THREE} <![CDATA[ a > b ]]> Again.</p>", [f"{THREE} Again."]),
+    "form controls": (f"<p>{THREE} <select><option>a<option>b</select><textarea>c</textarea> Again.</p>", [f"{THREE} Again."]),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_of_an_article(name):
+    inner, blocks = PARTS[name]
+    assert hx.extract(around(inner)).split("\n\n") == ["The bridge", ONE, *blocks, TWO, THREE]
+
+
+@pytest.mark.parametrize(("before", "after"), [("Menu | Home | About | Login ", ""), ("", "<div role=contentinfo>Made by the town press, all rights are reserved.</div>"), ("<noscript>Please turn on scripts to see this.</noscript>", "&copy; the paper")])
+def test_what_stands_around_an_article(before, after):
+    assert hx.extract(around("", before, after)).split("\n\n") == ["The bridge", ONE, TWO, THREE]
+
+
+def test_text_outside_of_any_element():
+    assert hx.extract(f"Menu | Home | About | Login<article><h1>The bridge</h1><p>{ONE}</p><p>{TWO}</p></article><footer>x y</footer>").split("\n\n") == ["The bridge", ONE, TWO]
+
+
+def test_other_kinds_of_pages():
+    sentences = [s + "." for s in f"{ONE} {TWO} {THREE}"[:-1].split(". ")]
+    divs = "".join(f"<div>{s}</div>" for s in sentences)
+    assert hx.extract(f"<html><body><div id=content><h1>The bridge</h1>{divs}</div></body></html>").split("\n\n") == ["The bridge", *sentences]
+    names = [f"Bridge number {i}" for i in range(8)]
+    page = f"<body><nav>{MENU}</nav><main><h1>All bridges</h1><ul>{''.join(f'<li><a href=/{i}>{x}</a></li>' for i, x in enumerate(names))}</ul></main><footer>Copyright</footer>"
+    assert hx.extract(page).split("\n\n") == ["All bridges", *names]
+    cited = '<h2>References</h2><ol class="references"><li id="cite_note-1"><span class="mw-cite-backlink"><a href="#a">^</a></span> <span class="reference-text">Smith, J. Bridges of the north.</span></li><li id="cite_note-2"><span class="reference-text">Doe, A. More bridges.</span></li></ol>'
+    got = hx.extract(f'<body><div id="mw-content-text"><h1>The bridge</h1><p>{ONE}</p><p>{TWO}</p>{cited}</div></body>').split("\n\n")
+    assert got[:3] == ["The bridge", ONE, TWO] and "Smith, J. Bridges of the north." in got[-2] and got[-1] == "Doe, A. More bridges."
+
+
+def test_runs_and_named_inline_elements_are_nodes():
+    nodes, blocks = parse("<div>a<p>b <span class=x>c <i>d</i></span> e</p>f</div><p>g</p>")
+    assert [n.tag for n in nodes] == ["#root", "div", "#text", "p", "span", "#text", "p"] and all(n.number == i and (i == 0 or n.parent.number < i) for i, n in enumerate(nodes))
+    assert [(x.tag, t) for x, t in blocks] == [("#text", "a"), ("p", "b c d e"), ("#text", "f"), ("p", "g")] and [n.own for n in nodes] == [0, 0, 1, 2, 2, 1, 1]
+
+
 def test_query_equals_brute_force(spark):
     """The tables' pages have one layout, in which a regular expression finds the article: the query must give exactly its text."""
     from pathlake.llm.queries import op8_html_extract
