@@ -9,7 +9,7 @@ conversation. Built-in functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlake.llm.common import checkpointed
@@ -57,8 +57,6 @@ def chains(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     Turns are ordered by turn, then role, then text, so that ties and repeated rows have a defined place; null
     turns come first, null texts and roles count as empty, rows of a null conversation make one conversation.
     """
-    from pyspark.sql import Window
-
     r = rows.select(
         F.col(conv).alias("tree"),
         F.col(turn).alias("turn"),
@@ -78,8 +76,6 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     Joins are on (tree, node), so a tree with a third of all rows spreads like any other; ranking keeps the best
     `top` of each task before it shuffles.
     """
-    from pyspark.sql import Window
-
     m = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), "parent")).alias("m"))
     m = checkpointed(m.select("tree", "node", F.col("m.parent").alias("parent"), F.col("m.s").alias("score")))
     known = m.select("tree", F.col("node").alias("up"), F.lit(1).alias("known"))
@@ -126,10 +122,11 @@ def _farther(rows: DataFrame, jump: DataFrame, *keys: str) -> DataFrame:
 
 
 def format_branches(messages: DataFrame, top: int = 1, loss_role: str = "assistant") -> DataFrame:
-    """(tree, leaf, rank, score, n_turns, formatted, loss_spans): each chosen path as one conversation.
+    """(tree, leaf, rank, score, n_turns, formatted, loss_spans, turn_mask): each chosen path as one conversation.
 
     A turn is written as START role, newline, text, END, with role and text escaped. loss_spans lists
-    (first, length), in code points from 1, of the texts of loss_role inside `formatted`.
+    (first, length), in code points from 1, of the texts of loss_role inside `formatted`. turn_mask has (loss, first, length) of each turn's text, counted from
+    the turn's beginning, so that a long conversation's texts are found without counting from its own.
     Null roles and texts count as empty; an empty table gives no rows; other columns are not read.
     """
     steps = branches(messages, top)
@@ -140,20 +137,18 @@ def format_branches(messages: DataFrame, top: int = 1, loss_role: str = "assista
         .select("a.tree", "a.leaf", "a.rank", "a.score", "a.pos", F.col("b.m.role").alias("role"), F.col("b.m.text").alias("text"))
         .select("tree", "leaf", "rank", "score", "pos", (F.col("role") == loss_role).alias("loss"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
     )
-    lists = turns.groupBy("tree", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct("pos", "loss", "role", "text"))).alias("t"))
-    head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
-    formatted = F.array_join(F.transform("t", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<first:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        "t",
-        start,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.char_length(head(t)) + F.char_length(t["text"]) + F.lit(len(END))).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(head(t))).alias("first"), F.char_length(t["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return lists.select("tree", "leaf", "rank", "score", F.size("t").cast("long").alias("n_turns"), formatted.alias("formatted"), spans.alias("loss_spans"))
+    # where each turn begins is a running sum, taken before turns are put together: lists would be copied at every turn
+    path = ["tree", "leaf", "rank", "score"]
+    size = F.lit(len(START) + 1) + F.char_length("role") + F.char_length("text") + F.lit(len(END))
+    before = F.sum(size).over(Window.partitionBy(*path).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.withColumn("at", F.coalesce(before, F.lit(0)).cast("int"))
+    lists = turns.groupBy(*path).agg(F.sort_array(F.collect_list(F.struct("pos", "loss", "role", "text", "at"))).alias("t"))
+    formatted = F.array_join(F.transform("t", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))), "")
+
+    head = lambda t: F.lit(len(START) + 1) + F.char_length(t["role"])
+    spans = F.transform(F.filter("t", lambda t: t["loss"]), lambda t: F.struct((t["at"] + head(t) + 1).alias("first"), F.char_length(t["text"]).alias("length")))
+    mask = F.transform("t", lambda t: F.struct(t["loss"].alias("loss"), (head(t) + 1).alias("first"), F.char_length(t["text"]).alias("length")))
+    return lists.select(*path, F.size("t").cast("long").alias("n_turns"), formatted.alias("formatted"), spans.alias("loss_spans"), mask.alias("turn_mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -171,8 +166,11 @@ def read_back(formatted: Column) -> Column:
 def digest_columns(formatted: DataFrame) -> DataFrame:
     """What the query returns, read back from the formatted text and its loss mask."""
     turns = read_back(F.col("formatted"))
-    under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["first"], s["length"]))), "")
-    return formatted.select(F.col("tree").alias("conv_id"), turns.alias("turns"), under.alias("loss"), "formatted").select(
+    # the turns as they are written, each with its mask
+    written = F.arrays_zip(F.split("formatted", r"<\|end\|>\n").alias("w"), F.col("turn_mask").alias("m"))
+    under = F.array_join(F.transform(F.filter(written, lambda z: z["m"]["loss"]), lambda z: unescape(F.substr(z["w"], z["m"]["first"], z["m"]["length"]))), "")
+    rows = formatted.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), under.alias("loss"))
+    return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +100,27 @@ def test_a_long_conversation_takes_rows_in_proportion(spark):
     df = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.lit("t").alias("text"), F.lit(0.0).alias("score"))
     r = cf.branches(df).agg(F.count("*"), F.count_distinct("pos"), F.sum(F.abs(F.col("pos") + 1 - F.col("node")))).first()
     assert tuple(r) == (n, n, 0)
+
+
+def test_mask_and_spans_say_the_same(spark):
+    rows = [(c, t, ("user", "assistant", "a\nb")[t % 3], f"<é[{t}\\" * (t % 4), None) for c in range(5) for t in range(9)]
+    out = cf.format_branches(cf.chains(spark.createDataFrame(rows, CONV))).collect()
+    for r in out:
+        pieces, at = r["formatted"].split(cf.END), 0
+        spans = []
+        for piece, m in zip(pieces, r["turn_mask"]):
+            if m["loss"]:
+                spans.append((at + m["first"], m["length"]))
+                assert piece[m["first"] - 1 : m["first"] - 1 + m["length"]] == r["formatted"][spans[-1][0] - 1 : sum(spans[-1]) - 1]
+            at += len(piece) + len(cf.END)
+        assert spans == [tuple(s) for s in r["loss_spans"]] and len(r["turn_mask"]) == 9
+
+
+def test_time_grows_with_the_turns(spark):
+    """50,000 turns of one conversation; at a list that is copied at each turn they would take minutes."""
+    n = F.col("id")
+    said = spark.range(50_000).select(F.lit(1).cast("long").alias("conv_id"), n.alias("turn"), F.when(n % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn é <"), n.cast("string")).alias("text"))
+    began = time.monotonic()
+    r = cf.digest_columns(cf.format_branches(cf.chains(said))).first()
+    loss = "".join(f"turn é <{i}" for i in range(1, 50_000, 2))
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (50_000, len(loss), hashlib.sha256(loss.encode()).hexdigest()) and time.monotonic() - began < 90
