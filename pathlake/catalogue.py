@@ -23,6 +23,7 @@ from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
 from pathlake.sources import archives, documents, export, mounts, walk
 from pathlake.sources.catalog import Catalog
 from pathlake.sources.shared import delete, shared_dir, stamp
+from pathlake.sources.text_index import TextIndex
 from pathlake.streaming import cdc
 
 #: Fixed values of the catalog view.
@@ -260,6 +261,26 @@ def count_content(spark, sf_dir):
     return search.count_content(live(spark, sf_dir), Query(content="@mail[0-9]", case_sensitive=True), now=NOW)
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The documents' texts with their filters, stored like the catalog."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/texts-{zlib.crc32(sf_dir.encode()):08x}")
+    return index.build(corpus(spark, sf_dir).select("path", "text"), stamp(spark, f"{sf_dir}/documents.parquet"))
+
+
+@query(_sql(f"{SHOWN} AND NOT is_dir AND ext IN ('md', 'txt') AND contains(lower(name), 'doc') AND {_lines('license')}"))
+def content_indexed(spark, sf_dir):
+    """Candidates by name, joined to the texts of those files whose filter lets the pattern be there."""
+    q = compile_query(Query(name="doc ext:md,txt", content="license"), NOW)
+    return search.content_matching(files(spark, sf_dir), text_index(spark, sf_dir).texts(q), q).select(*search.RESULT)
+
+
+@query(_sql(f"{SHOWN} AND NOT is_dir AND {_lines('nderst.*ing')}"))
+def content_indexed_rare(spark, sf_dir):
+    """A pattern of which some letters are required, in any file."""
+    q = compile_query(Query(content="nderst.*ing"), NOW)
+    return search.content_matching(files(spark, sf_dir), text_index(spark, sf_dir).texts(q), q).select(*search.RESULT)
+
+
 DUPLICATES_SQL = f"""{FILES_SQL} SELECT sha256(text) AS digest, size, count(*)::BIGINT AS n, ((count(*) - 1) * size)::BIGINT AS waste,
   arg_max(path, (mtime, path)) AS keep FROM files WHERE NOT is_dir AND size > 0 GROUP BY 1, 2 HAVING count(*) > 1"""
 
@@ -566,10 +587,10 @@ def details(spark, sf_dir):
     return rows.select("path", search.categories.mime(F.col("name_ext")).alias("mime"), F.sha2("text", 256).alias("sha256"), day.alias("modified"))
 
 
-@query(f"{FILES_SQL} SELECT path, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(path, ''), lambda c: ord(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM files WHERE regexp_matches(path, '^[ -~]+$')")
+@query(f"{FILES_SQL}, spelled AS (SELECT path, hex(path::BLOB) AS h FROM files) SELECT path, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM spelled")
 def path_hashes(spark, sf_dir):
-    rows = files(spark, sf_dir).filter(F.col("path").rlike("^[ -~]+$"))
-    return rows.select("path", codecs.path_hash(F.col("path")).alias("hash"))
+    """The hash of every path, byte by byte."""
+    return files(spark, sf_dir).select("path", codecs.path_hash(F.col("path")).alias("hash"))
 
 
 MOVED_SQL = f"{FILES_SQL}, new AS (SELECT path, CASE WHEN doc_id % 5 = 1 THEN size + 1 ELSE size END AS size, mtime, is_dir FROM files WHERE doc_id % 7 != 2 UNION ALL SELECT concat(path, '.new'), size, mtime, is_dir FROM files WHERE NOT is_dir AND doc_id % 11 = 0)"
@@ -659,6 +680,22 @@ def stream_extract(spark, sf_dir):
     return catalog.texts()
 
 
+@query(f"{CHANGES_SQL} SELECT path, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) JOIN documents ON string_split(path, '/')[-1] = doc_id::VARCHAR WHERE r = 1 AND op = 'upsert' AND text IS NOT NULL")
+def stream_extract_documents(spark, sf_dir):
+    """Two streams over the same events: one keeps the catalog, one reads the texts of what changes (a user's file is the document of that number); then the texts of
+    what is still there."""
+    at = workspace(spark, "extract-documents", sf_dir)
+    catalog = Catalog(spark, f"{at}/catalog")
+    cdc.ingest(event_stream(spark, sf_dir), catalog, f"{at}/offsets").awaitTermination()
+    stored_texts = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text").filter("text IS NOT NULL")
+
+    def read_text(wanted):
+        return wanted.withColumn("name", paths.name_of(F.col("path"))).join(stored_texts, "name").select("path", "text")
+
+    cdc.extract_stream(cdc.normalise(event_stream(spark, sf_dir)), catalog, read_text, f"{at}/texts-offsets").awaitTermination()
+    return catalog.texts()
+
+
 @query(_sql(f"{SHOWN} AND NOT is_dir AND ext IN ('md', 'pdf') AND size >= 1025 AND starts_with(path, '/corpus/en/')"))
 def coarse_candidates(spark, sf_dir):
     """What is left of a query without its names: the part that Parquet statistics prune by."""
@@ -824,11 +861,11 @@ def catalog_status(spark, sf_dir):
     return spark.createDataFrame([(s["files"], s["dirs"], s["dirty"])], "files long, dirs long, dirty long")
 
 
-@query(_sql(f"{SHOWN} AND contains(lower(name), 'doc-1')", "least(count(*), 20)::BIGINT AS n, count(*) >= 20 AS truncated, (SELECT count_if(NOT is_dir) FROM files)::BIGINT AS indexed"))
+@query(_sql(f"{SHOWN} AND contains(lower(name), 'doc-1')", f"path, size, (SELECT count(*) >= 20 FROM files WHERE {SHOWN} AND contains(lower(name), 'doc-1')) AS truncated, (SELECT count_if(NOT is_dir) FROM files)::BIGINT AS indexed", "ORDER BY id LIMIT 20"))
 def search_envelope(spark, sf_dir):
-    """What a search says of itself: how many rows, whether there may be more, how many files there are."""
+    """A search's rows, each with what it says of itself: whether there may be more, and how many files there are."""
     r = search.run(files(spark, sf_dir), Query(name="doc-1", limit=20), now=NOW)
-    return r.results.agg(F.count("*").alias("n")).select("n", F.lit(r.truncated).alias("truncated"), F.lit(r.indexed).cast("long").alias("indexed"))
+    return r.results.select("path", "size", F.lit(r.truncated).alias("truncated"), F.lit(r.indexed).cast("long").alias("indexed"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
