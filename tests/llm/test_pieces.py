@@ -123,3 +123,36 @@ def test_table(spark, documents):
     ones = [r["ids_sha256"] for r in got if r["doc_id"] == 1]
     assert len(ones) == 6 and len(set(ones)) == 3
     assert P.segmentations(documents([])).count() == 0
+
+
+def test_query_against_all_segmentations(spark, tmp_path, v):
+    """The registered query over a whole table of short texts, each held against every segmentation of it: its samples are some of them, as many as there can be,
+    with their probabilities; and over many ids each text's first samples are spread as the probabilities are."""
+    from pathlake.llm.queries import QUERIES
+
+    texts = ["then re", "a", "ab cd", "", None, "the the", "naïve", "  x", "12 7"]
+    n = 1_500
+    rows = [(len(texts) * i + k, t) for i in range(n) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in QUERIES["op3_sentencepiece"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {i for i, _ in rows}
+    known = {}
+    for k, t in enumerate(texts):
+        known[k] = {P.ids_digest(ids): (len(ids), p) for ids, p in distribution(t or "", v).items()} if t else {P.ids_digest([]): (0, 1.0)}
+    first = [Counter() for _ in texts]
+    for i, samples in got.items():
+        samples.sort(key=lambda r: r["rank"])
+        want = known[i % len(texts)]
+        assert [r["rank"] for r in samples] == list(range(1, min(3, len(want)) + 1)) and len({r["ids_sha256"] for r in samples}) == len(samples)
+        assert [r["score"] for r in samples] == sorted((r["score"] for r in samples), reverse=True) and all(r["round_trip"] for r in samples)
+        for r in samples:
+            assert r["n_pieces"] == want[r["ids_sha256"]][0] and (len(want) <= 3) <= (r["inclusion"] == 1.0)
+        # log probabilities differ as the enumeration's do, whatever they are normalised by
+        for a, b in itertools.pairwise(samples):
+            assert math.isclose(a["logp"] - b["logp"], math.log(want[a["ids_sha256"]][1] / want[b["ids_sha256"]][1]), abs_tol=1e-4)
+        first[i % len(texts)][samples[0]["ids_sha256"]] += 1
+    for k, want in known.items():
+        for digest, (_, p) in want.items():
+            assert abs(first[k][digest] / n - p) < 5 * math.sqrt(p / n) + 2e-3
