@@ -22,7 +22,7 @@ from pathlake.plans.query import Category, Query
 from pathlake.schema import CATEGORY_EXTENSIONS as _EXTS
 from pathlake.sources import archives, documents, export, mounts, walk
 from pathlake.sources.catalog import Catalog
-from pathlake.sources.shared import delete, shared_dir, stamp
+from pathlake.sources.shared import checkpointed, delete, shared_dir, stamp
 from pathlake.sources.text_index import TextIndex
 from pathlake.streaming import cdc
 
@@ -291,6 +291,44 @@ def duplicate_groups(spark, sf_dir):
     return duplicates.duplicate_groups(duplicates.duplicate_members(files(spark, sf_dir), corpus(spark, sf_dir).select("path", "text")))
 
 
+def written_files(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, DataFrame]:
+    """The documents' texts as files of a shared folder, written by tasks, with a second name (a hard link) for every tenth; the folder, and (path, size, mtime, is_dir) of all names."""
+    from urllib.parse import unquote, urlparse
+
+    at = unquote(urlparse(workspace(spark, name, sf_dir)).path)
+
+    def write(batches):
+        import os
+
+        os.makedirs(at, exist_ok=True)
+        for rows in batches:
+            out = []
+            for doc_id, text in zip(rows["doc_id"], rows["text"]):
+                body, path = (text or "").encode(), f"{at}/{doc_id}"
+                part = f"{path}.{os.getpid()}"  # a task that runs again puts the same file in its place
+                with open(part, "wb") as f:
+                    f.write(body)
+                os.replace(part, path)
+                names = [path]
+                if doc_id % 10 == 0:
+                    os.link(path, part)
+                    os.replace(part, f"{path}.link")
+                    names.append(f"{path}.link")
+                out += [(n, len(body), EPOCH + int(doc_id) * 3600, False) for n in names]
+            yield pd.DataFrame(out, columns=["path", "size", "mtime", "is_dir"])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return at, checkpointed(docs.mapInPandas(write, "path string, size long, mtime long, is_dir boolean"))
+
+
+@query("SELECT sha256(text) AS digest, strlen(text)::BIGINT AS size, count(*)::BIGINT AS n, ((count(*) - 1) * strlen(text))::BIGINT AS waste, max(doc_id)::VARCHAR AS keep FROM documents WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1")
+def duplicate_files(spark, sf_dir):
+    """Groups of equal files, read as files: by size, by their first 64 KiB, by all of them; names of one file count once."""
+    _, listed = written_files(spark, sf_dir, "files")
+    members, _ = duplicates.duplicate_files(listed)
+    return duplicates.duplicate_groups(members).withColumn("keep", F.element_at(F.split("keep", "/"), -1))
+
+
 @query(_sql("NOT is_dir AND sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)"))
 def find_by_hash(spark, sf_dir):
     rows = live(spark, sf_dir)
