@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlake.engine import Engine
 from pathlake.functions import codecs, paths
 from pathlake.operators import duplicates, exclusions, overlay, search, tags, trash
 from pathlake.plans.compiler import compile_query
@@ -24,7 +25,7 @@ from pathlake.sources import archives, documents, export, mounts, walk
 from pathlake.sources.catalog import Catalog
 from pathlake.sources.shared import checkpointed, delete, shared_dir, stamp
 from pathlake.sources.text_index import TextIndex
-from pathlake.streaming import cdc
+from pathlake.streaming import cdc, frames
 
 #: Fixed values of the catalog view.
 SUFFIXES = (".txt", ".md", ".PDF", ".rs", ".png", ".zip", ".mp3", ".mp4", ".tar.gz", "")
@@ -686,6 +687,35 @@ def search_limit_live(spark, sf_dir):
     return rescanned(spark, sf_dir, "live-limit").search(Query(name="7", limit=150), NOW, ("path", "size", "id")).withColumnRenamed("id", "row_id")
 
 
+WATCH_SQL = f"""{LIVE_SQL}, first AS (
+  SELECT path, size FROM files WHERE contains(lower(name), 'doc-1') AND NOT is_hidden ORDER BY id LIMIT 40
+), second AS (
+  SELECT path, size FROM live WHERE contains(lower_name, 'doc-1') AND NOT is_hidden ORDER BY row_id LIMIT 40
+)"""
+
+
+@query(f"{WATCH_SQL} SELECT 0::BIGINT AS poll, path, size FROM first UNION ALL SELECT 2, path, size FROM second WHERE path NOT IN (SELECT path FROM first)")
+def watch_polls(spark, sf_dir):
+    """Four polls of a watch over a catalog that a rescan changes after the second, each by an engine of its own, as after a restart."""
+    at = workspace(spark, "watch-polls", sf_dir)
+    catalog = Catalog(spark, f"{at}/catalog")
+    catalog.rebuild(entries(spark, sf_dir))
+    for number in range(4):
+        if number == 2:
+            catalog.apply(walk.changes(catalog.entries(), walked_again(spark, sf_dir), catalog.next_seq()))
+        Engine(spark, f"{at}/catalog").poll(Query(name="doc-1", limit=40), number, f"{at}/seen", NOW)
+    return Engine(spark, f"{at}/catalog").reported(f"{at}/seen").select("poll", "path", "size")
+
+
+@query(f"{CHANGES_SQL} SELECT path, op, size, seq FROM changes")
+def pushed_frames(spark, sf_dir):
+    """The event stream's changes, pushed as lines of JSON and read by a client."""
+    at = workspace(spark, "frames", sf_dir)
+    frames.push(cdc.normalise(event_stream(spark, sf_dir)), f"{at}/lines", f"{at}/offsets").awaitTermination()
+    row = F.from_json("line", "path string, op string, size long, seq long").alias("r")
+    return frames.pushed(spark, f"{at}/lines").select(row).select("r.*")
+
+
 @query(f"{LIVE_SQL} SELECT path, size, row_id FROM live WHERE contains(lower_name, '.new') AND size >= 100 AND NOT is_hidden ORDER BY row_id LIMIT 100")
 def search_limit_new(spark, sf_dir):
     """The first rows among those that only the changes have."""

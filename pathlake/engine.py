@@ -19,7 +19,9 @@ from pathlake.schema import CANDIDATE_CAP, CONTENT_MIN
 from pathlake.sources import documents, export, walk
 from pathlake.sources.catalog import Catalog
 from pathlake.sources.mounts import read_mounts
-from pathlake.sources.shared import checkpointed, delete, shared_dir
+from pathlake.sources.shared import checkpointed, delete, listing, shared_dir
+
+REPORTED = "path string, size long, mtime long, is_dir boolean"
 
 
 class Engine:
@@ -102,19 +104,36 @@ class Engine:
             done += 1
             yield self.rescan(quick=done % whole_every != 0)
 
-    def watch(self, query: Query, interval: int = 1, times: int | None = None, sleep=time.sleep):
+    def poll(self, query: Query, number: int, seen: str, now: int | None = None) -> DataFrame:
+        """The rows of one search of `watch` whose paths no earlier one has reported. Reported paths lie in the folder `seen`, a folder a poll: a poll that is made again
+        gives the same, and a watch goes on after a restart. The limit is that of one search, so a poll is small."""
+        known = self.reported(seen).filter(F.col("poll") < number).select("path")
+        at = f"{seen}/poll={number}"
+        self.search(query, now).results.join(known, "path", "left_anti").coalesce(1).write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(REPORTED).parquet(at)
+
+    def reported(self, seen: str) -> DataFrame:
+        """(path, size, mtime, is_dir, poll) of all that a watch has reported."""
+        schema = f"{REPORTED}, poll long"
+        return self.spark.read.schema(schema).parquet(seen) if listing(self.spark, seen) else self.spark.createDataFrame([], schema)
+
+    def watch(self, query: Query, interval: int = 1, times: int | None = None, sleep=time.sleep, seen: str | None = None):
         """Searches every `interval` seconds, at least one; yields the rows of each time whose paths were not reported before. What is removed is not reported.
 
-        The limit is that of one search. Reported paths are remembered, so what is held grows with them.
+        With `seen`, a folder, a later watch goes on where this one ended; without, what was reported is forgotten at the end.
         """
-        seen: set[str] = set()
-        while times is None or times > 0:
-            rows = [r for r in self.search(query).results.collect() if r["path"] not in seen]
-            seen.update(r["path"] for r in rows)
-            yield rows
-            times = None if times is None else times - 1
-            if times != 0:
-                sleep(max(1, interval))
+        at = seen or f"{shared_dir(self.spark)}/watch-{uuid.uuid4().hex}"
+        number = 1 + max((int(name.removeprefix("poll=")) for name, _ in listing(self.spark, at) if name.startswith("poll=")), default=-1)
+        try:
+            while times is None or times > 0:
+                yield self.poll(query, number, at).collect()
+                number += 1
+                times = None if times is None else times - 1
+                if times != 0:
+                    sleep(max(1, interval))
+        finally:
+            if seen is None:
+                delete(self.spark, at)
 
     def resume(self) -> dict:
         """Changes that came during a pause were not taken, so the catalog is built anew."""
