@@ -262,6 +262,23 @@ def count_content(spark, sf_dir):
     return search.count_content(live(spark, sf_dir), Query(content="@mail[0-9]", case_sensitive=True), now=NOW)
 
 
+def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with a zero byte behind the first 300 characters of each, as a binary file may have one."""
+    rows = live(spark, sf_dir)
+    return rows.withColumn("text", F.concat(F.substring("text", 1, 300), F.lit("\0"), F.expr("substring(text, 301)")))
+
+
+@query(_sql(f"{SHOWN} AND NOT is_dir AND {_lines('^the .*ing[.]').replace('text', 'left(text, 300)')}"))
+def content_binary_line(spark, sf_dir):
+    """Content is matched up to the first zero byte."""
+    return search.content_matching(binary(spark, sf_dir), None, Query(content="^the .*ing[.]"), NOW).select(*search.RESULT)
+
+
+@query(_sql(f"{SHOWN} AND NOT is_dir AND regexp_matches(left(text, 300), '[.]{chr(92)}n[a-d]', 'i')"))
+def content_binary_multiline(spark, sf_dir):
+    return search.content_matching(binary(spark, sf_dir), None, Query(content=r"[.]\n[a-d]", multiline=True), NOW).select(*search.RESULT)
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The documents' texts with their filters, stored like the catalog."""
     index = TextIndex(spark, f"{shared_dir(spark)}/texts-{zlib.crc32(sf_dir.encode()):08x}")
