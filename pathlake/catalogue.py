@@ -638,9 +638,35 @@ def content_candidate_cap(spark, sf_dir):
 @query(_sql("NOT is_dir", "path, CASE ext WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'zip' THEN 'application/zip' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'mp4' THEN 'video/mp4' WHEN 'gz' THEN 'application/gzip' ELSE 'application/octet-stream' END AS mime, sha256(text) AS sha256, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS modified"))
 def details(spark, sf_dir):
     """The details of every file: MIME type, digest of the content, time."""
-    rows = live(spark, sf_dir)
-    day = F.date_format(F.to_utc_timestamp(F.timestamp_seconds("mtime"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
-    return rows.select("path", search.categories.mime(F.col("name_ext")).alias("mime"), F.sha2("text", 256).alias("sha256"), day.alias("modified"))
+    return search.details(live(spark, sf_dir))
+
+
+@query(_sql("NOT is_dir", "path, CASE WHEN size <= 1000 THEN sha256(text) END AS sha256"))
+def details_bounded(spark, sf_dir):
+    """Digests on demand of files up to a size; of larger ones none."""
+    return search.details(live(spark, sf_dir), largest=1000).select("path", "sha256")
+
+
+@query(_sql("NOT is_dir AND NOT is_hidden AND contains(lower(name), 'doc')", "path, concat('user', (doc_id % 5)::VARCHAR) AS owner", "ORDER BY doc_id % 11 DESC, length(name), path LIMIT 60"))
+def sort_created_topk(spark, sf_dir):
+    """The newest by creation time, of a catalog that keeps what a walk with details found."""
+    catalog = Catalog(spark, f"{workspace(spark, 'details', sf_dir)}/catalog")
+    owner = F.concat(F.lit("user"), (F.col("doc_id") % 5).cast("string"))
+    listed = corpus(spark, sf_dir).select("path", "size", "mtime", "is_dir", (F.col("doc_id") % 11).alias("created"), owner.alias("owner"))
+    catalog.rebuild(listed)
+    return search.ranked(catalog.detailed(), Query(name="doc", limit=60), "created", now=NOW).select("path", "owner")
+
+
+@query(f"{CHANGES_SQL}, last AS (SELECT path, seq, op FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM changes) WHERE r = 1), half AS (SELECT path, max(seq) AS done FROM changes WHERE op = 'upsert' AND seq < (SELECT max(event_id) * 49 // 50 FROM events) GROUP BY path) SELECT l.path, l.seq FROM last l LEFT JOIN half h ON h.path = l.path WHERE l.op = 'upsert' AND (h.done IS NULL OR h.done < l.seq)")
+def texts_pending(spark, sf_dir):
+    """What an extraction that has not come to the last changes is behind by."""
+    catalog = Catalog(spark, f"{workspace(spark, 'pending', sf_dir)}/catalog")
+    catalog.rebuild(changes(spark, sf_dir).limit(0))
+    catalog.apply(changes(spark, sf_dir))
+    late = read(spark, sf_dir, "events").agg(F.floor(F.max("event_id") * 49 / 50)).first()[0] or 0
+    done = changes(spark, sf_dir).filter((F.col("op") == "upsert") & (F.col("seq") < late)).groupBy("path").agg(F.max("seq").alias("seq"))
+    catalog.add_texts(done.withColumn("text", F.lit("x")))
+    return catalog.pending_texts()
 
 
 @query(f"{FILES_SQL}, spelled AS (SELECT path, hex(path::BLOB) AS h FROM files) SELECT path, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM spelled")

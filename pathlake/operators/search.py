@@ -187,6 +187,17 @@ def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     return links.join(files.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target")
 
 
+#: Bytes of a file whose digest is taken on demand.
+DIGEST_MAX = 512 << 20
+
+
+def details(files: DataFrame, content: str = "text", largest: int = DIGEST_MAX) -> DataFrame:
+    """(path, mime, sha256, modified) of each row: its type, the digest of its content unless it is over `largest` bytes, and its time as text in UTC."""
+    day = F.date_format(F.to_utc_timestamp(F.timestamp_seconds("mtime"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    digest = F.when(F.col("size") <= largest, F.sha2(F.col(content).cast("binary"), 256))
+    return files.select("path", categories.mime(F.col("name_ext")).alias("mime"), digest.alias("sha256"), day.alias("modified"))
+
+
 def row_columns(files: DataFrame) -> DataFrame:
     """The columns of a result list: type, MIME type and time as a timestamp."""
     return files.select(*RESULT, "name", categories.kind(F.col("name_ext"), F.col("is_dir")).alias("type"), categories.mime(F.col("name_ext")).alias("mime"), F.timestamp_seconds("mtime").alias("modified"))

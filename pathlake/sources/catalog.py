@@ -2,6 +2,7 @@
 
     <dir>/snapshots/<name>/       files by id, some SNAPSHOT_ROWS to a Parquet file
     <dir>/manifests/<name>/       (file, first, last, n): the ids of each of its files
+    <dir>/details/<name>/         what a walk with details knew of each path of a snapshot
     <dir>/changes/b=<name>/       a batch of changes, numbered
     <dir>/texts/b=<name>/         a batch of (path, text, seq) of extracted documents
     <dir>/commits/<number>.json   what the catalog is made of from then on; put only if it isn't there
@@ -31,7 +32,7 @@ from pathlake.operators import overlay, search
 from pathlake.operators.search import SMALL, small_side
 from pathlake.plans.compiler import Compiled, compile_query
 from pathlake.plans.query import Category, Query
-from pathlake.schema import CATEGORY_EXTENSIONS, COMPACT_AT, DELTA, FILES, SCHEMA_VERSION
+from pathlake.schema import CATEGORY_EXTENSIONS, COMPACT_AT, DELTA, DETAILS, ENTRY, FILES, SCHEMA_VERSION
 from pathlake.sources.shared import checkpointed, delete, listing, put_if_absent, read_text
 
 TEXTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("seq", T.LongType())])
@@ -63,7 +64,7 @@ class Catalog:
 
     def _last(self) -> dict:
         """The last record, of whatever schema; one without a snapshot if there is none."""
-        empty = {"commit": 0, "version": 0, "snapshot": None, "complete": False, "walk_key": "", "walked_at": 0, "roots": {}, "built_at": 0, "base_seq": -1, "last_seq": -1, "next_id": 1, "changes": [], "texts": [], "header": dict.fromkeys(COUNTED, 0), "counts": None}
+        empty = {"commit": 0, "version": 0, "snapshot": None, "details": None, "complete": False, "walk_key": "", "walked_at": 0, "roots": {}, "built_at": 0, "base_seq": -1, "last_seq": -1, "next_id": 1, "changes": [], "texts": [], "header": dict.fromkeys(COUNTED, 0), "counts": None}
         names = self._versions()
         if not names:
             return empty
@@ -111,13 +112,18 @@ class Catalog:
         before = self._last()
         base_seq = before["last_seq"] if base_seq is None else base_seq
         known = {b["name"] for b in before["changes"] if b["last_seq"] <= base_seq}
+        if more := [c for c in DETAILS.names if c in entries.columns and c not in overlay.META]:
+            entries = checkpointed(entries)  # listed once
         rows = derive(overlay.assign_ids(entries.select("path", "size", "mtime", "is_dir").dropDuplicates(["path"])))
         name = self._write_snapshot(rows)
+        if more:
+            known = entries.select("path", *more).dropDuplicates(["path"])
+            known.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{self.dir}/details/{name}")
         counts, n = self._counted(self._stored(name)), self._manifest(name).agg(F.sum("n")).first()[0] or 0
 
         def make(last: dict) -> dict:
             return {
-                "version": last["version"] + 1, "snapshot": name, "complete": True, "walk_key": walk_key, "walked_at": began, "roots": roots or {}, "built_at": int(time.time()), "base_seq": base_seq, "next_id": max(last["next_id"], n + 1),
+                "version": last["version"] + 1, "snapshot": name, "details": name if more else None, "complete": True, "walk_key": walk_key, "walked_at": began, "roots": roots or {}, "built_at": int(time.time()), "base_seq": base_seq, "next_id": max(last["next_id"], n + 1),
                 "changes": [b for b in last["changes"] if b["name"] not in known], "header": counts, "counts": None,
             }
 
@@ -196,6 +202,7 @@ class Catalog:
         named = {
             "snapshots": {r.get("snapshot") for r in late},
             "manifests": {r.get("snapshot") for r in late},
+            "details": {r.get("details") for r in late},
             "changes": {f"b={b['name']}" for r in late for b in r["changes"]},
             "texts": {f"b={b}" for r in late for b in r["texts"]},
             "commits": {f"{r['commit']:012}.json" for r in late},
@@ -311,6 +318,21 @@ class Catalog:
         at = self._last()
         return self._merged(at, self._stored(at["snapshot"]))
 
+    def detailed(self) -> DataFrame:
+        """files() with created, owner, group, permissions, inode and links, as the last walk with details found them; null where it knew them not, as for paths that came since."""
+        at = self._last()
+        if at.get("details") is None:
+            return self.files().select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in DETAILS.fields[len(ENTRY.fields) :]])
+        known = self.spark.read.parquet(f"{self.dir}/details/{at['details']}")
+        return self.files().join(known, "path", "left")
+
+    def pending_texts(self) -> DataFrame:
+        """(path, seq) of files that a change since the snapshot brought or wrote, and whose text is not extracted yet: what an extraction stream is behind by."""
+        at = self._last()
+        last = overlay.latest(self.changes()).filter("op = 'upsert' AND NOT is_dir").select("path", "seq")
+        done = self._last_texts(at).select("path", F.col("seq").alias("text_seq"))
+        return last.join(done, "path", "left").filter("text_seq IS NULL OR text_seq < seq").select("path", "seq")
+
     def entries(self) -> DataFrame:
         """(path, size, mtime, is_dir) with all changes applied."""
         return self.files().select(*overlay.META)

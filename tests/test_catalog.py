@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathlake.operators import search
 from pathlake.plans.query import Category, Query
-from pathlake.schema import DELTA, ENTRY
+from pathlake.schema import DELTA, DETAILS, ENTRY
 from pathlake.sources import catalog as stored
 from pathlake.sources import documents
 from pathlake.sources.catalog import Catalog
@@ -196,6 +196,31 @@ def test_files_are_bounded(spark, tmp_path, monkeypatch):
     assert ids(Catalog(spark, c.dir)) == before and c.text_stats().first()["entries"] == 3
 
 
+def test_details_stay_with_the_snapshot(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "c"))
+    rows = [("/a.txt", 1, 1, False, 50, "ann", "g", 0o640, 7, 1), ("/b.txt", 1, 1, False, 90, "bob", "g", 0o600, 8, 2)]
+    c.rebuild(spark.createDataFrame(rows, DETAILS))
+    c.apply(delta(spark, [up("/c.txt", 1), up("/a.txt", 1, 9)]))
+    got = {r["path"]: (r["size"], r["owner"], r["created"]) for r in c.detailed().collect()}
+    assert got == {"/a.txt": (9, "ann", 50), "/b.txt": (1, "bob", 90), "/c.txt": (7, None, None)}
+    assert [r["path"] for r in search.ranked(c.detailed(), Query(limit=2), "created", now=NOW).collect()] == ["/b.txt", "/a.txt"]
+    assert c.compact(0) and {r["path"]: r["owner"] for r in c.detailed().collect()} == {"/a.txt": "ann", "/b.txt": "bob", "/c.txt": None}
+    c.vacuum(keep=1, age=-5)
+    assert c.detailed().filter("owner = 'bob'").count() == 1
+    c.rebuild(entries(spark, 2))
+    assert c.detailed().filter("owner IS NOT NULL").count() == 0 and "inode" in c.detailed().columns
+
+
+def test_texts_that_are_still_to_come(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "c"))
+    c.rebuild(entries(spark, 2))
+    assert c.pending_texts().count() == 0
+    c.apply(delta(spark, [up("/x", 3), up("/y", 4), ("/d", "upsert", 0, 1, True, 5), gone("/r/f00000.txt", 6)]))
+    assert sorted(tuple(r) for r in c.pending_texts().collect()) == [("/x", 3), ("/y", 4)]
+    c.add_texts(spark.createDataFrame([("/x", "t", 3), ("/y", "old", 2)], "path string, text string, seq long"))
+    assert [tuple(r) for r in c.pending_texts().collect()] == [("/y", 4)]
+
+
 def test_an_empty_batch_is_no_commit(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "c"))
     c.rebuild(entries(spark, 0).limit(0))
