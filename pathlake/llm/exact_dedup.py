@@ -1,18 +1,24 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash.
 
 New rows are digested, reduced to one row a digest, held against the index by a sort-merge anti-join,
-and what is new is appended. The index is a bucketed and sorted table in the shared folder, so the join
-reads it without a shuffle, and it stays between jobs and sessions.
+and what is new is appended. The index lies in the shared folder and stays between jobs and sessions. What each batch adds is a generation, a table of its own with
+one sorted file a bucket: joins read generations one after the other, each without a shuffle or a sort, and only the new batch is sorted. A generation with
+over a MERGE-th of the rows of the one before is merged with it, so there are few, and a row is written again a logarithm of times.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathlake.llm.common import BROADCAST_ROWS, checkpointed, fresh_name, lookup
-from pathlake.sources.shared import delete, shared_dir, subfolders
+from pathlake.sources.shared import delete, listing, shared_dir, subfolders
 
+#: A generation stays by itself while the one before has more than so many times its rows.
+MERGE = 4
 #: The white space that doesn't count: code points 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -33,7 +39,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """The digests of all that was ever added, as table `name` (text_sha256, keep_id, n_rows, batch) in a folder of the shared store.
+    """The digests of all that was ever added, as tables `name`, `name`_g1 and so on (text_sha256, keep_id, n_rows, batch) in a folder of the shared store.
 
     add(docs) returns one row per document, dropped ones too:
     doc_id, keep_id, group_size, kept, text_sha256.
@@ -55,22 +61,95 @@ class DigestIndex:
         self.folder = folder or f"{shared_dir(spark)}/{name}"
         there = [x for x in subfolders(spark, self.folder) if x.startswith("buckets-")]
         self.buckets = int(there[0].split("-")[1]) if there else buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # a bucket of a generation is one sorted file, which this lets the planner rely on
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _generations(self) -> dict[int, str]:
+        """The folders of the generations that count, by number: those that were written whole and that no merged one stands for."""
+        found, gone = {}, set()
+        for x in subfolders(self.spark, self.folder):
+            if m := re.fullmatch(r"buckets-[0-9]+(?:-g([0-9]+)(?:-from([0-9]+))?)?", x):
+                k = int(m[1] or 0)
+                if k == 0 or any(n == "_SUCCESS" for n, _ in listing(self.spark, f"{self.folder}/{x}")):
+                    found[k] = x
+                    gone |= set(range(int(m[2]), k)) if m[2] else set()
+        found = found or {0: f"buckets-{self.buckets}"}  # before its first row
+        return {k: x for k, x in sorted(found.items()) if k not in gone}
+
+    def _table_name(self, k: int) -> str:
+        return f"{self.name}_g{k}" if k else self.name
+
+    def tables(self) -> list[DataFrame]:
+        """The generations, each without a sort or shuffle by digest."""
+        out = []
+        for k, folder in self._generations().items():
+            if k:
+                ids = self.spark.read.parquet(f"{self.folder}/{folder}").schema["keep_id"].dataType.simpleString()
+                self._create(ids, k, folder)
+            out.append(self.spark.table(self._table_name(k)))
+        return out
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """All that the index holds."""
+        return reduce(DataFrame.unionByName, self.tables())
 
     def drop(self) -> DigestIndex:
-        """Removes the table and its files."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Removes the tables and their files."""
+        for t in self.spark.catalog.listTables(pattern=f"{self.name.lower()}*"):
+            if re.fullmatch(rf"{re.escape(self.name.lower())}(_g[0-9]+)?", t.name.lower()):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
         delete(self.spark, self.folder)
         return self
 
-    def _create(self, id_type: str) -> None:
+    def _create(self, id_type: str, k: int = 0, folder: str | None = None) -> None:
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id {id_type}, n_rows BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/buckets-{self.buckets}'"
+            f"CREATE TABLE IF NOT EXISTS {self._table_name(k)} (text_sha256 STRING, keep_id {id_type}, n_rows BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{folder or f'buckets-{self.buckets}'}'"
+        )
+
+    def _append(self, rows: DataFrame, stands_from: int | None = None) -> None:
+        """A generation of rows, one file a bucket, as a task writes one bucket; one that stands for all from a number on counts once it is whole."""
+        there = self._generations()
+        k = max(there) + 1
+        if there == {0: f"buckets-{self.buckets}"} and not listing(self.spark, f"{self.folder}/{there[0]}"):
+            k = 0
+        folder = f"buckets-{self.buckets}" + (f"-g{k}" if k else "") + (f"-from{stands_from}" if stands_from is not None else "")
+        if k:  # what a job that died left of it
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(k)}")
+            for old in subfolders(self.spark, self.folder):
+                if re.fullmatch(rf"buckets-[0-9]+-g{k}(-from[0-9]+)?", old):
+                    delete(self.spark, f"{self.folder}/{old}")
+        (
+            rows.repartition(self.buckets, "text_sha256")
+            .write.mode("append")
+            .bucketBy(self.buckets, "text_sha256")
+            .sortBy("text_sha256")
+            .format("parquet")
+            .option("path", f"{self.folder}/{folder}")
+            .saveAsTable(self._table_name(k))
         )
 
+    def _merge(self) -> None:
+        """One generation in place of the last ones, as far back as each is not much larger than what follows."""
+        old = self._generations()
+        tables, numbers = self.tables(), list(old)
+        rows, first = tables[-1].count(), len(tables) - 1
+        while first and rows * MERGE >= (n := tables[first - 1].count()):
+            rows, first = rows + n, first - 1
+        if first == len(tables) - 1:
+            return
+        self._append(checkpointed(reduce(DataFrame.unionByName, tables[first:])), stands_from=numbers[first])
+        for k in numbers[first:]:
+            if k:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(k)}")
+            delete(self.spark, f"{self.folder}/{old[k]}")
+
+    def unseen(self, best: DataFrame) -> DataFrame:
+        """The rows of best (text_sha256, ...) that no generation has."""
+        for t in self.tables():
+            best = best.join(t.select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        return best
+
     def resolve(self, docs: DataFrame, id_col: str, text_col: str, batch: str | None) -> DataFrame:
         """(doc_id, row, text_sha256, keep_id, group_size, here, kept) of every row; here: this batch is the first with its text."""
         # digested once; what follows reads small rows
@@ -82,11 +161,11 @@ class DigestIndex:
         said = best.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n_here"), F.lit(0)).alias("n"), F.sum(F.xxhash64("text_sha256", "id_here").cast("decimal(38,0)")).alias("h")).first()
         batch = batch or f"{said['n']}-{said['h']}"
         self._create(rows.schema["doc_id"].dataType.simpleString())
-        new = checkpointed(best.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+        new = checkpointed(self.unseen(best))
         first = new.select("text_sha256", F.col("id_here").alias("keep_id"), F.col("n_here").alias("group_size"), F.lit(True).alias("here"), "keep_row", "n_here")
         n_new = new.count()
         if n_new < said["digests"]:
-            held = best.join(self.table().hint("merge"), "text_sha256")
+            held = reduce(DataFrame.unionByName, [best.join(t.hint("merge"), "text_sha256") for t in self.tables()])
             again = F.col("batch") == batch
             old = held.select(
                 "text_sha256",
@@ -98,16 +177,8 @@ class DigestIndex:
             )
             first = first.unionByName(checkpointed(old))  # read before the index grows
         if n_new:
-            (
-                new.select("text_sha256", F.col("id_here").alias("keep_id"), F.col("n_here").alias("n_rows"), F.lit(batch).alias("batch"))
-                .repartition(self.buckets, "text_sha256")
-                .write.mode("append")
-                .bucketBy(self.buckets, "text_sha256")
-                .sortBy("text_sha256")
-                .format("parquet")
-                .option("path", f"{self.folder}/buckets-{self.buckets}")
-                .saveAsTable(self.name)
-            )
+            self._append(new.select("text_sha256", F.col("id_here").alias("keep_id"), F.col("n_here").alias("n_rows"), F.lit(batch).alias("batch")))
+            self._merge()
         out = lookup(rows, first, "text_sha256", "n_here", said["n"])
         return out.withColumn("kept", F.col("here") & (F.col("row") == F.col("keep_row")))
 

@@ -77,3 +77,33 @@ def test_the_query_holds_its_table_against_the_index(spark, documents, tmp_path)
     for _ in range(2):
         got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in op5_exact_dedup(spark, str(tmp_path)).collect()}
         assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
+
+
+def test_the_index_is_read_as_it_is_sorted(spark, documents, monkeypatch):
+    """After three batches the anti-join sorts and shuffles the new batch alone; and merged generations answer as before."""
+    from pathlake.llm import exact_dedup
+
+    index = DigestIndex(spark, "t_sorted", 4).drop()
+    monkeypatch.setattr(exact_dedup, "MERGE", 0)
+    seen = set()
+    for i in range(3):
+        texts = [(100 * i + k, f"text {k * (i + 1)}") for k in range(50)]
+        got = {r["doc_id"]: r["kept"] for r in index.add(documents(texts)).collect()}
+        assert got == {k: t not in seen and next(j for j, u in texts if u == t) == k for k, t in texts}
+        seen |= {t for _, t in texts}
+    assert len(index.tables()) == 3 and index.table().count() == len(seen)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    batch = spark.createDataFrame([("a",), ("b",)], "text_sha256 string")
+    plan = index.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Sort [text_sha256") == 1 and plan.count("Exchange") == 1, plan
+    assert all(not r["kept"] for r in index.add(documents([(900, "text 0"), (901, "text 49")])).collect()) and len(index.tables()) == 3
+    monkeypatch.setattr(exact_dedup, "MERGE", 100)
+    assert [r["kept"] for r in index.add(documents([(902, "fresh"), (903, "text 1")])).orderBy("doc_id").collect()] == [True, False]
+    assert len(index.tables()) == 1 and index.table().count() == len(seen) + 1
+    monkeypatch.setattr(exact_dedup, "MERGE", 4)
+    again = DigestIndex(spark, "t_sorted", 99)
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.add(documents([(904, "fresh"), (905, "newer"), (906, "text 98")])).collect()}
+    assert got == {904: (902, False), 905: (905, True), 906: (149, False)} and len(again.tables()) == 2
+    assert again.add(documents([(907, "newest")])).first()["kept"] and len(again.tables()) == 2 and again.table().count() == len(seen) + 3
+    index.drop()
+    assert index.add(documents([(1, "text 0")])).first()["kept"] and len(index.tables()) == 1
