@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pathlake.llm.common import field, spread
+from pathlake.llm.common import field, give_back, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SMOOTH, SEED = 3, 10.0, 20
@@ -630,6 +630,8 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "samples"])
                 del keys, got, flat, ids, cols, values, offsets
             del b  # not kept while the next one is read
+        del sampler
+        give_back()
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), *(T.StructField(f, T.DoubleType()) for f in ("logp", "mass", "score", "inclusion")), T.StructField("round_trip", T.BooleanType())])
     return spread(rows).mapInArrow(run, T.StructType([field(rows, "doc_id"), T.StructField("samples", T.ArrayType(kind))]))
