@@ -3,7 +3,11 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from pathlake.llm import near
+from pathlake.llm.components import order
 
 
 def shingles(text):
@@ -93,3 +97,54 @@ def test_candidates_lose_no_pair(spark):
     found = {frozenset(r) for r in near.candidates(members, rows).collect()}
     links = {frozenset((i, j)) for i in range(160) for j in range(i) if i // 3 != j // 3 and similar(sets[i], sets[j])}
     assert links and links <= found and all(len({i // 3 for i in pair}) == 2 for pair in found)
+
+
+def test_fingerprint_is_a_simhash():
+    """A bit is 1 if it is in over half of the hashes of the set's shingles."""
+    mask = (1 << 64) - 1
+
+    def word(h, k):
+        h = h + k * 0x9E3779B97F4A7C15 & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return (h ^ h >> 31).to_bytes(8, "little")
+
+    for n in (0, 1, 2, 7, 255, 600):
+        x = near.shingle_set(" ".join(f"w{i}" for i in range(n + 4 if n else 0)))
+        rows = [b"".join(word(int(h), k) for k in range(1, near.BITS // 64 + 1)) for h in x]
+        plain = [int(2 * sum(r[i // 8] >> 7 - i % 8 & 1 for r in rows) > len(rows)) for i in range(near.BITS)]
+        assert len(x) == n and near.fingerprint(x).tolist() == plain
+
+
+def test_the_index_finds_pairs_at_the_similarity():
+    """Sets of similarity 0.8 agree in a table and are within the radius; unrelated ones hardly ever agree and are far apart."""
+    rng = np.random.default_rng(4)
+    for texts in (20, 1_000, 100_000):
+        index, met = near.tables(texts), 0
+        for n in (18, 36, 360):
+            for _ in range(40):
+                u = rng.integers(0, 1 << 64, n // 9 * 10, np.uint64)
+                a, b, other = (near.fingerprint(x) for x in (u[: n], u[n // 9 :], rng.integers(0, 1 << 64, n, np.uint64)))
+                assert (near.table_keys(a, index) == near.table_keys(b, index)).any() and (a != b).sum() <= near.RADIUS
+                met += (near.table_keys(a, index) == near.table_keys(other, index)).sum()
+                assert (a != other).sum() > 2 * near.RADIUS
+        assert met <= 120 * len(index) / 2 ** (index.shape[1] - 3)
+
+
+def test_texts_left_out_before_fingerprints_are_similar_to_none(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(300)]
+    sets = []
+    for _ in range(60):
+        at, n = rng.randrange(150), rng.choice([1, 4, 5, 8, 9, 10, 12, 15, 40, 99, 110, 150])
+        x = base[at : at + n]
+        sets += [x, x[: max(1, n * 8 // 10)], x[: n - n // 18] + [rng.getrandbits(63) for _ in range(n // 9)]]
+    sets += [[rng.getrandbits(63) for _ in range(50)] + base[:5] for _ in range(40)]
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+    sets = list({x.tobytes(): x for x in sets}.values())
+    rows = spark.createDataFrame([(i, i, i, len(x), [int(h) for h in near.least_shingles(x)]) for i, x in enumerate(sets)], "doc_id long, th long, sig long, n long, prefix array<long>")
+    nodes = rows.select("sig", order("doc_id").alias("best"), F.lit(1).alias("copies"), "n")
+    kept = {r["sig"] for r in near.paired(rows, nodes).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    want = {i for i, x in enumerate(plain) if any(i != j and similar(x, y) for j, y in enumerate(plain))}
+    assert want <= kept and len(kept) < len(sets) - 30
