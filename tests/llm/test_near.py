@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -87,6 +88,47 @@ def test_a_large_group_of_edited_copies(spark, documents):
     assert got == dict(enumerate(want)) and 10 < len(set(want)) < 300
 
 
+def test_shuffles_of_earlier_steps_are_removed(spark, documents):
+    """Their files stayed until the driver collected its garbage: on 211 partitions more than four times the input."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [rng.choices(vocabulary, k=80) for _ in range(60)]
+    docs = documents([" ".join(w[:i] + ["zz"] + w[i:]) for w in base for i in (0, 40)]).cache()
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName().split("_")[1] for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+    docs.count()
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    was = spark.conf.get(key)
+    found = near.components(docs)
+    for _ in range(50):  # they go in the background
+        if len(left := shuffles() - before) <= 2:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 2 and spark.conf.get(key) == was
+    assert len({r["least"]["doc_id"] for r in found.collect()}) == 60
+
+
+def test_pairs_of_unlike_sizes_are_not_compared(spark, documents, monkeypatch):
+    """A text and its first 70 % meet in tables, and can't be similar."""
+    rng = random.Random(12)
+    base = [[f"t{rng.randrange(4000)}" for _ in range(150)] for _ in range(20)]
+    texts = [" ".join(w[:k] + more) for w in base for k, more in ((150, []), (150, ["z"]), (105, []), (105, ["z"]))]
+    size = {near.set_digest(x) - (1 << 64) * (near.set_digest(x) >> 63): len(x) for x in map(near.shingle_set, texts)}
+    seen, plain = [], near.within
+    monkeypatch.setattr(near, "within", lambda pairs, prints: (seen.extend((r["a"], r["b"]) for r in pairs.collect()), plain(pairs, prints))[1])
+    got = {r["doc_id"]: r["least"]["doc_id"] for r in near.components(documents(texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+    assert seen and all(10 * min(size[a], size[b]) >= 8 * max(size[a], size[b]) for a, b in seen)
+
+
+def test_values_of_pairs_with_a_hot_member(spark):
+    """Each pair once with both values, whether its b is in a few pairs or in thousands."""
+    of = spark.range(3000).select(F.col("id").alias("sig"), (F.col("id") * 7).alias("v"))
+    pairs = spark.range(1, 3000).selectExpr("id a", "CASE WHEN id % 3 = 0 THEN id - 1 ELSE 0 END b")
+    got = sorted(map(tuple, near._both(near.checkpointed(pairs), of, "v").collect()))
+    assert got == sorted((a, b, 7 * a, 7 * b) for a in range(1, 3000) for b in [a - 1 if a % 3 == 0 else 0])
+
+
 def test_candidates_lose_no_pair(spark):
     """Against all pairs of sets, around the similarity and with sizes at its bound."""
     rng = random.Random(7)
